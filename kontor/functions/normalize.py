@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kontor.functions.text import blank_to_null, cap_first, filled, squash, strip, title_case
+from kontor.functions.text import blank_to_null, cap_first, filled, let, squash, strip, title_case
 
 # Legal forms, searched in this order.
 LEGAL_FORMS = {
@@ -63,11 +63,13 @@ def norm_name(c: Column) -> Column:
 
 
 def norm_legal_form(c: Column) -> Column:
-    form = F.regexp_replace(F.lower(strip(c)), r"(^rechtsform:?\s*|\s*\(.*\)$)", "")
-    result = F.upper(form)
-    for key, label in reversed(LEGAL_FORMS.items()):
-        result = F.when(form.contains(key), F.lit(label)).otherwise(result)
-    return F.when(filled(c), result)
+    def pick(form: Column) -> Column:
+        result = F.upper(form)
+        for key, label in reversed(LEGAL_FORMS.items()):
+            result = F.when(form.contains(key), F.lit(label)).otherwise(result)
+        return result
+
+    return let(c, lambda x: F.when(filled(x), let(F.regexp_replace(F.lower(strip(x)), r"(^rechtsform:?\s*|\s*\(.*\)$)", ""), pick)))
 
 
 def norm_state(c: Column) -> Column:
@@ -85,24 +87,31 @@ def norm_city(c: Column) -> Column:
 
 def norm_list(c: Column) -> Column:
     """Drop empty items, trim, keep the first of case-insensitive repeats; empty -> NULL."""
-    items = F.transform(F.filter(c, lambda x: filled(x)), strip)
-    folded = F.transform(items, F.lower)
-    kept = F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
-    return F.when(F.size(kept) > 0, kept)
+    def first_of_each(items: Column) -> Column:
+        folded = F.transform(items, F.lower)
+        return let(folded, lambda low: F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    cleaned = F.transform(F.filter(c, filled), strip)
+    return let(let(cleaned, first_of_each), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def split_legal_form(c: Column) -> Column:
     """struct<name, legal_form>: the ending of the name that states a legal form."""
     plain = F.regexp_extract(c, FORM_SUFFIX, 0)
-    ending = F.when(plain != "", plain).otherwise(F.regexp_extract(c, FORM_PARENS, 0))
-    name = F.when(ending != "", strip(F.substr(c, F.lit(1), F.length(c) - F.length(ending)))).otherwise(c)
-    return F.struct(name.alias("name"), blank_to_null(strip(ending)).alias("legal_form"))
+    ending = F.coalesce(blank_to_null(plain), F.regexp_extract(c, FORM_PARENS, 0))
+
+    def cut(e: Column) -> Column:
+        name = F.when(e != "", strip(F.substr(c, F.lit(1), F.length(c) - F.length(e)))).otherwise(c)
+        return F.struct(name.alias("name"), blank_to_null(strip(e)).alias("legal_form"))
+
+    return let(ending, cut)
 
 
 def clip_description(c: Column, limit: int = 1000) -> Column:
-    text = strip(c)
-    clipped = F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
-    return F.when(F.length(text) > limit, clipped).otherwise(text)
+    def clip(text: Column) -> Column:
+        return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
+
+    return let(strip(c), clip)
 
 
 def phone_key(c: Column) -> Column:
@@ -116,7 +125,7 @@ def endpoint_template(path: Column) -> Column:
 
 def domain_key(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    return F.when(host != "", host).otherwise(url)
+    return F.coalesce(blank_to_null(host), url)
 
 
 def format_address(street: Column, postal_code: Column, city: Column) -> Column:

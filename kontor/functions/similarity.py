@@ -99,6 +99,11 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return result
 
 
+# Declared non-deterministic so that a filter on the result is not evaluated by a
+# second call below the projection.
+_ratio = _ratio.asNondeterministic()
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Similarity 0-100 of two strings, NULL if either is NULL."""
     return _ratio(a, b)

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EDGE_SPACE = r"^\s+|\s+$"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``c`` evaluated once, however often the body uses it.
+
+    Without this a column used n times is copied n times into the expression tree,
+    and nested rules grow exponentially.
+    """
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, EDGE_SPACE, "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kontor.functions.text import blank_to_null, contains_any, filled, squash, strip
+from kontor.functions.text import blank_to_null, contains_any, filled, let, squash, strip
 
 _ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
 EMAIL_SYNTAX = rf"^{_ATOM}(\.{_ATOM})*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$"
@@ -37,6 +37,7 @@ NON_COMPANY_SITES = [
 # the first two digits decide which.
 CALLING_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 DE_MOBILE = r"^1[567][0-9]{8,9}$"
+DE_MOBILE_PREFIX = r"^(15[0-9]{2}|1[67][0-9])"
 DE_FIXED = r"^[2-9][0-9]{5,10}$"
 # Area-code length classes of the German plan: four two-digit codes, the
 # three-digit codes, five digits in the 33..39 ranges, otherwise four.
@@ -47,28 +48,32 @@ DE_AREA = (
 
 
 def valid_email(c: Column) -> Column:
-    addr = F.regexp_replace(F.lower(strip(c)), "^(mailto:|email:)", "")
-    ok = addr.rlike(EMAIL_SYNTAX) & (F.length(addr) <= 254) & (F.instr(addr, "@") <= 65)
-    return F.when(ok, addr)
+    def check(addr: Column) -> Column:
+        return F.when(addr.rlike(EMAIL_SYNTAX) & (F.length(addr) <= 254) & (F.instr(addr, "@") <= 65), addr)
+
+    return let(F.regexp_replace(F.lower(strip(c)), "^(mailto:|email:)", ""), check)
 
 
 def _dialled(c: Column) -> Column:
     """Digits with a leading '+' for international input; NULL if other symbols occur."""
     bare = strip(F.regexp_replace(strip(c), "(?i)^(tel:|phone:|telefon:)", ""))
-    packed = F.regexp_replace(bare, r"[ \-/().\t]", "")
-    packed = F.regexp_replace(packed, "^00", "+")
-    return F.when(packed.rlike(r"^\+?[0-9]+$"), packed)
+    packed = F.regexp_replace(F.regexp_replace(bare, r"[ \-/().\t]", ""), "^00", "+")
+    return F.nullif(F.regexp_extract(packed, r"^(\+?[0-9]+)$", 1), F.lit(""))
 
 
 def phone_parts(c: Column, country_code: str = "49") -> Column:
     """struct<cc, national>: calling code and national number without trunk zero."""
-    dialled = _dialled(c)
-    intl = dialled.startswith("+")
-    digits = F.regexp_replace(dialled, r"^\+", "")
-    cc = F.when(intl, F.regexp_extract(digits, CALLING_CODE, 1)).otherwise(F.lit(country_code))
-    rest = F.when(intl, F.length(cc)).otherwise(F.lit(0))
-    national = F.regexp_replace(F.substr(digits, rest + 1, F.lit(32)), "^0", "")
-    return F.struct(cc.alias("cc"), national.alias("national"))
+
+    def parts(dialled: Column) -> Column:
+        cc = F.regexp_extract(dialled, r"^\+" + CALLING_CODE.lstrip("^"), 1)
+        foreign = F.struct(
+            cc.alias("cc"),
+            F.regexp_replace(F.substr(dialled, F.length(cc) + 2, F.lit(32)), "^0", "").alias("national"),
+        )
+        home = F.struct(F.lit(country_code).alias("cc"), F.regexp_replace(dialled, "^0", "").alias("national"))
+        return F.when(dialled.startswith("+"), foreign).when(dialled.isNotNull(), home)
+
+    return let(_dialled(c), parts)
 
 
 def valid_phone(c: Column, country_code: str = "49") -> Column:
@@ -77,33 +82,42 @@ def valid_phone(c: Column, country_code: str = "49") -> Column:
     Germany has full length rules and area-code spacing; other countries are
     accepted on the general 8..15 digit rule and written as one group.
     """
-    part = phone_parts(c, country_code)
-    cc, nat = part["cc"], part["national"]
-    area = F.regexp_extract(nat, DE_AREA, 1)
-    mobile = F.regexp_extract(nat, r"^(15[0-9]{2}|1[67][0-9])", 1)
-    head = F.when(nat.rlike(DE_MOBILE), mobile).otherwise(area)
-    german = F.concat(F.lit("+49 "), head, F.lit(" "), F.substr(nat, F.length(head) + 1, F.lit(32)))
-    size = F.length(cc) + F.length(nat)
-    return (
-        F.when((cc == "49") & (nat.rlike(DE_MOBILE) | nat.rlike(DE_FIXED)), german)
-        .when((cc != "49") & (cc != "") & (size >= 8) & (size <= 15), F.concat(F.lit("+"), cc, F.lit(" "), nat))
-    )
+
+    def spaced(nat: Column, pattern: str) -> Column:
+        return F.concat(
+            F.lit("+49 "), let(F.regexp_extract(nat, pattern, 1), lambda head: F.concat(head, F.lit(" "), F.substr(nat, F.length(head) + 1, F.lit(32))))
+        )
+
+    def check(part: Column) -> Column:
+        cc, nat = part["cc"], part["national"]
+        german = F.when(nat.rlike(DE_MOBILE), spaced(nat, DE_MOBILE_PREFIX)).when(nat.rlike(DE_FIXED), spaced(nat, DE_AREA))
+        foreign = (cc != "") & (F.length(cc) + F.length(nat)).between(8, 15)
+        return F.when(cc == "49", german).when(foreign, F.concat(F.lit("+"), cc, F.lit(" "), nat))
+
+    return let(phone_parts(c, country_code), check)
 
 
 def valid_website(c: Column) -> Column:
-    url = strip(c)
-    url = F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(
-        F.concat(F.lit("https://"), url)
-    )
     shape = r"^(https?)://([^/?#]*)([^?#]*)"
-    host = F.lower(F.regexp_extract(url, shape, 2))
-    path = F.regexp_replace(F.regexp_extract(url, shape, 3), r";[^/]*$", "")
-    path = F.regexp_replace(path, r"/+$", "")
-    bracket_ok = host.contains("[") == host.contains("]")
-    return F.when(
-        filled(c) & (host != "") & bracket_ok,
-        F.concat(F.regexp_extract(url, shape, 1), F.lit("://"), host, path),
-    )
+
+    def with_scheme(url: Column) -> Column:
+        return F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(
+            F.concat(F.lit("https://"), url)
+        )
+
+    def check(url: Column) -> Column:
+        host = F.lower(F.regexp_extract(url, shape, 2))
+        path = F.regexp_replace(F.regexp_extract(url, shape, 3), r";[^/]*$", "")
+        path = F.regexp_replace(path, r"/+$", "")
+        return let(
+            host,
+            lambda h: F.when(
+                (h != "") & (h.contains("[") == h.contains("]")),
+                F.concat(F.regexp_extract(url, shape, 1), F.lit("://"), h, path),
+            ),
+        )
+
+    return F.when(filled(c), let(let(strip(c), with_scheme), check))
 
 
 def valid_postal_code(c: Column, country: str = "DE") -> Column:
@@ -115,8 +129,7 @@ def valid_postal_code(c: Column, country: str = "DE") -> Column:
 
 
 def valid_company_name(c: Column) -> Column:
-    name = squash(c)
-    return F.when(F.length(name) >= 2, name)
+    return let(squash(c), lambda name: F.when(F.length(name) >= 2, name))
 
 
 def is_email(c: Column) -> Column:

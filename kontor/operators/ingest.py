@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions import normalize as N
 from kontor.functions import validate as V
-from kontor.functions.text import blank_to_null, filled, strip
+from kontor.functions.text import blank_to_null, filled, squash, strip
 
 _CHECKED = {
     "email": V.valid_email,
@@ -26,8 +26,10 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     changes |= {
         c: F.when(filled(F.col(c)), strip(F.col(c))).otherwise(F.col(c)) for c in _TRIMMED if c in df.columns
     }
-    valid = df.filter(name.isNotNull()).withColumns({"company_name": name, **changes})
-    rejected = df.filter(name.isNull()).withColumn("reason", F.lit("company name is required and invalid"))
+    # the plain length test keeps the filter cheap enough to be pushed below the projection
+    usable = F.length(squash(F.col("company_name"))) >= 2
+    valid = df.filter(usable).withColumns({"company_name": name, **changes})
+    rejected = df.filter(~F.coalesce(usable, F.lit(False))).withColumn("reason", F.lit("company name is required and invalid"))
     return valid, rejected
 
 

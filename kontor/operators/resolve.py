@@ -182,7 +182,9 @@ def find_duplicates(
             probe.withColumns({**flags, "is_base": F.lit(False)})
             .unionByName(base.filter("is_active").withColumns({**flags, "is_probe": F.lit(False)}), allowMissingColumns=True)
         )
-    keyed = (
+    # Keys and scored pairs are read several times below; writing them once is cheaper
+    # than cleansing and comparing again for every use.
+    keyed = checkpoint_cut(
         comparison_keys(rows)
         .withColumn("block", _block_key(block))
         .withColumn("pkey", _profile_key())
@@ -191,7 +193,7 @@ def find_duplicates(
     profiles = keyed.groupBy("pkey").agg(
         F.any_value("block").alias("block"), *[F.any_value(f"{f}_key").alias(f"{f}_key") for f in FIELDS]
     )
-    pairs = profile_pairs(profiles, threshold, tile_rows)
+    pairs = checkpoint_cut(profile_pairs(profiles, threshold, tile_rows))
 
     sims = [f"{f}_sim" for f in FIELDS]
     same = [
@@ -358,21 +360,25 @@ def merge_companies(companies: DataFrame, merges: DataFrame, sources: DataFrame
 def resolve_roots(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Root of every node of a merge forest: columns id, parent (NULL for roots).
 
-    Pointer jumping: each round joins every unfinished node with its parent's
-    parent, so depth d takes log2(d) rounds.  Finished nodes leave the loop, which
-    also keeps a popular root from becoming a hot join key.
+    Pointer jumping: each round replaces every unfinished node's link by its target's
+    link, so depth d takes log2(d) rounds.  A node is final once it points at a root;
+    final nodes stay as targets but are not looked up again.
     """
-    done = parents.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("rounds"))
-    links = checkpoint_cut(parents.filter("parent is not null").select("id", F.col("parent").alias("up")))
-    for step in range(1, max_rounds + 1):
-        if links.isEmpty():
-            return done
-        above = links.select(F.col("id").alias("up"), F.col("up").alias("above"))
-        joined = checkpoint_cut(links.join(above, "up", "left"))
-        done = done.unionByName(
-            joined.filter("above is null").select("id", F.col("up").alias("root"), F.lit(step).alias("rounds"))
+    roots = parents.filter("parent is null").select("id", F.col("id").alias("root"))
+    state = checkpoint_cut(
+        parents.filter("parent is not null").select("id", F.col("parent").alias("up"), F.lit(False).alias("final"))
+    )
+    for _ in range(max_rounds):
+        open_links = state.filter("not final")
+        if open_links.isEmpty():
+            return roots.unionByName(state.select("id", F.col("up").alias("root")))
+        target = state.select(F.col("id").alias("up"), F.col("up").alias("above"), F.col("final").alias("above_final"))
+        moved = open_links.select("id", "up").join(target, "up", "left").select(
+            "id",
+            F.coalesce("above", "up").alias("up"),
+            F.coalesce("above_final", F.lit(True)).alias("final"),
         )
-        links = joined.filter("above is not null").select("id", F.col("above").alias("up"))
+        state = checkpoint_cut(state.filter("final").unionByName(moved))
     raise ValueError("the parent links contain a cycle")
 
 
