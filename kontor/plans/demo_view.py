@@ -92,7 +92,10 @@ FROM shaped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; times without a zone are read as session-zone timestamps."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [f for f, kind in df.dtypes if kind == "timestamp_ntz"]
+    return df.withColumns({c: df[c].cast("timestamp") for c in zoneless}) if zoneless else df
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
