@@ -125,7 +125,7 @@ def bag_masks(key: Column) -> Column:
             levels.append(acc[i].bitwiseOR(acc[i - 1].bitwiseAND(bit)))
         return F.array(*levels)
 
-    return F.aggregate(F.split(key, ""), start, add)
+    return F.aggregate(F.filter(F.split(key, ""), lambda ch: ch != ""), start, add)
 
 
 def bag_distance(a: list[Column], b: list[Column]) -> Column:

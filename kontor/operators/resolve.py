@@ -167,11 +167,13 @@ def find_duplicates(
     threshold: float = OVERALL_THRESHOLD,
     block: list[str] | None = None,
     tile_rows: int = TILE_ROWS,
+    earlier_only: bool = False,
 ) -> DataFrame:
     """Best ``k`` active candidates of every probe row, ranked by (score desc, id).
 
     Rows need id, company_name, city, address, phone, website, is_active.  With no
     ``base`` the active rows of ``probe`` are scanned against each other.
+    ``earlier_only`` admits only candidates with a lower id (ingest order).
     """
     block = block or ["city"]
     flags = {"is_probe": F.lit(True), "is_base": F.lit(True)}
@@ -218,6 +220,17 @@ def find_duplicates(
         .filter(F.col("nth") <= k + 1)
         .select(F.col("pkey").alias("dst"), F.col("id").alias("cand_id"))
     )
+    asked = keyed.filter("is_probe").select("id", F.col("pkey").alias("src"))
+    if earlier_only:
+        # which candidates count depends on the row, so the cut is made per row
+        per_row = Window.partitionBy("id").orderBy(F.desc("overall"), "cand_id")
+        return (
+            asked.join(links.join(stand_ins, "dst"), "src")
+            .filter("cand_id < id")
+            .withColumn("rank", F.row_number().over(per_row))
+            .filter(F.col("rank") <= k)
+            .select("id", "cand_id", "rank", *sims, "overall")
+        )
     by_score = Window.partitionBy("src").orderBy(F.desc("overall"), "cand_id")
     shortlist = (
         links.join(stand_ins, "dst")
@@ -228,9 +241,7 @@ def find_duplicates(
     )
     own = F.slice(F.filter("cands", lambda c: c["cand_id"] != F.col("id")), 1, k)
     return (
-        keyed.filter("is_probe")
-        .select("id", F.col("pkey").alias("src"))
-        .join(shortlist, "src")
+        asked.join(shortlist, "src")
         .select("id", F.posexplode(own).alias("pos", "c"))
         .select("id", "c.cand_id", (F.col("pos") + 1).alias("rank"), *[f"c.{s}" for s in sims], "c.overall")
     )
