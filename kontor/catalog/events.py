@@ -119,10 +119,8 @@ def _(spark, sf_dir):
        FROM events GROUP BY event_type""",
 )
 def _(spark, sf_dir):
-    v = F.col("value")
-    return events(spark, sf_dir).groupBy("event_type").agg(
-        *[F.round(R.linear_percentile(v, p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)]
-    )
+    ranks = R.percentiles(events(spark, sf_dir), ["event_type"], "value", [0.5, 0.95, 0.99])
+    return ranks.select("event_type", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 _STATEMENT = "CASE WHEN event_type = 'view' THEN 'vacuum full' WHEN event_type = 'click' THEN 'Commit' ELSE 'SELECT ' || event_type || CAST(user_id % 20 AS {t}) END"
@@ -417,8 +415,8 @@ def _level_sql(minutes: int, agg: str, threshold: float, hold: int) -> str:
 
 @query("alert_latency", _level_sql(5, "quantile_cont(value / 100, 0.95)", 0.3, 5))
 def _(spark, sf_dir):
-    p95 = R.linear_percentile(F.col("value") / 100, 0.95)
-    alert = M.level_alert(events(spark, sf_dir), "ts", p95, 0.3)
+    rows = events(spark, sf_dir).withColumn("seconds", F.col("value") / 100)
+    alert = M.quantile_alert(rows, "ts", "seconds", 0.95, 0.3)
     return _stamp(alert).withColumn("level", F.round("level", 6))
 
 
@@ -578,7 +576,7 @@ def _(spark, sf_dir):
        SELECT user_id, epoch_us(min(ts)) AS started_us, count(*) AS events FROM s GROUP BY user_id, sid""",
 )
 def _(spark, sf_dir):
-    rows = M.sessionize(events(spark, sf_dir), "user_id", "ts", "6 hours")
+    rows = M.sessionize(events(spark, sf_dir), "user_id", "ts", "6 hours", order="event_id")
     return rows.select("user_id", F.unix_micros("session_start").alias("started_us"), "events")
 
 

@@ -12,7 +12,7 @@ from kontor.catalog import duck as D
 from kontor.catalog.base import query
 from kontor.operators import extract as X
 from kontor.operators import webtext as W
-from kontor.plans.demo_view import companies, table
+from kontor.plans.demo_view import companies, spread, table
 from kontor.sources import readers as R
 
 # --- derived directory pages -----------------------------------------------------------------
@@ -223,7 +223,7 @@ def _(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 _KINDS = {"impressum": ["nicht", "el"], "team": ["the", "über uns"], "kontakt": ["que", "kontakt"]}

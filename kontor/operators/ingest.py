@@ -37,11 +37,13 @@ def normalize(df: DataFrame) -> DataFrame:
     """Canonical spelling of every known column; a legal form is taken from the name if absent."""
     has = set(df.columns)
     form = F.col("legal_form") if "legal_form" in has else F.lit(None).cast("string")
-    split = N.split_legal_form(F.col("company_name"))
-    absent = ~filled(form)
+    # a stated legal form leaves the name alone; otherwise the ending of the name is one
+    as_is = F.struct(F.col("company_name").alias("name"), form.alias("legal_form"))
+    split = F.when(filled(form), as_is).otherwise(N.split_legal_form(F.col("company_name")))
+    work = df.withColumn("_split", split)
     changes = {
-        "company_name": N.norm_name(F.when(absent, split["name"]).otherwise(F.col("company_name"))),
-        "legal_form": N.norm_legal_form(F.when(absent, split["legal_form"]).otherwise(form)),
+        "company_name": N.norm_name(F.col("_split.name")),
+        "legal_form": N.norm_legal_form(F.col("_split.legal_form")),
     }
     if "city" in has:
         changes["city"] = N.norm_city(F.col("city"))
@@ -50,7 +52,7 @@ def normalize(df: DataFrame) -> DataFrame:
     if "description" in has:
         changes["description"] = N.clip_description(F.col("description"))
     changes |= {c: N.norm_list(F.col(c)) for c in _LISTS if c in has}
-    return df.withColumns(changes)
+    return work.withColumns(changes).drop("_split")
 
 
 def clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontor.operators.rollup import linear_percentile
+from kontor.operators.rollup import percentiles
 
 # Default targets and bottleneck limits.
 TARGETS = {"p95_latency_ms": 200.0, "error_rate_pct": 1.0, "throughput_rpm": 1000.0}
@@ -15,13 +15,17 @@ HIGH_ERROR_PCT = 1.0
 
 def endpoint_rollup(df: DataFrame, endpoint: str, latency: str, failed: Column, seconds: float) -> DataFrame:
     """Per endpoint: requests, failures, error share, latency percentiles, requests per second."""
-    return df.groupBy(F.col(endpoint).alias("name")).agg(
+    named = df.withColumn("name", F.col(endpoint))
+    ranks = percentiles(named, ["name"], latency, [0.5, 0.95, 0.99]).select(
+        "name", *[F.col(f"p{p}").alias(f"p{p}_ms") for p in (50, 95, 99)]
+    )
+    rates = named.groupBy("name").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(failed).alias("failures"),
         (F.count_if(failed) * 100.0 / F.count(F.lit(1))).alias("error_rate_pct"),
-        *[linear_percentile(F.col(latency), p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)],
         (F.count(F.lit(1)) / F.lit(float(seconds))).alias("rps"),
     )
+    return rates.join(ranks, "name", "left")
 
 
 def totals(endpoints: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import fold
 from kontor.operators.prefix import carry, day_of
+from kontor.operators.rollup import percentiles
 
 # Alert thresholds and hold times.
 HTTP_ERROR_RATIO = 0.05
@@ -67,6 +68,17 @@ def level_alert(
     return held(w.withColumn("breached", F.col("level") > threshold), slide, hold, keys)
 
 
+def quantile_alert(
+    df: DataFrame, ts: str, value: str, share: float, threshold: float, width: str = "5 minutes", slide: str = "1 minute",
+    hold: str = "5 minutes",
+) -> DataFrame:
+    """Alert on an exact windowed percentile; a busy window is spread over many tasks."""
+    rows = df.select(F.window(ts, width, slide).alias("w"), value).select(F.col("w.start").alias("window_start"), value)
+    ranks = percentiles(rows, ["window_start"], value, [share], "level").drop("n")
+    w = ranks.select("window_start", F.col(ranks.columns[-1]).alias("level"))
+    return held(w.withColumn("breached", F.col("level") > threshold), slide, hold, [])
+
+
 def absence_alert(df: DataFrame, ts: str, wanted: Column, width: str = "1 hour", running: Column | None = None) -> DataFrame:
     """Tumbling windows over the covered time in which nothing wanted happened.
 
@@ -211,9 +223,16 @@ def component_alerts(checks: DataFrame) -> DataFrame:
     )
 
 
-def sessionize(df: DataFrame, user: str, ts: str, gap: str = "30 minutes", **aggs: Column) -> DataFrame:
-    """Sessions of activity: rows of a user less than ``gap`` apart."""
-    out = df.groupBy(user, F.session_window(ts, gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("events"), *[c.alias(n) for n, c in aggs.items()]
+def sessionize(df: DataFrame, user: str, ts: str, gap: str = "30 minutes", order: str | None = None, **aggs: Column) -> DataFrame:
+    """Sessions of activity: rows of a user less than ``gap`` apart.
+
+    Sessions are numbered first and then aggregated, so a user who holds a large
+    share of the table is spread over many tasks.
+    """
+    seconds = _seconds(gap)
+    cut = fold.segments(df, user, ts, order or ts, seconds)
+    end = F.timestamp_micros(F.unix_micros(F.max(ts)) + F.lit(seconds * 1_000_000))
+    out = cut.groupBy(user, "segment").agg(
+        F.min(ts).alias("session_start"), end.alias("session_end"), F.count(F.lit(1)).alias("events"), *[c.alias(n) for n, c in aggs.items()]
     )
-    return out.select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events", *aggs)
+    return out.drop("segment")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import routing
-from kontor.operators.rollup import linear_percentile
+from kontor.operators.rollup import percentiles
 
 
 def norm_value(c: Column, kind: str = "string") -> Column:
@@ -96,15 +96,16 @@ def model_summary(results: DataFrame, model: str = "model") -> DataFrame:
     hallucination_rate, tokens_per_second, memory_used_mb, error.
     """
     means = ["precision", "recall", "f1", "completeness", "hallucination_rate"]
-    return results.groupBy(model).agg(
+    ranks = percentiles(results, [model], "latency", [0.5, 0.95, 0.99], "latency_p").drop("n")
+    rates = results.groupBy(model).agg(
         F.count(F.lit(1)).alias("runs"),
         *[F.avg(c).alias(c) for c in means],
         F.avg(F.col("json_valid").cast("double")).alias("json_valid_rate"),
-        *[linear_percentile(F.col("latency"), p / 100).alias(f"latency_p{p}") for p in (50, 95, 99)],
         F.avg("tokens_per_second").alias("mean_tokens_per_second"),
         F.max("memory_used_mb").alias("peak_memory_mb"),
         F.count("error").alias("errors"),
     )
+    return rates.join(ranks, model, "left")
 
 
 def errors_per_case(results: DataFrame, model: str = "model", case: str = "case_id") -> DataFrame:

@@ -98,63 +98,109 @@ def _profile_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0001", F.col("block"), *keys)))
 
 
-def _score_ceiling(distance) -> Column:
-    """Upper bound of 5 * overall (name counts twice) from per-field distance bounds."""
+MISSING = -1  # length of a field that does not take part
+
+
+def _score_ceiling(distances: dict[str, Column]) -> Column:
+    """Upper bound of 5 * overall (name counts twice) from per-field distance bounds.
+
+    All inputs are non-null, which keeps the generated code of the join small enough
+    for the JVM to compile.
+    """
     total = F.lit(0.0)
-    for f in FIELDS:
-        length = F.col(f"a_{f}_len") + F.col(f"b_{f}_len")
-        bound = F.coalesce(ratio_ceiling(distance(f), length), F.lit(0.0))
+    for f, distance in distances.items():
+        a, b = F.col(f"a_{f}_len"), F.col(f"b_{f}_len")
+        bound = F.when(F.least(a, b) == MISSING, F.lit(0.0)).otherwise(ratio_ceiling(distance, a + b))
         total = total + F.lit(5 * WEIGHTS[f]) * bound
     return total
 
 
-def _masks(f: str, side: str) -> list[Column]:
-    return [F.col(f"{side}_{f}_m{i}") for i in range(MASK_LEVELS)]
+def _bag(f: str) -> Column:
+    masks = {side: [F.col(f"{side}_{f}_m{i}") for i in range(MASK_LEVELS)] for side in "ab"}
+    return bag_distance(masks["a"], masks["b"])
+
 
+def _edit(f: str) -> Column:
+    return F.levenshtein(F.col(f"a_{f}_key"), F.col(f"b_{f}_key"))
+
+
+def _grid(profiles: DataFrame, name: str, tile_rows: int) -> DataFrame:
+    """Grid size of the blocks above one tile; there are at most rows / tile_rows of them."""
+    size = F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int")
+    return profiles.groupBy("block").agg(size.alias(name)).filter(F.col(name) > 1)
+
+
+def profile_pairs(
+    profiles: DataFrame, threshold: float, tile_rows: int = TILE_ROWS, asked: DataFrame | None = None
+) -> DataFrame:
+    """Scored unordered pairs of distinct profiles with ``overall >= threshold``.
 
-def profile_pairs(profiles: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Scored unordered pairs of distinct profiles with ``overall >= threshold``."""
+    With ``asked`` (pkey of the probe profiles) only pairs with a probe are formed:
+    probes on the left, every profile of their blocks on the right.
+    """
     present = sum((F.col(f"{f}_key").isNotNull().cast("int") for f in FIELDS[1:]), F.lit(0))
     best = F.lit(100 * WEIGHTS["name"]) + present * F.lit(100 * WEIGHTS["phone"])
     eligible = profiles.filter(best >= threshold)
-
-    # Only blocks above one tile need a grid; there are at most rows / tile_rows of them.
-    grids = (
-        eligible.groupBy("block")
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("grid"))
-        .filter("grid > 1")
-    )
-    masked = eligible
     for f in FIELDS:
-        masked = masked.withColumn(f"{f}_len", F.length(f"{f}_key")).withColumn(
-            f"{f}_masks", bag_masks(F.col(f"{f}_key"))
-        )
-    flat = ["block", "pkey", *[f"{f}_key" for f in FIELDS], *[f"{f}_len" for f in FIELDS]]
-    words = [F.col(f"{f}_masks")[i].alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)]
-    gridded = (
-        masked.select(*flat, *words)
-        .join(grids, "block", "left")
-        .withColumn("grid", F.coalesce("grid", F.lit(1)))
-        .withColumn("cell", F.pmod(F.xxhash64("pkey"), F.col("grid")).cast("int"))
+        eligible = eligible.withColumn(f"{f}_masks", bag_masks(F.col(f"{f}_key")))
+    none = F.lit(0).cast("bigint")
+    masked = eligible.select(
+        "block",
+        "pkey",
+        *[F.coalesce(f"{f}_key", F.lit("")).alias(f"{f}_key") for f in FIELDS],
+        *[F.coalesce(F.length(f"{f}_key"), F.lit(MISSING)).alias(f"{f}_len") for f in FIELDS],
+        *[F.coalesce(F.col(f"{f}_masks")[i], none).alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
     )
 
-    def side(prefix: str, tile: Column) -> DataFrame:
-        cols = [F.col(c).alias(f"{prefix}_{c}") for c in gridded.columns if c not in ("block", "grid", "cell")]
-        return gridded.withColumn("tile", F.explode(tile)).select("block", "tile", *cols)
+    def side(rows: DataFrame, prefix: str, tile: Column) -> DataFrame:
+        cols = [F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c not in ("block", "rows_grid", "cols_grid")]
+        return rows.withColumn("tile", F.explode(tile)).select("block", "tile", *cols)
 
-    cell, last = F.col("cell"), F.col("grid") - 1
-    left = side("a", F.transform(F.sequence(cell, last), lambda j: F.struct(cell.alias("i"), j.alias("j"))))
-    right = side("b", F.transform(F.sequence(F.lit(0), cell), lambda i: F.struct(i.alias("i"), cell.alias("j"))))
+    def cell(grid: str) -> Column:
+        return F.pmod(F.xxhash64("pkey"), F.col(grid)).cast("int")
+
+    cols_grid = _grid(masked, "cols_grid", tile_rows)
+    if asked is None:
+        placed = masked.join(cols_grid, "block", "left").withColumn("cols_grid", F.coalesce("cols_grid", F.lit(1)))
+        mine, last = cell("cols_grid"), F.col("cols_grid") - 1
+        left = side(placed, "a", F.transform(F.sequence(mine, last), lambda j: F.struct(mine.alias("i"), j.alias("j"))))
+        right = side(placed, "b", F.transform(F.sequence(F.lit(0), mine), lambda i: F.struct(i.alias("i"), mine.alias("j"))))
+        once = (F.col("tile.i") < F.col("tile.j")) | (F.col("a_pkey") < F.col("b_pkey"))
+    else:
+        flagged = masked.join(asked.select("pkey", F.lit(True).alias("probe")), "pkey", "left").withColumn(
+            "probe", F.coalesce("probe", F.lit(False))
+        )
+        rows_grid = _grid(flagged.filter("probe"), "rows_grid", tile_rows)
+        placed = (
+            flagged.join(cols_grid, "block", "left")
+            .join(rows_grid, "block", "left")
+            .withColumns({c: F.coalesce(c, F.lit(1)) for c in ("cols_grid", "rows_grid")})
+        )
+        row, col = cell("rows_grid"), cell("cols_grid")
+        left = side(
+            placed.filter("probe"), "a",
+            F.transform(F.sequence(F.lit(0), F.col("cols_grid") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"))),
+        )
+        right = side(
+            placed, "b",
+            F.transform(F.sequence(F.lit(0), F.col("rows_grid") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"))),
+        )
+        once = F.when(F.col("b_probe"), F.col("a_pkey") < F.col("b_pkey")).otherwise(F.col("a_pkey") != F.col("b_pkey"))
 
     need = F.lit(5.0 * threshold - 1e-6)
-    bag_ok = _score_ceiling(lambda f: bag_distance(_masks(f, "a"), _masks(f, "b"))) >= need
-    edit_ok = _score_ceiling(lambda f: F.levenshtein(F.col(f"a_{f}_key"), F.col(f"b_{f}_key"))) >= need
-    once = (F.col("tile.i") < F.col("tile.j")) | (F.col("a_pkey") < F.col("b_pkey"))
+    bags = {f: _bag(f) for f in FIELDS}
+    # cheapest test first: bit counts, then the edit distance of the name alone, then all
+    bag_ok = _score_ceiling(bags) >= need
+    name_ok = _score_ceiling({**bags, "name": _edit("name")}) >= need
+    edit_ok = _score_ceiling({f: _edit(f) for f in FIELDS}) >= need
+    taking_part = [
+        F.when(F.col(f"{s}_{f}_len") != MISSING, F.col(f"{s}_{f}_key")).alias(f"{s}_{f}_key") for s in "ab" for f in FIELDS
+    ]
     close = (
         left.alias("l")
         .join(right.alias("r"), ["block", "tile"])
-        .filter(once & bag_ok & edit_ok)
-        .select("a_pkey", "b_pkey", *[f"{s}_{f}_key" for s in "ab" for f in FIELDS])
+        .filter(once & bag_ok & name_ok & edit_ok)
+        .select("a_pkey", "b_pkey", *taking_part)
     )
     scored = pair_similarity(close).filter(F.col("overall") >= threshold)
     return scored.select("a_pkey", "b_pkey", *[f"{f}_sim" for f in FIELDS], "overall")
@@ -180,9 +226,14 @@ def find_duplicates(
     if base is None:
         rows = probe.filter("is_active").withColumns(flags)
     else:
+        # only blocks that are asked for are read on the base side
+        here = probe.select(_block_key(block).alias("_b")).distinct()
+        near = base.filter("is_active").withColumn("_b", _block_key(block)).join(here, "_b", "left_semi").drop("_b")
+        cols = ["id", "company_name", "address", "phone", "website", *block]
         rows = (
-            probe.withColumns({**flags, "is_base": F.lit(False)})
-            .unionByName(base.filter("is_active").withColumns({**flags, "is_probe": F.lit(False)}), allowMissingColumns=True)
+            probe.select(cols)
+            .withColumns({**flags, "is_base": F.lit(False)})
+            .unionByName(near.select(cols).withColumns({**flags, "is_probe": F.lit(False)}))
         )
     # Keys and scored pairs are read several times below; writing them once is cheaper
     # than cleansing and comparing again for every use.
@@ -195,7 +246,8 @@ def find_duplicates(
     profiles = keyed.groupBy("pkey").agg(
         F.any_value("block").alias("block"), *[F.any_value(f"{f}_key").alias(f"{f}_key") for f in FIELDS]
     )
-    pairs = checkpoint_cut(profile_pairs(profiles, threshold, tile_rows))
+    wanted = None if base is None else keyed.filter("is_probe").select("pkey").distinct()
+    pairs = checkpoint_cut(profile_pairs(profiles, threshold, tile_rows, wanted))
 
     sims = [f"{f}_sim" for f in FIELDS]
     same = [

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import scoring as S
 from kontor.functions.normalize import format_address
+from kontor.functions.text import let
 from kontor.operators.select import parse_choice
 from kontor.schemas import LEAD_QUALITY, LEAD_STATUS
 
@@ -34,23 +35,23 @@ def score(df: DataFrame) -> DataFrame:
             error,
         ).alias("data_quality"),
     )
-    points = [F.col(f"breakdown.{p}.points") for p in _PARTS]
-    total = points[0]
-    for p in points[1:]:
-        total = total + p
-    advice = F.array_compact(
-        F.array(
-            F.when(F.col("breakdown.contact_data.points") < 20, F.lit(S.ADVICE_CONTACT)),
-            F.when(F.col("breakdown.website.points") < 10, F.lit(S.ADVICE_WEBSITE)),
-            F.when(F.col("breakdown.data_quality.points") < 5, F.lit(S.ADVICE_QUALITY)),
+
+    def rate(b: Column) -> Column:
+        total = b[_PARTS[0]]["points"]
+        for p in _PARTS[1:]:
+            total = total + b[p]["points"]
+        advice = F.array_compact(
+            F.array(
+                F.when(b["contact_data"]["points"] < 20, F.lit(S.ADVICE_CONTACT)),
+                F.when(b["website"]["points"] < 10, F.lit(S.ADVICE_WEBSITE)),
+                F.when(b["data_quality"]["points"] < 5, F.lit(S.ADVICE_QUALITY)),
+            )
         )
-    )
-    return (
-        df.withColumn("breakdown", parts)
-        .withColumn("score", total)
-        .withColumn("quality", S.category(F.col("score")))
-        .withColumn("recommendations", advice)
-    )
+        return F.struct(b.alias("breakdown"), total.alias("score"), S.category(total).alias("quality"), advice.alias("recommendations"))
+
+    # every rule is evaluated once; the total, the category and the advice read its result
+    rated = df.withColumn("_rated", let(parts, rate))
+    return rated.select(*df.columns, "_rated.*")
 
 
 def write_back(scored: DataFrame) -> DataFrame:

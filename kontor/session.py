@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small local inputs still use all cores after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # keep the generated classes of long query lists, they are slow to warm up again
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", os.environ.get("KONTOR_DRIVER_MEMORY", "12g"))
     )
     spark = builder.getOrCreate()
@@ -29,21 +34,30 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def checkpoint_cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder.
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables.
 
     The folder named by ``spark.checkpoint.dir`` is used as it is.  Only a local
     master without that setting (tests) gets a throw-away folder; on a cluster a
-    missing setting is an error, because a machine-local path would not survive
-    the loss of an executor.
+    missing setting is an error, because a machine-local path would not survive the
+    loss of an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            configured = tempfile.mkdtemp(prefix="kontor-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="kontor-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint_cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    This cuts the lineage like a reliable checkpoint, but computes the rows only
+    once and reads back only the columns that are used.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/kontor-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

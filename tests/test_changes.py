@@ -112,3 +112,16 @@ def test_histogram_quantile_edges(spark):
     hist = spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 10), ("a", None, 10), ("b", 1.0, 0), ("b", None, 4), ("c", 1.0, 0), ("c", None, 0)], "k string, le double, n long")
     got = {r.k: r.quantile for r in rollup.histogram_quantile(hist, ["k"], "le", "n", 0.5).collect()}
     assert got == {"a": 1.5, "b": 1.0}
+
+
+def test_percentiles_of_a_hot_group(spark):
+    rows = spark.range(5000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id = 1 THEN NULL ELSE concat('k', id % 40) END AS k",
+        "CASE WHEN id % 11 <> 0 THEN (id * 7919 % 1009) / 10.0D - 20 END AS v",
+    )
+    got = {r.k: (r.n, r.p50, r.p95, r.p99) for r in rollup.percentiles(rows, ["k"], "v", [0.5, 0.95, 0.99]).collect()}
+    want = rows.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+    expected = {r.k: (r.n, *r.p) for r in want.collect()}
+    assert got.keys() == expected.keys() and None in got
+    for k, values in expected.items():
+        assert got[k] == pytest.approx(values, abs=1e-9)

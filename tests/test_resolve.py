@@ -169,3 +169,13 @@ def test_review_guards(spark):
         2: "self merge", 3: "primary inactive", 4: "already duplicate", 9: "candidate not found",
     }
     assert [(r.primary_id, r.duplicate_id) for r in merges.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("tile_rows", [5, 20_000])
+def test_probe_against_base(spark, tile_rows):
+    rows = make_rows(150, seed=11)
+    df = spark.createDataFrame(rows, SCHEMA)
+    probe = df.filter("is_active AND id % 4 = 0")
+    hits = R.find_duplicates(probe, df, k=4, tile_rows=tile_rows)
+    got = {(r.id, r.cand_id, r["rank"], round(r.overall, 6)) for r in hits.collect()}
+    assert got == {h for h in brute(rows, 4) if h[0] % 4 == 0}

@@ -64,7 +64,7 @@ def test_windows_and_sessions(spark, events, stream, tmp_path):
     want = {(r.window_start, r.event_type, r.n) for r in batch.collect()}
     assert got <= want and len(got) > 0.8 * len(want)
     s = drain(spark, A.sessions_stream(stream(), "user_id", "ts", "2 hours"), "sessions", tmp_path)
-    whole = {(r.user_id, r.session_start, r.events) for r in M.sessionize(events, "user_id", "ts", "2 hours").collect()}
+    whole = {(r.user_id, r.session_start, r.events) for r in M.sessionize(events, "user_id", "ts", "2 hours", order="event_id").collect()}
     closed = {(r.user_id, r.session_start, r.events) for r in s.collect()}
     assert closed <= whole and len(closed) > 0.5 * len(whole)
 
