@@ -147,16 +147,11 @@ def merge_provenance(sources: DataFrame, keys: list[str]) -> DataFrame:
     company stays in rows.
     """
     group = [*keys, "name", "url"]
-    fields = (
-        sources.select(*group, F.explode_outer("fields").alias("field"))
+    return (
+        sources.select(*group, "position", F.explode_outer("fields").alias("field"))
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_set("field")).alias("fields"))
+        .agg(F.min("position").alias("position"), F.array_sort(F.collect_set("field")).alias("fields"))
     )
-    first = sources.groupBy(*group).agg(F.min("position").alias("position"))
-    condition = fields[group[0]].eqNullSafe(first[group[0]])
-    for c in group[1:]:
-        condition = condition & fields[c].eqNullSafe(first[c])
-    return first.join(fields, condition).select(*[first[c] for c in group], first["position"], fields["fields"])
 
 
 def merge_sources(leads: DataFrame, order: str) -> DataFrame:

@@ -12,17 +12,25 @@ from kontor.operators.prefix import carry
 JOB_BUCKETS = [10, 30, 60, 120, 300, 600, 1800, 3600]
 
 
-def _sections(df: DataFrame, dims: list[str]) -> DataFrame:
-    """One pass over ``df``: total and count per value of each dimension."""
+def _sections(df: DataFrame, dims: list[str], **aggs: Column) -> DataFrame:
+    """One pass over ``df``: count and sums in total and per value of each dimension.
+
+    An empty table still has its total row.
+    """
+    sums = {"n": F.count(F.lit(1)), **aggs}
     grouped = df.groupingSets([[], *[[F.col(d)] for d in dims]], *dims).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
+        *[c.alias(name) for name, c in sums.items()], F.grouping_id().alias("gid")
     )
     full = (1 << len(dims)) - 1
     section = F.when(F.col("gid") == full, "total")
     for i, d in enumerate(dims):
         section = section.when(F.col("gid") == full - (1 << (len(dims) - 1 - i)), d)
     label = F.coalesce(*[F.col(d).cast("string") for d in dims])
-    return grouped.select(section.alias("section"), label.alias("label"), "n")
+    rows = grouped.select(section.alias("section"), label.alias("label"), *sums)
+    nothing = df.sparkSession.range(1).select(
+        F.lit("total").alias("section"), F.lit(None).cast("string").alias("label"), *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in sums]
+    )
+    return rows.unionByName(nothing).groupBy("section", "label").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _top(sections: DataFrame, ranked: list[str], k: int) -> DataFrame:
@@ -53,15 +61,11 @@ def export_stats(df: DataFrame, k: int = 10) -> DataFrame:
 
 def scoring_stats(df: DataFrame) -> DataFrame:
     """Total, average score (2 digits, NULL -> 0) and one count per grade, in long form."""
-    grades = df.groupBy("lead_quality").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("lead_score").alias("points"), F.count("lead_score").alias("scored")
-    )
-    total = grades.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.round(F.sum("points") / F.nullif(F.sum("scored"), F.lit(0)), 2), F.lit(0.0)).alias("average"),
-    )
-    return total.select(F.lit("all").alias("grade"), "n", "average").unionByName(
-        grades.select(F.col("lead_quality").alias("grade"), "n", F.lit(None).cast("double").alias("average"))
+    rows = _sections(df, ["lead_quality"], points=F.sum("lead_score"), scored=F.count("lead_score"))
+    whole = F.col("section") == "total"
+    average = F.coalesce(F.round(F.col("points") / F.nullif(F.col("scored"), F.lit(0)), 2), F.lit(0.0))
+    return rows.select(
+        F.when(whole, "all").otherwise(F.col("label")).alias("grade"), "n", F.when(whole, average).alias("average")
     )
 
 

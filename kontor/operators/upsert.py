@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kontor.operators.prefix import block_of, carry
 from kontor.operators.select import parse_choice
 from kontor.schemas import LEAD_QUALITY, LEAD_STATUS
+from kontor.session import checkpoint_cut
 
 # Columns a bulk update may touch.
 BULK_FIELDS = ["lead_status", "lead_quality", "industry", "notes", "tags", "lead_score"]
@@ -34,42 +35,33 @@ def upsert(current: DataFrame, incoming: DataFrame, order_col: str) -> tuple[Dat
         F.count(F.lit(1)).alias("_rows"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_new_{c}") for c in values],
     )
-    cur = current.withColumn("_known", F.lit(True))
-    inc = reduced.withColumnsRenamed({"company_name": "_name", "city": "_city"})
-    joined = cur.join(inc, (F.col("company_name") == F.col("_name")) & F.col("city").eqNullSafe(F.col("_city")), "full_outer")
-    rest = [c for c in current.columns if c not in (*KEY, "id", *values)]
-    merged = joined.select(
-        "id",
-        F.coalesce("company_name", "_name").alias("company_name"),
-        F.coalesce("city", "_city").alias("city"),
-        *[F.coalesce(f"_new_{c}", c).alias(c) for c in values],
-        *rest,
-        "_known",
-        "_first",
-        "_rows",
+    # the reduced batch is small next to the snapshot; it is read three times below
+    reduced = checkpoint_cut(reduced)
+    batch = reduced.withColumnsRenamed({"company_name": "_name", "city": "_city"})
+    match = (current["company_name"] == batch["_name"]) & current["city"].eqNullSafe(batch["_city"])
+    rest = [c for c in current.columns if c not in values]
+    updated = current.join(batch, match, "left").select(
+        *rest, *[F.coalesce(batch[f"_new_{c}"], current[c]).alias(c) for c in values]
     )
-    old = merged.filter("_known")
-    new = merged.filter("_known is null")
-    numbered = carry(new, [], ["_first"], block_of("_first", 1_000_000), sums={"_nth": F.lit(1)})
+    fresh = checkpoint_cut(insert_absent(current, reduced)[0])
+    numbered = carry(fresh, [], ["_first"], block_of("_first", 1_000_000), sums={"_nth": F.lit(1)})
     top = current.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"), F.lit(1).alias("_one"))
-    placed = (
+    empty = {c: F.lit(None).cast(current.schema[c].dataType) for c in rest if c not in (*KEY, "id")}
+    inserted = (
         numbered.withColumn("_one", F.lit(1))
         .join(top, "_one")
-        .withColumn("id", F.col("_top") + F.col("_nth"))
+        .withColumns({"id": F.col("_top") + F.col("_nth"), **empty})
+        .withColumnsRenamed({f"_new_{c}": c for c in values})
     )
-    snapshot = old.select(current.columns).unionByName(placed.select(current.columns))
+    snapshot = updated.select(current.columns).unionByName(inserted.select(current.columns))
+    # a second row of a key updates the row that the first one inserted
+    written = reduced.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.lit(1).alias("_one"))
+    new = fresh.agg(F.count(F.lit(1)).alias("new"), F.lit(1).alias("_one"))
     errors = incoming.agg(
         F.count_if(F.col("company_name").isNull() | (F.col("company_name") == "")).alias("errors"), F.lit(1).alias("_one")
     )
-    # a second row of a key updates the row that the first one inserted
-    counts = merged.agg(
-        F.count_if(F.col("_known").isNull()).alias("new"),
-        F.coalesce(
-            F.sum(F.when(F.col("_known"), F.col("_rows")).otherwise(F.col("_rows") - 1)), F.lit(0)
-        ).alias("updated"),
-        F.lit(1).alias("_one"),
-    )
-    return snapshot, counts.join(errors, "_one").drop("_one")
+    counts = new.join(written, "_one").join(errors, "_one")
+    return snapshot, counts.select("new", (F.col("rows") - F.col("new")).alias("updated"), "errors")
 
 
 def insert_absent(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
