@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kontor.operators.prefix import carry, day_of
+from kontor.session import checkpoint_cut
 
 
 def segments(df: DataFrame, key: str, ts: str, order: str, pause_seconds: int) -> DataFrame:
     """Add ``segment``: it grows whenever the key has paused for ``pause_seconds`` or more."""
     micros = F.unix_micros(ts)
-    seen = carry(df, [key], [ts, order], day_of(ts), lasts={"_prev": micros})
+    # every ``carry`` reads its input twice, so the first result is written once
+    seen = checkpoint_cut(carry(df, [key], [ts, order], day_of(ts), lasts={"_prev": micros}))
     starts = F.col("_prev").isNull() | (micros - F.col("_prev") >= F.lit(pause_seconds * 1_000_000))
     return carry(seen, [key], [ts, order], day_of(ts), sums={"segment": starts.cast("bigint")}).drop("_prev")
 

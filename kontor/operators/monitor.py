@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kontor.operators import fold
 from kontor.operators.prefix import carry, day_of
 from kontor.operators.rollup import percentiles
+from kontor.session import checkpoint_cut
 
 # Alert thresholds and hold times.
 HTTP_ERROR_RATIO = 0.05
@@ -128,17 +129,21 @@ def lockouts(
     day = day_of(ts)
     by = [ts, order]
     base = df.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_us": us})
-    seen = carry(
-        base, [user], by, day,
-        sums={"_fails": (~F.col("_ok")).cast("bigint")},
-        lasts={"_fail_us": F.when(~F.col("_ok"), F.col("_us"))},
+    # each step reads the one before several times, so the steps are written once
+    seen = checkpoint_cut(
+        carry(
+            base, [user], by, day,
+            sums={"_fails": (~F.col("_ok")).cast("bigint")},
+            lasts={"_fail_us": F.when(~F.col("_ok"), F.col("_us"))},
+        )
     )
     quiet = F.col("_fail_us").isNull() | (F.col("_us") - F.col("_fail_us") >= F.lit(lock_seconds * 1_000_000))
-    cut = carry(
+    marked = carry(
         seen, [user], by, day,
         sums={"_stretch": (F.col("_ok") & quiet).cast("bigint")},
         lasts={"_at_ok": F.when(F.col("_ok"), F.col("_fails"))},
-    ).withColumn("_since_ok", F.col("_fails") - F.coalesce("_at_ok", F.lit(0)))
+    )
+    cut = checkpoint_cut(marked.withColumn("_since_ok", F.col("_fails") - F.coalesce("_at_ok", F.lit(0))))
     trips = (
         cut.filter(~F.col("_ok") & (F.col("_since_ok") >= n))
         .groupBy(user, "_stretch")

@@ -144,12 +144,21 @@ def profile_pairs(
     for f in FIELDS:
         eligible = eligible.withColumn(f"{f}_masks", bag_masks(F.col(f"{f}_key")))
     none = F.lit(0).cast("bigint")
-    masked = eligible.select(
+    stored = checkpoint_cut(
+        eligible.select(
+            "block",
+            "pkey",
+            *[F.col(f"{f}_key") for f in FIELDS],
+            *[F.col(f"{f}_masks")[i].alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
+        )
+    )
+    # stated after the read, because a file only knows nullable columns
+    masked = stored.select(
         "block",
         "pkey",
         *[F.coalesce(f"{f}_key", F.lit("")).alias(f"{f}_key") for f in FIELDS],
         *[F.coalesce(F.length(f"{f}_key"), F.lit(MISSING)).alias(f"{f}_len") for f in FIELDS],
-        *[F.coalesce(F.col(f"{f}_masks")[i], none).alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
+        *[F.coalesce(f"{f}_m{i}", none).alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
     )
 
     def side(rows: DataFrame, prefix: str, tile: Column) -> DataFrame:

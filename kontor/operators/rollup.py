@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions.text import filled
 from kontor.operators.prefix import carry
+from kontor.session import checkpoint_cut
 
 # Bucket bounds of the job duration histogram, in seconds.
 JOB_BUCKETS = [10, 30, 60, 120, 300, 600, 1800, 3600]
@@ -33,16 +34,19 @@ def _sections(df: DataFrame, dims: list[str], **aggs: Column) -> DataFrame:
     return rows.unionByName(nothing).groupBy("section", "label").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _top(sections: DataFrame, ranked: list[str], k: int) -> DataFrame:
-    """Keep all rows of plain sections and the ``k`` largest of the ranked ones."""
-    order = Window.partitionBy("section").orderBy(F.desc("n"), F.asc_nulls_last("label"))
-    top = (
-        sections.filter(F.col("section").isin(ranked))
-        .withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= k)
-    )
-    rest = sections.filter(~F.col("section").isin(ranked)).withColumn("pos", F.lit(None).cast("int"))
-    return rest.unionByName(top)
+def _top(sections: DataFrame, ranked: list[str], k: int, salts: int = 64) -> DataFrame:
+    """Keep all rows of plain sections and the ``k`` largest of the ranked ones.
+
+    A ranked section may have very many labels, so each slice of it is cut to its own
+    k largest before the section is ranked as a whole.
+    """
+    largest = [F.desc("n"), F.asc_nulls_last("label")]
+    is_ranked = F.col("section").isin(ranked)
+    sliced = sections.withColumn("_slice", F.pmod(F.xxhash64("label"), F.lit(salts)))
+    within = F.row_number().over(Window.partitionBy("section", "_slice").orderBy(*largest))
+    kept = sliced.withColumn("_nth", within).filter(~is_ranked | (F.col("_nth") <= k)).drop("_slice", "_nth")
+    pos = F.row_number().over(Window.partitionBy("section").orderBy(*largest))
+    return kept.withColumn("pos", F.when(is_ranked, pos)).filter(F.col("pos").isNull() | (F.col("pos") <= k))
 
 
 def overview(df: DataFrame, k: int = 10) -> DataFrame:
@@ -120,15 +124,12 @@ def job_metrics(jobs: DataFrame, buckets: list[int] | None = None) -> DataFrame:
             for c in ("new_companies", "updated_companies", "errors_count")
         ],
     )
-    counters = base.select(F.lit("jobs").alias("metric"), "source", F.col("status").alias("label"), F.col("jobs").alias("value"))
-    names = [(f"b_{le}", "duration_le", str(le)) for le in bounds] + [("b_inf", "duration_le", "+Inf")]
-    names += [("new_companies", "results", "new_companies"), ("updated_companies", "results", "updated_companies"), ("errors_count", "results", "errors")]
-    totals = base.groupBy("source").agg(*[F.sum(c).alias(c) for c, _, _ in names])
-    items = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.lit(label).alias("label"), F.col(c).alias("value")) for c, m, label in names]
-    )
-    rest = totals.select("source", F.explode(items).alias("x")).select("x.metric", "source", "x.label", "x.value")
-    return counters.unionByName(rest)
+    names = [(f"b_{le}", "duration_le", F.lit(str(le))) for le in bounds] + [("b_inf", "duration_le", F.lit("+Inf"))]
+    names += [(c, "results", F.lit(c.removesuffix("_count"))) for c in ("new_companies", "updated_companies", "errors_count")]
+    names.append(("jobs", "jobs", F.col("status")))
+    items = [F.struct(F.lit(metric).alias("metric"), label.alias("label"), F.col(c).alias("value")) for c, metric, label in names]
+    long = base.select("source", F.explode(F.array(*items)).alias("x")).select("x.metric", "source", "x.label", "x.value")
+    return long.groupBy("metric", "source", "label").agg(F.sum("value").alias("value"))
 
 
 def flatten_counters(df: DataFrame, column: str, levels: int = 1) -> DataFrame:
@@ -157,6 +158,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float],
     rows that hold the wanted ranks.  Columns: keys, n, and e.g. p50, p95.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpoint_cut(counts)
     # grows with the value, about a thousand ranges per order of magnitude
     span = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 256)
     ranked = carry(counts, keys, ["_v"], span, sums={"_upto": F.col("_n")})
