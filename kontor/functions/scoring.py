@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kontor.functions.text import contains_any, filled, strip
+from kontor.functions.text import contains_any, filled, let, strip
 from kontor.functions.validate import is_email, is_phone
 
 # Industry words of high value.
@@ -91,30 +91,33 @@ def contact_score(
 
 
 def website_score(website: Column) -> Column:
-    site = strip(F.lower(website))
-    there = filled(site)
-    secure = there & site.startswith("https://")
-    own = there & ~contains_any(site, SOCIAL_SITES)
-    points = F.when(there, F.lit(10) + F.when(secure, 5).otherwise(0) + F.when(own, 5).otherwise(0)).otherwise(0)
-    return F.struct(
-        points.alias("points"),
-        there.alias("present"),
-        F.coalesce(secure, F.lit(False)).alias("https"),
-        own.alias("own_domain"),
-        F.when(there, "present").otherwise("missing").alias("status"),
-    )
+    def rate(site: Column) -> Column:
+        there = filled(site)
+        secure = there & site.startswith("https://")
+        own = there & ~contains_any(site, SOCIAL_SITES)
+        points = F.when(there, F.lit(10) + F.when(secure, 5).otherwise(0) + F.when(own, 5).otherwise(0)).otherwise(0)
+        return F.struct(
+            points.alias("points"),
+            there.alias("present"),
+            F.coalesce(secure, F.lit(False)).alias("https"),
+            own.alias("own_domain"),
+            F.when(there, "present").otherwise("missing").alias("status"),
+        )
+
+    return let(strip(F.lower(website)), rate)
 
 
 def industry_score(industry: Column) -> Column:
-    text = strip(F.lower(industry))
-    there = filled(text)
-    words = F.split(text, r"\s+")
-    valued = there & F.arrays_overlap(words, F.array(*[F.lit(w) for w in VALUED_INDUSTRIES]))
-    return F.struct(
-        F.when(valued, 15).when(there, 5).otherwise(0).alias("points"),
-        F.when(there, "present").otherwise("missing").alias("status"),
-        F.coalesce(valued, F.lit(False)).alias("high_value"),
-    )
+    def rate(text: Column) -> Column:
+        there = filled(text)
+        valued = there & F.arrays_overlap(F.split(text, r"\s+"), F.array(*[F.lit(w) for w in VALUED_INDUSTRIES]))
+        return F.struct(
+            F.when(valued, 15).when(there, 5).otherwise(0).alias("points"),
+            F.when(there, "present").otherwise("missing").alias("status"),
+            F.coalesce(valued, F.lit(False)).alias("high_value"),
+        )
+
+    return let(strip(F.lower(industry)), rate)
 
 
 def size_score(team_size: Column) -> Column:
@@ -147,13 +150,13 @@ def tech_score(technologies: Column) -> Column:
 
 
 def quality_score(name: Column, fields: list[Column], lists: list[Column], error: Column | None = None) -> Column:
-    """``fields``: scalar inputs, ``lists``: array inputs that count as filled when not empty."""
+    """``fields``: scalar inputs, filled unless NULL, empty or the word null; the caller
+    turns a numeric zero into NULL.  ``lists``: array inputs, filled when not empty."""
     bad_name = F.coalesce(F.length(name) < 3, F.lit(True))
     has_error = filled(error) if error is not None else F.lit(False)
 
     def set_value(c: Column) -> Column:
-        text = c.cast("string")
-        return (filled(text) & (text != "null") & (text != "0")).cast("int")
+        return (~F.coalesce(c.cast("string"), F.lit("")).isin("", "null")).cast("int")
 
     count = F.lit(0)
     for c in fields:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -50,7 +51,4 @@ def title_case(c: Column) -> Column:
 
 def contains_any(c: Column, needles: list[str]) -> Column:
     """Literal substring test against a short fixed list, NULL-safe (NULL -> false)."""
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | c.contains(needle)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(c.rlike("|".join(re.escape(n) for n in needles)), F.lit(False))

@@ -20,21 +20,28 @@ def score(df: DataFrame) -> DataFrame:
     The address that counts is put together from street, postal code and city.  The
     whole rule set is one projection, so it runs inside the scan stage.
     """
-    address = format_address(F.col("street"), F.col("postal_code"), F.col("city"))
     error = F.col("error") if "error" in df.columns else None
-    parts = F.struct(
-        S.contact_score(F.col("email"), F.col("phone"), address, F.col("directors")).alias("contact_data"),
-        S.website_score(F.col("website")).alias("website"),
-        S.industry_score(F.col("industry")).alias("industry"),
-        S.size_score(F.col("team_size")).alias("company_size"),
-        S.tech_score(F.col("technologies")).alias("technologies"),
-        S.quality_score(
-            F.col("company_name"),
-            [*map(F.col, ["company_name", "email", "phone", "website"]), address, *map(F.col, ["city", "industry", "team_size"])],
-            [F.col("technologies"), F.col("directors")],
-            error,
-        ).alias("data_quality"),
-    )
+
+    size = F.col("team_size")
+    if dict(df.dtypes)["team_size"] != "string":
+        size = F.nullif(size, F.lit(0))  # a number counts as given unless it is zero
+
+    def rules(address: Column) -> Column:
+        return F.struct(
+            S.contact_score(F.col("email"), F.col("phone"), address, F.col("directors")).alias("contact_data"),
+            S.website_score(F.col("website")).alias("website"),
+            S.industry_score(F.col("industry")).alias("industry"),
+            S.size_score(F.col("team_size")).alias("company_size"),
+            S.tech_score(F.col("technologies")).alias("technologies"),
+            S.quality_score(
+                F.col("company_name"),
+                [*map(F.col, ["company_name", "email", "phone", "website"]), address, F.col("city"), F.col("industry"), size],
+                [F.col("technologies"), F.col("directors")],
+                error,
+            ).alias("data_quality"),
+        )
+
+    parts = let(format_address(F.col("street"), F.col("postal_code"), F.col("city")), rules)
 
     def rate(b: Column) -> Column:
         total = b[_PARTS[0]]["points"]

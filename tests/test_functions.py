@@ -174,3 +174,22 @@ def test_bag_distance_is_a_lower_bound(spark):
     out = masks.select("a", "b", M.bag_distance([F.col("ma")[i] for i in word], [F.col("mb")[i] for i in word]).alias("d")).collect()
     for r in out:
         assert r.d <= len(r.a) + len(r.b) - 2 * slow_lcs(r.a, r.b)
+
+
+def test_whole_score(spark):
+    from kontor.operators import score
+
+    rows = spark.sql(
+        """SELECT * FROM VALUES
+           (1, 'Tech GmbH', 'info@tech.de', '+49 711 123456', 'https://tech.de', 'Weg 1', '70173', 'Ulm', 'Software', 120, array('Python','React','AWS'), array('Eva')),
+           (2, 'X', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, array(), CAST(NULL AS ARRAY<STRING>)),
+           (3, 'null', 'kaputt', '12', 'facebook.com/x', NULL, NULL, 'Ulm', 'Bau', 5, array('Cobol'), array())
+           AS t(id, company_name, email, phone, website, street, postal_code, city, industry, team_size, technologies, directors)"""
+    )
+    got = {r.id: r for r in score.score(rows).collect()}
+    assert (got[1].score, got[1].quality, got[1].recommendations) == (100, "hot", [])
+    assert got[2].breakdown.data_quality.issues == ["invalid_name", "incomplete_data"]
+    assert (got[2].score, got[2].quality, len(got[2].recommendations)) == (8, "low_quality", 3)
+    # mail 5 + phone 5 + address 5, site 10, industry 5, size 7, tech 5, quality 10
+    assert (got[3].score, got[3].quality) == (52, "cold")
+    assert got[3].breakdown.data_quality.filled_fields == 8
