@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kontor.catalog import duck as D
 from kontor.catalog.base import query
+from kontor.functions.validate import NON_COMPANY_SITES
 from kontor.operators import extract as X
 from kontor.operators import webtext as W
 from kontor.plans.demo_view import companies, spread, table
@@ -94,7 +95,6 @@ def _expected(layout: str) -> str:
         "e": "CASE WHEN id % 4 = 0 THEN 'https://www.unternehmensverzeichnis.org/z' || CAST(id AS VARCHAR) END",
     }[layout]
     desc = {"a": "coalesce(industry, '')", "e": f"CASE WHEN length({D.strip('description')}) > 500 THEN substr({D.strip('description')}, 1, 497) || '...' ELSE coalesce({D.strip('description')}, '') END"}
-    extra = "" if layout != "e" else " || CASE WHEN description <> '' THEN ',description' ELSE '' END"
     listed = (
         f"concat_ws(',', CASE WHEN {'address IS NOT NULL' if layout == 'e' else 'true'} THEN 'address' END, CASE WHEN {'city IS NOT NULL' if layout == 'e' else 'true'} THEN 'city' END, 'company_name'"
         f", CASE WHEN description <> '' AND '{layout}' = 'e' THEN 'description' END, CASE WHEN email <> '' THEN 'email' END, CASE WHEN phone <> '' THEN 'phone' END"
@@ -318,7 +318,7 @@ def _(spark, sf_dir):
 @query(
     "html_search_links",
     f"""WITH l AS (SELECT CAST(floor(id / 20) AS BIGINT) AS page_id, id, CASE id % 3 WHEN 1 THEN 'https://www.11880.com/redirect?x=1' ELSE trim(website) END AS url FROM ({D.CO}) c),
-        ok AS (SELECT *, {D.domain('url')} AS host FROM l WHERE starts_with(url, 'http') AND NOT ({' OR '.join(f"contains(url, '{h}')" for h in __import__('kontor.functions.validate', fromlist=['x']).NON_COMPANY_SITES)})),
+        ok AS (SELECT *, {D.domain('url')} AS host FROM l WHERE starts_with(url, 'http') AND NOT ({' OR '.join(f"contains(url, '{h}')" for h in NON_COMPANY_SITES)})),
         f AS (SELECT page_id, host, arg_min(url, id) AS url, min(id) AS id FROM ok GROUP BY 1, 2)
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY id) AS INT) AS rank, 'x' AS title, url, host FROM f QUALIFY rank <= 5""",
 )

@@ -117,8 +117,3 @@ CANDIDATE = _struct(
 )
 
 SOURCE = _struct(name=_S, display_name=_S, url=_S, source_type=_S, is_active=_B)
-
-
-def string_list(column: str, sep: str = "|") -> str:
-    """SQL text that joins a string array for flat output."""
-    return f"array_join({column}, '{sep}')"
