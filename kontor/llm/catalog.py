@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.llm import decontaminate, mixing, pii, quality, simhash, substring
+from kontor.llm import decontaminate, licenses, lines, mixing, pii, quality, separators, simhash, substring, wrapper
 from kontor.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,16 +29,69 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_tokens(read(spark, sf_dir, "documents"))
+
+
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, s[i] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
+), w AS (
+  SELECT doc_id, line_no, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) AS k FROM l
+), c AS (
+  SELECT list_sort(k) AS k, len(k) AS n, min((doc_id, line_no)) AS p FROM w WHERE len(k) > 0 GROUP BY ALL
+), t AS (
+  SELECT p, n, unnest(k) AS token FROM c
+), f AS (
+  SELECT token, count(*) AS df FROM t GROUP BY token
+), o AS (
+  SELECT p, n, token, row_number() OVER (PARTITION BY p ORDER BY df, token) AS i FROM t JOIN f USING (token)
+), x AS (
+  SELECT p, n, token FROM o WHERE i <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1
+), pairs AS (
+  SELECT DISTINCT a.p AS pa, b.p AS pb FROM x a JOIN x b USING (token) WHERE a.p < b.p AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), later AS (
+  SELECT DISTINCT pb FROM pairs JOIN c a ON a.p = pa JOIN c b ON b.p = pb
+  WHERE 5 * len(list_intersect(a.k, b.k)) >= 4 * (a.n + b.n - len(list_intersect(a.k, b.k)))
+), gone AS (
+  SELECT w.doc_id, w.line_no FROM w JOIN c ON c.k = list_sort(w.k)
+  WHERE (w.doc_id, w.line_no) <> c.p OR c.p IN (SELECT pb FROM later)
+)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, count(line_no) AS n_removed,
+  coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no), '') AS removed
+FROM documents d LEFT JOIN gone ON gone.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
+@query("op3_similar_lines", _LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(read(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
+
+
 @query("op4_simhash_duplicates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op5_licences")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentences", "licences")))
+
+
 @query("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 _WINDOWS_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -99,3 +152,10 @@ FROM o
 @query("op10_source_mix", _MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("first_slot")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
