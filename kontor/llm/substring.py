@@ -9,7 +9,7 @@ share matter, and finding them takes few bytes for each word:
    it; equal windows have equal minimizers, and neighbouring windows mostly share one.
    A piece sends each of its minimizers once; those met in two documents go back.
 3. Windows with such a minimizer are the candidate edges.  A piece sends each of them
-   once, under a 128-bit key, with the coordinates of its first document; the join of
+   once, under a 96-bit key, with the coordinates of its first document; the join of
    equal edges finds the source coordinates, which go back to the pieces.
 4. Edges whose source coordinates follow one another are one unbranched path: a span of
    the document that repeats a span of its source.
@@ -33,10 +33,12 @@ from kontor.llm.tables import shuffle_partitions
 WIDTH = 13
 MINIMIZER = 7
 #: Bytes of text in a piece, and of hashes in a task that joins equal ones.
-PIECE_BYTES = 12 << 20
-JOIN_BYTES = 12 << 20
+PIECE_BYTES = 8 << 20
+JOIN_BYTES = 8 << 20
 
 _SECOND = 0xA0761D6478BD642F
+#: Bytes of the parts of a window's key where they aren't eight.
+_WIDTH = {"second": 4}
 SPAN = "struct<start: long, n_words: long, source_id: long, source_start: long>"
 
 
@@ -67,7 +69,7 @@ class _Piece:
         return least
 
     def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both 64-bit halves of the keys of some windows; the second hashes only the words in them."""
+        """Both parts of the 96-bit keys of some windows; the second hashes only the words in them."""
         if not len(which):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         at = self.at[which]
@@ -78,21 +80,21 @@ class _Piece:
         held = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
         words = np.zeros(len(self.starts), np.uint64)
         words[held] = kernels.hash_spans(self.data, self.starts[held], self.ends[held], family=1)
-        return first, kernels.windows(words, self.width, _SECOND)[at]
+        return first, kernels.windows(words, self.width, _SECOND)[at] >> np.uint64(64 - 8 * _WIDTH["second"])
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    """Longs as one plane for each byte, which compresses well where they are sorted or small."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _bytes(x: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as one plane for each byte, which compresses well where they are sorted or small."""
+    return np.ascontiguousarray(x.astype(f">u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _longs(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+def _numbers(blob: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f">u{width}").ravel().astype(np.uint64)
 
 
 def _read(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [_longs(x.as_py()) for x in table.column(name)]
+    return [_numbers(x.as_py(), _WIDTH.get(name, 8)) for x in table.column(name)]
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -186,7 +188,7 @@ def repeated_spans(
         order = np.argsort(first % np.uint64(tasks), kind="stable")
         first, second, doc, place, many = (x[order] for x in (first, second, doc, place, many))
         rows = [
-            (t, key[0].as_py(), *(_bytes(x[s].astype(np.int64).view(np.uint64) if x.dtype != np.uint64 else x[s]) for x in (first, second, doc, place)), many[s].tobytes())
+            (t, key[0].as_py(), _bytes(first[s]), _bytes(second[s], _WIDTH["second"]), _bytes(doc[s].view(np.uint64)), _bytes(place[s].view(np.uint64)), many[s].tobytes())
             for t, s in _dealt(first, tasks)
         ]
         return _rows(rows, edge)
@@ -212,7 +214,7 @@ def repeated_spans(
         rows = []
         for a, b in zip(edges, np.append(edges[1:], len(where))):
             s = slice(a, b)
-            rows.append((int(where[a]), _bytes(first[s]), _bytes(second[s]), _bytes(doc[s].view(np.uint64)), _bytes(place[s].view(np.uint64))))
+            rows.append((int(where[a]), _bytes(first[s]), _bytes(second[s], _WIDTH["second"]), _bytes(doc[s].view(np.uint64)), _bytes(place[s].view(np.uint64))))
         return _rows(rows, source)
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
