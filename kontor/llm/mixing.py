@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.llm.tables import n_words
+from kontor.llm.tables import n_words, shuffle_partitions
 from kontor.session import checkpoint_cut
 
 WEIGHTS = (3, 1, 2)
@@ -72,7 +72,7 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
     runs = need.groupBy().agg(F.max("all_blocks").alias("m")).where("m > 0")
     points = runs.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / RUN))).alias("run"))
-    points = points.repartition("run").select(
+    points = points.repartition(shuffle_partitions(sources), "run").select(
         "run", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("m")) - 1)).alias("slot")
     )
     points = points.withColumn("u", van_der_corput(F.col("slot"))).withColumn("cell", F.floor(F.col("u") * CELLS))
