@@ -27,8 +27,6 @@ from kontor.session import checkpoint_cut
 THRESHOLD = Fraction(4, 5)
 #: Rows of the table of word counts; its size does not depend on the data.
 COUNT_BITS = 16
-#: Least word hashes of step 2.
-LEASTS = 2
 #: Bits of the table that tells which documents have lines to verify (fixed size as well).
 DOC_BITS = 20
 
@@ -37,12 +35,11 @@ _LINE = 1 << 31  # lines of a document; a line's place is doc_id * _LINE + line_
 
 def _words(text: Column) -> Column:
     """Words of a text in lower case; a blank text has the one word ''."""
-    trimmed = F.regexp_replace(F.lower(text), f"^[{SPACES}]+|[{SPACES}]+$", "")
-    return F.split(trimmed, f"[{SPACES}]+")
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), f"[{SPACES}]+")
 
 
 def _ranks(texts: DataFrame) -> DataFrame:
-    """One row: an array with the rank by frequency of each of 2 ** COUNT_BITS groups of words."""
+    """One row: the rank by frequency, as leading bits of a key, of each of 2 ** COUNT_BITS groups of words."""
     code = F.shiftrightunsigned(F.xxhash64("w"), 64 - COUNT_BITS).cast("int")
     counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(code.alias("b")).agg(F.count("*").alias("c"))
     everything = texts.sparkSession.range(1 << COUNT_BITS).select(F.col("id").cast("int").alias("b"))
@@ -50,7 +47,7 @@ def _ranks(texts: DataFrame) -> DataFrame:
     # the whole table is 65,536 small rows, whatever the number of words
     by_count = F.transform(F.array_sort(F.collect_list(F.struct("c", "b"))), lambda t: t["b"])
     order = counts.agg(by_count.alias("o")).select(F.posexplode("o").alias("rank", "b"))
-    ranks = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "rank"))), lambda t: t["rank"].cast("long")).alias("ranks"))
+    ranks = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "rank"))), lambda t: F.shiftleft(t["rank"].cast("long"), 63 - COUNT_BITS)).alias("ranks"))
     return checkpoint_cut(ranks)
 
 
@@ -68,19 +65,23 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Lines with a word: place, size, set hashes, bitmap, least hashes and prefix of words by rarity."""
-    n = F.size("h")
-    rank = lambda h: F.element_at("ranks", F.shiftrightunsigned(h, 64 - COUNT_BITS).cast("int") + 1)
+    """Lines with a word: place, size, set hashes, bitmap, least hash and prefix of words by rarity."""
     low = (1 << (63 - COUNT_BITS)) - 1
-    lines = _lines(texts).select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"), F.length(F.regexp_replace("line", f"[{SPACES}]", "")).alias("chars"))
-    lines = lines.where("chars > 0").select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
-    keys = F.array_sort(F.transform("h", lambda h: F.call_function("shiftleft", rank(h), F.lit(63 - COUNT_BITS)).bitwiseOR(h.bitwiseAND(low))))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
-    leasts = [F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(c)))).alias(f"least{j}") for j, c in enumerate((0x1B873593CC9E2D51, 0x52DCE729DA3E39CB)[:LEASTS])]
-    lines = lines.select("doc_id", "line_no", n.alias("n"), bits.alias("bits"), *leasts, keys.alias("k"))
+    blank = F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) == 0
+    lines = _lines(texts).where(~blank).select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    lines = lines.select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
+    # a word's key: its group's rank, then the hash's other bits
+    key = lambda h: F.element_at("ranks", F.shiftrightunsigned(h, 64 - COUNT_BITS).cast("int") + 1).bitwiseOR(h.bitwiseAND(low))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    bits = [
+        F.aggregate(F.filter("h", lambda h: h.bitwiseAND(64) == 64 * part), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(one(h))).alias(f"bits{part}")
+        for part in (0, 1)
+    ]
+    least = F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(0x1B873593CC9E2D51))))
+    lines = lines.select("doc_id", "line_no", F.size("h").alias("n"), *bits, least.alias("least"), F.sort_array(F.transform("h", key)).alias("k"))
     return lines.select(
-        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits",
-        *(f"least{j}" for j in range(LEASTS)), F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
+        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", "least",
+        F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
         F.slice("k", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / threshold.denominator).cast("int") + 1).alias("prefix"),
     )
 
@@ -106,6 +107,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
     return both.where(F.col("common") * threshold.denominator >= F.lit(threshold.numerator) * (F.col("sum") - F.col("common"))).select("x", "y")
 
 
+def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
+    """Length bound, and the bound by the bitmaps: every differing bit is a word that isn't shared."""
+    alike = n + m - F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits0_b"))) - F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits1_b")))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (alike * (num + den) >= 2 * num * (n + m))
+
+
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction | float = THRESHOLD) -> DataFrame:
     """``doc_id`` and ``line_no`` (from 0) of every line that has an earlier similar line.
 
@@ -124,25 +131,32 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = coded.join(firsts.select("line"), "line", "left_semi")
 
     # step 2: the first line of each least hash
-    keyed = classes.select("place", "n", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"least{j}").alias("key")) for j in range(LEASTS)))).alias("t")).select("place", "n", "t.*")
-    heads = keyed.groupBy("j", "key").agg(F.min("place").alias("y"), F.min_by("n", "place").alias("m"), F.count("*").alias("c")).where("c > 1")
-    met = keyed.join(heads, ["j", "key"]).where((F.col("place") > F.col("y")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
-    settled = _verified(met.select(F.col("place").alias("x"), "y").distinct(), texts, threshold)
-    settled = checkpoint_cut(settled.select(F.col("x").alias("place")).distinct())
-
-    # step 3: prefix words
-    rows = classes.select("line", "place", "n", "bits", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
-    rows = rows.select("line", "n", "bits", F.coalesce("s", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("i", "word"))
-    b = rows.select("word", *(F.col(c).alias(f"{c}_b") for c in ("line", "n", "bits", "settled", "i")))
-    total = F.col("n") + F.col("n_b")
-    need = F.ceil(total * num / (num + den))
-    shared = F.least("i", "i_b") + 1 + F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) - 1
-    alike = total - F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b")))
-    pairs = rows.join(b, "word").where(
-        (F.col("line") < F.col("line_b")) & ~(F.col("settled") & F.col("settled_b"))
-        & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num) & (shared >= need) & (alike >= 2 * need)
-    )
-    pairs = checkpoint_cut(pairs.select("line", "line_b").distinct())
+    keyed = classes.select("place", "n", "bits0", "bits1", "least")
+    heads = keyed.groupBy("least").agg(
+        F.min("place").alias("y"), F.count("*").alias("c"), *(F.min_by(c, "place").alias(f"{c}_b") for c in ("n", "bits0", "bits1"))
+    ).where("c > 1")
+    met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
+    settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
+
+    # step 3: prefix words; a row is packed into four longs (size, place in the order, settled)
+    known = classes.select("line", "place", "n", "bits0", "bits1", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    rows = known.select("line", "bits0", "bits1", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
+    rows = rows.select("word", "line", "bits0", "bits1", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
+    b = rows.select("word", *(F.col(c).alias(f"{c}_b") for c in ("line", "bits0", "bits1", "meta")))
+    n, m = F.shiftright("meta", 32), F.shiftright("meta_b", 32)
+    i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta", "meta_b"))
+    open_ = F.col("meta").bitwiseAND(F.col("meta_b")).bitwiseAND(1) == 0
+    met = rows.join(b, "word").where((F.col("line") < F.col("line_b")) & open_ & _bounds(n, m, num, den))
+    # words of the common prefix, and the place of the last of them, bound what can be shared at all
+    met = met.groupBy("line", "line_b").agg(
+        F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
+    )
+    prefix = lambda size: size - F.ceil(size * F.lit(num) / den) + 1
+    beyond = F.least(
+        F.greatest(F.col("n") - prefix(F.col("n")), F.col("m") - prefix(F.col("m"))), F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
+    )
+    pairs = checkpoint_cut(met.where((F.col("c") + beyond) * (num + den) >= num * (F.col("n") + F.col("m"))).select("line", "line_b"))
     at = classes.select("line", "place")
     placed = pairs.join(at, "line").join(at.select(F.col("line").alias("line_b"), F.col("place").alias("place_b")), "line_b")
     later = _verified(placed.select(F.greatest("place", "place_b").alias("x"), F.least("place", "place_b").alias("y")), texts, threshold)
