@@ -109,7 +109,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
 
 def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
     """Length bound, and the bound by the bitmaps: every differing bit is a word that isn't shared."""
-    alike = n + m - F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits0_b"))) - F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits1_b")))
+    alike = n + m - sum(F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (alike * (num + den) >= 2 * num * (n + m))
 
 
@@ -131,9 +131,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = coded.join(firsts.select("line"), "line", "left_semi")
 
     # step 2: the first line of each least hash
-    keyed = classes.select("place", "n", "bits0", "bits1", "least")
+    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), "least")
     heads = keyed.groupBy("least").agg(
-        F.min("place").alias("y"), F.count("*").alias("c"), *(F.min_by(c, "place").alias(f"{c}_b") for c in ("n", "bits0", "bits1"))
+        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
     ).where("c > 1")
     met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
     settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
@@ -143,13 +143,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
     rows = known.select("line", "bits0", "bits1", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
     rows = rows.select("word", "line", "bits0", "bits1", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
-    b = rows.select("word", *(F.col(c).alias(f"{c}_b") for c in ("line", "bits0", "bits1", "meta")))
-    n, m = F.shiftright("meta", 32), F.shiftright("meta_b", 32)
-    i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta", "meta_b"))
-    open_ = F.col("meta").bitwiseAND(F.col("meta_b")).bitwiseAND(1) == 0
-    met = rows.join(b, "word").where((F.col("line") < F.col("line_b")) & open_ & _bounds(n, m, num, den))
+    # both sides are renamed alike, so that Spark sees one exchange and deals the rows once
+    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("line", "bits0", "bits1", "meta"))) for side in "ab")
+    n, m = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
+    i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta_a", "meta_b"))
+    open_ = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(1) == 0
+    met = a.join(b, "word").where((F.col("line_a") < F.col("line_b")) & open_ & _bounds(n, m, num, den))
     # words of the common prefix, and the place of the last of them, bound what can be shared at all
-    met = met.groupBy("line", "line_b").agg(
+    met = met.withColumnRenamed("line_a", "line").groupBy("line", "line_b").agg(
         F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
     )
     prefix = lambda size: size - F.ceil(size * F.lit(num) / den) + 1
