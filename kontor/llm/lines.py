@@ -27,8 +27,8 @@ from kontor.session import checkpoint_cut
 THRESHOLD = Fraction(4, 5)
 #: Rows of the table of word counts; its size does not depend on the data.
 COUNT_BITS = 16
-#: Bits of the table that tells which documents have lines to verify (fixed size as well).
-DOC_BITS = 20
+#: Bits of the table that tells which lines may have to be verified (fixed size as well).
+LINE_BITS = 22
 
 _LINE = 1 << 31  # lines of a document; a line's place is doc_id * _LINE + line_no
 
@@ -90,17 +90,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
     """Pairs (``x``, ``y``: places) whose lines' words are similar enough."""
     pairs = checkpoint_cut(pairs)
     ends = pairs.select(F.explode(F.array("x", "y")).alias("place"))
-    doc_id, _ = _line_of(F.col("place"))
-    code = lambda c: F.xxhash64(c).bitwiseAND((1 << DOC_BITS) - 1)
-    asked = ends.select(code(doc_id).alias("c")).select(F.shiftright("c", 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c").bitwiseAND(63).cast("int")).alias("b"))
-    asked = asked.groupBy("w").agg(F.bit_or("b").alias("b"))
-    everything = texts.sparkSession.range(1 << (DOC_BITS - 6)).select(F.col("id").cast("int").alias("w"))
-    table = everything.join(asked, "w", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda t: t["b"]).alias("t"))
+    code = F.xxhash64("place").bitwiseAND((1 << LINE_BITS) - 1)
+    word, bit = F.shiftright(code, 6).cast("int"), code.bitwiseAND(63).cast("int")
+    asked = ends.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    everything = texts.sparkSession.range(1 << (LINE_BITS - 6)).select(F.col("id").cast("int").alias("w"))
+    table = everything.join(asked, "w", "left").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda t: t["b"]).alias("t")
+    )
     table = checkpoint_cut(table)
-    c = code(F.col("doc_id"))
-    some = texts.select("*", table.select("t").scalar().alias("t"))
-    some = some.where(F.getbit(F.element_at("t", F.shiftright(c, 6).cast("int") + 1), c.bitwiseAND(63).cast("int")) == 1).select("doc_id", "text")
-    lines = _lines(some).select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
+    lines = _lines(texts).select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
+    lines = lines.select("*", table.select("t").scalar().alias("t")).where(F.getbit(F.element_at("t", word + 1), bit) == 1).select("place", "line")
     a, b = lines.select(F.col("place").alias("x"), F.col("line").alias("xl")), lines.select(F.col("place").alias("y"), F.col("line").alias("yl"))
     both = pairs.join(a, "x").join(b, "y").select("x", "y", F.array_distinct(_words(F.col("xl"))).alias("p"), F.array_distinct(_words(F.col("yl"))).alias("q"))
     both = both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("common"), (F.size("p") + F.size("q")).alias("sum"))

@@ -17,7 +17,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.session import checkpoint_cut
@@ -130,8 +130,7 @@ def robust_distance(
     its variance, so that a statistic that is constant in a group gives no infinite
     distance.  ``use``: rows that may enter the estimate.  Small groups are drawn
     towards their language and the corpus by ``prior`` documents' worth of either.  A
-    group without any row to use has the estimate of the corpus; an empty corpus has
-    null distances.
+    group without any row to use has null distances.
     """
     xs, p = list(spreads), len(spreads)
     rows = rows.withColumn("_use", use)
@@ -166,26 +165,19 @@ def robust_distance(
             *(F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"_x{i}_{j}") for i, j in pairs),
         )
         estimate = checkpoint_cut(_estimate(checkpoint_cut(sums), keys, p, pairs, prior, consistency, floor))
-    corpus = estimate.where(" and ".join(f"{k} = '*'" for k in keys)).drop(*keys)
     columns = [c for c in estimate.columns if c not in keys]
     rows = rows.join(estimate, keys, "left")
-    if columns:
-        whole = corpus.select(F.struct(*columns)).scalar()
-        rows = rows.withColumns({c: F.coalesce(F.col(c), whole[c]) for c in columns})
     return rows.withColumn("_d2", d2).drop(*columns, *keys, "_use")
 
 
 def _estimate(sums: DataFrame, keys: list[str], p: int, pairs, prior: float, consistency: float, floor: np.ndarray) -> DataFrame:
-    """Centre and inverse covariance of every group, and those of the corpus under the key '*'."""
+    """Centre and inverse covariance of every group."""
     moments = [c for c in sums.columns if c not in keys]
-    total = sums.agg(*(F.sum(c).alias(c) for c in moments)).where("_n > 0")
-    general = sums.groupBy(keys[0]).agg(*(F.sum(c).alias(f"{c}_up") for c in moments))
-    all_sums = total.select(F.struct(*moments)).scalar()
-    whole = {c: all_sums[c] for c in moments}
-    drawn = sums.join(general, keys[0]).select(
-        *keys, *((F.col(c) + prior * F.col(f"{c}_up") / F.col("_n_up") + prior * whole[c] / whole["_n"]).alias(c) for c in moments)
+    language, corpus = Window.partitionBy(keys[0]), Window.partitionBy()  # over one row per group
+    up, all_ = F.sum("_n").over(language), F.sum("_n").over(corpus)
+    table = sums.select(
+        *keys, *((F.col(c) + prior * F.sum(c).over(language) / up + prior * F.sum(c).over(corpus) / all_).alias(c) for c in moments)
     )
-    table = drawn.unionByName(total.select(*(F.lit("*").alias(k) for k in keys), *moments))
     out = [*(f"_m{i}" for i in range(p)), *(f"_a{i}_{j}" for i, j in pairs)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
