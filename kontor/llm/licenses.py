@@ -98,7 +98,7 @@ KNOWN = {normalise(s): i for i, group in SENTENCES.items() for s in group}
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text; sentences end at ., ! or ?, at a colon that ends a line, and at line feeds."""
-    marked = F.regexp_replace(text, r"[.!?:]+[\x22'’”)\]]*(\s|$)", "\n")
+    marked = F.regexp_replace(text, r"(?<!\s\p{L})[.!?]+[\x22'’”)\]]*(\s|$)|:[ \t]*(\n|$)", "\n")
     return F.transform(F.split(marked, "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
 
