@@ -390,13 +390,13 @@ def _(spark, sf_dir):
 @query(
     "verify_cache_join",
     """WITH w AS (SELECT DISTINCT user_id FROM events),
-       c AS (SELECT user_id, arg_max(event_type, ts) AS status FROM events WHERE event_type NOT IN ('rate_limited', 'not_attempted') AND value < 5
+       c AS (SELECT user_id, arg_max(event_type, ts) AS status FROM events WHERE event_type NOT IN ('rate_limited', 'not_attempted')
          AND ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-20' - INTERVAL 604800 SECOND GROUP BY user_id)
        SELECT w.user_id, c.status, c.user_id IS NOT NULL AS cached FROM w LEFT JOIN c USING (user_id)""",
 )
 def _(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    cache = events.filter("value < 5").selectExpr("user_id", "event_type AS status", "ts AS verified_at")
+    cache = events.selectExpr("user_id", "event_type AS status", "ts AS verified_at")
     return V.cache_join(events.select("user_id").distinct(), cache, "user_id", F.lit("2024-01-20").cast("timestamp"))
 
 

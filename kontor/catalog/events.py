@@ -528,7 +528,7 @@ def _(spark, sf_dir):
     "events_fan_out",
     """WITH s AS (SELECT s_suppkey AS webhook_id, 'https://hook' || CAST(s_suppkey AS VARCHAR) AS url, s_acctbal > 0 AS active,
          CASE s_nationkey % 3 WHEN 0 THEN ['view', 'error'] WHEN 1 THEN ['purchase', 'purchase'] ELSE ['signup'] END AS events FROM supplier)
-       SELECT event_id, webhook_id, url FROM events e JOIN s ON s.active AND list_contains(s.events, e.event_type) WHERE value > 100""",
+       SELECT event_id, webhook_id, url FROM events e JOIN s ON s.active AND list_contains(s.events, e.event_type)""",
 )
 def _(spark, sf_dir):
     subs = table(spark, sf_dir, "supplier").selectExpr(
@@ -537,7 +537,7 @@ def _(spark, sf_dir):
         "s_acctbal > 0 AS active",
         "CASE s_nationkey % 3 WHEN 0 THEN array('view', 'error') WHEN 1 THEN array('purchase', 'purchase') ELSE array('signup') END AS events",
     )
-    return M.fan_out(events(spark, sf_dir).filter("value > 100"), subs, "event_type").select("event_id", "webhook_id", "url")
+    return M.fan_out(events(spark, sf_dir), subs, "event_type").select("event_id", "webhook_id", "url")
 
 
 _CHECK = "CASE event_type WHEN 'view' THEN 'database' WHEN 'click' THEN 'redis' WHEN 'error' THEN 'ollama' WHEN 'signup' THEN 'api' ELSE 'queue' END"
@@ -611,7 +611,7 @@ _ISO_LAST = "CASE WHEN id % 3 = 0 THEN strftime(make_timestamp((1704067200 + id
     f"""SELECT id AS "ID", company_name AS "Name", city AS "City", street AS "Street", postal_code AS "Postal Code", phone AS "Phone", email AS "Email",
           website AS "Website", industry AS "Industry", lead_status AS "Lead Status", lead_quality AS "Lead Quality", lead_score AS "Lead Score",
           {_ISO_FIRST} AS "Created At", coalesce({_ISO_LAST}, '') AS "Updated At"
-        FROM ({D.CO}) c WHERE lead_status = 'new' ORDER BY id LIMIT 1000""",
+        FROM ({D.CO}) c WHERE lead_status = 'new'""",
 )
 def _(spark, sf_dir):
     return S.csv_rows(_timed(spark, sf_dir), status="NEW")

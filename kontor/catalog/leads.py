@@ -122,11 +122,11 @@ def _(spark, sf_dir):
     r"""SELECT token, count(*) AS docs FROM (
       SELECT DISTINCT doc_id, unnest(regexp_split_to_array(
         lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')), ' ')) AS token FROM documents)
-      WHERE token <> '' GROUP BY token HAVING count(*) >= 20""",
+      WHERE token <> '' GROUP BY token""",
 )
 def _(spark, sf_dir):
     tokens = select.token_index(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 20")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
 
 
 # --- validators ------------------------------------------------------------------
@@ -382,7 +382,7 @@ def _(spark, sf_dir):
 
 @query(
     "score_bulk_filter",
-    f"SELECT id, score, quality FROM ({_SCORED}) s WHERE lead_status = 'qualified' ORDER BY id LIMIT 100",
+    f"SELECT id, score, quality FROM ({_SCORED}) s WHERE lead_status = 'qualified'",
 )
 def _(spark, sf_dir):
     return score.bulk_score(stored(spark, sf_dir), status="QUALIFIED")[0].select("id", "score", "quality")

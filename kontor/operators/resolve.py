@@ -386,8 +386,12 @@ def merge_companies(companies: DataFrame, merges: DataFrame, sources: DataFrame
     ``merges`` has primary_id, duplicate_id.  Returns (companies, provenance): the
     updated rows, and the provenance in long form (company_id, ordinal, origin_id,
     source columns) so a primary with very many duplicates never becomes one huge
-    array.  ``sources`` (company_id, ordinal, ...) is optional.
+    array.  ``sources`` (company_id, ordinal, ...) is optional.  A duplicate that is
+    named more than once is merged once: by the merge with the lowest ``seq`` where
+    ``merges`` has one, else into the lowest primary.
     """
+    rank = F.struct(*(["seq"] if "seq" in merges.columns else []), "primary_id")
+    merges = merges.groupBy("duplicate_id").agg(F.min(rank).getField("primary_id").alias("primary_id"))
     # The fields a primary takes over when its own are empty.
     text = ["email", "phone", "website", "address", "description", "legal_form", "industry"]
     lists = ["directors", "services", "technologies"]

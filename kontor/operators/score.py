@@ -83,9 +83,9 @@ def bulk_score(
     ids: DataFrame | None = None,
     status: str | None = None,
     quality: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored rows, distribution) for an id set, or for filters and a limit."""
+    """(scored rows, distribution) for an id set, or for filters and, where one is given, a limit."""
     if ids is not None:
         chosen = df.join(ids.select("id").distinct(), "id", "left_semi")
     else:
@@ -94,6 +94,7 @@ def bulk_score(
             chosen = chosen.filter(F.col("lead_status") == parse_choice(status, LEAD_STATUS, by="name"))
         if quality:
             chosen = chosen.filter(F.col("lead_quality") == parse_choice(quality, LEAD_QUALITY, by="name"))
-        chosen = chosen.orderBy("id").limit(limit)
+        if limit is not None:
+            chosen = chosen.orderBy("id").limit(limit)
     scored = score(chosen)
     return scored, distribution(scored)

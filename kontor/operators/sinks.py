@@ -29,9 +29,8 @@ CSV_COLUMNS = {
 # Keys of the JSON export that differ from the column names.
 JSON_NAMES = {"company_name": "name", "first_scraped_at": "created_at", "last_updated_at": "updated_at"}
 
-# Snapshots kept per class, largest export.
+# Snapshots kept per class.
 KEEP_SNAPSHOTS = {"daily": 7, "weekly": 4, "monthly": 12}
-MAX_EXPORT = 10_000
 
 
 def iso_time(c: Column) -> Column:
@@ -41,18 +40,20 @@ def iso_time(c: Column) -> Column:
     return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
 
 
-def _chosen(df: DataFrame, status: str | None, quality: str | None, limit: int, by: str) -> DataFrame:
-    if not 1 <= limit <= MAX_EXPORT:
-        raise ValueError(f"limit must be between 1 and {MAX_EXPORT}")
+def _chosen(df: DataFrame, status: str | None, quality: str | None, limit: int | None, by: str) -> DataFrame:
+    """The rows asked for: all of them, or a page of the ``limit`` lowest ids."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     rows = df
     if status:
         rows = rows.filter(F.col("lead_status") == parse_choice(status, LEAD_STATUS, by))
     if quality:
         rows = rows.filter(F.col("lead_quality") == parse_choice(quality, LEAD_QUALITY, by))
-    return rows.orderBy("id").limit(limit)
+    rows = rows.orderBy("id")
+    return rows if limit is None else rows.limit(limit)
 
 
-def csv_rows(df: DataFrame, status: str | None = None, quality: str | None = None, limit: int = 1000) -> DataFrame:
+def csv_rows(df: DataFrame, status: str | None = None, quality: str | None = None, limit: int | None = None) -> DataFrame:
     """The export columns; a missing time is an empty string."""
     rows = _chosen(df, status, quality, limit, "name")
     times = {"first_scraped_at", "last_updated_at"}
@@ -68,7 +69,7 @@ def export_csv(df: DataFrame, path: str, **filters) -> None:
     csv_rows(df, **filters).write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_rows(df: DataFrame, status: str | None = None, quality: str | None = None, limit: int = 1000) -> DataFrame:
+def json_rows(df: DataFrame, status: str | None = None, quality: str | None = None, limit: int | None = None) -> DataFrame:
     rows = _chosen(df, status, quality, limit, "value")
     times = {"first_scraped_at", "last_updated_at"}
     return rows.select(
@@ -79,12 +80,12 @@ def json_rows(df: DataFrame, status: str | None = None, quality: str | None = No
 
 
 def json_envelope(df: DataFrame, exported_at: Column, **filters) -> DataFrame:
-    """One row {total, exported_at, filters, companies}; an export holds 10,000 rows at most."""
+    """One row {total, exported_at, filters, companies}: a page, held in one row, so pass a ``limit``."""
     rows = json_rows(df, **filters)
     asked = F.struct(
         F.lit(filters.get("status")).cast("string").alias("lead_status"),
         F.lit(filters.get("quality")).cast("string").alias("lead_quality"),
-        F.lit(filters.get("limit", 1000)).alias("limit"),
+        F.lit(filters.get("limit")).cast("int").alias("limit"),
     )
     return rows.agg(
         F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.struct("*"))).alias("companies")

@@ -76,7 +76,7 @@ def test_exports(spark, tmp_path):
     env = json.loads(sinks.json_envelope(df, F.lit("t"), limit=1).toJSON().first())
     assert env["total"] == 1 and env["filters"] == {"limit": 1} and env["companies"][0]["id"] == 1
     with pytest.raises(ValueError):
-        sinks.csv_rows(df, limit=20_000)
+        sinks.csv_rows(df, limit=0)
 
 
 def test_quality_formulas(spark):

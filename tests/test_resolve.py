@@ -179,3 +179,15 @@ def test_probe_against_base(spark, tile_rows):
     hits = R.find_duplicates(probe, df, k=4, tile_rows=tile_rows)
     got = {(r.id, r.cand_id, r["rank"], round(r.overall, 6)) for r in hits.collect()}
     assert got == {h for h in brute(rows, 4) if h[0] % 4 == 0}
+
+
+def test_merge_names_a_duplicate_once(spark):
+    companies = spark.createDataFrame(
+        [(1, "a@x.de", True), (2, None, True), (3, "c@x.de", True)], "id long, email string, is_active boolean"
+    )
+    merges = spark.createDataFrame([(2, 3, 2), (1, 3, 5), (2, 3, 9)], "primary_id long, duplicate_id long, seq long")
+    sources = spark.createDataFrame([(3, 0, "s")], "company_id long, ordinal long, name string")
+    merged, provenance = R.merge_companies(companies, merges, sources)
+    got = {r.id: (r.email, r.is_active, r.duplicate_of_id) for r in merged.collect()}
+    assert merged.count() == 3 and got == {1: ("a@x.de", True, None), 2: ("c@x.de", True, None), 3: ("c@x.de", False, 2)}
+    assert sorted((r.company_id, r.origin_id) for r in provenance.fillna(0).collect()) == [(2, 3), (3, 0)]
