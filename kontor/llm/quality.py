@@ -44,7 +44,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     word_chars = len(text or "") - sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
-    symbols = sum(raw.count(bytes([c])) for c in b"[]#*$%&|<>")
+    symbols = sum(raw.count(bytes([c])) for c in b"#*$%&|<>")
     lines = [line for line in raw.split(b"\n") if line.strip()]
     k = REPEAT_WINDOW
     seen = Counter(zip(*(words[i:] for i in range(k))))
