@@ -11,7 +11,8 @@ goes if an earlier one (by document id, then place) has a Jaccard similarity of
 3. Two similar sets share a word among their rarest ones (prefix filter), so the prefix
    words are joined.  Length, positional and bitmap bounds drop a pair within the join.
    Pairs of two lines that are settled already are of no interest.
-4. Pairs that are left are verified on the words of the lines themselves.
+4. Pairs that are left are verified on 64-bit hashes of all words of both lines; equal sets are told by
+   128 bits over such hashes as well.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ _LINE = 1 << 31  # lines of a document; a line's place is doc_id * _LINE + line_
 
 
 def _words(text: Column) -> Column:
-    """Words of a text in lower case; a blank text has the one word ''."""
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), f"[{SPACES}]+")
+    """Words of a text in lower case; a plain split at single blanks is far cheaper than one at a pattern."""
+    text = F.lower(text)
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _ranks(texts: DataFrame) -> DataFrame:
@@ -68,26 +72,26 @@ def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
     """Lines with a word: place, size, set hashes, bitmap, least hash and prefix of words by rarity."""
     low = (1 << (63 - COUNT_BITS)) - 1
     blank = F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) == 0
-    lines = _lines(texts).where(~blank).select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    lines = lines.select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
-    # a word's key: its group's rank, then the hash's other bits
-    key = lambda h: F.element_at("ranks", F.shiftrightunsigned(h, 64 - COUNT_BITS).cast("int") + 1).bitwiseOR(h.bitwiseAND(low))
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    bits = [
-        F.aggregate(F.filter("h", lambda h: h.bitwiseAND(64) == 64 * part), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(one(h))).alias(f"bits{part}")
-        for part in (0, 1)
-    ]
-    least = F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(0x1B873593CC9E2D51))))
-    lines = lines.select("doc_id", "line_no", F.size("h").alias("n"), *bits, least.alias("least"), F.sort_array(F.transform("h", key)).alias("k"))
+    # a word's key: its group's rank, then the hash's other bits.  The table meets the words in one projection
+    # and is used once there, so that Spark doesn't copy it into every row.
+    key = lambda w: F.element_at(
+        "ranks", F.shiftrightunsigned(F.xxhash64(w), 64 - COUNT_BITS).cast("int") + 1
+    ).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    lines = _lines(texts).where(~blank).select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
+    lines = lines.select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), key)).alias("k"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    bits = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k))).alias("bits")
+    least = F.array_min(F.transform("k", lambda k: k.bitwiseAND(low)))
+    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), bits, least.alias("least"), F.sort_array("k").alias("k"))
     return lines.select(
-        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", "least",
+        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits", "least",
         F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
         F.slice("k", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / threshold.denominator).cast("int") + 1).alias("prefix"),
     )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (``x``, ``y``: places) whose lines' words are similar enough."""
+    """Pairs (``x``, ``y``: places) whose lines are similar enough, by 64-bit hashes of their whole word sets."""
     pairs = checkpoint_cut(pairs)
     ends = pairs.select(F.explode(F.array("x", "y")).alias("place"))
     code = F.xxhash64("place").bitwiseAND((1 << LINE_BITS) - 1)
@@ -99,16 +103,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
     )
     table = checkpoint_cut(table)
     lines = _lines(texts).select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
-    lines = lines.select("*", table.select("t").scalar().alias("t")).where(F.getbit(F.element_at("t", word + 1), bit) == 1).select("place", "line")
-    a, b = lines.select(F.col("place").alias("x"), F.col("line").alias("xl")), lines.select(F.col("place").alias("y"), F.col("line").alias("yl"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", F.array_distinct(_words(F.col("xl"))).alias("p"), F.array_distinct(_words(F.col("yl"))).alias("q"))
-    both = both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("common"), (F.size("p") + F.size("q")).alias("sum"))
+    lines = lines.select("*", table.select("t").scalar().alias("t")).where(F.getbit(F.element_at("t", word + 1), bit) == 1)
+    # words are hashed once a line and not once a pair
+    lines = lines.select("place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
+    a, b = (lines.select(F.col("place").alias(place), F.col("w").alias(words)) for place, words in (("x", "p"), ("y", "q")))
+    both = pairs.join(a, "x").join(b, "y").select("x", "y", F.size(F.array_intersect("p", "q")).alias("common"), (F.size("p") + F.size("q")).alias("sum"))
     return both.where(F.col("common") * threshold.denominator >= F.lit(threshold.numerator) * (F.col("sum") - F.col("common"))).select("x", "y")
 
 
 def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
     """Length bound, and the bound by the bitmaps: every differing bit is a word that isn't shared."""
-    alike = n + m - sum(F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
+    alike = n + m - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (alike * (num + den) >= 2 * num * (n + m))
 
 
@@ -130,20 +135,20 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = coded.join(firsts.select("line"), "line", "left_semi")
 
     # step 2: the first line of each least hash
-    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), "least")
+    keyed = classes.select("place", "n", F.col("bits").alias("bits_a"), "least")
     heads = keyed.groupBy("least").agg(
-        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
-    ).where("c > 1")
+        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), F.min_by("bits_a", "place").alias("bits_b")
+    ).where("c > 1")
     met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
     settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
 
-    # step 3: prefix words; a row is packed into four longs (size, place in the order, settled)
-    known = classes.select("line", "place", "n", "bits0", "bits1", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
+    # step 3: prefix words; a row is packed into four longs (the last holds size, place in the order and settled)
+    known = classes.select("line", "place", "n", "bits", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    rows = known.select("line", "bits0", "bits1", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
-    rows = rows.select("word", "line", "bits0", "bits1", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
+    rows = known.select("line", "bits", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
+    rows = rows.select("word", "line", "bits", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
     # both sides are renamed alike, so that Spark sees one exchange and deals the rows once
-    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("line", "bits0", "bits1", "meta"))) for side in "ab")
+    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("line", "bits", "meta"))) for side in "ab")
     n, m = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
     i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta_a", "meta_b"))
     open_ = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(1) == 0
