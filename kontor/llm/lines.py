@@ -10,9 +10,10 @@ goes if an earlier one (by document id, then place) has a Jaccard similarity of
    it alone.  This settles most members of a large group of variants in few rows.
 3. Two similar sets share a word among their rarest ones (prefix filter), so the prefix
    words are joined.  Length, positional and bitmap bounds drop a pair within the join.
-   Pairs of two lines that are settled already are of no interest.
+   Pairs whose later line is settled already are of no interest.
 4. Pairs that are left are verified on 64-bit hashes of all words of both lines; equal sets are told by
-   128 bits over such hashes as well.
+   128 bits over such hashes as well.  The likeliest partner of a line comes first; other partners are verified
+   only for lines that it doesn't settle.
 """
 
 from __future__ import annotations
@@ -142,31 +143,39 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
     settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
 
-    # step 3: prefix words; a row is packed into four longs (the last holds size, place in the order and settled)
-    known = classes.select("line", "place", "n", "bits", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
+    # step 3: prefix words; a row holds its line's document and number, so that pairs know which line is later
+    known = classes.select("place", "n", "bits", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
+    doc_id, line_no = _line_of(F.col("place"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    rows = known.select("line", "bits", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
-    rows = rows.select("word", "line", "bits", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
+    rows = known.select(doc_id.alias("doc"), line_no.alias("no"), "bits", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
+    rows = rows.select("word", "doc", "no", "bits", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
     # both sides are renamed alike, so that Spark sees one exchange and deals the rows once
-    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("line", "bits", "meta"))) for side in "ab")
+    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "no", "bits", "meta"))) for side in "ab")
     n, m = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
     i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta_a", "meta_b"))
-    open_ = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(1) == 0
-    met = a.join(b, "word").where((F.col("line_a") < F.col("line_b")) & open_ & _bounds(n, m, num, den))
+    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("no_a") > F.col("no_b")))
+    met = a.join(b, "word").where(later & (F.col("meta_a").bitwiseAND(1) == 0) & _bounds(n, m, num, den))
     # words of the common prefix, and the place of the last of them, bound what can be shared at all
-    met = met.withColumnRenamed("line_a", "line").groupBy("line", "line_b").agg(
+    met = met.groupBy("doc_a", "no_a", "doc_b", "no_b").agg(
         F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
     )
     prefix = lambda size: size - F.ceil(size * F.lit(num) / den) + 1
     beyond = F.least(
         F.greatest(F.col("n") - prefix(F.col("n")), F.col("m") - prefix(F.col("m"))), F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
     )
-    pairs = checkpoint_cut(met.where((F.col("c") + beyond) * (num + den) >= num * (F.col("n") + F.col("m"))).select("line", "line_b"))
-    at = classes.select("line", "place")
-    placed = pairs.join(at, "line").join(at.select(F.col("line").alias("line_b"), F.col("place").alias("place_b")), "line_b")
-    later = _verified(placed.select(F.greatest("place", "place_b").alias("x"), F.least("place", "place_b").alias("y")), texts, threshold)
-
-    gone = copies.union(settled).union(later.select("x")).distinct()
+    possible = met.where((F.col("c") + beyond) * (num + den) >= num * (F.col("n") + F.col("m")))
+    pairs = checkpoint_cut(possible.select("doc_a", "no_a", "doc_b", "no_b", (F.col("c") / (F.col("n") + F.col("m"))).alias("share")))
+    ends = [_place(F.col(f"doc_{side}"), F.col(f"no_{side}")).alias(end) for side, end in (("a", "x"), ("b", "y"))]
+    # one earlier line is enough: the likeliest first, and all the others of a line that it didn't settle
+    best = pairs.groupBy("doc_a", "no_a").agg(F.max_by(F.struct("doc_b", "no_b"), F.struct("share", "doc_b", "no_b")).alias("b"))
+    best = checkpoint_cut(best.select("doc_a", "no_a", "b.*"))
+    sure = checkpoint_cut(_verified(best.select(*ends), texts, threshold).select("x"))
+    doc_x, no_x = _line_of(F.col("x"))
+    open_ = pairs.join(sure.select(doc_x.alias("doc_a"), no_x.alias("no_a")), ["doc_a", "no_a"], "left_anti")
+    open_ = open_.join(best, ["doc_a", "no_a", "doc_b", "no_b"], "left_anti")
+    rest = _verified(open_.select(*ends), texts, threshold)
+
+    gone = copies.union(settled).union(sure).union(rest.select("x")).distinct()
     doc_id, line_no = _line_of(F.col("place"))
     return gone.select(doc_id.alias("doc_id"), line_no.alias("line_no"))
 
