@@ -154,7 +154,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n, m = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
     i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta_a", "meta_b"))
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("no_a") > F.col("no_b")))
-    met = a.join(b, "word").where(later & (F.col("meta_a").bitwiseAND(1) == 0) & _bounds(n, m, num, den))
+    # true unless the later line is settled; named over both sides, as a filter on one would part their exchange in two
+    wanted = F.col("meta_a").bitwiseAND(1) * 2 <= F.col("meta_b").bitwiseAND(1)
+    met = a.join(b, "word").where(later & wanted & _bounds(n, m, num, den))
     # words of the common prefix, and the place of the last of them, bound what can be shared at all
     met = met.groupBy("doc_a", "no_a", "doc_b", "no_b").agg(
         F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
