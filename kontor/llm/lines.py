@@ -81,11 +81,14 @@ def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
     lines = _lines(texts).where(~blank).select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
     lines = lines.select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), key)).alias("k"))
     one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    bits = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k))).alias("bits")
+    bits = [
+        F.aggregate(F.filter("k", lambda k: k.bitwiseAND(64) == 64 * part), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k))).alias(f"bits{part}")
+        for part in (0, 1)
+    ]
     least = F.array_min(F.transform("k", lambda k: k.bitwiseAND(low)))
-    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), bits, least.alias("least"), F.sort_array("k").alias("k"))
+    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), *bits, least.alias("least"), F.sort_array("k").alias("k"))
     return lines.select(
-        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits", "least",
+        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", "least",
         F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
         F.slice("k", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / threshold.denominator).cast("int") + 1).alias("prefix"),
     )
@@ -114,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
 
 def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
     """Length bound, and the bound by the bitmaps: every differing bit is a word that isn't shared."""
-    alike = n + m - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    alike = n + m - sum(F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (alike * (num + den) >= 2 * num * (n + m))
 
 
@@ -136,21 +139,21 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = coded.join(firsts.select("line"), "line", "left_semi")
 
     # step 2: the first line of each least hash
-    keyed = classes.select("place", "n", F.col("bits").alias("bits_a"), "least")
+    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), "least")
     heads = keyed.groupBy("least").agg(
-        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), F.min_by("bits_a", "place").alias("bits_b")
+        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
     ).where("c > 1")
     met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
     settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
 
     # step 3: prefix words; a row holds its line's document and number, so that pairs know which line is later
-    known = classes.select("place", "n", "bits", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
+    known = classes.select("place", "n", "bits0", "bits1", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
     doc_id, line_no = _line_of(F.col("place"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    rows = known.select(doc_id.alias("doc"), line_no.alias("no"), "bits", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
-    rows = rows.select("word", "doc", "no", "bits", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
+    rows = known.select(doc_id.alias("doc"), line_no.alias("no"), "bits0", "bits1", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
+    rows = rows.select("word", "doc", "no", "bits0", "bits1", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
     # both sides are renamed alike, so that Spark sees one exchange and deals the rows once
-    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "no", "bits", "meta"))) for side in "ab")
+    a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "no", "bits0", "bits1", "meta"))) for side in "ab")
     n, m = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
     i, j = (F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1) for c in ("meta_a", "meta_b"))
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("no_a") > F.col("no_b")))
