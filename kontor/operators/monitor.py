@@ -178,19 +178,20 @@ def admission(df: DataFrame, key: str, ts: str, order: str, limit: int = 10, wid
 def observed_load(df: DataFrame, key: str, ts: str, width: int = 60) -> DataFrame:
     """Requests of the key in the window up to each row, whether admitted or not.
 
-    The range frame runs inside (key, hour); rows of the window that lie in the hour
-    before are supplied by copying the last ``width`` seconds of every hour into the
-    next one, so a busy key is split by the hour.
+    The range frame runs inside (key, period), a period being an hour, or the window
+    where that is longer.  Rows of the window that lie in the period before are supplied
+    by copying the last ``width`` seconds of every period into the next one, so a busy
+    key is split by the period.
     """
-    us, hour = F.unix_micros(ts), 3_600_000_000
-    span = width * 1_000_000
-    own = df.withColumns({"_us": us, "_hour": F.floor(us / hour), "_copy": F.lit(False)})
-    spill = own.filter(F.floor((F.col("_us") + span) / hour) > F.col("_hour")).withColumns(
-        {"_hour": F.col("_hour") + 1, "_copy": F.lit(True)}
+    us, span = F.unix_micros(ts), width * 1_000_000
+    period = max(3_600_000_000, span)
+    own = df.withColumns({"_us": us, "_period": F.floor(us / period), "_copy": F.lit(False)})
+    spill = own.filter(F.floor((F.col("_us") + span) / period) > F.col("_period")).withColumns(
+        {"_period": F.col("_period") + 1, "_copy": F.lit(True)}
     )
-    frame = Window.partitionBy(key, "_hour").orderBy("_us").rangeBetween(-(span - 1), 0)
+    frame = Window.partitionBy(key, "_period").orderBy("_us").rangeBetween(-(span - 1), 0)
     both = own.unionByName(spill).withColumn("observed", F.count(F.lit(1)).over(frame))
-    return both.filter(~F.col("_copy")).drop("_us", "_hour", "_copy")
+    return both.filter(~F.col("_copy")).drop("_us", "_period", "_copy")
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame, event: str = "event") -> DataFrame:

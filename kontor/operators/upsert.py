@@ -25,7 +25,8 @@ def upsert(current: DataFrame, incoming: DataFrame, order_col: str) -> tuple[Dat
 
     Rows match on the exact name and city (NULL city equals NULL).  Non-NULL
     incoming values overwrite; inside one batch a later row updates an earlier
-    one.  New rows are numbered after the highest id in order of arrival.
+    one.  Of several stored rows of one name and city the one with the lowest id is
+    updated.  New rows are numbered after the highest id in order of arrival.
     Rows without a name are errors.
     """
     values = [c for c in incoming.columns if c not in (*KEY, order_col, "id") and c in current.columns]
@@ -40,8 +41,12 @@ def upsert(current: DataFrame, incoming: DataFrame, order_col: str) -> tuple[Dat
     batch = reduced.withColumnsRenamed({"company_name": "_name", "city": "_city"})
     match = (current["company_name"] == batch["_name"]) & current["city"].eqNullSafe(batch["_city"])
     rest = [c for c in current.columns if c not in values]
-    updated = current.join(batch, match, "left").select(
-        *rest, *[F.coalesce(batch[f"_new_{c}"], current[c]).alias(c) for c in values]
+    # all hits of a key carry the same new values
+    hits = current.select("id", *KEY).join(batch, match).groupBy("_name", "_city").agg(
+        F.min("id").alias("_target"), *[F.first(f"_new_{c}").alias(f"_new_{c}") for c in values]
+    )
+    updated = current.join(hits, current["id"] == hits["_target"], "left").select(
+        *rest, *[F.coalesce(hits[f"_new_{c}"], current[c]).alias(c) for c in values]
     )
     fresh = checkpoint_cut(insert_absent(current, reduced)[0])
     numbered = carry(fresh, [], ["_first"], block_of("_first", 1_000_000), sums={"_nth": F.lit(1)})

@@ -1,7 +1,9 @@
 """Exact per-key guards on streams: lockout, alert suppression, admission.
 
 State is a few numbers per key and lives in Spark's state store, so it survives
-executor loss.  Rows of a key are taken chunk by chunk, never collected as a whole.
+executor loss.  A key's rows of one micro-batch are put in time order together, as they
+may come in several Arrow chunks; only the few columns that a guard reads are held, so
+the source's limit per trigger bounds them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SECOND = 1_000_000
+#: Rows of one piece of output.
+OUT_ROWS = 10_000
 
 
 def _stateful(
@@ -28,9 +32,10 @@ def _stateful(
 
     def run(group: tuple, chunks: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
         state = store.get if store.exists else None
-        for chunk in chunks:
+        ordered = pd.concat(list(chunks), ignore_index=True).sort_values(["us", order])
+        for start in range(0, len(ordered), OUT_ROWS):
             rows = []
-            for row in chunk.sort_values(["us", order]).itertuples(index=False):
+            for row in ordered.iloc[start : start + OUT_ROWS].itertuples(index=False):
                 state, result = step(state, row)
                 rows.append((group[0], getattr(row, order), *result))
             yield pd.DataFrame(rows, columns=[key, order, *names])

@@ -23,13 +23,19 @@ def _version(root: str, batch_id: int) -> str:
 
 
 def read_snapshot(spark: SparkSession, root: str, before: int | None = None, schema: StructType | None = None) -> DataFrame | None:
-    """Newest finished snapshot, or the newest one older than batch ``before``."""
+    """Newest finished snapshot, or the newest one older than batch ``before``.
+
+    Only at the first batch a missing folder means that nothing is written yet; later
+    on, and for any other fault, reading fails rather than starting from an empty table.
+    """
     try:
         versions = spark.read.schema("rows bigint, batch bigint").parquet(f"{root}/versions")
         if before is not None:
             versions = versions.filter(F.col("batch") < before)
         newest = versions.agg(F.max("batch")).first()[0]
-    except AnalysisException:  # nothing written yet
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND" or (before or 0) > 0:
+            raise
         newest = None
     if newest is None:
         return spark.createDataFrame([], schema) if schema is not None else None

@@ -22,6 +22,14 @@ def test_upsert_order_and_null_city(spark):
     assert counts.first().asDict() == {"new": 2, "updated": 4, "errors": 1}
 
 
+def test_upsert_updates_the_lowest_id_of_a_repeated_key(spark):
+    cur = spark.createDataFrame([(5, "A", None, "x"), (2, "A", None, "y"), (9, "A", "Ulm", "z")], "id long, company_name string, city string, email string")
+    inc = spark.createDataFrame([("A", None, "neu", 1), ("A", None, None, 2)], "company_name string, city string, email string, seq long")
+    snapshot, counts = U.upsert(cur, inc, "seq")
+    assert {r.id: r.email for r in snapshot.collect()} == {5: "x", 2: "neu", 9: "z"}
+    assert counts.first().asDict() == {"new": 0, "updated": 2, "errors": 0}
+
+
 def test_upsert_into_an_empty_table(spark):
     cur = spark.createDataFrame([], "id long, company_name string, city string, email string")
     inc = spark.createDataFrame([("A", "Ulm", "e", 7)], "company_name string, city string, email string, seq long")

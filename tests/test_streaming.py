@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from kontor.operators import monitor as M
@@ -87,6 +88,38 @@ def test_guards(spark, events, stream, tmp_path):
     assert want.filter("not admitted").count() > 0
 
 
+def test_guards_put_chunks_of_a_hot_key_in_order(spark, events, tmp_path):
+    rows = events.withColumn("login", F.lit(1))
+    ok = ~F.col("event_type").isin("error", "view", "signup")
+    rows.orderBy(F.hash("event_id")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "4")
+    try:
+        got = drain(spark, G.lockouts_stream(stream, "login", "ts", "event_id", ok), "hot_locks", tmp_path)
+        want = M.lockouts(rows, "login", "ts", "event_id", ok).select("login", "event_id", "failed_attempts", "refused")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("width", [60, 3600, 10_800])
+def test_observed_load_over_any_window(spark, events, width):
+    rows = [(r.event_type, r.us, r.observed) for r in M.observed_load(events.withColumn("us", F.unix_micros("ts")), "event_type", "ts", width).collect()]
+    times = {}
+    for kind, us, _ in rows:
+        times.setdefault(kind, []).append(us)
+    assert len(rows) == events.count()
+    assert all(n == sum(us - width * 1_000_000 < t <= us for t in times[kind]) for kind, us, n in rows)
+
+
+def test_a_missing_snapshot_is_empty_at_the_first_batch_only(spark, tmp_path):
+    assert I.read_snapshot(spark, str(tmp_path / "none"), before=0) is None
+    with pytest.raises(AnalysisException):
+        I.read_snapshot(spark, str(tmp_path / "none"), before=3)
+
+
 def test_absence_and_dedup(spark, stream, tmp_path):
     silent = drain(spark, A.absence_stream(stream(), "user_id", "ts", "1 hour"), "silent", tmp_path)
     assert silent.count() > 0
