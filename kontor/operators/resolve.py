@@ -433,21 +433,26 @@ def merge_companies(companies: DataFrame, merges: DataFrame, sources: DataFrame
     return merged, provenance
 
 
-def resolve_roots(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_roots(parents: DataFrame) -> DataFrame:
     """Root of every node of a merge forest: columns id, parent (NULL for roots).
 
     Pointer jumping: each round replaces every unfinished node's link by its target's
     link, so depth d takes log2(d) rounds.  A node is final once it points at a root;
-    final nodes stay as targets but are not looked up again.
+    final nodes stay as targets but are not looked up again.  In a forest every round
+    finishes some node; a round that finishes none means a cycle.
     """
     roots = parents.filter("parent is null").select("id", F.col("id").alias("root"))
     state = checkpoint_cut(
         parents.filter("parent is not null").select("id", F.col("parent").alias("up"), F.lit(False).alias("final"))
     )
-    for _ in range(max_rounds):
+    left = None
+    while True:
         open_links = state.filter("not final")
-        if open_links.isEmpty():
+        before, left = left, open_links.count()
+        if left == 0:
             return roots.unionByName(state.select("id", F.col("up").alias("root")))
+        if left == before:
+            raise ValueError("the parent links contain a cycle")
         target = state.select(F.col("id").alias("up"), F.col("up").alias("above"), F.col("final").alias("above_final"))
         moved = open_links.select("id", "up").join(target, "up", "left").select(
             "id",
@@ -455,7 +460,6 @@ def resolve_roots(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
             F.coalesce("above_final", F.lit(True)).alias("final"),
         )
         state = checkpoint_cut(state.filter("final").unionByName(moved))
-    raise ValueError("the parent links contain a cycle")
 
 
 def apply_reviews(candidates: DataFrame, companies: DataFrame, decisions: DataFrame):
