@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kontor.catalog import duck as D
@@ -302,15 +303,18 @@ def _(spark, sf_dir):
 @query(
     "enrich_clip_reviews",
     """SELECT conv_id, len(list_slice(l, 1, 5)) AS kept, array_to_string(list_transform(list_slice(l, 1, 5), lambda t: substr(t, 1, 200)), '|') AS texts
-       FROM (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations WHERE turn < 10 GROUP BY conv_id) x""",
+       FROM (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations GROUP BY conv_id) x""",
 )
 def _(spark, sf_dir):
-    # turns are numbered from 0, so ten per conversation bound the list
+    # the first five turns are found before the list is built, which they bound
+    first = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
+    review = F.struct("nth", F.col("turn").alias("time"), F.col("role").alias("author"), F.col("turn").alias("rating"), "text")
     talks = (
         table(spark, sf_dir, "conversations")
-        .filter("turn < 10")
+        .withColumn("nth", F.row_number().over(first))
+        .filter("nth <= 5")
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("time"), F.col("role").alias("author"), F.col("turn").alias("rating"), "text"))).alias("r"))
+        .agg(F.array_sort(F.collect_list(review)).alias("r"))
     )
     return talks.select("conv_id", E.clip_reviews(F.col("r")).alias("r")).select(
         "conv_id", F.size("r").cast("bigint").alias("kept"), F.array_join("r.text", "|").alias("texts")
