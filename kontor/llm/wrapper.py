@@ -3,8 +3,8 @@
 1. Every page is read into blocks of text and a shape: its tree of slots.
 2. The most frequent shape of a host is its wrapper.  Each other shape of the host is
    aligned with it by simple tree matching, once for all pages that have the shape.
-3. Per host and slot of the wrapper, the least and greatest hash of the slot's text tell
-   slots that are the same on all pages (template) from those that vary (content).
+3. Per host and slot of the wrapper, a slot whose most frequent text covers the share
+   ``SHARE`` of the pages that have the slot is template where it has that text; all else varies (content).
 4. The text of a page is its varying blocks without what is menu, header, footer, notice
    and the like by its markup.  Where pages mark the article, it is that article, and
    no block in it is taken for template, since several pages may hold one article.
@@ -28,6 +28,10 @@ from kontor.session import checkpoint_cut
 
 #: Share of characters in links from which a block outside a marked article is a menu.
 LINKED = 0.5
+#: Share of the pages with a slot that its most frequent text covers if the slot is template.
+SHARE = 0.8
+#: Pages that have to have the slot, or all pages of a smaller host; two at least.
+FEW = 4
 #: Pages that are read before their rows are handed on.
 PAGES = 64
 
@@ -47,29 +51,36 @@ def _read(pages: DataFrame, with_text: bool) -> DataFrame:
                 for page in part.column("html"):
                     root, blocks = dom.read_page(page.as_py() or "")
                     shapes.append(dom.dump(root))
+                    texts: dict[int, list[str]] = {}
+                    for b in blocks:
+                        if not b.around:
+                            texts.setdefault(b.slot.index, []).append(b.text)
+                    hashes = {s: xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63) for s, t in texts.items()}
                     if with_text:
-                        values.append([{"slot": b.slot.index, "text": b.text, "linked": b.linked, "around": b.around, "main": b.main} for b in blocks])
+                        values.append([
+                            {"slot": b.slot.index, "hash": hashes.get(b.slot.index), "text": b.text, "linked": b.linked, "around": b.around, "main": b.main}
+                            for b in blocks
+                        ])
                     else:
-                        texts: dict[int, list[str]] = {}
-                        for b in blocks:
-                            texts.setdefault(b.slot.index, []).append(b.text)
-                        values.append([{"slot": s, "hash": xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63)} for s, t in texts.items()])
+                        values.append([{"slot": s, "hash": h} for s, h in hashes.items()])
                 keep = ["page_id", "url", "host"] if with_text else ["host"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(shapes, pa.string()), pa.array(values, kind)], names=[*keep, "shape", "slots"])
 
-    text_kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("linked", pa.int32()), ("around", pa.bool_()), ("main", pa.bool_())]))
+    text_kind = pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("text", pa.string()), ("linked", pa.int32()), ("around", pa.bool_()), ("main", pa.bool_())]))
     kind = text_kind if with_text else pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64())]))
     schema = (
-        "page_id long, url string, host string, shape string, slots array<struct<slot: int, text: string, linked: int, around: boolean, main: boolean>>"
+        "page_id long, url string, host string, shape string, slots array<struct<slot: int, hash: long, text: string, linked: int, around: boolean, main: boolean>>"
         if with_text else "host string, shape string, slots array<struct<slot: int, hash: long>>"
     )
     return pages.mapInArrow(run, schema)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``shape`` and ``fixed``: the slots of the shape that are template.  ``pages``: ``host``, ``html``."""
+    """``host``, ``shape`` and ``fixed``: the slots of the shape that are template, with their text's hash.  ``pages``: ``host``, ``html``."""
     slots = checkpoint_cut(_read(pages, with_text=False).select("host", "shape", F.xxhash64("shape").alias("code"), "slots"))
-    shapes = checkpoint_cut(slots.groupBy("host", "code").agg(F.count("*").alias("n"), F.min("shape").alias("shape")))
+    # pages without text tell nothing, and copies of a page count once
+    told = slots.where("size(slots) > 0").select("host", "code", "shape", "slots").distinct()
+    shapes = checkpoint_cut(told.groupBy("host", "code").agg(F.count("*").alias("n"), F.min("shape").alias("shape")))
     wrappers = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).getField("shape").alias("wrapper"), F.sum("n").alias("pages"))
     pairs = shapes.join(wrappers.where("pages > 1"), "host").select("host", "code", "shape", "wrapper", "pages")
 
@@ -86,17 +97,14 @@ def templates(pages: DataFrame) -> DataFrame:
             "host", "code", "pages", F.explode("map").alias("m")
         ).select("host", "code", "pages", "m.slot", "m.place")
     )
-    values = slots.select("host", "code", F.explode("slots").alias("s")).groupBy("host", "code", "s.slot").agg(
-        F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.count("*").alias("n")
-    )
-    places = values.join(aligned, ["host", "code", "slot"]).groupBy("host", "place").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.max("pages").alias("pages")
-    )
-    # a slot that all pages of the host fill alike; pages that are alike altogether tell nothing
-    judged = places.select("host", "place", ((F.col("low") == F.col("high")) & (F.col("n") == F.col("pages"))).alias("same"))
+    values = told.select("host", "code", F.explode("slots").alias("s")).groupBy("host", "code", "s.slot", "s.hash").agg(F.count("*").alias("n"))
+    texts = values.join(aligned, ["host", "code", "slot"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"), F.max("pages").alias("pages"))
+    places = texts.groupBy("host", "place").agg(F.max(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"), F.max("pages").alias("pages"))
+    enough = (F.col("top.n") >= 2) & (F.col("n") >= F.least(F.lit(FEW), "pages"))
+    judged = places.select("host", "place", "top.hash", (enough & (F.col("top.n") >= SHARE * F.col("n"))).alias("same"))
     telling = judged.groupBy("host").agg(F.bool_or(~F.col("same")).alias("varies")).where("varies")
     fixed = judged.where("same").join(telling, "host", "left_semi").join(aligned, ["host", "place"])
-    fixed = fixed.groupBy("host", "code").agg(F.collect_set("slot").alias("fixed"))  # slots of one shape
+    fixed = fixed.groupBy("host", "code").agg(F.collect_set(F.struct("slot", "hash")).alias("fixed"))  # slots of one shape
     return fixed.join(shapes.select("host", "code", "shape"), ["host", "code"]).select("host", "shape", "fixed")
 
 
@@ -113,9 +121,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     read = _read(slim, with_text=True).withColumn("code", F.xxhash64("shape"))
     known = known.select(F.col("host").alias("_h"), F.xxhash64("shape").alias("_c"), "fixed")
     met = read.join(known, (F.col("host") == F.col("_h")) & (F.col("code") == F.col("_c")), "left")
-    marked = F.filter("slots", lambda b: b["main"] & ~b["around"])
-    free = F.filter("slots", lambda b: ~b["around"] & (b["linked"] < LINKED * F.length(b["text"])))
-    varying = F.filter(free, lambda b: ~F.array_contains(F.coalesce("fixed", F.array().cast("array<int>")), b["slot"]))
+    slots, fixed = F.col("slots"), F.coalesce("fixed", F.array().cast("array<struct<slot: int, hash: bigint>>"))
+    marked = F.filter(slots, lambda b: b["main"] & ~b["around"])
+    free = F.filter(slots, lambda b: ~b["around"] & (b["linked"] < LINKED * F.length(b["text"])))
+    varying = F.filter(free, lambda b: ~F.exists(fixed, lambda f: (f["slot"] == b["slot"]) & f["hash"].eqNullSafe(b["hash"])))
     blocks = F.when(F.size(marked) > 0, marked).when(F.size(varying) > 0, varying).otherwise(free)
     text = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n"), F.lit(""))
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

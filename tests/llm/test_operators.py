@@ -337,6 +337,20 @@ def test_pages(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_host_with_odd_ones(spark):
+    page = "<html><body><div class='content'><h2>Head {n}</h2><p>Text {n}</p></div><div class='box'>Read our daily mail</div></body></html>"
+    html = [page.replace("{n}", str(n)) for n in range(8)]
+    html[7] = html[7].replace("our daily", "no")
+    html += ["", None, "<html><body><h1>Error</h1></body></html>", "<html><body><ul><li>a 1</li><li>b 2</li></ul></body></html>"]
+    df = spark.createDataFrame([(n, "http://a.example/", h) for n, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert all(got[n] == f"Head {n}\n\nText {n}" for n in range(7))
+    assert got[7] == "Head 7\n\nText 7\n\nRead no mail" and got[8] == got[9] == "" and got[10] == "Error" and got[11] == "a 1\n\nb 2"
+    # copies of one page are no template of the host
+    df = spark.createDataFrame([(n, "http://a.example/", html[0 if n else 1]) for n in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in wrapper.main_text(df).where("page_id > 0").collect()} == {"Head 0\n\nText 0"}
+
+
 def test_tree_matching_keeps_order():
     a, b = dom.load("r(a b(x y) c)"), dom.load("r(b(y z) a c)")
     assert dom.dump(a) == "r(a b(x y) c)"
