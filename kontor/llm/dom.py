@@ -38,18 +38,25 @@ NO_TEXT = frozenset("script style textarea title xmp noembed noframes iframe tem
 _CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in NO_TEXT}
 
 # Elements and class words of what surrounds an article.
-AROUND = frozenset("nav footer aside form dialog menu button select head fieldset".split())
-AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+AROUND = frozenset("nav footer aside dialog menu button select head".split())
+#: Elements that hold fields, or a whole page.
+FORMS = frozenset("form fieldset".split())
+AROUND_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
 AROUND_WORDS = frozenset(
     """nav navbar navigation menu menubar footer sidebar sidebars aside rail ad ads adv advert adverts advertisement
     advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert
-    disclaimer comment comments discussion replies responses disqus reader social share sharing related recommended
-    breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar
-    widget widgets search masthead topbar teaser""".split()
+    disclaimer reader social share sharing newsletter subscribe subscription signup login popup modal overlay toolbar
+    widget widgets search masthead topbar""".split()
 )
+#: What others wrote or what leads elsewhere, however long it is.
+TALK_WORDS = frozenset("comment comments discussion replies responses disqus related recommended breadcrumb breadcrumbs pagination pager teaser".split())
+#: A word of a class with one of these says what the element has or lacks ('has-sidebar', 'ad-free'), not what it is.
+HAVING, LACKING = frozenset("has have with without no not non show hide".split()), frozenset("free less enabled disabled".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 MAIN = frozenset({"article", "main"})
 
+TALK, OUTSIDE = 1, 2
+
 #: Levels of the shape; deeper elements count to the slot above them.  No text is lost by it.
 DEPTH = 60
 
@@ -66,7 +73,8 @@ class Slot:
 class _Element:
     tag: str
     slot: Slot
-    around: bool
+    around: int
+    layout: tuple[int, ...]
     main: bool
 
 
@@ -75,7 +83,8 @@ class Block:
     slot: Slot
     text: str
     linked: int  # characters in links
-    around: bool
+    around: int  # OUTSIDE, TALK or 0
+    layout: tuple[int, ...]  # numbers of the forms and of the elements with a word of AROUND_WORDS that hold it
     main: bool
 
 
@@ -89,7 +98,9 @@ def read_page(source: str) -> tuple[Slot, list[Block]]:
     if cut and "<!--" not in source[cut.start() : cut.start() + 4]:
         source = source[: cut.start()]  # a page that ends within a tag
     root = Slot("page")
-    stack = [_Element("", root, False, False)]
+    stack = [_Element("", root, 0, (), False)]
+    forms: set[int] = set()
+    causes = 0
     blocks: list[Block] = []
     parts: list[str] = []
     links = linked = 0
@@ -102,7 +113,7 @@ def read_page(source: str) -> tuple[Slot, list[Block]]:
         parts.clear()
         if text:
             top = stack[-1]
-            blocks.append(Block(top.slot, text, linked, top.around, top.main))
+            blocks.append(Block(top.slot, text, linked, top.around, top.layout, top.main))
         linked = 0
 
     def add(text: str) -> None:
@@ -168,18 +179,30 @@ def read_page(source: str) -> tuple[Slot, list[Block]]:
                 if stack[k].tag in ends:
                     close(len(stack) - k)
         parent = stack[-1]
-        main = parent.main or tag in MAIN
         label = tag
-        around = parent.around or tag in AROUND
-        if "=" in rest or "hidden" in rest:
-            given = _attributes(rest)
-            role = given.get("role", "").lower()
-            main = main or role in MAIN
-            names = _names(given) if tag not in ("html", "body", "main") else []
-            around = around or role in AROUND_ROLES or not AROUND_WORDS.isdisjoint(names) or not main and not HEAD_WORDS.isdisjoint(names) or _hidden(given)
-            if "class" in given:
-                label = ".".join([tag, *sorted(given["class"].lower().split())])
-        around = around or tag == "header" and not main
+        given = _attributes(rest) if "=" in rest or "hidden" in rest else {}
+        role = given.get("role", "").lower()
+        is_main = tag in MAIN or role in MAIN
+        main = parent.main or is_main
+        around, layout = parent.around, parent.layout
+        if is_main and not parent.main:
+            if "main" in (tag, role):  # the page's one main part, whatever holds it
+                around, layout = around if around == OUTSIDE else 0, ()
+            layout = tuple(c for c in layout if c not in forms)
+        is_form = tag in FORMS or role == "form"
+        names = _names(given) if given and tag not in ("html", "body") and "main" not in (tag, role) else []
+        if tag in AROUND or role in AROUND_ROLES or given and _hidden(given) or tag == "header" and not main:
+            around = OUTSIDE
+        elif not TALK_WORDS.isdisjoint(names):
+            around = max(around, TALK)
+        named = not AROUND_WORDS.isdisjoint(names) and (not is_main or AROUND_WORDS.issuperset(names))
+        if is_form or named or not main and not HEAD_WORDS.isdisjoint(names):
+            layout = (*layout, causes)
+            if is_form:
+                forms.add(causes)
+            causes += 1
+        if "class" in given:
+            label = ".".join([tag, *sorted(given["class"].lower().split())])
         if len(stack) > DEPTH:
             slot = parent.slot
         else:
@@ -189,7 +212,7 @@ def read_page(source: str) -> tuple[Slot, list[Block]]:
             if slot is None:
                 slot = parent.slot.by_label[label] = Slot(label)
                 parent.slot.children.append(slot)
-        stack.append(_Element(tag, slot, around, main))
+        stack.append(_Element(tag, slot, around, layout, main))
     flush()
     count = 0
     todo = [root]
@@ -201,9 +224,16 @@ def read_page(source: str) -> tuple[Slot, list[Block]]:
 
 
 def _names(given: dict[str, str]) -> list[str]:
-    """Words of an element's class and id."""
+    """Words of an element's class and id, without those that it only has or lacks."""
     both = f"{given.get('class', '')} {given.get('id', '')}"
-    return _NAME.findall(_HUMP.sub(r"\1 \2", both).lower()) if len(both) > 1 else []
+    if len(both) < 2:
+        return []
+    names = []
+    for token in _HUMP.sub(r"\1-\2", both).lower().split():
+        parts = _NAME.findall(token)
+        if len(parts) < 2 or parts[0] not in HAVING and parts[-1] not in LACKING:
+            names += parts
+    return names
 
 
 def _hidden(given: dict[str, str]) -> bool:

@@ -6,7 +6,8 @@
 3. Per host and slot of the wrapper, a slot whose most frequent text covers the share
    ``SHARE`` of the pages that have the slot is template where it has that text; all else varies (content).
 4. The text of a page is its varying blocks without what is menu, header, footer, notice
-   and the like by its markup.  Where pages mark the article, it is that article, and
+   and the like by its markup.  Forms and classes of the layout don't exclude what holds
+   most of a page's varying text.  Where pages mark the article, it is that article, and
    no block in it is taken for template, since several pages may hold one article.
 
 Pages are never gathered by host: what is grouped is one small row per slot with
@@ -32,6 +33,8 @@ LINKED = 0.5
 SHARE = 0.8
 #: Pages that have to have the slot, or all pages of a smaller host; two at least.
 FEW = 4
+#: Blocks that a form or an element of the layout has to hold, besides most of the text, to be the page itself.
+MANY = 3
 #: Pages that are read before their rows are handed on.
 PAGES = 64
 
@@ -58,7 +61,7 @@ def _read(pages: DataFrame, with_text: bool) -> DataFrame:
                     hashes = {s: xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63) for s, t in texts.items()}
                     if with_text:
                         values.append([
-                            {"slot": b.slot.index, "hash": hashes.get(b.slot.index), "text": b.text, "linked": b.linked, "around": b.around, "main": b.main}
+                            {"slot": b.slot.index, "hash": hashes.get(b.slot.index), "text": b.text, "linked": b.linked, "around": b.around, "layout": b.layout, "main": b.main}
                             for b in blocks
                         ])
                     else:
@@ -66,10 +69,10 @@ def _read(pages: DataFrame, with_text: bool) -> DataFrame:
                 keep = ["page_id", "url", "host"] if with_text else ["host"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(shapes, pa.string()), pa.array(values, kind)], names=[*keep, "shape", "slots"])
 
-    text_kind = pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("text", pa.string()), ("linked", pa.int32()), ("around", pa.bool_()), ("main", pa.bool_())]))
+    text_kind = pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("text", pa.string()), ("linked", pa.int32()), ("around", pa.int8()), ("layout", pa.list_(pa.int32())), ("main", pa.bool_())]))
     kind = text_kind if with_text else pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64())]))
     schema = (
-        "page_id long, url string, host string, shape string, slots array<struct<slot: int, hash: long, text: string, linked: int, around: boolean, main: boolean>>"
+        "page_id long, url string, host string, shape string, slots array<struct<slot: int, hash: long, text: string, linked: int, around: tinyint, layout: array<int>, main: boolean>>"
         if with_text else "host string, shape string, slots array<struct<slot: int, hash: long>>"
     )
     return pages.mapInArrow(run, schema)
@@ -122,9 +125,39 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     known = known.select(F.col("host").alias("_h"), F.xxhash64("shape").alias("_c"), "fixed")
     met = read.join(known, (F.col("host") == F.col("_h")) & (F.col("code") == F.col("_c")), "left")
     slots, fixed = F.col("slots"), F.coalesce("fixed", F.array().cast("array<struct<slot: int, hash: bigint>>"))
-    marked = F.filter(slots, lambda b: b["main"] & ~b["around"])
-    free = F.filter(slots, lambda b: ~b["around"] & (b["linked"] < LINKED * F.length(b["text"])))
-    varying = F.filter(free, lambda b: ~F.exists(fixed, lambda f: (f["slot"] == b["slot"]) & f["hash"].eqNullSafe(b["hash"])))
-    blocks = F.when(F.size(marked) > 0, marked).when(F.size(varying) > 0, varying).otherwise(free)
-    text = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n"), F.lit(""))
+    unlinked = lambda b: b["linked"] < LINKED * F.length(b["text"])
+    varies = lambda b: unlinked(b) & ~F.exists(fixed, lambda f: (f["slot"] == b["slot"]) & f["hash"].eqNullSafe(b["hash"]))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+
+    def page_itself(inside: Column) -> Column:
+        """Numbers of the forms and layout elements that hold most of the varying text."""
+        holds = lambda c: F.filter(inside, lambda b: F.array_contains(b["layout"], c))
+        most = F.filter(
+            F.array_distinct(F.flatten(F.transform(inside, lambda b: b["layout"]))),
+            lambda c: (2 * chars(holds(c)) > chars(inside)) & (F.size(holds(c)) >= MANY),
+        )
+        outside = F.filter(inside, lambda b: F.size(b["layout"]) == 0)
+        return F.when(2 * chars(outside) < chars(inside), most).otherwise(F.array().cast("array<int>"))
+
+    def tried(free: Column) -> Column:
+        tries = [
+            F.filter(free, lambda b: b["main"]),
+            F.filter(free, varies),
+            # nothing else is left: what varies although a form, a class of the layout or comments hold it
+            F.filter(slots, lambda b: (b["around"] == 0) & b["main"]),
+            F.filter(slots, lambda b: (b["around"] == 0) & varies(b)),
+            F.filter(free, unlinked),
+            F.filter(slots, lambda b: (b["around"] < dom.OUTSIDE) & varies(b)),
+        ]
+        return F.coalesce(*(F.nullif(F.array_join(F.transform(t, lambda b: b["text"]), "\n\n"), F.lit("")) for t in tries))
+
+    def searched() -> Column:
+        most = F.array(page_itself(F.filter(slots, lambda b: (b["around"] == 0) & varies(b))))
+        free = lambda m: F.filter(slots, lambda b: (b["around"] == 0) & (F.size(F.array_except(b["layout"], m)) == 0))
+        return F.transform(F.transform(most, free), tried)[0]
+
+    # the usual page, without a layout around or in its article, needs no search
+    plain = F.exists(slots, lambda b: (b["around"] == 0) & b["main"]) & ~F.exists(slots, lambda b: (b["around"] == 0) & b["main"] & (F.size(b["layout"]) > 0))
+    article = F.filter(slots, lambda b: (b["around"] == 0) & b["main"])
+    text = F.coalesce(F.when(plain, F.array_join(F.transform(article, lambda b: b["text"]), "\n\n")).otherwise(searched()), F.lit(""))
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -351,6 +351,28 @@ def test_pages_of_a_host_with_odd_ones(spark):
     assert {r.text for r in wrapper.main_text(df).where("page_id > 0").collect()} == {"Head 0\n\nText 0"}
 
 
+def test_pages_in_forms_and_layout_classes(spark):
+    story = "<h1>Head</h1><p>First part of the text.</p><p>Second part of the text.</p>"
+    want = "Head\n\nFirst part of the text.\n\nSecond part of the text."
+    around = "<nav><a href='/'>home</a></nav>{}<div class='sidebar'>side</div><section id='comments'><article class='comment'>nice</article></section><footer>f</footer>"
+    html = [
+        "<body><form action='x'>" + around.format(f"<div>{story}</div>") + "</form></body>",
+        "<body><form>" + around.format(f"<article>{story}</article>") + "</form></body>",
+        "<body><div class='content has-sidebar'>" + around.format(story) + "</div></body>",
+        "<body><div class='with-sidebar no-comments'>" + around.format(story) + "</div></body>",
+        "<body><p>3 May</p><div class='reader'>" + story + "</div></body>",
+        "<body>" + around.format(f"<article class='post ad-free'>{story}</article>") + "</body>",
+        "<body>" + around.format(f"<article class='post social'>{story}</article>") + "</body>",
+        "<body><div class='widget'>" + around.format(f"<main>{story}</main>") + "</div></body>",
+        "<body><p>Story.</p><div class='ad'>An advert that is longer than the story</div><form>your name</form></body>",
+        "<body><article><p>Story.</p><form>f</form><div class='ad'>A longer advert, one</div></article></body>",
+    ]
+    df = spark.createDataFrame([(n, f"http://h{n}.example/", h) for n, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert [got[n] for n in range(4)] == [want] * 4 and got[4] == "3 May\n\n" + want
+    assert [got[n] for n in range(5, 8)] == [want] * 3 and got[8] == got[9] == "Story."
+
+
 def test_tree_matching_keeps_order():
     a, b = dom.load("r(a b(x y) c)"), dom.load("r(b(y z) a c)")
     assert dom.dump(a) == "r(a b(x y) c)"
