@@ -29,10 +29,29 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Days from 1900-01-01 to 2099-12-31
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+# Length of the account numbers of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BF CF CG CI DJ FR GR IT MC MR SM", 28: "AL AZ BJ BY CM CV CY DO DZ GA GQ GT GW HU KM LB MA MG ML MZ NE PL SN SV TD TG HN NI",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form() -> str:
+    """A number of its country's length; another one, or another country's, as long as its groups go on."""
+    forms = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    end = r"(?![\p{L}\p{N}_]|[.\-/@][\p{N}])"
+    return rf"(?:(?:{'|'.join(forms)}){end}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+
+
 # Forms of the values that are looked for, the first that fits a place is taken.
 FORMS = {
     "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _iban_form(),
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",

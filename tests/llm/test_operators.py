@@ -285,6 +285,28 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df, key="other").first().text != new[0].text
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    def number(country, body):
+        digits = "".join(str(int(c, 36)) for c in body + country + "00")
+        return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+    def valid(n):
+        return int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+
+    numbers = ["AT611904300234573201", "ES9121000418450200051332", "BE68539007547034", "PL61109010140000071219812874", "DE89370400440532013000", number("NO", "86011117947")]
+    spaced = lambda n: " ".join(n[i : i + 4] for i in range(0, len(n), 4))
+    texts = [f"x {form(n)}{after}" for n in numbers for form in (str, spaced) for after in (" BIC GIBAATWW", " 25", " 2024 EUR", " A1 B2", ", AB", " end")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    back = [r.text for r in pii.pseudonymise(pii.pseudonymise(df), forward=False).orderBy("doc_id").collect()]
+    assert back == texts
+    for i, (a, b) in enumerate(zip(texts, new)):
+        n = numbers[i // 12]
+        found = b[2 : 2 + len(n if i % 12 < 6 else spaced(n))]
+        assert b[2 + len(found) :] == a[2 + len(found) :]
+        assert valid(found.replace(" ", "")) and found.replace(" ", "") != n and found[:2] == n[:2]
+
+
 def test_licences(spark, empty):
     mit = "\n".join(licenses.SENTENCES[i][0] + "." for i in ("mit-title", "mit-grant", "mit-notice", "as-is", "no-liability"))
     wrapped = "// " + re.sub(r"(.{40,60}) ", "\\1\n// ", licenses.SENTENCES["gpl-free"][0] + ".")
