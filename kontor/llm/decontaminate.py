@@ -4,7 +4,8 @@ Texts become template tokens: numbers, names and units of measure are replaced b
 placeholders.  Windows of template tokens of the documents and of the benchmark meet in
 a hash join; aligned windows then have to agree in every literal token, and the values
 that fill the slots have to be renamed consistently: one benchmark value has one value
-in the document.  That finds copies and questions with other numbers or names.  Windows
+in the document.  That finds copies and questions with other numbers or names.  A capital
+word that opens a sentence may be a name or not; its windows are looked for either way.  Windows
 of plain lower-cased tokens are joined as well, for copies in another case.
 """
 
@@ -40,6 +41,20 @@ zero one two three four five six seven eight nine ten eleven twelve thirteen fou
 nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million
 """.split()
 
+# Endings of a number, and words that are no name where they open a sentence.
+ORDINALS = "st nd rd th".split()
+FUNCTION_WORDS = """
+a an the this that these those and or but if so as at by for from in into of off on to up with without about after before
+between during over under until while since because although though when where who whom whose which what why how is are was
+were be been being am do does did has have had can could will would shall should may might must not no nor yes he she it its
+they them their his her him we us our you your i me my mine there here then than thus hence each every all any both some many
+much more most few several other another such only also find let given suppose assume calculate compute determine
+der die das den dem des ein eine einer eines einem einen und oder aber wenn als wie was wer wo warum ist sind war waren im in
+an am auf aus bei mit nach von vom zu zum zur er sie es wir ihr ich du nicht kein keine
+le la les un une des du de et ou mais si que qui quoi quand comment est sont dans sur avec pour par il elle ils elles on nous vous ne pas
+el los las una unos unas y o pero como donde cuando es son en con por para del al se su sus no
+""".split()
+
 LITERAL_TOKEN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -66,6 +81,7 @@ def _known(words: list[str]) -> np.ndarray:
 
 
 _UNIT_CODES, _NUMBER_CODES = _known(UNITS), _known(NUMBER_WORDS)
+_ORDINAL_CODES, _FUNCTION_CODES = _known(ORDINALS), _known(FUNCTION_WORDS)
 
 
 def _inside(raw: np.ndarray) -> np.ndarray:
@@ -77,15 +93,29 @@ def _inside(raw: np.ndarray) -> np.ndarray:
     return inside
 
 
+def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of tokens; digits that open one are a token of their own ('5kg')."""
+    starts, ends = kernels.spans(_inside(raw), offsets)
+    if not len(starts):
+        return starts, ends
+    other = np.append(np.flatnonzero(~(_DIGIT[raw] | _POINT[raw])), len(raw))
+    cut = other[np.searchsorted(other, starts)]
+    split = (cut > starts) & (cut < ends)
+    return np.sort(np.concatenate([starts, cut[split]])), np.sort(np.concatenate([ends, cut[split]]))
+
+
 class Tokens:
-    """Template tokens of a column of texts: ``code`` (of the lower-cased token), ``kind``, ``template``."""
+    """Template tokens of a column of texts: ``code`` (of the lower-cased token), ``kind``, ``template``.
+
+    ``loose``: the kinds where a capital word that opens a sentence is a name as well.
+    """
 
     def __init__(self, column: pa.Array):
         column = pc.replace_substring_regex(column.fill_null("").cast(pa.string()), _MARKS, " ")
         raw, offsets = kernels.utf8(column)
-        starts, ends = kernels.spans(_inside(raw), offsets)
+        starts, ends = _tokens(raw, offsets)
         lower, lower_offsets = kernels.utf8(pc.utf8_lower(column))
-        lower_starts, lower_ends = kernels.spans(_inside(lower), lower_offsets)
+        lower_starts, lower_ends = _tokens(lower, lower_offsets)
         if len(lower_starts) != len(starts):  # a letter without a lower-case letter of its own: fold A-Z only
             lower, lower_starts, lower_ends = _LOWER[raw], starts, ends
         self.code = kernels.hash_spans(lower, lower_starts, lower_ends)
@@ -102,53 +132,64 @@ class Tokens:
             stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
             opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
             second = raw[np.minimum(starts + 1, len(raw) - 1)]
-            name = _UPPER[raw[starts]] & ~opens & (ends - starts > 1) & ~_UPPER[second]
-            kind[name] = NAME
+            capital = _UPPER[raw[starts]] & (ends - starts > 1) & ~_UPPER[second]
+            kind[capital & ~opens] = NAME
             kind[number] = NUMBER
             unit = np.zeros(n, bool)
             unit[1:] = number[:-1] & ~opens[1:] & np.isin(self.code[1:], _UNIT_CODES)
+            attached = np.zeros(n, bool)
+            attached[1:] = number[:-1] & (starts[1:] == ends[:-1])
+            unit |= attached & np.isin(self.code, _ORDINAL_CODES)
             kind[unit] = UNIT
-        self.kind = kind
-        self.template = np.where(kind > 0, _PLACEHOLDER[kind], self.code)
+            loose = np.where(capital & opens & (kind == LITERAL_TOKEN) & ~np.isin(self.code, _FUNCTION_CODES), NAME, kind).astype(np.int8)
+        else:
+            loose = kind
+        self.kind, self.loose = kind, loose
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First token, row, template hash (0: too few literal tokens) and plain hash of every window."""
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First token, row, template hash (0: too few literal tokens), loose one (0 where it is no other) and plain hash of every window."""
         at = kernels.window_starts(self.counts, width)
         row = np.repeat(np.arange(len(self.counts)), np.maximum(self.counts - width + 1, 0))
-        slots = np.concatenate([[0], np.cumsum(self.kind > 0)])
-        literal = width - (slots[at + width] - slots[at])
-        template = kernels.windows(self.template, width)[at]
         plain = kernels.windows(self.code, width, 0xE7037ED1A0B428DB)[at]
-        return at, row, np.where(literal >= LITERAL * width, template, np.uint64(0)), plain
+        templates = []
+        for kind in (self.kind, self.loose):
+            slots = np.concatenate([[0], np.cumsum(kind > 0)])
+            literal = width - (slots[at + width] - slots[at])
+            template = kernels.windows(np.where(kind > 0, _PLACEHOLDER[kind], self.code), width)[at]
+            templates.append(np.where(literal >= LITERAL * width, template, np.uint64(0)))
+        opened = np.concatenate([[0], np.cumsum(self.kind != self.loose)])
+        templates[1][opened[at + width] == opened[at]] = 0
+        return at, row, *templates, plain
 
 
-_SCHEMA = "id long, place long, width int, plain boolean, hash long, codes array<long>, kinds array<tinyint>"
+_SCHEMA = "id long, place long, width int, plain boolean, loose boolean, hash long, codes array<long>, kinds array<tinyint>"
 
 
 def _windows(table: DataFrame, widths: list[int], known: np.ndarray | None, whole_if_short: int | None) -> DataFrame:
     """Windows of a table (``id``, ``text``) that are in the table of bits ``known`` (all without one)."""
-    names = ["id", "place", "width", "plain", "hash", "codes", "kinds"]
+    names = ["id", "place", "width", "plain", "loose", "hash", "codes", "kinds"]
 
     def rows(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         tokens = Tokens(texts)
         found = []
         for width in widths:
-            at, row, template, plain = tokens.windows(width)
+            at, row, template, loose, plain = tokens.windows(width)
             fits = np.ones(len(at), bool) if whole_if_short is None or width == whole_if_short else tokens.counts[row] == width
-            for is_plain, code in ((False, template), (True, plain)):
+            for is_plain, is_loose, code in ((False, False, template), (False, True, loose), (True, False, plain)):
                 hit = fits & (code != 0)
                 if known is not None:
                     hit &= (known[(code >> np.uint64(70 - TABLE_BITS)).astype(np.int64)] >> ((code >> np.uint64(64 - TABLE_BITS)) & np.uint64(63))) & np.uint64(1) > 0
                 hit = np.flatnonzero(hit)
-                found.append((at[hit], row[hit], np.full(len(hit), width), np.full(len(hit), is_plain), code[hit]))
-        at, row, width, plain, code = (np.concatenate(x) for x in zip(*found))
+                found.append((at[hit], row[hit], np.full(len(hit), width), np.full(len(hit), is_plain), np.full(len(hit), is_loose), code[hit]))
+        at, row, width, plain, loose, code = (np.concatenate(x) for x in zip(*found))
         ends = np.concatenate([[0], np.cumsum(width)])
         flat = np.arange(ends[-1]) - np.repeat(ends[:-1], width) + np.repeat(at, width)
+        kinds = np.where(np.repeat(loose, width), tokens.loose[flat], tokens.kind[flat])
         return pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(row)), pa.array(at - tokens.bounds[row], pa.int64()), pa.array(width, pa.int32()), pa.array(plain),
+                ids.take(pa.array(row)), pa.array(at - tokens.bounds[row], pa.int64()), pa.array(width, pa.int32()), pa.array(plain), pa.array(loose),
                 pa.array(code.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.code[flat].view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.kind[flat])),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kinds)),
             ],
             names=names,
         )
@@ -195,7 +236,7 @@ def contaminated(
     ours = _windows(slim, present, _bit_table(theirs), None).dropDuplicates(["id", "place", "width", "plain", "hash"])
     theirs = theirs.select(
         "width", "plain", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
-        F.col("codes").alias("item_codes"), F.col("kinds").alias("item_kinds"),
+        F.col("codes").alias("item_codes"), F.col("kinds").alias("item_kinds"), F.col("loose").alias("item_loose"),
     )
     met = ours.withColumnRenamed("id", "doc_id").join(theirs, ["width", "plain", "hash"])
     slots = F.filter(
@@ -208,15 +249,19 @@ def contaminated(
     same = F.col("codes") == F.col("item_codes")
     met = met.where(agrees).select(
         "doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "place", same.alias("same"),
+        (F.col("loose") | F.col("item_loose")).alias("loose"),
         F.transform(slots, lambda t: F.struct(t["item_codes"].alias("a"), t["codes"].alias("b"))).alias("slots"),
     )
-    # one alignment: as many windows as the item has at most
+    # one alignment: as many windows as the item has at most; with openers as names, and without
+    filled = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    strict = lambda c: F.when(~F.col("loose"), F.col(c))
     aligned = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("place").alias("places"), F.max("same").alias("same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-        F.min("place").alias("first"),
+        F.max("same").alias("same"), F.collect_set("place").alias("places"), filled("slots").alias("slots"),
+        F.collect_set(strict("place")).alias("strict_places"), filled(strict("slots")).alias("strict_slots"),
     )
-    renames = F.size(F.array_distinct(F.col("slots.a"))) == F.size("slots")
-    fine = aligned.where(F.col("same") | renames)
+    renames = lambda c: F.size(F.array_distinct(F.col(f"{c}.a"))) == F.size(c)
+    places = F.when(F.col("same") | renames("slots"), F.col("places")).when(renames("strict_slots"), F.col("strict_places"))
+    fine = aligned.select("doc_id", "item_id", "same", places.alias("places")).where("size(places) > 0").withColumn("first", F.array_min("places"))
     return fine.groupBy("doc_id", "item_id").agg(
         F.sum(F.size("places")).alias("n_windows"), F.min("first").alias("first_token"), (~F.max("same")).alias("renamed")
     )

@@ -261,6 +261,24 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_names_that_open_and_units_that_are_attached(spark):
+    items = [
+        (1, "Anna has 12 apples. Peter has 5 pears. How many fruits have Anna and Peter together?"),
+        (2, "Maria walked 5kg of flour home on the 3rd of the month to her mother"),
+        (3, "Karl is older than Otto today"),
+    ]
+    rows = [
+        (10, "Carla has 40 apples. Ulrich has 7 pears. How many fruits have Carla and Ulrich together?"),
+        (11, "Words go here. Carla has 40 apples. Ulrich has 7 pears. How many fruits have Carla and Marta together?"),
+        (12, "Intro words. Lena walked 60 kg of flour home on the 21st of the month to her mother and on."),
+        (13, "Emil is older than Hugo today"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.renamed for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(10, 1): True, (12, 2): True, (13, 3): True}
+
+
 def test_pseudonyms(spark):
     texts = [
         "Call +1 (017) 555-7713 or und.34@mail7.example.com now, 4785380592391139$$$ and 4785-3805-9239-1139!",
