@@ -209,6 +209,22 @@ def test_quality_outliers(spark):
     assert kept == {r[0] for r in plain}
 
 
+def test_quality_outliers_in_a_tight_group(spark):
+    rng = random.Random(4)
+    word = lambda n=5: "".join(rng.choices("abcdefghijklmnopqrst", k=n))
+    plain = [(i, " ".join(word(rng.randint(3, 7)) for _ in range(rng.randint(90, 110))), "en", "s") for i in range(300)]
+    odd = [
+        (1000, " ".join(word() for _ in range(1200)), "en", "s"),  # length
+        (1001, " ".join(word(9) for _ in range(100)), "en", "s"),  # word
+        (1002, " ".join(word() + "#" * (i % 20 == 0) for i in range(100)), "en", "s"),  # symbols
+        (1003, "\n".join(["ab cd"] * 7 + [word()] * 1) + " " + " ".join(word() for _ in range(90)), "en", "s"),  # lines
+        (1004, " ".join(w for _ in range(50) for w in [word()] * 2), "en", "s"),  # words like the one before
+        (1005, " ".join(["ab cd ef gh ij"] * 6 + [word() for _ in range(70)]), "en", "s"),  # repeated windows
+    ]
+    kept = {r.doc_id for r in quality.quality(frame(spark, plain + odd)).where("kept").collect()}
+    assert kept == {r[0] for r in plain}
+
+
 def test_symbols_class():
     # the class is [#*$%&|<>]: the brackets delimit it
     assert quality.text_stats("a # * $ % & | < > x")[2] == 8
