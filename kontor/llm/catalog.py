@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.llm import decontaminate, licenses, lines, mixing, pii, quality, separators, simhash, substring, wrapper
+from kontor.llm import codes, decontaminate, licenses, lines, mixing, pii, quality, separators, simhash, substring, toxicity, whitening, wrapper
 from kontor.llm.tables import read
+from kontor.session import checkpoint_cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +153,76 @@ FROM o
 @query("op10_source_mix", _MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("first_slot")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    each = found.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "value"))
+    return each.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation",
+        F.col("value.whitened").alias("whitened"), F.col("value.explained").alias("explained"), "identity_error",
+    )
+
+
+def _codes_sql(rounds: int = codes.ROUNDS, width: int = 8) -> str:
+    """Lloyd rounds unrolled; ``width`` entries a part."""
+    cells = range(1, width + 1)
+    square = " + ".join(f"(p.c{j} - b.c{j}) * (p.c{j} - b.c{j})" for j in cells)
+
+    def mean(j: int) -> str:  # floor of the quotient of whole numbers
+        return f"(sum(c{j}) - (((sum(c{j}) % count(*)) + count(*)) % count(*))) // count(*)"
+
+    def assigned(step: int) -> str:
+        return f"""a{step} AS MATERIALIZED (
+  SELECT p.*, entry, distance FROM p JOIN (
+    SELECT r, position, min(({square}) * {codes.ENTRIES} + entry) % {codes.ENTRIES} AS entry,
+      min(({square}) * {codes.ENTRIES} + entry) // {codes.ENTRIES} AS distance
+    FROM p JOIN b{step} b USING (position) GROUP BY r, position) n USING (r, position)
+)"""
+
+    def updated(step: int) -> str:
+        return f"""b{step} AS MATERIALIZED (
+  SELECT b.position, b.entry, {", ".join(f"CAST(coalesce(m.c{j}, b.c{j}) AS BIGINT) AS c{j}" for j in cells)}
+  FROM b{step - 1} b LEFT JOIN (
+    SELECT position, entry, {", ".join(f"{mean(j)} AS c{j}" for j in cells)} FROM a{step - 1} GROUP BY position, entry
+  ) m ON m.position = b.position AND m.entry = b.entry
+)"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{updated(k + 1)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER () AS r,
+    list_transform(embedding, lambda c: CAST(floor({codes.SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS MATERIALIZED (
+  SELECT r, position, {", ".join(f"x[position * {width} + {j}] AS c{j}" for j in cells)}
+  FROM kept, (SELECT unnest(generate_series(0, {codes.PARTS - 1})) AS position) t
+), b0 AS MATERIALIZED (
+  SELECT position, entry, {", ".join(f"c{j}" for j in cells)}
+  FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {codes.ENTRIES}) s USING (r)
+), {steps}, {assigned(rounds)}, book AS (
+  SELECT sha256(string_agg(concat_ws(',', {", ".join(f"c{j}" for j in cells)}), ',' ORDER BY position, entry)) AS codebooks_sha256 FROM b{rounds}
+), coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY position) AS code, CAST(sum(distance) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), book
+"""
+
+
+@query("op12_product_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.compress(read(spark, sf_dir, "embeddings"))
+    found = codes.group_errors(checkpoint_cut(coded))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return found.select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(codes.digest(book)).alias("codebooks_sha256")
+    )
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, toxicity.learnable(labels))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
