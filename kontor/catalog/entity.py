@@ -289,12 +289,11 @@ def _candidates(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    """Two decisions per order's first lines; the line number is the sequence."""
+    """A decision for every order line; orders and their line numbers are the sequence."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("flag"))
-        .filter("l_linenumber <= 2")
         .selectExpr(
             "l_orderkey AS candidate_id",
             "CASE WHEN flag = 'R' THEN 'reject' ELSE 'merge' END AS action",
@@ -303,7 +302,7 @@ def _decisions(spark, sf_dir):
             "concat('user', CAST(l_suppkey % 3 AS STRING)) AS reviewer",
             "timestamp'2024-01-01 00:00:00' AS decided_at",
             "CASE WHEN l_partkey % 2 = 0 THEN 'same firm' END AS reason",
-            "l_linenumber AS seq",
+            "l_orderkey * 8 + l_linenumber AS seq",
         )
     )
 
@@ -312,19 +311,29 @@ _DECISION_SQL = """
 SELECT l_orderkey AS candidate_id, CASE WHEN min(l_returnflag) = 'R' THEN 'reject' ELSE 'merge' END AS action,
   min(l_suppkey) AS primary_id, CASE WHEN min(l_partkey) % 9 = 0 THEN min(l_suppkey) ELSE min(l_partkey) END AS duplicate_id,
   'user' || CAST(min(l_suppkey) % 3 AS VARCHAR) AS reviewer, CASE WHEN min(l_partkey) % 2 = 0 THEN 'same firm' END AS reason,
-  l_linenumber AS seq
-FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber
+  l_orderkey * 8 + l_linenumber AS seq
+FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 
+# A sequential fold: the state is the list of companies merged away so far, each followed by minus the position of its merge.
 _REVIEW_SQL = f"""
 cand AS ({_CAND_SQL}), co AS (SELECT id, is_active, id % 37 = 5 AS is_duplicate FROM ({D.CO}) x),
-dec AS ({_DECISION_SQL}), last AS (SELECT * FROM dec QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY seq DESC) = 1),
-judged AS (SELECT l.*, CASE WHEN c.id IS NULL THEN 'candidate not found'
-    WHEN action = 'merge' AND (p.id IS NULL OR d.id IS NULL) THEN 'company not found'
+dec AS MATERIALIZED ({_DECISION_SQL}),
+fixed AS MATERIALIZED (SELECT d.*, du.is_duplicate AS already, CASE WHEN c.id IS NULL THEN 'candidate not found'
+    WHEN action = 'merge' AND (p.id IS NULL OR du.id IS NULL) THEN 'company not found'
     WHEN action = 'merge' AND primary_id = duplicate_id THEN 'self merge'
-    WHEN action = 'merge' AND NOT p.is_active THEN 'primary inactive'
-    WHEN action = 'merge' AND d.is_duplicate THEN 'already duplicate' END AS error
-  FROM last l LEFT JOIN cand c ON c.id = l.candidate_id LEFT JOIN co p ON p.id = l.primary_id LEFT JOIN co d ON d.id = l.duplicate_id)
+    WHEN action = 'merge' AND NOT p.is_active THEN 'primary inactive' END AS error
+  FROM dec d LEFT JOIN cand c ON c.id = d.candidate_id LEFT JOIN co p ON p.id = d.primary_id LEFT JOIN co du ON du.id = d.duplicate_id),
+folded AS (SELECT list_reduce(list([CAST(primary_id AS BIGINT), CAST(duplicate_id AS BIGINT), CAST(seq AS BIGINT)] ORDER BY seq),
+    lambda s, x: CASE WHEN list_contains(s, x[1]) OR list_contains(s, x[2]) THEN s ELSE list_concat(s, [x[2], -x[3]]) END,
+    CAST([] AS BIGINT[])) AS s FROM fixed WHERE action = 'merge' AND error IS NULL AND NOT already),
+gone AS (SELECT s[2 * i - 1] AS company, -s[2 * i] AS done FROM folded, unnest(generate_series(1, len(s) // 2)) t(i)),
+judged AS MATERIALIZED (SELECT f.* EXCLUDE (error, already), CASE WHEN error IS NOT NULL OR action <> 'merge' THEN error
+    WHEN p.done < seq THEN 'primary inactive' WHEN already OR o.done < seq THEN 'already duplicate' END AS error
+  FROM fixed f LEFT JOIN gone p ON p.company = f.primary_id LEFT JOIN gone o ON o.company = f.duplicate_id),
+good AS (SELECT *, coalesce(action <> 'merge' OR reason <> '', false) AS noted FROM judged WHERE error IS NULL),
+verdict AS (SELECT candidate_id, arg_max(action, seq) AS action, arg_max(reviewer, seq) AS reviewer,
+    max(seq) FILTER (noted) AS note_at FROM good GROUP BY candidate_id)
 """
 
 
@@ -340,10 +349,9 @@ def stored_flags(spark, sf_dir):
 @query(
     "resolve_review",
     f"""WITH {_REVIEW_SQL} SELECT c.id,
-          CASE WHEN j.candidate_id IS NULL THEN c.status WHEN j.action = 'merge' THEN 'confirmed' ELSE 'rejected' END AS status,
-          j.reviewer AS reviewed_by,
-          CASE WHEN j.candidate_id IS NULL OR (j.action = 'merge' AND coalesce(j.reason, '') = '') THEN c.notes ELSE j.reason END AS notes
-        FROM cand c LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.candidate_id = c.id""",
+          CASE WHEN v.candidate_id IS NULL THEN c.status WHEN v.action = 'merge' THEN 'confirmed' ELSE 'rejected' END AS status,
+          v.reviewer AS reviewed_by, CASE WHEN v.note_at IS NULL THEN c.notes ELSE n.reason END AS notes
+        FROM cand c LEFT JOIN verdict v ON v.candidate_id = c.id LEFT JOIN good n ON n.seq = v.note_at""",
 )
 def _(spark, sf_dir):
     return _reviewed(spark, sf_dir)[0].select("id", "status", "reviewed_by", "notes")
@@ -351,12 +359,20 @@ def _(spark, sf_dir):
 
 @query(
     "resolve_review_errors",
-    f"WITH {_REVIEW_SQL} SELECT candidate_id, action, primary_id, duplicate_id, error FROM judged WHERE error IS NOT NULL",
+    f"WITH {_REVIEW_SQL} SELECT candidate_id, action, primary_id, duplicate_id, seq, error FROM judged WHERE error IS NOT NULL",
 )
 def _(spark, sf_dir):
     return _reviewed(spark, sf_dir)[2]
 
 
+@query(
+    "resolve_review_merges",
+    f"WITH {_REVIEW_SQL} SELECT candidate_id, primary_id, duplicate_id, seq FROM good WHERE action = 'merge'",
+)
+def _(spark, sf_dir):
+    return _reviewed(spark, sf_dir)[1]
+
+
 _LISTED = "company_name address city phone website".split()
 
 

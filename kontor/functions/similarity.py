@@ -1,13 +1,8 @@
 """String similarity on a 0-100 scale: ``round(100 * 2*LCS / (len a + len b))``.
 
 Spark has no LCS expression, so the exact value comes from one Arrow-batched
-function that handles a whole batch of pairs with numpy bit operations.  The
-functions around it are native and exist to keep pairs away from it:
-
-* ``token_sort_key``: the row-level key, computed once before any join;
-* ``bag_masks`` / ``bag_distance``: a lower bound of the insert/delete distance
-  that costs a few bit operations per pair inside generated code;
-* ``ratio_ceiling``: turns any such lower bound into an upper bound of the ratio.
+function that handles a whole batch of pairs with numpy bit operations.
+``token_sort_key`` is native and computed once per row, before any join.
 """
 
 from __future__ import annotations
@@ -21,7 +16,6 @@ from pyspark.sql import types as T
 from kontor.functions.text import strip
 
 WORD_BITS = 64
-MASK_LEVELS = 3
 
 
 def token_sort_key(c: Column) -> Column:
@@ -86,16 +80,20 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known = a.notna() & b.notna()
-    left, right = a[known].tolist(), b[known].tolist()
+def ratio_values(left: list[str], right: list[str]) -> np.ndarray:
+    """Similarity 0-100 of each pair of strings; two empty ones are equal."""
     total = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.float64)
     common = lcs_lengths(left, right) if left else np.zeros(0)
     with np.errstate(invalid="ignore", divide="ignore"):
         share = np.where(total > 0, 2.0 * common / total, 1.0)
+    return np.rint(100.0 * share).astype(np.int32)
+
+
+@F.pandas_udf(T.IntegerType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = a.notna() & b.notna()
     result = pd.Series(pd.array([pd.NA] * len(a), dtype="Int32"), index=a.index)
-    result[known] = np.rint(100.0 * share).astype(np.int32)
+    result[known] = ratio_values(a[known].tolist(), b[known].tolist())
     return result
 
 
@@ -111,32 +109,3 @@ def ratio(a: Column, b: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return _ratio(token_sort_key(a), token_sort_key(b))
-
-
-def bag_masks(key: Column) -> Column:
-    """array<bigint>: bit c of word i is set when character class c occurs more than i times."""
-    zero = F.lit(0).cast("bigint")
-    start = F.array(*[zero] * MASK_LEVELS)
-
-    def add(acc: Column, ch: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(ch), F.lit(64)).cast("int"))
-        levels = [acc[0].bitwiseOR(bit)]
-        for i in range(1, MASK_LEVELS):
-            levels.append(acc[i].bitwiseOR(acc[i - 1].bitwiseAND(bit)))
-        return F.array(*levels)
-
-    return F.aggregate(F.filter(F.split(key, ""), lambda ch: ch != ""), start, add)
-
-
-def bag_distance(a: list[Column], b: list[Column]) -> Column:
-    """Lower bound of the insert/delete distance from two lists of mask words."""
-    parts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return total
-
-
-def ratio_ceiling(distance: Column, total_length: Column) -> Column:
-    """Largest rounded ratio possible when the edit distance is at least ``distance``."""
-    return F.lit(100.5) - F.lit(100.0) * distance / F.greatest(total_length, F.lit(1))

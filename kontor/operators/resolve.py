@@ -1,17 +1,23 @@
 """Entity resolution: find, scan, route, merge and review duplicate companies.
 
 Pairs are only ever formed inside one block (same city, NULL equal to NULL) and
-three things keep that cheap at scale:
+four things keep that cheap at scale:
 
 1. *Profiles.*  Rows that agree on all four comparison keys are one profile; a
    block full of copies is compared once.  A row needs at most ``k`` candidates,
    so the ``k + 1`` lowest ids of a profile stand for all its rows exactly.
-2. *Tiles.*  A block with more profiles than ``tile_rows`` is split into a grid;
-   each tile is its own join key, so no task ever holds a whole hot block.
-3. *Bounds inside the join.*  The weighted score can only reach the threshold if
-   upper bounds of the four ratios do.  Those bounds are bit counts and Spark's
-   ``levenshtein`` in the join condition; a pair that cannot qualify is never
-   emitted and never reaches Python.
+2. *Tiles.*  A block with more profiles than ``tile_rows`` is split into a grid of
+   tiles, so no task ever holds a whole hot block.
+3. *Signatures.*  At a threshold of 80 a pair that lacks a field has to agree in the
+   other three, so profiles with a missing field are joined on those three values
+   and never compared with a whole block.
+4. *Bounds.*  The weighted score can only reach the threshold if upper bounds of the
+   four ratios do.  A tile's pairs are bounded by one matrix product per field (``tiles``); only
+   pairs that can qualify are compared letter by letter, and only hits leave the task.
+
+No signature of a single field is both exact and selective at 80: a pair may differ in a fifth of
+every field, which leaves no q-gram or segment that unrelated names, addresses or phones of
+one city don't share as well.  Complete profiles of a block therefore stay a grid.
 
 All bounds are proven upper bounds, so the result equals the unpruned one.
 """
@@ -22,15 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions.normalize import phone_key
-from kontor.functions.similarity import (
-    MASK_LEVELS,
-    bag_distance,
-    bag_masks,
-    ratio,
-    ratio_ceiling,
-    token_sort_key,
-)
+from kontor.functions.similarity import ratio, token_sort_key
 from kontor.functions.text import filled
+from kontor.operators import tiles
 from kontor.session import checkpoint_cut
 
 # Weights and default thresholds of the similarity model.
@@ -43,7 +43,7 @@ OVERALL_THRESHOLD = 80
 AUTO_MERGE_THRESHOLD = 95
 
 FIELDS = list(WEIGHTS)
-TILE_ROWS = 20_000
+TILE_ROWS = 8_000
 
 
 def comparison_keys(df: DataFrame) -> DataFrame:
@@ -98,30 +98,8 @@ def _profile_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0001", F.col("block"), *keys)))
 
 
-MISSING = -1  # length of a field that does not take part
-
-
-def _score_ceiling(distances: dict[str, Column]) -> Column:
-    """Upper bound of 5 * overall (name counts twice) from per-field distance bounds.
-
-    All inputs are non-null, which keeps the generated code of the join small enough
-    for the JVM to compile.
-    """
-    total = F.lit(0.0)
-    for f, distance in distances.items():
-        a, b = F.col(f"a_{f}_len"), F.col(f"b_{f}_len")
-        bound = F.when(F.least(a, b) == MISSING, F.lit(0.0)).otherwise(ratio_ceiling(distance, a + b))
-        total = total + F.lit(5 * WEIGHTS[f]) * bound
-    return total
-
-
-def _bag(f: str) -> Column:
-    masks = {side: [F.col(f"{side}_{f}_m{i}") for i in range(MASK_LEVELS)] for side in "ab"}
-    return bag_distance(masks["a"], masks["b"])
-
-
-def _edit(f: str) -> Column:
-    return F.levenshtein(F.col(f"a_{f}_key"), F.col(f"b_{f}_key"))
+#: Two values of which one is shorter are rounded to 100 only if they are equal: one edit in fewer than 200 characters is more than half a point.
+SHORTEST_INEXACT = 100
 
 
 def _grid(profiles: DataFrame, name: str, tile_rows: int) -> DataFrame:
@@ -140,79 +118,83 @@ def profile_pairs(
     """
     present = sum((F.col(f"{f}_key").isNotNull().cast("int") for f in FIELDS[1:]), F.lit(0))
     best = F.lit(100 * WEIGHTS["name"]) + present * F.lit(100 * WEIGHTS["phone"])
-    eligible = profiles.filter(best >= threshold)
-    for f in FIELDS:
-        eligible = eligible.withColumn(f"{f}_masks", bag_masks(F.col(f"{f}_key")))
-    none = F.lit(0).cast("bigint")
-    stored = checkpoint_cut(
-        eligible.select(
-            "block",
-            "pkey",
-            *[F.col(f"{f}_key") for f in FIELDS],
-            *[F.col(f"{f}_masks")[i].alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
-        )
-    )
-    # stated after the read, because a file only knows nullable columns
-    masked = stored.select(
-        "block",
-        "pkey",
-        *[F.coalesce(f"{f}_key", F.lit("")).alias(f"{f}_key") for f in FIELDS],
-        *[F.coalesce(F.length(f"{f}_key"), F.lit(MISSING)).alias(f"{f}_len") for f in FIELDS],
-        *[F.coalesce(f"{f}_m{i}", none).alias(f"{f}_m{i}") for f in FIELDS for i in range(MASK_LEVELS)],
-    )
-
-    def side(rows: DataFrame, prefix: str, tile: Column) -> DataFrame:
-        cols = [F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c not in ("block", "rows_grid", "cols_grid")]
-        return rows.withColumn("tile", F.explode(tile)).select("block", "tile", *cols)
+    keys = [f"{f}_key" for f in FIELDS]
+    rows = checkpoint_cut(profiles.filter(best >= threshold).select("block", "pkey", *keys))
+    if asked is None:
+        rows = rows.withColumn("probe", F.lit(True))
+    else:
+        rows = rows.join(asked.select("pkey", F.lit(True).alias("probe")), "pkey", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    strict = _strict(threshold)
+    # where a missing field leaves no room, only complete rows are compared with their block
+    whole = rows.filter(" and ".join(f"{k} is not null" for k in keys)) if strict else rows
 
     def cell(grid: str) -> Column:
         return F.pmod(F.xxhash64("pkey"), F.col(grid)).cast("int")
 
-    cols_grid = _grid(masked, "cols_grid", tile_rows)
+    def placed(part: DataFrame, side: Column, ti: Column, tj: Column) -> DataFrame:
+        spots = part.withColumns({"side": side.cast("int"), "ti": ti}).withColumn("tj", tj)
+        return spots.select("block", "ti", "tj", "side", "pkey", "probe", *keys)
+
+    cols_grid = _grid(whole, "cols_grid", tile_rows)
+    sized = whole.join(cols_grid, "block", "left").withColumn("cols_grid", F.coalesce("cols_grid", F.lit(1)))
     if asked is None:
-        placed = masked.join(cols_grid, "block", "left").withColumn("cols_grid", F.coalesce("cols_grid", F.lit(1)))
+        # cell (i, j) with i < j: rows of cell i against rows of cell j; (i, i): its rows against each other
         mine, last = cell("cols_grid"), F.col("cols_grid") - 1
-        left = side(placed, "a", F.transform(F.sequence(mine, last), lambda j: F.struct(mine.alias("i"), j.alias("j"))))
-        right = side(placed, "b", F.transform(F.sequence(F.lit(0), mine), lambda i: F.struct(i.alias("i"), mine.alias("j"))))
-        once = (F.col("tile.i") < F.col("tile.j")) | (F.col("a_pkey") < F.col("b_pkey"))
+        near = sized.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        spots = placed(near, F.when(F.col("other") == mine, 2).when(mine < F.col("other"), 0).otherwise(1), F.least(mine, "other"), F.greatest(mine, "other"))
     else:
-        flagged = masked.join(asked.select("pkey", F.lit(True).alias("probe")), "pkey", "left").withColumn(
-            "probe", F.coalesce("probe", F.lit(False))
-        )
-        rows_grid = _grid(flagged.filter("probe"), "rows_grid", tile_rows)
-        placed = (
-            flagged.join(cols_grid, "block", "left")
-            .join(rows_grid, "block", "left")
-            .withColumns({c: F.coalesce(c, F.lit(1)) for c in ("cols_grid", "rows_grid")})
-        )
-        row, col = cell("rows_grid"), cell("cols_grid")
-        left = side(
-            placed.filter("probe"), "a",
-            F.transform(F.sequence(F.lit(0), F.col("cols_grid") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"))),
-        )
-        right = side(
-            placed, "b",
-            F.transform(F.sequence(F.lit(0), F.col("rows_grid") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"))),
+        rows_grid = _grid(whole.filter("probe"), "rows_grid", tile_rows)
+        sized = sized.join(rows_grid, "block", "left").withColumn("rows_grid", F.coalesce("rows_grid", F.lit(1)))
+        left = sized.filter("probe").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cols_grid") - 1)))
+        right = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rows_grid") - 1)))
+        spots = placed(left, F.lit(0), cell("rows_grid"), F.col("other")).unionByName(placed(right, F.lit(1), F.col("other"), cell("cols_grid")))
+    dealt = spots.repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj")
+    sims = [f"{f}_sim" for f in FIELDS]
+    run = tiles.compare(FIELDS, list(WEIGHTS.values()), threshold, asked is not None)
+    close = dealt.mapInArrow(run, ", ".join(["a_pkey binary", "b_pkey binary", *(f"{s} int" for s in sims)]))
+    scored = close.withColumn("overall", overall(*[F.col(s) for s in sims]))
+    if strict:
+        scored = scored.unionByName(pair_similarity(near_equal_pairs(rows)).select("a_pkey", "b_pkey", *sims, "overall"))
+    return scored.filter(F.col("overall") >= threshold).select("a_pkey", "b_pkey", *sims, "overall")
+
+
+def _strict(threshold: float) -> bool:
+    """Whether a pair that lacks a field has to agree (similarity 100) in all others."""
+    return 100 * (1 - min(WEIGHTS.values())) - threshold < min(WEIGHTS.values())
+
+
+def _signature(f: str) -> Column:
+    """Equal for any two values of similarity 100: the value itself below the length where one edit rounds away."""
+    key = F.col(f"{f}_key")
+    return F.when(F.length(key) < SHORTEST_INEXACT, F.concat(F.lit("="), key)).otherwise(F.lit("~"))
+
+
+def near_equal_pairs(profiles: DataFrame) -> DataFrame:
+    """Unordered pairs of distinct profiles of a block in which a field is missing, that can reach a strict threshold.
+
+    A missing field costs its whole weight, so the three others have to be near equal: a
+    profile without field x meets those with the same signature of the other three.  Among
+    short values only one profile without x has a given signature, so pairs grow with the
+    rows and not with their square.  Two different missing fields never reach the threshold.
+    """
+    rows = profiles.withColumn("lacks", F.concat_ws(",", *[F.when(F.col(f"{f}_key").isNull(), F.lit(f)) for f in FIELDS]))
+    out = None
+    for missing in FIELDS[1:]:
+        common = [f for f in FIELDS if f != missing]
+        signed = rows.filter(F.col("lacks").isin("", missing)).withColumn(
+            "signature", F.unhex(F.md5(F.concat_ws("\u0001", F.lit(missing), "block", *[_signature(f) for f in common])))
         )
-        once = F.when(F.col("b_probe"), F.col("a_pkey") < F.col("b_pkey")).otherwise(F.col("a_pkey") != F.col("b_pkey"))
-
-    need = F.lit(5.0 * threshold - 1e-6)
-    bags = {f: _bag(f) for f in FIELDS}
-    # cheapest test first: bit counts, then the edit distance of the name alone, then all
-    bag_ok = _score_ceiling(bags) >= need
-    name_ok = _score_ceiling({**bags, "name": _edit("name")}) >= need
-    edit_ok = _score_ceiling({f: _edit(f) for f in FIELDS}) >= need
-    taking_part = [
-        F.when(F.col(f"{s}_{f}_len") != MISSING, F.col(f"{s}_{f}_key")).alias(f"{s}_{f}_key") for s in "ab" for f in FIELDS
-    ]
-    close = (
-        left.alias("l")
-        .join(right.alias("r"), ["block", "tile"])
-        .filter(once & bag_ok & name_ok & edit_ok)
-        .select("a_pkey", "b_pkey", *taking_part)
-    )
-    scored = pair_similarity(close).filter(F.col("overall") >= threshold)
-    return scored.select("a_pkey", "b_pkey", *[f"{f}_sim" for f in FIELDS], "overall")
+
+        def side(prefix: str, part: DataFrame) -> DataFrame:
+            cols = ["block", "pkey", "lacks", "probe", *[f"{f}_key" for f in FIELDS]]
+            return part.select("signature", *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
+
+        left, right = side("a", signed.filter(F.col("lacks") == missing)), side("b", signed)
+        once = (F.col("b_lacks") == "") | (F.col("a_pkey") < F.col("b_pkey"))
+        met = left.join(right, "signature").filter((F.col("a_block") == F.col("b_block")) & once & (F.col("a_probe") | F.col("b_probe")))
+        part = met.select("a_pkey", "b_pkey", *[f"{s}_{f}_key" for s in "ab" for f in FIELDS])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def find_duplicates(
@@ -462,53 +444,96 @@ def resolve_roots(parents: DataFrame) -> DataFrame:
         state = checkpoint_cut(state.filter("final").unionByName(moved))
 
 
+def settle_merges(merges: DataFrame) -> DataFrame:
+    """Which merges are carried out if they are taken one after the other: (company, done).
+
+    ``merges`` has primary_id, duplicate_id and ``at``, a position that no other merge has.  A merge is
+    carried out unless its primary or its duplicate was merged away before.  In a round every open merge looks at the
+    earliest one that was carried out, and the earliest one that is still open, for each of its two companies:
+    it is dropped if one was carried out before it, and carried out if it is the first open one
+    of its duplicate and none is open before it for its primary.  The earliest open merge always settles, so rounds end; independent
+    merges settle together, so there are as many rounds as the longest chain of merges that wait for each other.
+    ``done`` is the position of the merge by which the company went.
+    """
+    open_ = checkpoint_cut(merges.select("primary_id", "duplicate_id", "at"))
+    done = None
+    while True:
+        first = open_.groupBy(F.col("duplicate_id").alias("company")).agg(F.min("at").alias("waits"))
+        if done is not None:
+            first = first.join(done, "company", "full")
+        else:
+            first = first.withColumn("done", F.lit(None).cast(open_.schema["at"].dataType))
+        # the position before which nothing has happened and nothing can happen to the company
+        first = first.select("company", "waits", "done", F.least("waits", "done").alias("free"))
+        own = first.select(F.col("company").alias("duplicate_id"), F.col("waits").alias("own_waits"), F.col("done").alias("own_done"))
+        other = first.select(F.col("company").alias("primary_id"), F.col("free").alias("other_free"), F.col("done").alias("other_done"))
+        seen = open_.join(own, "duplicate_id", "left").join(other, "primary_id", "left")
+        lost = F.coalesce(F.col("own_done") < F.col("at"), F.lit(False)) | F.coalesce(F.col("other_done") < F.col("at"), F.lit(False))
+        wins = (F.col("own_waits") == F.col("at")) & F.coalesce(F.col("at") < F.col("other_free"), F.lit(True))
+        judged = checkpoint_cut(seen.select("primary_id", "duplicate_id", "at", lost.alias("lost"), wins.alias("wins")).filter("not lost"))
+        won = judged.filter("wins").select(F.col("duplicate_id").alias("company"), F.col("at").alias("done"))
+        done = won if done is None else checkpoint_cut(done.unionByName(won))
+        open_ = judged.filter("not wins").select("primary_id", "duplicate_id", "at")
+        if open_.isEmpty():
+            return done
+
+
 def apply_reviews(candidates: DataFrame, companies: DataFrame, decisions: DataFrame):
-    """Manual review.  Returns (candidates, accepted merges, errors).
+    """Manual review, one decision after the other.  Returns (candidates, accepted merges, errors).
 
-    ``decisions``: candidate_id, action (merge/reject), primary_id, duplicate_id,
-    reviewer, decided_at, reason, seq; the last decision per candidate counts.
+    ``decisions``: candidate_id, action (merge/reject), primary_id, duplicate_id, reviewer, decided_at, reason, seq.
+    They count in the order of ``seq`` (equal ones by candidate and companies; the rest is as good as the same): each is judged
+    against the companies as the accepted merges before it have left them, and changes its candidate if it is accepted.
     """
-    last = decisions.groupBy("candidate_id").agg(F.max_by(F.struct("*"), "seq").alias("d")).select("d.*")
+    ranked = checkpoint_cut(decisions.withColumn("row", F.monotonically_increasing_id()))
+    ranked = ranked.withColumn("at", F.struct("seq", "candidate_id", "primary_id", "duplicate_id", "row"))
     state = companies.select("id", "is_active", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
     checked = (
-        last.join(candidates.select(F.col("id").alias("candidate_id"), F.lit(True).alias("known")), "candidate_id", "left")
+        ranked.join(candidates.select(F.col("id").alias("candidate_id"), F.lit(True).alias("known")), "candidate_id", "left")
         .join(state.select(F.col("id").alias("primary_id"), F.col("is_active").alias("primary_active")), "primary_id", "left")
         .join(state.select(F.col("id").alias("duplicate_id"), F.col("is_duplicate").alias("already")), "duplicate_id", "left")
     )
     is_merge = F.col("action") == "merge"
-    error = (
+    fixed = (
         F.when(F.col("known").isNull(), "candidate not found")
         .when(is_merge & (F.col("primary_active").isNull() | F.col("already").isNull()), "company not found")
         .when(is_merge & (F.col("primary_id") == F.col("duplicate_id")), "self merge")
         .when(is_merge & ~F.col("primary_active"), "primary inactive")
-        .when(is_merge & F.col("already"), "already duplicate")
     )
-    judged = checked.withColumn("error", error)
-    errors = judged.filter("error is not null").select("candidate_id", "action", "primary_id", "duplicate_id", "error")
+    checked = checkpoint_cut(checked.withColumn("error", fixed))
+    gone = settle_merges(checked.filter(is_merge & F.col("error").isNull() & ~F.col("already")))
+    judged = (
+        checked.join(gone.select(F.col("company").alias("primary_id"), F.col("done").alias("primary_gone")), "primary_id", "left")
+        .join(gone.select(F.col("company").alias("duplicate_id"), F.col("done").alias("own")), "duplicate_id", "left")
+        .withColumn(
+            "error",
+            F.when(F.col("error").isNotNull() | ~is_merge, F.col("error"))
+            .when(F.col("primary_gone") < F.col("at"), "primary inactive")
+            .when(F.col("already") | (F.col("own") < F.col("at")), "already duplicate"),
+        )
+    )
+    judged = checkpoint_cut(judged)
+    errors = judged.filter("error is not null").select("candidate_id", "action", "primary_id", "duplicate_id", "seq", "error")
     good = judged.filter("error is null")
-    verdict = good.select(
-        F.col("candidate_id").alias("id"),
-        F.when(is_merge, "confirmed").otherwise("rejected").alias("new_status"),
-        F.col("reviewer"),
-        F.col("decided_at"),
-        # a merge keeps the old note unless a reason is given; a rejection always replaces it
-        F.col("reason"),
-        is_merge.alias("is_merge"),
+    # a merge keeps the old note unless a reason is given; a rejection always replaces it
+    notes = ~is_merge | filled(F.col("reason"))
+    verdict = good.groupBy(F.col("candidate_id").alias("id")).agg(
+        F.max_by(F.struct(F.when(is_merge, "confirmed").otherwise("rejected").alias("status"), "reviewer", "decided_at"), "at").alias("last"),
+        F.max_by(F.struct("reason"), F.when(notes, F.col("at"))).alias("note"),
     )
-    keep_note = F.col("new_status").isNull() | (F.col("is_merge") & ~filled(F.col("reason")))
     updated = (
         candidates.join(verdict, "id", "left")
         .withColumns(
             {
-                "status": F.coalesce("new_status", "status"),
-                "reviewed_by": F.coalesce("reviewer", "reviewed_by"),
-                "reviewed_at": F.coalesce("decided_at", "reviewed_at"),
-                "notes": F.when(keep_note, F.col("notes")).otherwise(F.col("reason")),
+                "status": F.coalesce("last.status", "status"),
+                "reviewed_by": F.when(F.col("last").isNull(), F.col("reviewed_by")).otherwise(F.col("last.reviewer")),
+                "reviewed_at": F.when(F.col("last").isNull(), F.col("reviewed_at")).otherwise(F.col("last.decided_at")),
+                "notes": F.when(F.col("note").isNull(), F.col("notes")).otherwise(F.col("note.reason")),
             }
         )
         .select(candidates.columns)
     )
-    merges = good.filter(is_merge).select("candidate_id", "primary_id", "duplicate_id")
+    merges = good.filter(is_merge).select("candidate_id", "primary_id", "duplicate_id", "seq")
     return updated, merges, errors
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,18 +165,6 @@ def test_token_sort_key(spark):
     assert got == ["gmbh mller shne", "a b_1 c", "", "x škoda"]
 
 
-def test_bag_distance_is_a_lower_bound(spark):
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abcdefgh 0123ß") for _ in range(rng.randint(0, 30))) for _ in range(120)]
-    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(600)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    masks = df.select("a", "b", M.bag_masks(F.col("a")).alias("ma"), M.bag_masks(F.col("b")).alias("mb"))
-    word = range(M.MASK_LEVELS)
-    out = masks.select("a", "b", M.bag_distance([F.col("ma")[i] for i in word], [F.col("mb")[i] for i in word]).alias("d")).collect()
-    for r in out:
-        assert r.d <= len(r.a) + len(r.b) - 2 * slow_lcs(r.a, r.b)
-
-
 def test_whole_score(spark):
     from kontor.operators import score
 
@@ -193,3 +182,20 @@ def test_whole_score(spark):
     # mail 5 + phone 5 + address 5, site 10, industry 5, size 7, tech 5, quality 10
     assert (got[3].score, got[3].quality) == (52, "cold")
     assert got[3].breakdown.data_quality.filled_fields == 8
+
+
+def test_tile_bounds_never_fall_below_the_score():
+    from kontor.operators import tiles
+
+    rng = random.Random(3)
+    fields = [["".join(rng.choice("abcdefgh 0123ßé") for _ in range(rng.randint(0, 30))) for _ in range(60)] for _ in range(2)]
+    fields[1][5] = None
+    key = [bytes([i]) for i in range(60)]
+    side = tiles.Side(np.zeros(60, int), key, np.ones(60, bool), fields)
+    bound = tiles._ceilings(side, side, slice(0, 60), [0.6, 0.4])
+    for i in range(60):
+        for j in range(60):
+            score = 0.6 * M.ratio_values([fields[0][i]], [fields[0][j]])[0]
+            if fields[1][i] is not None and fields[1][j] is not None:
+                score += 0.4 * M.ratio_values([fields[1][i]], [fields[1][j]])[0]
+            assert bound[i, j] >= score - 1e-2

@@ -83,6 +83,57 @@ def test_find_equals_brute_force(spark, tile_rows):
     assert got == want
 
 
+def missing_rows(n=160, seed=11):
+    """Copies that differ in one field or lack one; long values that still round to 100."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        g = rng.randrange(9)
+        long = g % 3 == 0
+        name = f"Firma {g} " + (" ".join(f"wort{j}" for j in range(30)) if long else "Bau")
+        addr = f"Weg {g} " + (" ".join(f"ort{j}" for j in range(30)) if long else "Ulm")
+        phone = "0711" + (f"{g}" * (120 if long else 6))
+        web = f"https://www.f{g}.de/" + ("pfad/" * 30 if long else "")
+        fields = [name, addr, phone, web]
+        edit = rng.randrange(8)
+        if edit < 4:
+            fields[edit] += "7"
+        if edit == 5:
+            fields[rng.randrange(4)] = fields[2][:-2] + "89"
+        gone = rng.randrange(6)
+        if 1 <= gone <= 3:
+            fields[gone] = rng.choice([None, ""])
+        if gone == 4:
+            fields[1] = fields[2] = None
+        rows.append((i, fields[0], "Ulm", fields[1], fields[2], fields[3], True))
+    return rows
+
+
+def test_missing_fields_and_long_values_equal_brute_force(spark):
+    rows = missing_rows()
+    df = spark.createDataFrame(rows, SCHEMA)
+    for threshold in (80, 79, 90):
+        got = {(r.id, r.cand_id, r["rank"], round(r.overall, 6)) for r in R.find_duplicates(df, k=40, threshold=threshold).collect()}
+        want = brute(rows, 40, threshold)
+        assert len(want) > 100 and got == want, threshold
+    some = [r for r in rows if r[0] % 4 == 0]
+    got = {(r.id, r.cand_id, r["rank"]) for r in R.find_duplicates(spark.createDataFrame(some, SCHEMA), df, k=40).collect()}
+    assert got == {(a, b, c) for a, b, c, _ in brute(rows, 40) if a % 4 == 0}
+
+
+def test_profiles_with_a_missing_field_grow_with_the_rows(spark):
+    """One city; each profile without a field meets a few others, not the city."""
+    made = []
+    for n in (5_000, 20_000):
+        keys = spark.range(n).selectExpr(
+            "'b' AS block", "unhex(md5(string(id))) AS pkey", "true AS probe", "concat('firma ', id div 4) AS name_key",
+            "CASE WHEN id % 4 <> 1 THEN concat('weg ', id div 4) END AS address_key", "CASE WHEN id % 4 <> 2 THEN string(id div 4) END AS phone_key",
+            "CASE WHEN id % 4 <> 3 THEN concat('w', id div 4, '.de') END AS website_key",
+        )
+        made.append(R.near_equal_pairs(keys).count())
+    assert made == [3 * 5_000 // 4, 3 * 20_000 // 4]
+
+
 def test_lower_threshold_is_exact_too(spark):
     rows = make_rows(90, seed=9)
     hits = R.find_duplicates(spark.createDataFrame(rows, SCHEMA), k=3, threshold=60)
@@ -166,12 +217,73 @@ def test_review_guards(spark):
     updated, merges, errors = R.apply_reviews(cand, comp, dec)
     state = {r.id: (r.status, r.notes) for r in updated.collect()}
     assert state[1] == ("confirmed", "gleich") and state[5] == ("rejected", None) and state[6] == ("pending", "alt")
-    assert {r.candidate_id: r.error for r in errors.collect()} == {
-        2: "self merge", 3: "primary inactive", 4: "already duplicate", 9: "candidate not found",
+    assert {(r.candidate_id, r.error) for r in errors.collect()} == {
+        (2, "self merge"), (3, "primary inactive"), (4, "already duplicate"), (5, "already duplicate"), (9, "candidate not found"),
     }
     assert [(r.primary_id, r.duplicate_id) for r in merges.collect()] == [(1, 2)]
 
 
+def fold_reviews(cand, comp, dec):
+    """The rules, one decision after the other."""
+    cand, active, dup = {c[0]: list(c[1:]) for c in cand}, {c[0]: c[1] for c in comp}, {c[0]: bool(c[2]) for c in comp}
+    merges, errors = [], []
+    for c, action, p, d, who, why, seq in sorted(dec, key=lambda x: (x[6], x[0], x[2], x[3])):
+        if c not in cand:
+            error = "candidate not found"
+        elif action == "reject":
+            cand[c] = ["rejected", who, why]
+            continue
+        elif p not in active or d not in active:
+            error = "company not found"
+        elif p == d:
+            error = "self merge"
+        elif not active[p]:
+            error = "primary inactive"
+        elif dup[d]:
+            error = "already duplicate"
+        else:
+            active[d], dup[d] = False, True
+            merges.append((c, p, d, seq))
+            cand[c] = ["confirmed", who, why or cand[c][2]]
+            continue
+        errors.append((c, action, p, d, seq, error))
+    return {(k, *v) for k, v in cand.items()}, sorted(merges), sorted(errors)
+
+
+@pytest.mark.parametrize("seed, n, ids, hot", [(1, 400, 60, 0.0), (2, 500, 40, 0.4), (3, 300, 300, 0.0), (4, 200, 8, 0.3)])
+def test_reviews_equal_a_sequential_fold(spark, seed, n, ids, hot):
+    rng = random.Random(seed)
+    cand = [(i, "pending", None, None, rng.choice([None, "alt"])) for i in range(50)]
+    comp = [(i, rng.random() < 0.9, rng.choice([True, False, None]) if rng.random() < 0.15 else False) for i in range(ids)]
+
+    def company():
+        return 0 if rng.random() < hot else rng.randrange(ids + 2)
+
+    dec = [(rng.randrange(53), rng.choice(["merge"] * 4 + ["reject"]), company(), company(), f"u{i % 3}", rng.choice([None, "", f"r{i}"]), i) for i in range(n)]
+    dec += [(1, "merge", 3, 4, "u", "same", 50_000)] * 3  # repeated rows
+    # a chain in which every merge waits for the one before it
+    dec += [(i % 50, "merge", i % ids, (i + 1) % ids, "k", None, 10_000 + i) for i in range(25)]
+    rng.shuffle(dec)
+    want = fold_reviews([(c[0], c[1], c[2], c[4]) for c in cand], comp, dec)
+    updated, merges, errors = R.apply_reviews(
+        spark.createDataFrame(cand, "id long, status string, reviewed_by string, reviewed_at timestamp, notes string"),
+        spark.createDataFrame(comp, "id long, is_active boolean, is_duplicate boolean"),
+        spark.createDataFrame(dec, "candidate_id long, action string, primary_id long, duplicate_id long, reviewer string, reason string, seq long")
+        .withColumn("decided_at", F.lit("2024-01-01").cast("timestamp")).repartition(6),
+    )
+    assert {(r.id, r.status, r.reviewed_by, r.notes) for r in updated.collect()} == want[0]
+    rows = merges.collect()
+    assert sorted(map(tuple, rows)) == want[1] and len({r.duplicate_id for r in rows}) == len(rows)
+    assert sorted(map(tuple, errors.collect())) == want[2]
+
+
+def test_no_reviews(spark):
+    empty = spark.createDataFrame([], "candidate_id long, action string, primary_id long, duplicate_id long, reviewer string, reason string, seq long, decided_at timestamp")
+    cand = spark.createDataFrame([(1, "pending", None, None, "n")], "id long, status string, reviewed_by string, reviewed_at timestamp, notes string")
+    updated, merges, errors = R.apply_reviews(cand, spark.createDataFrame([(1, True, False)], "id long, is_active boolean, is_duplicate boolean"), empty)
+    assert [tuple(r) for r in updated.collect()] == [(1, "pending", None, None, "n")] and merges.count() == errors.count() == 0
+
+
 @pytest.mark.parametrize("tile_rows", [5, 20_000])
 def test_probe_against_base(spark, tile_rows):
     rows = make_rows(150, seed=11)
