@@ -25,9 +25,10 @@ def _w(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-_OVERALL = f"{_w(0.4)} * name_sim + {_w(0.2)} * address_sim + {_w(0.2)} * phone_sim + {_w(0.2)} * website_sim"
+OVERALL_SQL = f"{_w(0.4)} * name_sim + {_w(0.2)} * address_sim + {_w(0.2)} * phone_sim + {_w(0.2)} * website_sim"
 
-def _ceiling(a: str, b: str) -> str:
+
+def ceiling(a: str, b: str) -> str:
     """Upper bound of a rounded ratio: an edit distance never exceeds the insert/delete distance."""
     return f"coalesce(100.5 - 100.0 * levenshtein({a}, {b}) / greatest(length({a}) + length({b}), 1), 0)"
 
@@ -39,11 +40,11 @@ k AS MATERIALIZED ({_KEYS}),
 raw AS MATERIALIZED (SELECT a.id AS lo, b.id AS hi, a.name_key AS na, b.name_key AS nb, a.address_key AS aa, b.address_key AS ab,
     a.phone_key AS pa, b.phone_key AS pb, a.website_key AS wa, b.website_key AS wb
   FROM k a JOIN k b ON a.city IS NOT DISTINCT FROM b.city AND a.id < b.id WHERE a.is_active AND b.is_active
-    AND 2 * {_ceiling('a.name_key', 'b.name_key')} + {_ceiling('a.address_key', 'b.address_key')}
-      + {_ceiling('a.phone_key', 'b.phone_key')} + {_ceiling('a.website_key', 'b.website_key')} >= 399.99),
+    AND 2 * {ceiling('a.name_key', 'b.name_key')} + {ceiling('a.address_key', 'b.address_key')}
+      + {ceiling('a.phone_key', 'b.phone_key')} + {ceiling('a.website_key', 'b.website_key')} >= 399.99),
 sims AS MATERIALIZED (SELECT lo, hi, {D.ratio('na', 'nb')} AS name_sim, {D.ratio('aa', 'ab')} AS address_sim,
     {D.ratio('pa', 'pb')} AS phone_sim, {D.ratio('wa', 'wb')} AS website_sim FROM raw),
-pairs AS MATERIALIZED (SELECT *, {_OVERALL} AS overall FROM sims WHERE {_OVERALL} >= 80),
+pairs AS MATERIALIZED (SELECT *, {OVERALL_SQL} AS overall FROM sims WHERE {OVERALL_SQL} >= 80),
 both_ways AS (SELECT lo AS id, hi AS cand_id, * EXCLUDE (lo, hi) FROM pairs UNION ALL SELECT hi, lo, * EXCLUDE (lo, hi) FROM pairs),
 hits AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overall DESC, cand_id) AS rank FROM both_ways QUALIFY rank <= 5)
 """
@@ -81,7 +82,7 @@ def _(spark, sf_dir):
     return companies(spark, sf_dir).select("id", token_sort_key(F.lower("company_name")).alias("name_key"))
 
 
-@query("similarity_pairs", f"SELECT *, round({_OVERALL}, 6) AS overall FROM ({_PAIR_SIM}) p")
+@query("similarity_pairs", f"SELECT *, round({OVERALL_SQL}, 6) AS overall FROM ({_PAIR_SIM}) p")
 def _(spark, sf_dir):
     return _group_pairs(spark, sf_dir).select(
         "a_id", "b_id", *[f"{f}_sim" for f in R.FIELDS], F.round("overall", 6).alias("overall")
@@ -91,7 +92,7 @@ def _(spark, sf_dir):
 @query(
     "similarity_is_duplicate",
     f"""SELECT a_id, b_id FROM ({_PAIR_SIM}) p WHERE name_sim >= 85
-        AND (address_sim >= 80 OR phone_sim >= 90 OR website_sim >= 95 OR {_OVERALL} >= 80)""",
+        AND (address_sim >= 80 OR phone_sim >= 90 OR website_sim >= 95 OR {OVERALL_SQL} >= 80)""",
 )
 def _(spark, sf_dir):
     sims = [F.col(f"{f}_sim") for f in R.FIELDS]

@@ -20,14 +20,16 @@ def _same_key(left: DataFrame, right: DataFrame) -> Column:
     return (left["company_name"] == right["company_name"]) & left["city"].eqNullSafe(right["city"])
 
 
-def upsert(current: DataFrame, incoming: DataFrame, order_col: str) -> tuple[DataFrame, DataFrame]:
+def upsert(
+    current: DataFrame, incoming: DataFrame, order_col: str, defaults: dict | None = None, top: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(snapshot, outcome counts) of writing ``incoming`` over ``current``.
 
     Rows match on the exact name and city (NULL city equals NULL).  Non-NULL
     incoming values overwrite; inside one batch a later row updates an earlier
     one.  Of several stored rows of one name and city the one with the lowest id is
-    updated.  New rows are numbered after the highest id in order of arrival.
-    Rows without a name are errors.
+    updated.  New rows are numbered after the highest id (``top`` where that is known) in order of arrival, and have
+    ``defaults`` where the batch has nothing.  Rows without a name are errors.
     """
     values = [c for c in incoming.columns if c not in (*KEY, order_col, "id") and c in current.columns]
     named = incoming.filter(F.col("company_name").isNotNull() & (F.col("company_name") != ""))
@@ -36,37 +38,30 @@ def upsert(current: DataFrame, incoming: DataFrame, order_col: str) -> tuple[Dat
         F.count(F.lit(1)).alias("_rows"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_new_{c}") for c in values],
     )
-    # the reduced batch is small next to the snapshot; it is read three times below
-    reduced = checkpoint_cut(reduced)
-    batch = reduced.withColumnsRenamed({"company_name": "_name", "city": "_city"})
-    match = (current["company_name"] == batch["_name"]) & current["city"].eqNullSafe(batch["_city"])
+    batch = checkpoint_cut(reduced.withColumnsRenamed({"company_name": "_name", "city": "_city"}))
+    # the keys of the table meet those of the batch once; all that follows is as large as the batch
+    met = (current["company_name"] == batch["_name"]) & current["city"].eqNullSafe(batch["_city"])
+    target = current.select("id", *KEY).join(batch.select("_name", "_city"), met).groupBy(F.col("_name").alias("_n"), F.col("_city").alias("_c"))
+    target = target.agg(F.min("id").alias("_target"))
+    same = (F.col("_name") == F.col("_n")) & F.col("_city").eqNullSafe(F.col("_c"))
+    found = checkpoint_cut(batch.join(target, same, "left").drop("_n", "_c"))
     rest = [c for c in current.columns if c not in values]
-    # all hits of a key carry the same new values
-    hits = current.select("id", *KEY).join(batch, match).groupBy("_name", "_city").agg(
-        F.min("id").alias("_target"), *[F.first(f"_new_{c}").alias(f"_new_{c}") for c in values]
-    )
+    hits = found.filter("_target is not null").select("_target", *[f"_new_{c}" for c in values])
     updated = current.join(hits, current["id"] == hits["_target"], "left").select(
         *rest, *[F.coalesce(hits[f"_new_{c}"], current[c]).alias(c) for c in values]
     )
-    fresh = checkpoint_cut(insert_absent(current, reduced)[0])
+    fresh = found.filter("_target is null").withColumnsRenamed({"_name": "company_name", "_city": "city"})
     numbered = carry(fresh, [], ["_first"], block_of("_first", 1_000_000), sums={"_nth": F.lit(1)})
-    top = current.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"), F.lit(1).alias("_one"))
-    empty = {c: F.lit(None).cast(current.schema[c].dataType) for c in rest if c not in (*KEY, "id")}
-    inserted = (
-        numbered.withColumn("_one", F.lit(1))
-        .join(top, "_one")
-        .withColumns({"id": F.col("_top") + F.col("_nth"), **empty})
-        .withColumnsRenamed({f"_new_{c}": c for c in values})
-    )
+    highest = F.lit(top).cast("bigint") if top is not None else current.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+    given = defaults or {}
+    empty = {c: F.lit(given.get(c)).cast(current.schema[c].dataType) for c in rest if c not in (*KEY, "id")}
+    inserted = numbered.withColumns({"id": highest + F.col("_nth"), **empty}).withColumnsRenamed({f"_new_{c}": c for c in values})
+    inserted = inserted.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in given.items() if c in values})
     snapshot = updated.select(current.columns).unionByName(inserted.select(current.columns))
     # a second row of a key updates the row that the first one inserted
-    written = reduced.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.lit(1).alias("_one"))
-    new = fresh.agg(F.count(F.lit(1)).alias("new"), F.lit(1).alias("_one"))
-    errors = incoming.agg(
-        F.count_if(F.col("company_name").isNull() | (F.col("company_name") == "")).alias("errors"), F.lit(1).alias("_one")
-    )
-    counts = new.join(written, "_one").join(errors, "_one")
-    return snapshot, counts.select("new", (F.col("rows") - F.col("new")).alias("updated"), "errors")
+    errors = incoming.agg(F.count_if(F.col("company_name").isNull() | (F.col("company_name") == "")))
+    counts = found.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.count_if(F.col("_target").isNull()).alias("new"))
+    return snapshot, counts.select("new", (F.col("rows") - F.col("new")).alias("updated"), errors.scalar().alias("errors"))
 
 
 def insert_absent(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

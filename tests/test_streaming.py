@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kontor.operators import monitor as M
 from kontor.plans.demo_view import companies, table
 from kontor.streaming import alerts as A
+from kontor.streaming import buckets
 from kontor.streaming import guards as G
 from kontor.streaming import ingest as I
 
@@ -154,3 +155,44 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     write(spark.read.parquet(str(files[-1])).withColumn("is_active", F.lit(True)), 2)
     again = I.read_snapshot(spark, str(tmp_path / "out"))
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+
+
+def files(folder):
+    import os
+
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_leaves_untouched_buckets_alone(spark, tmp_path):
+    root = str(tmp_path / "table")
+    columns = "id long, company_name string, city string, phone string, website string, address string, is_active boolean, is_duplicate boolean, duplicate_of_id long"
+    rows = [(i, f"Firma {i} GmbH", f"Ort {i % 40}", f"+49 711 {i:06d}", f"https://www.f{i}.de", f"Weg {i}, 70173 Ort", True, False, None) for i in range(400)]
+    before = spark.createDataFrame(rows, columns)
+    buckets.seed(before, root, cities=8, names=4)
+    held = files(f"{root}/data")
+    assert len({(b.cb, b.nb) for b in buckets.manifest(spark, root)}) == len(buckets.manifest(spark, root)) == 32
+    batch = spark.createDataFrame(
+        [("Firma 3 GmbH", "Ort 3", "+49 711 999999", None, None, 1), ("Ganz neue AG", "Ort 3", "+49 711 5555", "https://www.neu.de", "Platz 1", 2),
+         ("Firma 43 GmbH ", "Ort 3", "+49 711 000043", "https://www.f43.de/", "Weg 43, 70173 Ort", 3), ("x", "Ort 3", None, None, None, 4), ("Neu und leer", None, None, None, None, 5)],
+        "company_name string, city string, phone string, website string, address string, seq long",
+    )
+    write = I.batch_writer(root, before.schema)
+    for _ in range(2):  # a retry gives the same
+        write(batch, 1)
+        now = files(f"{root}/data")
+        assert {k: now[k] for k in held} == held
+        entries = buckets.manifest(spark, root)
+        changed = {(b.cb, b.nb) for b in entries if b.version == 1}
+        assert 1 <= len(changed) <= 4 and len(entries) in (32, 33)
+        assert all(f"/cb={cb}/nb={nb}/" in " ".join(set(now) - set(held)) for cb, nb in changed)
+        found = {r.id: r for r in I.read_snapshot(spark, root).collect()}
+        assert sorted(found) == list(range(402)) and found[3].phone == "+49 711 999999" and found[3].website == "https://www.f3.de"
+        assert found[400].company_name == "Ganz neue AG" and found[400].is_active and not found[400].is_duplicate and found[401].city is None
+        assert spark.read.parquet(f"{root}/counts").drop("batch").first().asDict() == {
+            "new": 2, "updated": 2, "errors": 1, "auto_merged_duplicates": 0, "duplicate_candidates_created": 0,
+        }
+    # the table before the batch can still be read, and an empty batch changes nothing
+    assert I.read_snapshot(spark, root, before=1).count() == 400
+    write(batch.limit(0), 2)
+    assert I.read_snapshot(spark, root).count() == 402 and buckets.manifest(spark, root) is not None
+    assert {b.version for b in buckets.manifest(spark, root)} == {0, 1}
