@@ -150,37 +150,96 @@ def linear_percentile(c: Column, p: float) -> Column:
     return F.percentile(c, F.lit(p))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], prefix: str = "p") -> DataFrame:
+#: Bits of a value's image that one round of the rank search tells apart.
+DIGIT = 16
+
+
+def ordered_image(c: Column) -> Column:
+    """A double as a 64-bit number in the same order: exponent and mantissa, negated for negative values; NaN is the largest."""
+    a = F.abs(c)
+    near = F.floor(F.log2(a))
+    exponent = near - (F.pow(F.lit(2.0), near) > a).cast("int") + (F.pow(F.lit(2.0), near + 1) <= a).cast("int")
+    normal = (exponent + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), exponent) - 1) * F.lit(float(1 << 52))).cast("bigint")
+    size = (
+        F.when(F.isnan(c), F.lit((2047 << 52) + 1))
+        .when(a == float("inf"), F.lit(2047 << 52))
+        .when(a < 2.2250738585072014e-308, (a / F.lit(5e-324)).cast("bigint"))
+        .otherwise(normal)
+    )
+    return F.when(c < 0, -size).otherwise(size)
+
+
+def _join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on equal names, nulls being equal; the names come from the left."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in names})
+    met = F.lit(True)
+    for c in names:
+        met = met & left[c].eqNullSafe(other[f"_r_{c}"])
+    return left.join(other, met).drop(*[f"_r_{c}" for c in names])
+
+
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, shares: list[float], prefix: str = "p",
+    panes: list[str] | None = None, groups: DataFrame | None = None,
+) -> DataFrame:
     """Exact interpolated percentiles per key for groups of any size.
 
-    ``percentile`` keeps every distinct value of a group in one task.  Here equal
-    values are counted first, and a running count, split by value range, finds the
-    rows that hold the wanted ranks.  Columns: keys, n, and e.g. p50, p95.
+    Radix selection: rows are counted by key and the first ``DIGIT`` bits of the value's image (with map-side combine),
+    the running count tells which of these ranges holds each wanted rank, and only the rows of
+    those ranges are counted by their next bits, until a range holds one value.  No task sees more than the counts of a group's
+    ranges, however close the values lie.  Columns: keys, n, and e.g. p50, p95.
+
+    With ``groups`` (columns ``panes`` and ``keys``) a row belongs to every key of its panes, as with
+    sliding windows: counts of panes are added up to groups, rows are not copied.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = checkpoint_cut(counts)
-    # grows with the value, about a thousand ranges per order of magnitude
-    span = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 256)
-    ranked = carry(counts, keys, ["_v"], span, sums={"_upto": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & ranked[k].eqNullSafe(totals[k])
-    joined = ranked.join(totals, same).select(*[ranked[k] for k in keys], "_v", "_n", "_upto", "n")
-    at = {}
+    at_panes = groups is not None
+    rows = df.filter(F.col(value).isNotNull()).select(*(panes if at_panes else keys), F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_u", ordered_image(F.col("_v")))
+    ends = []
     for i, share in enumerate(shares):
         rank = (F.col("n") - 1) * F.lit(share)
-        for end, index in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
-            at[f"_{end}{i}"] = F.max(F.when(inside, F.col("_v")))
-    found = joined.groupBy(*keys).agg(F.max("n").alias("n"), *[c.alias(n) for n, c in at.items()])
+        ends += [F.struct(F.lit(2 * i).alias("slot"), F.floor(rank).alias("at")), F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(rank).alias("at"))]
+    totals = done = open_ = None
+    part = list(keys)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        if open_ is not None:
+            wanted = open_.select(*keys, "_prefix").distinct()
+            if at_panes:
+                wanted = _join(wanted, groups, keys)
+            known = rows.withColumn("_prefix", F.shiftright("_u", shift + DIGIT))
+            rows = _join(known, wanted, [*(panes if at_panes else keys), "_prefix"])
+            rows, at_panes, part = checkpoint_cut(rows.select(*keys, "_prefix", "_v", "_u")), False, [*keys, "_prefix"]
+        counts = rows.groupBy(*(panes if at_panes else part), F.shiftright("_u", shift).alias("_range")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_u").alias("_low"), F.max("_u").alias("_high"), F.min("_v").alias("_value")
+        )
+        if at_panes:
+            counts = _join(counts, groups, panes).groupBy(*keys, "_range").agg(
+                F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_value").alias("_value")
+            )
+        counts = checkpoint_cut(counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*part).orderBy("_range"))))
+        if totals is None:
+            totals = checkpoint_cut(counts.groupBy(*keys).agg(F.max("_upto").alias("n")))
+            wants = totals.select(*keys, F.inline(F.array(*ends)))
+        else:
+            wants = open_
+        inside = (F.col("_upto") - F.col("_n") <= F.col("at")) & (F.col("at") < F.col("_upto"))
+        found = _join(counts, wants, part).filter(inside).withColumn("at", F.col("at") - F.col("_upto") + F.col("_n"))
+        found = checkpoint_cut(found.select(*keys, "slot", "at", F.col("_range").alias("_prefix"), "_low", "_high", "_value"))
+        settled = found.filter("_low = _high").select(*keys, "slot", "_value")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = found.filter("_low < _high").select(*keys, "slot", "at", "_prefix")
+        if open_.isEmpty():
+            break
+    whole = _join(done, totals, keys)
+    at = [F.max(F.when(F.col("slot") == i, F.col("_value"))).alias(f"_{i}") for i in range(2 * len(shares))]
+    whole = whole.groupBy(*keys).agg(F.max("n").alias("n"), *at)
     out = []
     for i, share in enumerate(shares):
         rank = (F.col("n") - 1) * F.lit(share)
-        weight = rank - F.floor(rank)
+        low, high = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
         label = f"{prefix}{share * 100:g}".replace(".", "_")
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * weight).alias(label))
-    return found.select(*keys, "n", *out)
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(label))
+    return whole.select(*keys, "n", *out)
 
 
 def histogram_quantile(df: DataFrame, keys: list[str], le: str, count: str, q: float) -> DataFrame:
@@ -222,6 +281,9 @@ def to_histogram(df: DataFrame, keys: list[str], value: Column, bounds: list[flo
 def top_endpoints(df: DataFrame, k: int = 10, by: str = "rate", endpoint: str = "endpoint", value: str = "value") -> DataFrame:
     """Busiest (``rate``) or slowest (``p95``) endpoints."""
     counted = df.groupBy(endpoint).agg(F.count(F.lit(1)).alias("requests"))
+    if by == "rate":  # only the endpoints that are reported are ranked by time
+        counted = checkpoint_cut(counted.orderBy(F.desc("requests"), endpoint).limit(k))
+        df = df.join(counted.select(endpoint), endpoint, "left_semi")
     slow = percentiles(df, [endpoint], value, [0.95]).select(endpoint, F.round("p95", 6).alias("p95"))
     stats = counted.join(slow, endpoint, "left")
     return stats.orderBy(F.desc("requests" if by == "rate" else "p95"), endpoint).limit(k)

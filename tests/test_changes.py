@@ -133,3 +133,56 @@ def test_percentiles_of_a_hot_group(spark):
     assert got.keys() == expected.keys() and None in got
     for k, values in expected.items():
         assert got[k] == pytest.approx(values, abs=1e-9)
+
+
+def exact_percentiles(values, shares):
+    import numpy as np
+
+    return [float(np.percentile(np.array(values), 100 * p)) for p in shares]
+
+
+def test_percentiles_of_close_and_extreme_values(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    groups = {
+        "one ms": [1.0 + rng.random() / 1000 for _ in range(4000)],
+        "neighbours": [math.nextafter(1.0, 2.0) if i % 3 else 1.0 for i in range(300)] + [1.0 + 2**-50],
+        "orders": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(500)],
+        "tiny": [5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 0.0, -0.0, -5e-324],
+        "powers": [2.0**k for k in range(-40, 41)] + [math.nextafter(2.0**k, 0) for k in range(-40, 41)],
+        "single": [7.25],
+        None: [float(i) for i in range(10)],
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("empty", None)], "k string, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.k: r for r in rollup.percentiles(rows, ["k"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k].n == len(values)
+        assert [got[k].p0, got[k].p25, got[k].p50, got[k].p95, got[k].p100] == pytest.approx(exact_percentiles(values, shares), rel=1e-12, abs=0)
+
+
+def test_images_keep_the_order(spark):
+    import random
+    import struct
+
+    rng = random.Random(8)
+    values = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [2.0**k for k in range(-1074, 1024, 7)] + [0.0, float("inf"), float("-inf")]
+    values = sorted({v for v in values if v == v})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    images = [r.u for r in rows.select("i", rollup.ordered_image(F.col("v")).alias("u")).orderBy("i").collect()]
+    assert all(a < b for a, b in zip(images, images[1:]))
+
+
+@pytest.mark.parametrize("width, slide", [("5 minutes", "1 minute"), ("7 minutes", "3 minutes"), ("1 minute", "1 minute")])
+def test_window_percentiles_equal_copies(spark, width, slide):
+    from kontor.operators import monitor
+
+    rows = spark.range(3000).selectExpr("timestamp_seconds(1700000000 + (id * 7919) % 4000) AS ts", "(id * 31 % 997) / 997.0D AS v")
+    got = monitor.quantile_alert(rows, "ts", "v", 0.95, 0.9, width, slide, slide)
+    copied = rows.groupBy(F.window("ts", width, slide).alias("w")).agg(F.percentile("v", F.lit(0.95)).alias("level")).select(F.col("w.start").alias("window_start"), "level")
+    want = {r.window_start: r.level for r in copied.collect()}
+    found = {r.window_start: r.level for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
