@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kontor.functions.normalize import domain_key
 from kontor.functions.text import blank_to_null, filled, strip
 from kontor.functions.validate import is_company_site
-from kontor.operators.prefix import block_of, carry
+from kontor.operators.prefix import carry
 
 
 def enrich(
@@ -53,7 +53,6 @@ def budget_flag(
     eligible: Column,
     hit: Column | None = None,
     keys: list[str] | None = None,
-    block_size: int = 100_000,
 ) -> DataFrame:
     """Add ``looked_up``: the row is within the lookup budget.
 
@@ -62,7 +61,7 @@ def budget_flag(
     """
     counted = eligible if hit is None else eligible & hit
     one = F.coalesce(counted, F.lit(False)).cast("bigint")
-    run = carry(df.withColumn("_one", one), keys or [], [order], block_of(order, block_size), sums={"_used": F.col("_one")})
+    run = carry(df.withColumn("_one", one), keys or [], [order], sums={"_used": F.col("_one")})
     return run.withColumn("looked_up", F.coalesce(eligible, F.lit(False)) & (F.col("_used") - F.col("_one") < n)).drop("_used", "_one")
 
 

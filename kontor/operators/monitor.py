@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.operators import fold
-from kontor.operators.prefix import carry, day_of
+from kontor.operators.prefix import RANGE, carry, following, in_ranges
 from kontor.operators.rollup import percentiles
 from kontor.session import checkpoint_cut
 
@@ -114,14 +114,14 @@ def absence_alert(df: DataFrame, ts: str, wanted: Column, width: str = "1 hour",
 
 
 def in_progress(df: DataFrame, ts: str, order: str, start: Column, end: Column, keys: list[str] | None = None) -> DataFrame:
-    """Running gauge: +1 on start, -1 on end.  Split by day, so no key is one task."""
+    """Running gauge: +1 on start, -1 on end.  Ranges of rows are added up apart, so no key or day is one task."""
     delta = F.when(start, 1).when(end, -1).otherwise(0).cast("bigint")
-    return carry(df, keys or [], [ts, order], day_of(ts), sums={"in_progress": delta})
+    return carry(df, keys or [], [ts, order], sums={"in_progress": delta})
 
 
 def counter_delta(df: DataFrame, keys: list[str], ts: str, order: str, value: str) -> DataFrame:
     """Increase since the previous sample; after a reset the sample itself."""
-    seen = carry(df, keys, [ts, order], day_of(ts), lasts={"previous": F.col(value)})
+    seen = carry(df, keys, [ts, order], lasts={"previous": F.col(value)})
     before = F.coalesce("previous", F.lit(0))
     return seen.withColumn("delta", F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))).drop("previous")
 
@@ -137,21 +137,19 @@ def lockouts(
     reaches ``n``; from then on every success is refused and the counter only grows.
     Adds ``failed_attempts``, ``refused`` and ``locked_until`` (of failures).
     """
-    us = F.unix_micros(ts)
-    day = day_of(ts)
     by = [ts, order]
-    base = df.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_us": us})
+    base = in_ranges(df.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_us": F.unix_micros(ts)}), [user], by)
     # each step reads the one before several times, so the steps are written once
     seen = checkpoint_cut(
         carry(
-            base, [user], by, day,
+            base, [user], by,
             sums={"_fails": (~F.col("_ok")).cast("bigint")},
             lasts={"_fail_us": F.when(~F.col("_ok"), F.col("_us"))},
         )
     )
     quiet = F.col("_fail_us").isNull() | (F.col("_us") - F.col("_fail_us") >= F.lit(lock_seconds * 1_000_000))
     marked = carry(
-        seen, [user], by, day,
+        seen, [user], by,
         sums={"_stretch": (F.col("_ok") & quiet).cast("bigint")},
         lasts={"_at_ok": F.when(F.col("_ok"), F.col("_fails"))},
     )
@@ -176,13 +174,37 @@ def lockouts(
 
 
 def suppress(df: DataFrame, key: str, ts: str, order: str, ttl: int = ALERT_TTL_SECONDS) -> DataFrame:
-    """Add ``sent``: no alert of the key was sent in the last ``ttl`` seconds."""
-    return fold.fold_segments(df, key, ts, order, ttl, fold.suppressing_step(ttl)).withColumnRenamed("accepted", "sent").drop("in_window")
+    """Add ``sent``: no alert of the key was sent in the last ``ttl`` seconds.
+
+    The alert sent after an alert is the first one at least ``ttl`` later.  These pointers are found by one scan;
+    an alert after a pause of ``ttl`` is always sent, and whatever the pointers reach from
+    those is.  Pointers are doubled in each round, so a key that never pauses takes rounds by the logarithm of its sent alerts and is spread by row.
+    """
+    span = ttl * 1_000_000
+    ranged = in_ranges(df.withColumn("_us", F.unix_micros(ts)), [key], [ts, order])
+    seen = checkpoint_cut(carry(ranged, [key], [ts, order], lasts={"_prev": F.col("_us")}))
+    rows = checkpoint_cut(carry(seen, [], [key, ts, order], sums={"_id": F.lit(1).cast("bigint")}).drop(RANGE))
+    opens = rows.filter(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= span)).select("_id")
+    pointers = checkpoint_cut(following(rows, [key], "_us", order, span, "_id", "_next").filter("_next is not null").select("_id", "_next"))
+    # only alerts that something points to, or that open a stretch, can be on a way
+    on_way = opens.unionByName(pointers.select(F.col("_next").alias("_id"))).distinct()
+    jumps = checkpoint_cut(pointers.join(on_way, "_id", "left_semi"))
+    reached = checkpoint_cut(opens)
+    while True:
+        further = reached.join(jumps, "_id").select(F.col("_next").alias("_id")).distinct()
+        new = checkpoint_cut(further.join(reached, "_id", "left_anti"))
+        if new.isEmpty():
+            break
+        reached = checkpoint_cut(reached.unionByName(new))
+        target = jumps.select(F.col("_id").alias("_next"), F.col("_next").alias("_after"))
+        jumps = checkpoint_cut(jumps.join(target, "_next").select("_id", F.col("_after").alias("_next")))
+    sent = reached.withColumn("sent", F.lit(True))
+    return rows.join(sent, "_id", "left").withColumn("sent", F.coalesce("sent", F.lit(False))).select(*df.columns, "sent")
 
 
 def admission(df: DataFrame, key: str, ts: str, order: str, limit: int = 10, width: int = 60) -> DataFrame:
     """Add ``admitted`` and ``remaining``: at most ``limit`` admitted rows per key and window."""
-    folded = fold.fold_segments(df, key, ts, order, width, fold.admission_step(limit, width))
+    folded = fold.fold_pieces(df, key, ts, order, width, fold.admission_step(limit, width))
     remaining = F.greatest(F.lit(0), F.lit(limit) - F.col("in_window") - F.col("accepted").cast("bigint"))
     return folded.withColumn("remaining", remaining).withColumnRenamed("accepted", "admitted").drop("in_window")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontor.operators.prefix import block_of, carry
+from kontor.operators.prefix import numbered
 from kontor.operators.select import parse_choice
 from kontor.schemas import LEAD_QUALITY, LEAD_STATUS
 from kontor.session import checkpoint_cut
@@ -51,11 +51,11 @@ def upsert(
         *rest, *[F.coalesce(hits[f"_new_{c}"], current[c]).alias(c) for c in values]
     )
     fresh = found.filter("_target is null").withColumnsRenamed({"_name": "company_name", "_city": "city"})
-    numbered = carry(fresh, [], ["_first"], block_of("_first", 1_000_000), sums={"_nth": F.lit(1)})
+    named_rows = numbered(fresh, ["_first"], "_nth")
     highest = F.lit(top).cast("bigint") if top is not None else current.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
     given = defaults or {}
     empty = {c: F.lit(given.get(c)).cast(current.schema[c].dataType) for c in rest if c not in (*KEY, "id")}
-    inserted = numbered.withColumns({"id": highest + F.col("_nth"), **empty}).withColumnsRenamed({f"_new_{c}": c for c in values})
+    inserted = named_rows.withColumns({"id": highest + F.col("_nth"), **empty}).withColumnsRenamed({f"_new_{c}": c for c in values})
     inserted = inserted.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in given.items() if c in values})
     snapshot = updated.select(current.columns).unionByName(inserted.select(current.columns))
     # a second row of a key updates the row that the first one inserted

@@ -48,15 +48,58 @@ def test_bulk_arguments_are_checked(spark):
         select.parse_choice("NEW", ["new"], by="value")
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000])
-def test_carry_equals_one_window(spark, block):
-    df = spark.range(200).selectExpr("id", "id % 3 AS k", "(id * 37) % 101 AS v", "CASE WHEN id % 7 = 0 THEN id END AS mark")
-    got = prefix.carry(df, ["k"], ["id"], prefix.block_of("id", block), sums={"s": F.col("v")}, lasts={"l": F.col("mark")})
+@pytest.mark.parametrize("reverse", [False, True])
+def test_carry_equals_one_window(spark, reverse):
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 10 < 6 THEN 0 WHEN id % 10 = 9 THEN NULL ELSE id % 10 END AS k", "(id * 37) % 101 AS v", "CASE WHEN id % 7 = 0 THEN id END AS mark")
+    got = prefix.carry(df, ["k"], ["v", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("mark")}, reverse=reverse)
+    down = "DESC" if reverse else "ASC"
     want = df.selectExpr(
-        "id", "sum(v) OVER (PARTITION BY k ORDER BY id) AS s",
-        "last(mark, true) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l",
+        "id", f"sum(v) OVER (PARTITION BY k ORDER BY v {down}, id {down} ROWS UNBOUNDED PRECEDING) AS s",
+        f"last(mark, true) OVER (PARTITION BY k ORDER BY v {down}, id {down} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l",
     )
     assert sorted(map(tuple, got.select("id", "s", "l").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # further values in the same ranges, over all keys
+    ranged = prefix.in_ranges(df, ["k"], ["v", "id"], reverse)
+    assert ranged.groupBy(prefix.RANGE).count().agg(F.max("count")).first()[0] < 200
+    first = prefix.carry(ranged, ["k"], ["v", "id"], sums={"s": F.col("v")}, reverse=reverse)
+    if not reverse:
+        both = prefix.carry(first, [], ["k", "v", "id"], sums={"n": F.lit(1)}).collect()
+        assert sorted(r.n for r in both) == list(range(1, 301))
+        assert [r.id for r in sorted(both, key=lambda r: r.n)] == [r.id for r in df.orderBy("k", "v", "id").collect()]
+
+
+def slow_guards(rows, ttl, limit, width):
+    """(sent, admitted, remaining) by id; rows are (id, key, second)."""
+    last, held, out = {}, {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        sent = k not in last or t - last[k] >= ttl
+        if sent:
+            last[k] = t
+        kept = [x for x in held.get(k, []) if x > t - width]
+        ok = len(kept) < limit
+        held[k] = kept + [t] * ok
+        out[i] = (sent, ok, max(0, limit - len(held[k])))
+    return out
+
+
+@pytest.mark.parametrize("seed, step", [(1, 7), (2, 40), (3, 400)])
+def test_guards_of_a_key_that_never_pauses(spark, seed, step):
+    import random
+
+    from kontor.operators import monitor
+
+    rng = random.Random(seed)
+    rows, t = [], 0
+    for i in range(1500):
+        t += rng.randrange(step) if rng.random() < 0.9 else 0
+        rows.append((i, rng.choice([0, 0, 0, 0, 1, 2, None]), t))
+    rows += [(2000 + i, 9, 5) for i in range(40)]  # one second holds a whole key
+    df = spark.createDataFrame(rows, "id long, k long, t long").withColumn("ts", F.timestamp_seconds("t")).repartition(4)
+    want = slow_guards(rows, 300, 3, 60)
+    sent = {r.id: r.sent for r in monitor.suppress(df, "k", "ts", "id", 300).collect()}
+    assert sent == {i: v[0] for i, v in want.items()}
+    admitted = {r.id: (r.admitted, r.remaining) for r in monitor.admission(df, "k", "ts", "id", 3, 60).collect()}
+    assert admitted == {i: v[1:] for i, v in want.items()}
 
 
 def test_provenance_keeps_sources_without_fields(spark):
