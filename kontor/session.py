@@ -25,6 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         # small local inputs still use all cores after a shuffle
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the stream guards keep lists and timers by key
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # keep the generated classes of long query lists, they are slow to warm up again
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", os.environ.get("KONTOR_DRIVER_MEMORY", "12g"))
