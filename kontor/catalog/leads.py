@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from kontor.functions import validate as V
 from kontor.functions.text import strip
 from kontor.operators import ingest, rollup, score, select
 from kontor.plans.demo_view import companies, table
+from kontor.session import scratch_dir
+from kontor.sources import readers
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +116,50 @@ def _(spark, sf_dir):
     "SELECT p_partkey AS id, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red')"
     " AND list_contains(string_split(lower(p_name), ' '), 'widget')",
 )
+def _(spark, sf_dir):
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name")
+    index = f"{scratch_dir(spark)}/kontor-postings-{uuid.uuid4().hex}"
+    select.write_postings(part, index, "p_name")
+    return part.join(select.lookup_postings(spark, index, ["red", "Widget"]), "id")
+
+
+@query(
+    "filter_name_scan",
+    "SELECT p_partkey AS id, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red')"
+    " AND list_contains(string_split(lower(p_name), ' '), 'widget')",
+)
 def _(spark, sf_dir):
     part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name")
     return select.name_match(part, ["red", "Widget"], "p_name")
 
 
+# Leads as dumps of arrays, 200 to a line; every 50th is broken off, every 70th isn't JSON.
+_DUMPED = "concat('Firma ', c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ' {\"x\"}, [' ELSE '' END)"
+
+
+@query(
+    "source_read_dumps",
+    """SELECT CASE WHEN c_custkey % 50 <> 7 AND c_custkey % 70 <> 3 THEN c_custkey END AS id,
+         CASE WHEN c_custkey % 50 <> 7 AND c_custkey % 70 <> 3 THEN 'Firma ' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN ' {"x"}, [' ELSE '' END END AS company_name,
+         CASE WHEN c_custkey % 50 <> 7 AND c_custkey % 70 <> 3 THEN c_mktsegment END AS city,
+         c_custkey % 50 = 7 OR c_custkey % 70 = 3 AS broken FROM customer""",
+)
+def _(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    lead = F.to_json(F.struct(
+        F.col("c_custkey").alias("id"), F.expr(_DUMPED).alias("company_name"), F.struct(F.lit("n}").alias("note"), F.array(F.lit(1), F.lit(2)).alias("list")).alias("more"),
+        F.col("c_mktsegment").alias("city"),
+    ))
+    text = F.when(F.col("c_custkey") % 50 == 7, F.lit('{"id": 1, "company_name": , "city": "A"}')).when(
+        F.col("c_custkey") % 70 == 3, F.lit('oops {"id": 2}')
+    ).otherwise(lead)
+    arrays = customer.groupBy(F.floor(F.col("c_custkey") / 200).alias("block")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ", "), F.lit("]")).alias("value"))
+    path = f"{scratch_dir(spark)}/kontor-dumps-{uuid.uuid4().hex}"
+    arrays.select("value").write.text(path)
+    rows = readers.read_json_objects(spark, path, "id bigint, company_name string, city string")
+    return rows.select("id", "company_name", "city", F.col("corrupt").isNotNull().alias("broken"))
+
+
 @query(
     "filter_token_index",
     r"""SELECT token, count(*) AS docs FROM (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kontor.operators import fold
 from kontor.operators.prefix import RANGE, carry, following, in_ranges
 from kontor.operators.rollup import percentiles
+from kontor.operators.skew import planned_join
 from kontor.session import checkpoint_cut
 
 # Alert thresholds and hold times.
@@ -231,12 +232,13 @@ def observed_load(df: DataFrame, key: str, ts: str, width: int = 60) -> DataFram
 def fan_out(events: DataFrame, subscriptions: DataFrame, event: str = "event") -> DataFrame:
     """One delivery per event and active subscription that lists the event name.
 
-    ``subscriptions``: webhook_id, url, active, events (array).
+    ``subscriptions``: webhook_id, url, active, events (array).  There are few names, so
+    the join is planned: a name that most events have is spread over many tasks.
     """
     wanted = subscriptions.filter("active").select(
         "webhook_id", "url", F.explode(F.array_distinct("events")).alias(event)
     )
-    return events.join(wanted, event)
+    return planned_join(events, wanted, event)
 
 
 def health_rollup(checks: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,28 @@ def token_index(df: DataFrame, column: str, key: str = "id") -> DataFrame:
     """(token, key) rows for repeated word lookups; write it partitioned or bucketed by token."""
     words = F.split(F.lower(F.regexp_replace(column, r"(?U)[^\w]+", " ")), " ")
     return df.select(key, F.explode(F.array_distinct(words)).alias("token")).filter("token <> ''")
+
+
+#: Folders that the postings are dealt to by their token.
+POSTING_BUCKETS = 64
+
+
+def write_postings(df: DataFrame, path: str, column: str = "company_name", key: str = "id", buckets: int = POSTING_BUCKETS) -> None:
+    """Write the token index for lookups: a folder per bucket of tokens, sorted by token within its files.
+
+    A bucket is written by as many tasks as its rows are spread over, so a word of most rows isn't one file.
+    """
+    rows = token_index(df, column, key).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "token")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def lookup_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = POSTING_BUCKETS) -> DataFrame:
+    """Keys of the rows that hold every given word: reads the buckets of those words only and counts words by key."""
+    wanted = sorted({t.lower() for t in terms})
+    asked = spark.createDataFrame([(t,) for t in wanted], "token string")
+    folders = sorted({r[0] for r in asked.select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).collect()})
+    rows = spark.read.parquet(path).filter(F.col("bucket").isin(folders) & F.col("token").isin(wanted))
+    key = next(c for c in rows.columns if c not in ("token", "bucket"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") == len(wanted)).select(key)

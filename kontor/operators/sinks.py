@@ -106,12 +106,26 @@ def dump_leads(df: DataFrame, path: str) -> None:
 
 
 def expired_snapshots(manifest: DataFrame, keep: dict[str, int] | None = None) -> DataFrame:
-    """Snapshots beyond the newest N of their class.  Rows: snapshot, kind, created_at."""
+    """Snapshots beyond the newest N of their class.  Rows: snapshot, kind, created_at.
+
+    The N newest of a class are found by a bounded sort (each task keeps N rows); the last of them is the
+    boundary that the manifest is filtered by.  Of equally new snapshots the lower ones stay; those without a time are the oldest.
+    """
     limits = KEEP_SNAPSHOTS if keep is None else keep
-    table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    newest = Window.partitionBy("kind").orderBy(F.desc("created_at"), "snapshot")
-    known = manifest.filter(F.col("kind").isin(list(limits)))
-    return known.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") > F.try_element_at(table, F.col("kind"))).drop("nth")
+    bounds = None
+    for kind, n in limits.items():
+        newest = manifest.filter(F.col("kind") == kind).select("kind", "created_at", "snapshot").orderBy(F.desc("created_at"), "snapshot").limit(n)
+        nth = newest.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("created_at"), "snapshot")))  # n rows
+        # below a class of fewer rows nothing expires; of a class that keeps none, all do
+        part = nth.filter(F.col("nth") == n).select("kind", F.col("created_at").alias("since"), F.col("snapshot").alias("upto"))
+        if n == 0:
+            part = manifest.sparkSession.createDataFrame([(kind,)], "kind string").select(
+                "kind", F.lit(None).cast(manifest.schema["created_at"].dataType).alias("since"), F.lit(None).cast(manifest.schema["snapshot"].dataType).alias("upto")
+            )
+        bounds = part if bounds is None else bounds.unionByName(part)
+    older = F.coalesce(F.col("created_at") < F.col("since"), F.col("since").isNotNull() & F.col("created_at").isNull())
+    tied = F.col("created_at").eqNullSafe(F.col("since")) & (F.col("snapshot") > F.col("upto"))
+    return manifest.join(bounds, "kind").filter(F.col("upto").isNull() | older | tied).select(manifest.columns)
 
 
 def snapshot_check(tables: dict[str, DataFrame], copies: dict[str, DataFrame]) -> DataFrame:

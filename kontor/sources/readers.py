@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kontor.operators.prefix import carry, in_ranges
 from kontor.schemas import SOURCE, SOURCE_REF
+from kontor.session import checkpoint_cut
 from kontor.sources.profiles import REGISTRY, Profile
 
 # The known sources (name, display name, address, type).
@@ -28,11 +30,49 @@ def read_leads_json(spark: SparkSession, path: str) -> DataFrame:
     """Lead dumps (one JSON array per file) with ``sources`` as a list in both known shapes.
 
     Old dumps hold ``sources`` as {primary, urls, data_sources}; the url list is
-    paired with the data sources in order.  Files are read whole, one row per lead.
+    paired with the data sources in order.  Large files are read in pieces, one row per lead; ``corrupt`` has what isn't valid.
     """
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in _LEAD_TEXT], T.StructField("sources", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return unify_sources(raw)
+    return unify_sources(read_json_objects(spark, path, schema))
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Objects of files with JSON arrays (or objects one after the other) of any size, and ``corrupt``: the text of those that aren't valid.
+
+    The files are read in pieces that end at a closing brace, which Spark splits like lines, so one large array is many
+    tasks.  Running counts tell for each piece whether it starts inside a string and how
+    deep it is; the pieces up to a brace at the top are one object.  Whatever stands before an object besides commas and
+    brackets makes it corrupt, and so does a missing end.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    order = ["block", "row"]
+    pieces = in_ranges(raw, ["file"], order)
+    plain = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    marked = checkpoint_cut(carry(pieces, ["file"], order, sums={"_quotes": quotes.cast("bigint")}))
+    starts_inside = (F.col("_quotes") - quotes) % 2 == 1
+    closed = F.regexp_replace(F.concat(F.when(starts_inside, F.lit('"')).otherwise(F.lit("")), plain), '"[^"]*"', "")
+    outside = F.regexp_replace(closed, '"[^"]*$', "")
+    ends = (F.col("_quotes") % 2 == 0).cast("bigint")  # the brace that ends the piece isn't part of a string
+    opens = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+    deep = checkpoint_cut(carry(marked.withColumns({"_change": opens - ends, "_ends": ends}), ["file"], order, sums={"_depth": F.col("_change")}))
+    top = ((F.col("_ends") == 1) & (F.col("_depth") == 0)).cast("bigint")
+    told = carry(deep.withColumn("_top", top), ["file"], order, sums={"_objects": F.col("_top")})
+    parts = F.sort_array(F.collect_list(F.struct("block", "row", "value")))
+    whole = told.groupBy("file", (F.col("_objects") - F.col("_top")).alias("_object")).agg(parts.alias("_parts"), F.max("_top").alias("_whole"))
+    joined = F.array_join(F.transform("_parts", lambda p: p["value"]), "}")
+    text = F.regexp_replace(F.concat(joined, F.when(F.col("_whole") == 1, F.lit("}")).otherwise(F.lit(""))), r"^[\s,\[\]]+", "")
+    objects = whole.select(text.alias("_text")).filter("_text <> ''")
+    known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = T.StructType([*known.fields, T.StructField("corrupt", T.StringType())])
+    parsed = F.from_json("_text", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    good = F.col("_text").startswith("{")
+    return objects.select(parsed.alias("_v"), "_text", good.alias("_good")).select(
+        *[F.when(F.col("_good") & F.col("_v.corrupt").isNull(), F.col(f"_v.{f.name}")).alias(f.name) for f in fields if f.name != "corrupt"],
+        F.when(F.col("_good"), F.col("_v.corrupt")).otherwise(F.col("_text")).alias("corrupt"),
+    )
 
 
 def unify_sources(raw: DataFrame, column: str = "sources") -> DataFrame:

@@ -229,3 +229,48 @@ def test_window_percentiles_equal_copies(spark, width, slide):
     want = {r.window_start: r.level for r in copied.collect()}
     found = {r.window_start: r.level for r in got.collect()}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_planned_join_spreads_a_hot_key(spark):
+    from kontor.operators import monitor, skew
+
+    events = spark.range(4000).selectExpr("id AS event_id", "CASE WHEN id % 10 < 9 THEN 'hot' WHEN id % 50 = 49 THEN NULL ELSE concat('k', id % 7) END AS event", "map('a', id) AS extra")
+    subs = spark.range(60).selectExpr("id AS webhook_id", "concat('u', id) AS url", "id % 4 <> 0 AS active", "CASE WHEN id < 50 THEN array('hot', 'hot') ELSE array('k1', 'k2') END AS events")
+    got = monitor.fan_out(events, subs).select("event_id", "webhook_id")
+    wanted = subs.filter("active").select("webhook_id", F.explode(F.array_distinct("events")).alias("event"))
+    want = events.join(wanted, "event").select("event_id", "webhook_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert skew._cuts(events, "event", parts)["hot"] >= parts * 0.9 and len(skew._cuts(events, "event", parts)) <= parts
+    assert skew.planned_join(events.limit(0), wanted, "event").count() == 0
+
+
+def test_retention_boundaries(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"s{i:03d}", rng.choice(["daily", "weekly", "monthly", "other"]), rng.choice([None, dt.datetime(2024, 1, rng.randint(1, 9))])) for i in range(120)]
+    manifest = spark.createDataFrame(rows, "snapshot string, kind string, created_at timestamp").repartition(5)
+    keep = {"daily": 7, "weekly": 0, "monthly": 500}
+    want = set()
+    for kind, n in keep.items():
+        own = sorted((r for r in rows if r[1] == kind), key=lambda r: (r[2] is None, -(r[2].timestamp() if r[2] else 0), r[0]))
+        want |= {r[0] for r in own[n:]}
+    found = sinks.expired_snapshots(manifest, keep)
+    assert found.columns == manifest.columns and {r.snapshot for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == plan.count("GlobalLimit")  # windows over the few newest only
+
+
+def test_postings_read_the_asked_buckets_only(spark, tmp_path):
+    names = [(i, f"Rote Widget {i % 5} GmbH" if i % 3 else f"Blau & Rote-Anlage {i}") for i in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(names, "id long, company_name string")
+    path = str(tmp_path / "postings")
+    select.write_postings(df, path)
+    for terms in (["rote"], ["ROTE", "widget"], ["rote", "rote", "anlage", "blau"], ["nichts"], ["rote", "nichts"]):
+        got = sorted(r.id for r in select.lookup_postings(spark, path, terms).collect())
+        assert got == sorted(r.id for r in select.name_match(df, terms).collect()), terms
+    plan = select.lookup_postings(spark, path, ["rote", "widget"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters" in plan and "token" in plan

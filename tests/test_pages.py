@@ -183,3 +183,33 @@ def test_readers_of_files(spark, tmp_path):
     row = R.read_load_stats(spark, str(tmp_path / "stats.csv")).collect()
     assert len(row) == 1 and (row[0].requests, row[0].p95_ms, row[0].rps, row[0].method) == (1200, 220.0, 40.0, "GET")
     assert R.seed_sources(spark.createDataFrame([("11880", "mine")], "name string, display_name string")).count() == 8
+
+
+def test_large_json_arrays_are_read_in_pieces(spark, tmp_path):
+    """One array of one line over many splits, with braces and quotes in its strings, against Python's parser."""
+    import json
+    import random
+
+    rng = random.Random(5)
+
+    def text():
+        return "".join(rng.choice(['a', 'ß', '{', '}', '"', '\\', ',', '[', ']', '\n', ' ']) for _ in range(rng.randint(0, 12)))
+
+    items = [{"id": i, "name": text(), "more": {"x": [text(), {"y": text()}], "z": {}}} for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text(json.dumps(items), encoding="utf-8")
+    (tmp_path / "in" / "two.json").write_text(json.dumps([{"id": 5000 + i, "name": text(), "more": None} for i in range(300)], indent=2), encoding="utf-8")
+    (tmp_path / "in" / "bad.json").write_text('[{"id": 9000, "name": "ok"}, {"id": 9001, "name": }, {"id": 9002, "name": "cut', encoding="utf-8")
+    (tmp_path / "in" / "empty.json").write_text("[]")
+    (tmp_path / "in" / "single.json").write_text('{"id": 9100, "name": "s"}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = R.read_json_objects(spark, str(tmp_path / "in"), "id bigint, name string, more struct<x: array<string>, z: map<string,string>>").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    good = {r.id: r for r in rows if r.corrupt is None}
+    assert sorted(good) == [*range(3000), *range(5000, 5300), 9000, 9100]
+    assert all(good[x["id"]].name == x["name"] and good[x["id"]].more.x[0] == x["more"]["x"][0] for x in items)
+    assert sorted(r.corrupt for r in rows if r.corrupt is not None) == ['{"id": 9001, "name": }', '{"id": 9002, "name": "cut']
+    assert all(r.id is None and r.name is None for r in rows if r.corrupt is not None)
