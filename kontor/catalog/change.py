@@ -138,6 +138,46 @@ def _(spark, sf_dir):
     return U.change_status(rows, _ids(spark, sf_dir), "REJECTED", "D")[0]
 
 
+# Changes of companies by id: an order line changes the company of its supplier number, in the order of the lines.
+_GIVEN = [("phone", "l_linenumber <> 3"), ("email", "l_linenumber % 2 = 0"), ("lead_score", "l_linenumber >= 5"), ("city", "l_linenumber = 1")]
+_NEW = {
+    "phone": "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('+49 30 ', CAST(l_partkey AS {t})) END",
+    "email": "CASE WHEN l_partkey % 4 = 0 THEN 'kein' ELSE concat('neu', CAST(l_partkey AS {t}), '@x.de') END",
+    "lead_score": "CAST(l_partkey % 110 AS DOUBLE)", "city": "concat('Ort ', CAST(l_partkey % 9 AS {t}))",
+}
+_CHANGES_SQL = f"""
+ch AS MATERIALIZED (SELECT id, seq, {', '.join(f"{g} AS g_{c}, {_NEW[c].format(t='VARCHAR')} AS {c}" for c, g in _GIVEN)}
+  FROM (SELECT l_suppkey * 3 AS id, l_orderkey * 8 + l_linenumber AS seq, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) l),
+judged AS MATERIALIZED (SELECT ch.*, CASE WHEN s.id IS NULL THEN 'company not found' WHEN g_email AND ch.email = 'kein' THEN 'invalid email'
+    WHEN g_lead_score AND ch.lead_score > 100 THEN 'invalid lead_score' END AS reason FROM ch LEFT JOIN ({D.CO}) s ON s.id = ch.id)
+"""
+
+
+def _changed(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(
+        F.expr("l_suppkey * 3 AS id"), F.expr("l_orderkey * 8 + l_linenumber AS seq"), "l_linenumber"
+    ).agg(F.max("l_partkey").alias("l_partkey"))
+    given = "array_compact(array(" + ", ".join(f"CASE WHEN {g} THEN '{c}' END" for c, g in _GIVEN) + ")) AS given"
+    changes = lines.selectExpr("id", "seq", given, *[f"{x.format(t='STRING')} AS {c}" for c, x in _NEW.items()])
+    return U.update_companies(companies(spark, sf_dir).select("id", "company_name", *_NEW), changes)
+
+
+@query(
+    "company_update",
+    f"""WITH {_CHANGES_SQL}, ok AS (SELECT * FROM judged WHERE reason IS NULL),
+        last AS (SELECT id, {', '.join(f"max(seq) FILTER (g_{c}) AS at_{c}" for c, _ in _GIVEN)} FROM ok GROUP BY id)
+        SELECT s.id, company_name, {', '.join(f"CASE WHEN at_{c} IS NOT NULL THEN o_{c}.{c} ELSE s.{c} END AS {c}" for c, _ in _GIVEN)}
+        FROM ({D.CO}) s LEFT JOIN last ON last.id = s.id {' '.join(f"LEFT JOIN ok o_{c} ON o_{c}.id = s.id AND o_{c}.seq = at_{c}" for c, _ in _GIVEN)}""",
+)
+def _(spark, sf_dir):
+    return _changed(spark, sf_dir)[0]
+
+
+@query("company_update_refused", f"WITH {_CHANGES_SQL} SELECT id, seq, reason FROM judged WHERE reason IS NOT NULL")
+def _(spark, sf_dir):
+    return _changed(spark, sf_dir)[1]
+
+
 # --- jobs: an order is a job, its lines are processed results ---------------------------
 
 _OUTCOME = "CASE WHEN l_returnflag = 'R' THEN 'error' WHEN l_linestatus = 'F' THEN 'new' WHEN l_partkey % 5 = 0 THEN 'merged' ELSE 'updated' END"
@@ -155,20 +195,20 @@ def jobs(spark, sf_dir):
 
 
 def outcomes(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS job_id", f"{_OUTCOME} AS outcome")
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS job_id", f"{_OUTCOME} AS outcome", "CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber END AS candidates")
 
 
 JOB_SQL = f"""
 SELECT o.o_orderkey AS id, o_orderpriority AS source, coalesce(r, 0) AS results_count, coalesce(n, 0) AS new_companies, coalesce(u, 0) AS updated_companies,
-  coalesce(e, 0) AS errors_count, CAST((o_orderkey % 4000) * 1.5::DOUBLE AS DOUBLE) AS duration_seconds,
+  coalesce(e, 0) AS errors_count, coalesce(m, 0) AS auto_merged_duplicates, CAST(coalesce(dc, 0) AS BIGINT) AS duplicate_candidates_created, CAST((o_orderkey % 4000) * 1.5::DOUBLE AS DOUBLE) AS duration_seconds,
   CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 5 <> 0 THEN least(CAST(o_orderkey % 120 AS DOUBLE), 99.0::DOUBLE) ELSE 0.0::DOUBLE END ELSE 100.0::DOUBLE END AS progress,
   CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN coalesce(r, 0) = 0 THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN o_orderstatus <> 'P' AND coalesce(r, 0) = 0 THEN 'Scraping returned no results' END AS error_message
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) FILTER (x <> 'error') AS r, count(*) FILTER (x = 'new') AS n,
-    count(*) FILTER (x = 'updated') AS u, count(*) FILTER (x = 'error') AS e
-  FROM (SELECT l_orderkey, {_OUTCOME} AS x FROM lineitem) y GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+    count(*) FILTER (x = 'updated') AS u, count(*) FILTER (x = 'error') AS e, count(*) FILTER (x = 'merged') AS m, sum(c) AS dc
+  FROM (SELECT l_orderkey, {_OUTCOME} AS x, CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber END AS c FROM lineitem) y GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
 """
-_JOB_COLS = "id results_count new_companies updated_companies errors_count duration_seconds progress status error_message".split()
+_JOB_COLS = "id results_count new_companies updated_companies errors_count auto_merged_duplicates duplicate_candidates_created duration_seconds progress status error_message".split()
 
 
 @query("job_finalize", f"SELECT {', '.join(_JOB_COLS)} FROM ({JOB_SQL}) j")

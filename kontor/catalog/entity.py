@@ -274,8 +274,8 @@ FROM orders
 
 
 def _candidates(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
-    orders = table(spark, sf_dir, "orders").withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one")
+    n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1))).scalar()
+    orders = table(spark, sf_dir, "orders").withColumn("n", n)
     return orders.selectExpr(
         "o_orderkey AS id",
         "o_custkey AS company_a_id",
@@ -392,6 +392,36 @@ def _(spark, sf_dir):
     )
 
 
+_SIMS = {f"{f}_similarity": k for k, f in enumerate(R.FIELDS, 3)}
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_quantity > 45").selectExpr("l_orderkey + l_linenumber AS id")
+
+
+_DETAIL_SQL = f"""WITH cand AS ({_CAND_SQL}), co AS ({D.CO}), asked AS (SELECT DISTINCT l_orderkey + l_linenumber AS id FROM lineitem WHERE l_quantity > 45)"""
+
+
+@query(
+    "resolve_candidate_detail",
+    f"""{_DETAIL_SQL} SELECT c.id, {', '.join(f'c.id % {10 * k} / {10.0 * k}::DOUBLE AS {s}' for s, k in _SIMS.items())}, overall_similarity, status, notes,
+          {', '.join(f'{s}.{f} AS {s}_{f}' for s in 'ab' for f in ['id', *_LISTED])}
+        FROM cand c JOIN asked USING (id) LEFT JOIN co a ON a.id = company_a_id LEFT JOIN co b ON b.id = company_b_id""",
+)
+def _(spark, sf_dir):
+    cand = _candidates(spark, sf_dir).withColumns({s: F.expr(f"id % {10 * k} / {10 * k}D") for s, k in _SIMS.items()})
+    found = R.candidate_detail(cand, companies(spark, sf_dir), _asked(spark, sf_dir))[0]
+    return found.select(
+        "id", *_SIMS, "overall_similarity", "status", "notes", *[F.col(f"company_{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in ["id", *_LISTED]]
+    )
+
+
+@query("resolve_candidate_missing", f"{_DETAIL_SQL} SELECT id FROM asked WHERE id NOT IN (SELECT id FROM cand)")
+def _(spark, sf_dir):
+    cand = _candidates(spark, sf_dir).withColumns({s: F.lit(0.0) for s in _SIMS})
+    return R.candidate_detail(cand, companies(spark, sf_dir), _asked(spark, sf_dir))[1]
+
+
 @query(
     "resolve_candidate_stats",
     f"""WITH cand AS ({_CAND_SQL}), recent AS (SELECT o_orderkey % 4 AS n FROM orders WHERE o_orderkey % 3 <> 0

@@ -161,7 +161,8 @@ def _quality_sql() -> str:
         f" WHEN {sorted_list('e.technologies_text')} = {sorted_list('x.technologies_text')} THEN 'right' ELSE 'wrong' END"
     )
     states = "[" + ", ".join([arm(f) for f in text] + [tech]) + "]"
-    return f"""SELECT e.id, {states} AS states FROM ({D.STORED}) e JOIN ({D.CO}) x ON x.id = e.id"""
+    given = "[" + ", ".join(f"x.{f} IS NOT NULL" for f in [*text, "technologies_text"]) + "]"
+    return f"""SELECT e.id, {states} AS states, {given} AS given FROM ({D.STORED}) e JOIN ({D.CO}) x ON x.id = e.id"""
 
 
 def _n(*names: str) -> str:
@@ -182,7 +183,8 @@ def _(spark, sf_dir):
 
 @query(
     "quality_hallucination",
-    f"SELECT id, round({_n('wrong', 'invented', 'missed')}::DOUBLE / 6, 6) AS hallucination_rate FROM ({_quality_sql()}) s",
+    f"""SELECT id, round(CASE WHEN n > 0 THEN len(list_filter(list_zip(states, given), lambda s: s[2] AND s[1] IN ('wrong', 'invented', 'missed')))::DOUBLE / n ELSE 0 END, 6)
+          AS hallucination_rate FROM (SELECT *, len(list_filter(given, lambda g: g)) AS n FROM ({_quality_sql()}) s) t""",
 )
 def _(spark, sf_dir):
     rated = Q.hallucination(companies(spark, sf_dir), stored(spark, sf_dir), "id", _FIELDS)

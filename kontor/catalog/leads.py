@@ -363,6 +363,22 @@ def _scored(spark, sf_dir):
     return score.score(stored(spark, sf_dir))
 
 
+# A third of the companies has its addresses with a contact person.
+_CONTACT_SQL = f"""SELECT * EXCLUDE (email, phone), CASE WHEN id % 3 <> 0 THEN email ELSE '' END AS own_email, CASE WHEN id % 3 <> 1 THEN phone END AS own_phone,
+  CASE WHEN id % 5 = 0 THEN 'kein' ELSE email END AS contact_email, CASE WHEN id % 7 = 0 THEN '12' ELSE phone END AS contact_phone FROM ({D.STORED}) st"""
+_CONTACT_SQL = f"""SELECT * EXCLUDE (own_email, own_phone), CASE WHEN own_email <> '' THEN own_email ELSE contact_email END AS email,
+  CASE WHEN own_phone <> '' THEN own_phone ELSE contact_phone END AS phone FROM ({_CONTACT_SQL}) c"""
+
+
+@query("score_contact_person", f"SELECT id, contact_pts AS points FROM ({D.score_sql(_CONTACT_SQL)}) s")
+def _(spark, sf_dir):
+    rows = stored(spark, sf_dir).selectExpr(
+        "* EXCEPT (email, phone)", "CASE WHEN id % 3 <> 0 THEN email ELSE '' END AS email", "CASE WHEN id % 3 <> 1 THEN phone END AS phone",
+        "CASE WHEN id % 5 = 0 THEN 'kein' ELSE email END AS contact_email", "CASE WHEN id % 7 = 0 THEN '12' ELSE phone END AS contact_phone",
+    )
+    return score.score(rows).select("id", F.col("breakdown.contact_data.points").alias("points"))
+
+
 _PART_NAMES = {
     "score_contact": ("contact_data", "contact_pts"),
     "score_website": ("website", "website_pts"),

@@ -26,11 +26,14 @@ def enrich(
     lookup has one row per key.  ``<block>_source`` is a struct<name, fields>, NULL
     where the lookup has no row; ``always`` fields are listed when filled.
     """
-    packed = lookup.select(on, F.struct(*[c for c in lookup.columns if c != on]).alias(block))
-    joined = df.join(packed, on, "left")
+    joined = df.join(lookup.select(on, F.struct(*[c for c in lookup.columns if c != on]).alias(block)), on, "left")
+    return _filled(joined, dict(lookup.dtypes), fill, block, source, always)
+
+
+def _filled(joined: DataFrame, kinds: dict[str, str], fill: dict[str, str], block: str, source: str, always: list[str] | None) -> DataFrame:
+    """Take the values of an attached block."""
     got = F.col(block).isNotNull()
     offered = list(dict.fromkeys([*fill.values(), *(always or [])]))
-    kinds = dict(lookup.dtypes)
 
     def present(c: str) -> Column:
         value = F.col(f"{block}.{c}")
@@ -69,15 +72,15 @@ def enrich_budgeted(
     df: DataFrame, lookup: DataFrame, on: str, fill: dict[str, str], block: str, source: str,
     n: int, order: str, budget: str = "hits", eligible: Column | None = None,
 ) -> DataFrame:
-    """``enrich`` for at most ``n`` hits or attempts in ``order``; other rows pass through."""
-    known = lookup.select(on, F.lit(True).alias("_known"))
-    probed = df.join(known, on, "left")
+    """``enrich`` for at most ``n`` hits or attempts in ``order``; other rows pass through.
+
+    The lookup is joined once and its values are carried along, until the budget tells who may have them.
+    """
+    joined = df.join(lookup.select(on, F.struct(*[c for c in lookup.columns if c != on]).alias(block)), on, "left")
     can = F.lit(True) if eligible is None else eligible
-    hit = F.coalesce("_known", F.lit(False)) if budget == "hits" else None
-    flagged = budget_flag(probed, order, n, can, hit).drop("_known")
-    inside = flagged.withColumn("_on", F.when(F.col("looked_up"), F.col(on)))
-    renamed = lookup.withColumnRenamed(on, "_on")
-    return enrich(inside, renamed, "_on", fill, block, source).drop("_on")
+    flagged = budget_flag(joined, order, n, can, F.col(block).isNotNull() if budget == "hits" else None)
+    held = flagged.withColumn(block, F.when(F.col("looked_up"), F.col(block)))
+    return _filled(held, dict(lookup.dtypes), fill, block, source, None)
 
 
 def fill_website(df: DataFrame, candidates: DataFrame, on: str) -> DataFrame:

@@ -86,9 +86,8 @@ def bottlenecks(endpoints: DataFrame) -> DataFrame:
 
 def baseline_delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Change of throughput and error share between two endpoint tables."""
-    a = totals(current).select(F.col("throughput_rpm").alias("a_rpm"), F.col("error_rate_pct").alias("a_err"), F.lit(1).alias("one"))
-    b = totals(baseline).select(F.col("throughput_rpm").alias("b_rpm"), F.col("error_rate_pct").alias("b_err"), F.lit(1).alias("one"))
-    return a.join(b, "one").select(
-        F.round(F.col("a_rpm") - F.col("b_rpm"), 2).alias("throughput_delta_rpm"),
-        F.round(F.col("a_err") - F.col("b_err"), 3).alias("error_rate_delta_pct"),
+    before = totals(baseline).select(F.struct("throughput_rpm", "error_rate_pct")).scalar()
+    return totals(current).select("throughput_rpm", "error_rate_pct", before.alias("before")).select(
+        F.round(F.col("throughput_rpm") - F.col("before.throughput_rpm"), 2).alias("throughput_delta_rpm"),
+        F.round(F.col("error_rate_pct") - F.col("before.error_rate_pct"), 3).alias("error_rate_delta_pct"),
     )

@@ -28,7 +28,7 @@ def _compared(extracted: DataFrame, expected: DataFrame, key: str, fields: list[
     left = expected.select(key, *[F.col(f).alias(f"want_{f}") for f in fields])
     right = extracted.select(key, F.lit(True).alias("_there"), *[F.col(f).alias(f"got_{f}") for f in fields])
     joined = left.join(right, key, "left")
-    states = []
+    states, given = [], []
     for f in fields:
         want, got, kind = F.col(f"want_{f}"), F.col(f"got_{f}"), kinds[f]
         same = (norm_value(want, kind) == norm_value(got, kind)) if kind in ("string", "array") else want == got
@@ -41,7 +41,8 @@ def _compared(extracted: DataFrame, expected: DataFrame, key: str, fields: list[
             .otherwise("wrong")
         )
         states.append(state)
-    return joined.select(key, F.coalesce("_there", F.lit(False)).alias("there"), F.array(*states).alias("states"))
+        given.append(got.isNotNull())
+    return joined.select(key, F.coalesce("_there", F.lit(False)).alias("there"), F.array(*states).alias("states"), F.array(*given).alias("given"))
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -78,11 +79,13 @@ def field_quality(extracted: DataFrame, expected: DataFrame, key: str, fields: l
 def hallucination(extracted: DataFrame, expected: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Share of the extracted fields whose value is not the expected one.
 
-    A field that is empty although a value was expected differs from it and counts.
+    A NULL field was not extracted and does not count.  One that is empty although a value was expected
+    differs from it and counts.  Without extracted fields the share is zero, without a record one.
     """
     states = _compared(extracted, expected, key, fields)
-    off = F.size(F.filter("states", lambda s: s.isin("wrong", "invented", "missed")))
-    return states.select(key, F.when(F.col("there"), off / F.lit(len(fields))).otherwise(F.lit(1.0)).alias("hallucination_rate"))
+    off = F.size(F.filter(F.arrays_zip("states", "given"), lambda s: s["given"] & s["states"].isin("wrong", "invented", "missed")))
+    rate = _share(off, F.size(F.filter("given", lambda g: g)))
+    return states.select(key, F.when(F.col("there"), rate).otherwise(F.lit(1.0)).alias("hallucination_rate"))
 
 
 def tokens_per_second(length: Column, latency: Column) -> Column:

@@ -330,10 +330,8 @@ def scan(
 def scan_summary(companies: DataFrame, hits: DataFrame, threshold: float = OVERALL_THRESHOLD) -> DataFrame:
     """Scanned rows and directed hits (already known pairs count again)."""
     scanned = companies.filter("is_active").agg(F.count(F.lit(1)).alias("scanned_companies"))
-    found = hits.agg(F.count(F.lit(1)).alias("candidates_created"))
-    # two one-row aggregates meet on a constant key
-    joined = scanned.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
-    return joined.select("scanned_companies", "candidates_created", F.lit(float(threshold)).alias("threshold"))
+    found = hits.agg(F.count(F.lit(1))).scalar()
+    return scanned.select("scanned_companies", found.alias("candidates_created"), F.lit(float(threshold)).alias("threshold"))
 
 
 def scan_report(companies: DataFrame, hits: DataFrame) -> DataFrame:
@@ -562,6 +560,21 @@ def list_candidates(
     return page.join(side("a"), "company_a_id").join(side("b"), "company_b_id")
 
 
+def candidate_detail(candidates: DataFrame, companies: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates asked for by id with a brief of both companies and all five similarities, ids that don't exist)."""
+    wanted = ids.select("id").distinct()
+    brief = ["id", "company_name", "address", "city", "phone", "website"]
+    shown = ["id", *[f"{f}_similarity" for f in FIELDS], "overall_similarity", "status", "reviewed_by", "reviewed_at", "notes", "created_at"]
+
+    def side(s: str) -> DataFrame:
+        return companies.select(F.col("id").alias(f"company_{s}_id"), F.struct(*brief).alias(f"company_{s}"))
+
+    asked = candidates.join(wanted, "id", "left_semi")
+    # a candidate is shown even if one of its companies is gone
+    full = asked.join(side("a"), "company_a_id", "left").join(side("b"), "company_b_id", "left")
+    return full.select(*shown, "company_a", "company_b"), wanted.join(candidates.select("id"), "id", "left_anti")
+
+
 def candidate_stats(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """Counts by status plus auto-merges of the latest 100 jobs that have stats.
 
@@ -574,8 +587,7 @@ def candidate_stats(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     merged = F.get_json_object("stats", "$.auto_merged_duplicates").try_cast("bigint")
     recent = jobs.filter("stats is not null").orderBy(F.desc("created_at"), F.desc("id")).limit(100)
     total = recent.agg(F.coalesce(F.sum(merged), F.lit(0)).alias("n"))
-    total = total.select(F.when(F.col("n") > 0, F.col("n")).alias("auto_merged"), F.lit(1).alias("one"))
-    return counts.withColumn("one", F.lit(1)).join(total, "one").drop("one")
+    return counts.withColumn("auto_merged", total.select(F.when(F.col("n") > 0, F.col("n"))).scalar())
 
 
 def expire_candidates(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions import scoring as S
 from kontor.functions.normalize import format_address
-from kontor.functions.text import let
+from kontor.functions.text import filled, let
 from kontor.operators.select import parse_choice
 from kontor.schemas import LEAD_QUALITY, LEAD_STATUS
 
@@ -26,9 +26,13 @@ def score(df: DataFrame) -> DataFrame:
     if dict(df.dtypes)["team_size"] != "string":
         size = F.nullif(size, F.lit(0))  # a number counts as given unless it is zero
 
+    def contact(mine: str) -> Column:  # another contact's value counts where the company has none
+        other = f"contact_{mine}"
+        return F.when(filled(F.col(mine)), F.col(mine)).otherwise(F.col(other)) if other in df.columns else F.col(mine)
+
     def rules(address: Column) -> Column:
         return F.struct(
-            S.contact_score(F.col("email"), F.col("phone"), address, F.col("directors")).alias("contact_data"),
+            S.contact_score(contact("email"), contact("phone"), address, F.col("directors")).alias("contact_data"),
             S.website_score(F.col("website")).alias("website"),
             S.industry_score(F.col("industry")).alias("industry"),
             S.size_score(F.col("team_size")).alias("company_size"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kontor.functions import validate as V
 from kontor.operators.prefix import numbered
 from kontor.operators.select import parse_choice
 from kontor.schemas import LEAD_QUALITY, LEAD_STATUS
@@ -96,6 +97,39 @@ def bulk_set(df: DataFrame, ids: DataFrame, updates: dict) -> tuple[DataFrame, D
     return _flagged(df, ids).withColumns(changes).drop("_hit"), missing
 
 
+# Columns that an update of a company may set.
+COMPANY_FIELDS = (
+    "company_name legal_form industry description website email phone address city postal_code lead_status lead_quality lead_score directors services technologies"
+).split()
+
+
+def update_companies(df: DataFrame, changes: DataFrame, order_col: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(rows with the changes applied, refused changes with a ``reason``).
+
+    ``changes``: id, ``given`` (names of the fields that the change sets), the fields, and ``order_col``.  A given field may be
+    NULL and then empties the column; fields that aren't given stay.  Several changes of a company count field by field, the latest first.
+    A change is refused as a whole if a name is empty or longer than 255, an e-mail address has a wrong form, a score is outside 0..100, a
+    status or grade is none of the known ones, a field can't be set, or the company doesn't exist.
+    """
+    fields = [c for c in COMPANY_FIELDS if c in changes.columns and c in df.columns]
+    checks = {
+        "company_name": ~F.length("company_name").between(1, 255), "email": V.valid_email(F.col("email")).isNull(), "lead_score": ~F.col("lead_score").between(0, 100),
+        "lead_status": ~F.col("lead_status").isin(LEAD_STATUS), "lead_quality": ~F.col("lead_quality").isin(LEAD_QUALITY),
+    }
+    unknown = F.size(F.array_except("given", F.array(*[F.lit(c) for c in fields]).cast("array<string>"))) > 0
+    reason = F.when(unknown, "field cannot be set")
+    for c, wrong in checks.items():
+        if c in fields:
+            reason = reason.when(F.array_contains("given", c) & F.col(c).isNotNull() & F.coalesce(wrong, F.lit(True)), f"invalid {c}")
+    known = df.select("id", F.lit(True).alias("_known"))
+    judged = changes.join(known, "id", "left").withColumn("reason", F.when(F.col("_known").isNull(), "company not found").otherwise(reason)).drop("_known")
+    judged = checkpoint_cut(judged)
+    good = judged.filter("reason is null")
+    latest = good.groupBy("id").agg(*[F.max_by(F.struct(c), F.when(F.array_contains("given", c), F.col(order_col))).alias(f"_set_{c}") for c in fields])
+    changed = {c: F.when(F.col(f"_set_{c}").isNotNull(), F.col(f"_set_{c}")[c].cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in fields}
+    return df.join(latest, "id", "left").withColumns(changed).select(df.columns), judged.filter("reason is not null").select("id", order_col, "reason")
+
+
 def change_status(df: DataFrame, ids: DataFrame, status: str | None = None, quality: str | None = None):
     updates = {k: v for k, v in (("lead_status", status), ("lead_quality", quality)) if v}
     if not updates:
@@ -122,16 +156,19 @@ def finalize_jobs(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Final counts, status, progress and duration of jobs.
 
     ``jobs``: id, status, progress, started_at, completed_at.  ``outcomes``: one row
-    per processed result with job_id and outcome (new, updated, merged, error).
+    per processed result with job_id and outcome (new, updated, merged, error), and where it is known the number of ``candidates``
+    (possible duplicates) that the result gave.
     """
+    candidates = F.coalesce(F.sum("candidates"), F.lit(0)) if "candidates" in outcomes.columns else F.lit(0)
     per_job = outcomes.groupBy(F.col("job_id").alias("id")).agg(
         F.count_if(F.col("outcome") != "error").alias("results_count"),
         F.count_if(F.col("outcome") == "new").alias("new_companies"),
         F.count_if(F.col("outcome") == "updated").alias("updated_companies"),
         F.count_if(F.col("outcome") == "error").alias("errors_count"),
         F.count_if(F.col("outcome") == "merged").alias("auto_merged_duplicates"),
+        candidates.cast("bigint").alias("duplicate_candidates_created"),
     )
-    counts = ["results_count", "new_companies", "updated_companies", "errors_count", "auto_merged_duplicates"]
+    counts = ["results_count", "new_companies", "updated_companies", "errors_count", "auto_merged_duplicates", "duplicate_candidates_created"]
     joined = jobs.join(per_job, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     cancelled = F.col("status") == "cancelled"
     empty = (F.col("status") != "failed") & (F.col("results_count") == 0)

@@ -28,10 +28,15 @@ DIRECTOR_LABELS = ["Geschäftsführer", "Geschäftsführung", "Inhaber", "Vorsta
 
 
 @F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
+def _references(s: pd.Series) -> pd.Series:
     return s.map(html_lib.unescape, na_action="ignore")
 
 
+def _unescape(c: Column) -> Column:
+    """Character references resolved; only texts that hold one are sent to Python."""
+    return F.coalesce(_references(F.when(c.contains("&"), c)), c)
+
+
 @F.pandas_udf(T.StringType())
 def _join_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b, h) if b is not None and h is not None else None for b, h in zip(base, href)])

@@ -14,106 +14,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-_S, _L, _I, _D, _B, _TS = (
-    T.StringType(),
-    T.LongType(),
-    T.IntegerType(),
-    T.DoubleType(),
-    T.BooleanType(),
-    T.TimestampType(),
-)
+_S, _B = T.StringType(), T.BooleanType()
 _LIST = T.ArrayType(_S)
 
 SOURCE_REF = _struct(name=_S, url=_S, scraped_at=_S, fields=_LIST)
 
-COMPANY = _struct(
-    id=_L,
-    company_name=_S,
-    legal_form=_S,
-    industry=_S,
-    description=_S,
-    website=_S,
-    email=_S,
-    phone=_S,
-    address=_S,
-    street=_S,
-    postal_code=_S,
-    city=_S,
-    state=_S,
-    country=_S,
-    directors=_LIST,
-    services=_LIST,
-    technologies=_LIST,
-    team_size=_I,
-    team_members=T.ArrayType(_struct(name=_S, role=_S, email=_S, phone=_S)),
-    google_place_id=_S,
-    google_rating=_D,
-    google_reviews_count=_I,
-    register_number=_S,
-    register_court=_S,
-    lead_status=_S,
-    lead_quality=_S,
-    lead_score=_D,
-    first_scraped_at=_TS,
-    last_updated_at=_TS,
-    last_contacted_at=_TS,
-    is_active=_B,
-    is_duplicate=_B,
-    duplicate_of_id=_L,
-    sources=T.ArrayType(SOURCE_REF),
-)
-
-RAW_LEAD = _struct(
-    company_name=_S,
-    website=_S,
-    phone=_S,
-    email=_S,
-    address=_S,
-    city=_S,
-    postal_code=_S,
-    description=_S,
-    scraped_at=_S,
-    sources=T.ArrayType(SOURCE_REF),
-)
-
-PAGE = _struct(page_id=_L, url=_S, html=_S)
-
-JOB = _struct(
-    id=_L,
-    source_id=_L,
-    company_id=_L,
-    city=_S,
-    industry=_S,
-    max_pages=_I,
-    status=_S,
-    progress=_D,
-    results_count=_L,
-    new_companies=_L,
-    updated_companies=_L,
-    errors_count=_L,
-    started_at=_TS,
-    completed_at=_TS,
-    duration_seconds=_D,
-    error_message=_S,
-    created_at=_TS,
-    config=_S,
-    stats=_S,
-)
-
-CANDIDATE = _struct(
-    id=_L,
-    company_a_id=_L,
-    company_b_id=_L,
-    name_similarity=_D,
-    address_similarity=_D,
-    phone_similarity=_D,
-    website_similarity=_D,
-    overall_similarity=_D,
-    status=_S,
-    reviewed_by=_S,
-    reviewed_at=_TS,
-    notes=_S,
-    created_at=_TS,
-)
-
 SOURCE = _struct(name=_S, display_name=_S, url=_S, source_type=_S, is_active=_B)

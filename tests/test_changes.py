@@ -143,7 +143,10 @@ def test_quality_formulas(spark):
     assert (q[2].tp, q[2].fp, q[2].fn) == (1, 0, 1)
     assert (q[3].f1, q[3].completeness) == (0.0, 0.0)
     h = {r.id: r.hallucination_rate for r in Q.hallucination(got, want, "id", fields).collect()}
-    assert h == {1: 0.5, 2: 0.25, 3: 1.0}
+    assert h == {1: 0.5, 2: 0.0, 3: 1.0}  # of record 2 only the mail was extracted, and rightly
+    blank = got.filter("id = 2").withColumns({"name": F.lit(""), "tech": F.array().cast("array<string>")})
+    h = {r.id: r.hallucination_rate for r in Q.hallucination(blank, want, "id", fields).collect()}
+    assert h[2] == pytest.approx(1 / 3)  # an empty name was extracted although one is expected
 
 
 def test_load_score(spark):
@@ -274,3 +277,20 @@ def test_postings_read_the_asked_buckets_only(spark, tmp_path):
     plan = select.lookup_postings(spark, path, ["rote", "widget"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters" in plan and "token" in plan
+
+
+def test_company_updates_field_by_field(spark):
+    df = spark.createDataFrame([(1, "A", "a@x.de", 5.0, "new"), (2, "B", None, None, None)], "id long, company_name string, email string, lead_score double, lead_status string")
+    changes = spark.createDataFrame(
+        [
+            (1, 1, ["email", "lead_score"], None, "b@x.de", 50.0, None, None), (1, 2, ["email"], None, None, 7.0, None, None), (1, 3, ["company_name"], "", None, None, None, None),
+            (2, 4, ["lead_status", "company_name"], "Neu", None, None, "contacted", None), (2, 5, ["lead_status"], None, None, None, "gone", None), (2, 6, ["lead_score"], None, None, 100.5, None, None),
+            (2, 7, ["email"], None, "kein", None, None, None), (9, 8, ["email"], None, "c@x.de", None, None, None), (1, 9, ["notes"], None, None, None, None, "n"), (2, 10, [], None, None, None, None, None),
+        ],
+        "id long, seq long, given array<string>, company_name string, email string, lead_score double, lead_status string, notes string",
+    )
+    rows, refused = U.update_companies(df, changes)
+    assert sorted(map(tuple, rows.collect())) == [(1, "A", None, 50.0, "new"), (2, "Neu", None, None, "contacted")]
+    assert {r.seq: r.reason for r in refused.collect()} == {
+        3: "invalid company_name", 5: "invalid lead_status", 6: "invalid lead_score", 7: "invalid email", 8: "company not found", 9: "field cannot be set",
+    }
