@@ -213,20 +213,20 @@ def admission(df: DataFrame, key: str, ts: str, order: str, limit: int = 10, wid
 def observed_load(df: DataFrame, key: str, ts: str, width: int = 60) -> DataFrame:
     """Requests of the key in the window up to each row, whether admitted or not.
 
-    The range frame runs inside (key, period), a period being an hour, or the window
-    where that is longer.  Rows of the window that lie in the period before are supplied
-    by copying the last ``width`` seconds of every period into the next one, so a busy
-    key is split by the period.
+    The count is that of all rows up to the row's time less that up to a window before.  Both are
+    read off one running count in which every row asks twice, so a busy key or hour is spread by row.
     """
-    us, span = F.unix_micros(ts), width * 1_000_000
-    period = max(3_600_000_000, span)
-    own = df.withColumns({"_us": us, "_period": F.floor(us / period), "_copy": F.lit(False)})
-    spill = own.filter(F.floor((F.col("_us") + span) / period) > F.col("_period")).withColumns(
-        {"_period": F.col("_period") + 1, "_copy": F.lit(True)}
-    )
-    frame = Window.partitionBy(key, "_period").orderBy("_us").rangeBetween(-(span - 1), 0)
-    both = own.unionByName(spill).withColumn("observed", F.count(F.lit(1)).over(frame))
-    return both.filter(~F.col("_copy")).drop("_us", "_period", "_copy")
+    span = width * 1_000_000
+    ranged = in_ranges(df.withColumn("_us", F.unix_micros(ts)), [key], ["_us"])
+    rows = checkpoint_cut(carry(ranged, [], [key, "_us"], sums={"_id": F.lit(1).cast("bigint")}).drop(RANGE))
+
+    def mark(at: Column, asks: int, sign: int) -> DataFrame:
+        return rows.select(key, at.alias("_at"), F.lit(asks).alias("_asks"), "_id", F.lit(1 - asks).cast("bigint").alias("_one"), F.lit(sign).alias("_sign"))
+
+    marks = mark(F.col("_us"), 0, 0).unionByName(mark(F.col("_us"), 1, 1)).unionByName(mark(F.col("_us") - span, 1, -1))
+    counted = carry(marks, [key], ["_at", "_asks", "_id"], sums={"_upto": F.col("_one")}).filter("_asks = 1")
+    observed = counted.groupBy("_id").agg(F.sum(F.col("_upto") * F.col("_sign")).alias("observed"))
+    return rows.join(observed, "_id").select(*df.columns, "observed")
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame, event: str = "event") -> DataFrame:
