@@ -6,8 +6,9 @@ goes if an earlier one (by document id, then place) has a Jaccard similarity of
 
 1. Words are counted in a table of fixed size, and the words of every line are ordered
    by rarity.  Lines with equal sets are one class, whose first line stands for it.
-2. Lines that share a least word hash with the first line of that hash are compared with
-   it alone.  This settles most members of a large group of variants in few rows.
+2. A line has a least hash among the rarest quarter or half or all of its words, under each of a few orders (``HEADS``).  The lines of a hash are dealt to
+   ``SHARES``; the first lines of these are the heads, and a line is compared with the head whose bitmap is nearest.  Rare words keep unrelated lines apart, so
+   this settles most members of a large group of variants in one row a line.
 3. Two similar sets share a word among their rarest ones (prefix filter), so the prefix
    words are joined.  Length, positional and bitmap bounds drop a pair within the join.
    Pairs whose later line is settled already are of no interest.
@@ -32,6 +33,13 @@ COUNT_BITS = 16
 #: Bits of the table that tells which lines may have to be verified (fixed size as well).
 LINE_BITS = 22
 
+#: Orders of the words' hashes (nearest to a number, bit by bit), and the rarest part of a line's words that each is taken over.
+HEADS = ((0, 4), (0x2A5F3C96E1B4, 2), (0x5B0E94D7238A, 2), (0x7314C8A95F6D, 1))
+#: Words of a line whose second bitmap is of a part of them.
+LONG = 96
+#: Heads of a hash.
+SHARES = 8
+
 _LINE = 1 << 31  # lines of a document; a line's place is doc_id * _LINE + line_no
 
 
@@ -81,14 +89,23 @@ def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
     lines = _lines(texts).where(~blank).select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
     lines = lines.select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), key)).alias("k"))
     one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    bits = [
-        F.aggregate(F.filter("k", lambda k: k.bitwiseAND(64) == 64 * part), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k))).alias(f"bits{part}")
-        for part in (0, 1)
-    ]
-    least = F.array_min(F.transform("k", lambda k: k.bitwiseAND(low)))
-    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), *bits, least.alias("least"), F.sort_array("k").alias("k"))
+
+    def bitmap(mask: int, of: int) -> Column:
+        return F.aggregate(F.filter("k", lambda k: k.bitwiseAND(mask) == of), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k)))
+
+    # each over half of the words; the second of a long line over a quarter, as it would be full otherwise
+    bits = [bitmap(64, 0).alias("bits0"), F.when(F.size("k") < LONG, bitmap(64, 64)).otherwise(bitmap(192, 64)).alias("bits1")]
+    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), *bits, F.sort_array("k").alias("k"))
+
+    def head(near: int, part: int) -> Column:
+        rare = F.slice("k", F.lit(1), F.ceil(F.col("n") / part).cast("int"))
+        return F.array_min(F.transform(rare, lambda k: k.bitwiseAND(low).bitwiseXOR(F.lit(near).cast("long"))))
+
+    least = [head(near, part) for near, part in HEADS]
+    # the number of the order stands above the hash
+    least = F.array(*(v.bitwiseOR(F.lit(i << (63 - COUNT_BITS)).cast("long")) for i, v in enumerate(least)))
     return lines.select(
-        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", "least",
+        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", least.alias("least"),
         F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
         F.slice("k", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / threshold.denominator).cast("int") + 1).alias("prefix"),
     )
@@ -115,10 +132,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
     return both.where(F.col("common") * threshold.denominator >= F.lit(threshold.numerator) * (F.col("sum") - F.col("common"))).select("x", "y")
 
 
+def _apart(n: Column, m: Column) -> Column:
+    """Differing bits of the two bitmaps; every one is a word that isn't shared.  The second ones are of one kind if both lines are long, or neither."""
+    first, second = (F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
+    return first + F.when((n < LONG) == (m < LONG), second).otherwise(0)
+
+
 def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
-    """Length bound, and the bound by the bitmaps: every differing bit is a word that isn't shared."""
-    alike = n + m - sum(F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (alike * (num + den) >= 2 * num * (n + m))
+    """Length bound, and the bound by the bitmaps."""
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & ((n + m - _apart(n, m)) * (num + den) >= 2 * num * (n + m))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction | float = THRESHOLD) -> DataFrame:
@@ -138,13 +160,17 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = coded.select("line", "place").join(firsts, "line", "left_anti").join(firsts.select(F.col("first").alias("place")), "place", "left_anti").select("place")
     classes = coded.join(firsts.select("line"), "line", "left_semi")
 
-    # step 2: the first line of each least hash
-    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), "least")
-    heads = keyed.groupBy("least").agg(
-        F.min("place").alias("y"), F.count("*").alias("c"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
-    ).where("c > 1")
+    # step 2: the first lines of each least hash that several lines have, in each order
+    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), F.explode("least").alias("least"))
+    shared = keyed.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least")
+    keyed = checkpoint_cut(keyed.join(shared, "least", "left_semi"))
+    heads = keyed.groupBy("least", F.pmod(F.xxhash64("place"), F.lit(SHARES)).alias("share")).agg(
+        F.min("place").alias("y"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
+    )
     met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
-    settled = checkpoint_cut(_verified(met.select(F.col("place").alias("x"), "y"), texts, threshold).select(F.col("x").alias("place")))
+    near = F.struct((_apart(F.col("n"), F.col("n_b")) / (F.col("n") + F.col("n_b"))).alias("apart"), "y")
+    met = met.groupBy(F.col("place").alias("x")).agg(F.min(near).getField("y").alias("y"))
+    settled = checkpoint_cut(_verified(met, texts, threshold).select(F.col("x").alias("place")))
 
     # step 3: prefix words; a row holds its line's document and number, so that pairs know which line is later
     known = classes.select("place", "n", "bits0", "bits1", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
@@ -159,15 +185,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("no_a") > F.col("no_b")))
     # true unless the later line is settled; named over both sides, as a filter on one would part their exchange in two
     wanted = F.col("meta_a").bitwiseAND(1) * 2 <= F.col("meta_b").bitwiseAND(1)
-    met = a.join(b, "word").where(later & wanted & _bounds(n, m, num, den))
-    # words of the common prefix, and the place of the last of them, bound what can be shared at all
+    # at the first shared word of a similar pair enough words are still to come in both; where too few are, either it isn't
+    # the first or the pair isn't similar, so what is left of a pair are its first shared words, without a gap
+    enough = (1 + F.least(n - 1 - i, m - 1 - j)) * (num + den) >= num * (n + m)
+    met = a.join(b, "word").where(later & wanted & enough & _bounds(n, m, num, den))
+    # their number, and the place of the last of them, bound what can be shared at all
     met = met.groupBy("doc_a", "no_a", "doc_b", "no_b").agg(
         F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
     )
-    prefix = lambda size: size - F.ceil(size * F.lit(num) / den) + 1
-    beyond = F.least(
-        F.greatest(F.col("n") - prefix(F.col("n")), F.col("m") - prefix(F.col("m"))), F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
-    )
+    beyond = F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
     possible = met.where((F.col("c") + beyond) * (num + den) >= num * (F.col("n") + F.col("m")))
     pairs = checkpoint_cut(possible.select("doc_a", "no_a", "doc_b", "no_b", (F.col("c") / (F.col("n") + F.col("m"))).alias("share")))
     ends = [_place(F.col(f"doc_{side}"), F.col(f"no_{side}")).alias(end) for side, end in (("a", "x"), ("b", "y"))]
@@ -192,9 +218,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = similar_lines(docs, id_col, text_col, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_gone_id")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i))
+    kept = F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(gone["_gone"], i))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left")
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    text = F.when(gone["_gone"].isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 

@@ -167,6 +167,8 @@ def test_similar_lines(docs, rows, empty):
     assert out == {
         (d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in got)) for d, t, *_ in rows
     }
+    clash = docs.withColumns({c: F.lit(7) for c in ("_gone", "_gone_id", "least", "place")})
+    assert lines.dedup_lines(clash).columns == clash.columns and {(r.doc_id, r.text) for r in lines.dedup_lines(clash).collect()} == out
     assert lines.dedup_lines(docs).columns == docs.columns and lines.dedup_lines(docs).count() == len(rows)
     assert lines.similar_lines(empty).count() == 0 and lines.report(docs).count() == len(rows)
 
