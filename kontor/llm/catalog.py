@@ -137,22 +137,37 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER f - cap))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER f - weight))::DOUBLE AS asked
   FROM w WINDOW f AS (ORDER BY cap::DOUBLE / weight, n)
 ), t AS (
-  SELECT source, source_size, least(cap::DOUBLE, max(asked) OVER () * weight) AS target FROM a
+  SELECT source, source_size, n, least(cap::DOUBLE, max(asked) OVER () * weight) AS target FROM a
+), b AS (
+  SELECT *, sum(blocks) OVER () AS m, sum(blocks) OVER (ORDER BY n)::DOUBLE / nullif(sum(blocks) OVER (), 0)::DOUBLE AS high FROM (
+    SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words, CAST(ceil(floor(target + 0.5) / 64) AS BIGINT) AS blocks FROM t)
+), i AS (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY n), 0) AS low FROM b
+), v AS (
+  SELECT slot, list_sum(list_transform(generate_series(0, 47), lambda k: ((slot >> k) & 1) * pow(2, -1 - k))) AS u
+  FROM (SELECT unnest(generate_series(0, CAST((SELECT max(m) FROM b) AS BIGINT) - 1)) AS slot)
+), g AS (
+  SELECT n, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS rank, slot, blocks FROM v JOIN i ON u >= low AND u < high
+), e AS (
+  SELECT n, rank, slot FROM g WHERE rank < blocks
+  UNION ALL
+  SELECT n, rank, CAST(m AS BIGINT) + rank FROM (
+    SELECT i.n, any_value(m) AS m, unnest(generate_series(count(g.slot), any_value(i.blocks) - 1)) AS rank FROM i LEFT JOIN g ON g.n = i.n GROUP BY i.n)
 ), o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(target + 0.5) AS BIGINT) AS words,
+  SELECT d.doc_id, d.size, b.n, b.source_size, b.target, words,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS LAST, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)) AS BIGINT) AS taken
-FROM o
+  CAST(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)) AS BIGINT) AS taken, CAST(slot AS BIGINT) AS first_slot
+FROM o LEFT JOIN e ON e.n = o.n AND e.rank = o.pos // 64 AND o.size > 0 AND o.pos < o.words
 """
 
 
 @query("op10_source_mix", _MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("first_slot")
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 @query("op11_whitening")

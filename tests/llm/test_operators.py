@@ -253,6 +253,40 @@ def test_mix(docs, rows, empty):
     assert None not in taken_once
 
 
+def test_every_prefix_of_the_schedule_is_near_its_shares(spark):
+    need = {1: 64 * 700, 2: 64 * 40 - 5, 3: 0, 4: 64 * 333 + 1, 5: 1}
+    got = mixing.slots(spark.createDataFrame(list(need.items()), "n int, words long")).orderBy("slot").collect()
+    blocks = {n: -(-w // 64) for n, w in need.items()}
+    total = sum(blocks.values())
+    assert sorted((r.n, r.rank) for r in got) == sorted((n, k) for n, b in blocks.items() for k in range(b)) and len({(r.slot, r.n) for r in got}) == total
+    # by brute force: radical inverses in cumulative shares, with a bound on the discrepancy of the sequence
+    edges, low = [], 0
+    for n, b in sorted(blocks.items()):
+        edges.append((n, low / total, (low + b) / total))
+        low += b
+    seen, dealt, bound = defaultdict(int), [], 2 * np.log2(total) + 2
+    for slot in range(total):
+        u = int(f"{slot:048b}"[::-1], 2) / 2**48
+        n = next(n for n, a, z in edges if a <= u < z)
+        if seen[n] < blocks[n]:
+            dealt.append((n, seen[n], slot))
+        seen[n] += 1
+        assert all(abs(seen[k] - (slot + 1) * blocks[k] / total) <= bound for k in blocks)
+    assert [tuple(r) for r in got if r.slot < total] == dealt and total - len(dealt) <= len(need) * bound
+    assert all(r.slot == total + r.rank for r in got if r.slot >= total)
+
+
+def test_mix_places_documents_by_the_schedule(docs):
+    got = mixing.mix(docs, block_words=4).where("first_slot is not null").collect()
+    first = sorted({(r.first_slot, r.target) for r in got})
+    # sources take turns: no source has its places all before another's
+    by = defaultdict(list)
+    for slot, target in first:
+        by[target].append(slot)
+    long = [x for x in by.values() if len(x) > 3]
+    assert len(long) > 1 and all(min(a) < max(b) for a in long for b in long)
+
+
 def test_targets(spark):
     df = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500), ("z", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
