@@ -58,6 +58,7 @@ FORMS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,5}(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})",
+    "national": r"(?:00[1-9][0-9]{0,2}[ .\-/](?:\([0-9]{1,5}\)[ .\-/]?)?[0-9]{2,8}(?:[ .\-/][0-9]{2,8}){0,3}|(?:\(0[1-9][0-9]{1,4}\)[ .\-/]?|0[1-9][0-9]{1,4}[ \-/])[0-9]{3,8}(?:[ \-][0-9]{2,5}){0,2})",
 }
 #: A value begins and ends where no letter or digit goes on, and no further group of digits after a point.
 _PATTERN = r"(?<![\p{L}\p{N}_])(?<![\p{N}][.\-/])(?:" + "|".join(FORMS.values()) + r")(?![\p{L}\p{N}_]|[.\-/@][\p{N}])"
@@ -78,7 +79,7 @@ def _shift(text: Column, stream: Column, sign: int, alphabet: str | None) -> Col
 
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(stream, F.pmod(i - 1, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
+        by = F.conv(F.substring(stream, (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
         if alphabet:
             return _char(alphabet, c, by)
         return (
@@ -98,8 +99,12 @@ def feistel(text: Column, key: str, tweak: str, forward: bool = True, alphabet:
         a, b = state["a"], state["b"]
         even = r % 2 == 0
         seed = F.concat_ws("|", F.lit(key), F.lit(tweak), (F.length(a) + F.length(b)).cast("string"), r.cast("string"), F.when(even, b).otherwise(a))
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(a), F.length(b)) / 32).cast("int"))  # 32 characters each
+        stream_of = lambda start: F.array_join(
+            F.transform(blocks, lambda i: F.sha2(F.when(i == 0, start).otherwise(F.concat_ws("|", start, i.cast("string"))), 512)), ""
+        )
         return _let(
-            F.sha2(seed, 512),
+            _let(seed, stream_of),
             lambda stream: F.when(even, F.struct(_shift(a, stream, sign, alphabet).alias("a"), b.alias("b"))).otherwise(
                 F.struct(a.alias("a"), _shift(b, stream, sign, alphabet).alias("b"))
             ),
@@ -208,13 +213,12 @@ def _ipv4(m: Column, key: str, forward: bool) -> tuple[Column, Column]:
 
 
 def _card(m: Column, key: str, forward: bool) -> Column:
-    """Numbers with a check digit stay so; numbers without one stay numbers without one."""
+    """Only numbers whose check digit is right, which stay so; times, order and book numbers are left alone."""
 
     def run(d: Column) -> Column:
         body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", forward, DIGITS)
         checked = _let(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(b, 1), F.lit(10)).cast("string")))
-        plain = _walk(d, lambda x: feistel(x, key, "number", forward, DIGITS), lambda x: ~luhn(x))
-        return F.when(luhn(d), checked).otherwise(plain)
+        return F.when(luhn(d), checked).otherwise(d)
 
     return _fill(m, _let(_digits(m), run))
 
@@ -239,13 +243,15 @@ def pseudonym(m: Column, kind: Column, key: str = KEY, forward: bool = True) ->
     ssn_form = r"^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"
     d = _digits(m)
     ssn = _fill(m, _walk(d, lambda x: feistel(x, key, "ssn", forward, DIGITS), lambda x: x.rlike(ssn_form)))
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[^0-9])|\+[0-9]{2}|)", 1)
+    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[^0-9])|\+[0-9]{2}|00[1-9][0-9]{0,2}(?=[^0-9])|\(?0|)", 1)
     local = F.substring(m, F.length(country) + 1, F.length(m))
-    phone = F.concat(country, _fill(local, feistel(_digits(local), key, "phone", forward, DIGITS)))
+    trunk = m.rlike(r"^\(?0[1-9]")  # an area code has no second zero
+    digits = _walk(_digits(local), lambda x: feistel(x, key, "phone", forward, DIGITS), lambda x: ~trunk | ~x.startswith("0"))
+    phone = F.concat(country, _fill(local, digits))
     return (
         F.when(kind == "email", email).when((kind == "iban") & iban_ok, iban).when((kind == "secret") & hex_ok, secret)
         .when((kind == "date") & date_ok, date).when((kind == "ipv4") & ip_ok, ip).when((kind == "ssn") & d.rlike(ssn_form), ssn)
-        .when((kind == "phone") & F.length(d).between(7, 15), phone).when(kind == "card", _card(m, key, forward))
+        .when(kind.isin("phone", "national") & F.length(d).between(7, 15), phone).when(kind == "card", _card(m, key, forward))
         .otherwise(m)
     )
 
@@ -255,8 +261,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, forwar
 
     All columns and rows stay.  Null stays null.  What is restored is the canonical form:
     addresses for mail in small letters, slashed dates with the month first, octets
-    without leading zeros.  Telephone numbers keep their country code, mail addresses
-    their domain.
+    without leading zeros.  Telephone numbers keep their country code or the zero before
+    their area code, mail addresses their domain.
     """
     return docs.withColumn(text_col, rewritten(F.col(text_col), key, forward))
 
@@ -272,7 +278,12 @@ def rewritten(text: Column, key: str = KEY, forward: bool = True) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``doc_id``, the rewritten ``text``, and ``n_values``: the values that have a pseudonym."""
+    """``doc_id``, the rewritten ``text``, and ``n_values``: the values that have a pseudonym.
+
+    A null text stays null with no values, an empty one stays empty, texts of any length
+    are read whole.  Repeated rows come back as often as they came, an empty table gives
+    an empty one, and other columns are not read.
+    """
     text = F.col(text_col)
     before = F.when(text.rlike("[0-9@]"), found(text)).otherwise(F.array().cast("array<string>"))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), before.alias("_found"))
