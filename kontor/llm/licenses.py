@@ -27,7 +27,7 @@ SENTENCES = {
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-names": ["Neither the name of <...> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-2-ref": ["Released under the BSD 2-Clause License", "Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "bsd-3-ref": ["Released under the BSD 3-Clause License", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "apache-header": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"],
@@ -48,9 +48,32 @@ SENTENCES = {
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc0-ref": ["Released under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "bsd-as-is": ["THIS SOFTWARE IS PROVIDED BY <...> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "lgpl-free-21": ["This <...> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl-free-3": ["This <...> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "gpl-3-text": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl-2-text": ["By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users"],
+    "lgpl-3-text": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"],
+    "lgpl-21-text": ["This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it"],
+    "agpl-3-text": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"],
+    "apache-text": ["\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document"],
+    "mpl-text": ["\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof"],
+    "epl-ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at <...>", "SPDX-License-Identifier: EPL-2.0"],
+    "epl-text": ["THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")"],
+    "cc-by-text": ["By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")"],
+    "cc-by-sa-text": ["By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")"],
+    "cc-by-nc-text": ["By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License (\"Public License\")"],
+    "closed": ["Proprietary and confidential", "Unauthorized copying of this file, via any medium is strictly prohibited", "Unauthorized copying of this file, via any medium, is strictly prohibited"],
     "reserved": ["All rights reserved"],
 }
 
+#: Mark of a name in a known sentence, which any words may take the place of.
+HOLE = "<...>"
+
 #: Rules in order: licence and the sentences that make it, one after the other.
 RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "as-is", "no-liability"]),
@@ -61,6 +84,27 @@ RULES = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-header", "apache-copy", "apache-limits"]),
     ("Apache-2.0", ["apache-header"]),
+    ("GPL-3.0-only", ["gpl-3-text", "gpl-free", "gpl-hope", "gpl-details"]),
+    ("GPL-3.0-only", ["gpl-3-text"]),
+    ("GPL-2.0-only", ["gpl-2-text", "gpl-free-2", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", ["gpl-2-text"]),
+    ("AGPL-3.0-only", ["agpl-3-text", "agpl-free", "gpl-hope", "agpl-details"]),
+    ("AGPL-3.0-only", ["agpl-3-text"]),
+    ("LGPL-2.1-only", ["lgpl-21-text", "lgpl-free-21", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-2.1-only", ["lgpl-21-text"]),
+    ("LGPL-3.0-only", ["lgpl-3-text"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("LGPL-3.0-or-later", ["lgpl-free-3"]),
+    ("LGPL-2.1-or-later", ["lgpl-free-21"]),
+    ("Apache-2.0", ["apache-text", "apache-header", "apache-copy", "apache-limits"]),
+    ("Apache-2.0", ["apache-text"]),
+    ("MPL-2.0", ["mpl-text", "mpl-subject"]),
+    ("MPL-2.0", ["mpl-text"]),
+    ("EPL-2.0", ["epl-text"]),
+    ("EPL-2.0", ["epl-ref"]),
+    ("CC-BY-4.0", ["cc-by-text"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-text"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-text"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl-free-2", "gpl-hope", "gpl-details"]),
@@ -81,11 +125,14 @@ RULES = [
     ("CC0-1.0", ["cc0-ref"]),
     ("Unlicense", ["unlicense"]),
     ("MIT", ["mit-title"]),
-    ("Proprietary", ["reserved"]),
+    ("Proprietary", ["closed"]),
+    ("All-Rights-Reserved", ["reserved"]),
 ]
+#: A notice that goes with any licence: told only of texts without another one.
+NOTICE = "All-Rights-Reserved"
 
 #: Every known sentence has one of these words, so texts without them need no closer look.
-HINT = r"(?i)licen[sc]e|redistribut|permission|warranty|liable|unencumbered|rights reserved|CC0|CC BY|name of the copyright holder"
+HINT = r"(?i)licen[sc]e|redistribut|permission|warranty|liable|unencumbered|rights reserved|CC0|CC BY|proprietary|unauthorized copying|covered software"
 
 
 def normalise(sentence: str) -> str:
@@ -93,7 +140,9 @@ def normalise(sentence: str) -> str:
 
 
 #: Normalised sentence to identifier.
-KNOWN = {normalise(s): i for i, group in SENTENCES.items() for s in group}
+KNOWN = {normalise(s): i for i, group in SENTENCES.items() for s in group if HOLE not in s}
+#: Patterns of normalised sentences with a hole, by identifier.
+HOLED = [(i, "^" + " .+ ".join(map(normalise, s.split(HOLE))).strip() + "$") for i, group in SENTENCES.items() for s in group if HOLE in s]
 
 
 def sentences(text: Column) -> Column:
@@ -104,7 +153,8 @@ def sentences(text: Column) -> Column:
 
 def _identifiers(units: Column) -> Column:
     known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    return F.filter(F.transform(units, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    holed = lambda s: [F.when(s.rlike(pattern), F.lit(i)) for i, pattern in HOLED]
+    return F.filter(F.transform(units, lambda s: F.coalesce(F.try_element_at(known, s), *holed(s))), lambda i: i.isNotNull())
 
 
 def _licences(ids: Column) -> Column:
@@ -125,7 +175,8 @@ def _licences(ids: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``sentences`` (identifiers in order, as read line by line) and ``licences`` of every row.
 
-    ``licences``: names in alphabetical order, each once, found on either reading.  A
+    ``licences``: names in alphabetical order, each once, found on either reading; a mere
+    reservation of all rights is named only where there is no licence.  A
     null, empty or unlicensed text has empty arrays.  Repeated rows come back as often as
     they came; other columns are not read.
     """
@@ -136,5 +187,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     unwrapped = F.regexp_replace(F.regexp_replace(bare, r"\r\n?", "\n"), r"(?<!\n)\n(?!\n)", " ")
     ids = some.select("doc_id", _identifiers(sentences(bare)).alias("lines"), _identifiers(sentences(unwrapped)).alias("wrapped"))
     none = F.array().cast("array<string>")
-    found = F.array_sort(F.array_distinct(F.concat(_licences(F.col("lines")), _licences(F.col("wrapped")))))
+    both = F.array_sort(F.array_distinct(F.concat(_licences(F.col("lines")), _licences(F.col("wrapped")))))
+    found = F.transform(F.array(both), lambda all_: F.when(F.size(all_) > 1, F.array_remove(all_, NOTICE)).otherwise(all_))[0]
     return ids.select("doc_id", F.coalesce("lines", none).alias("sentences"), F.coalesce(found, none).alias("licences"))

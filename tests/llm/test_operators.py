@@ -355,6 +355,40 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df, key="other").first().text != new[0].text
 
 
+def test_only_validated_numbers_and_national_telephone_forms(spark):
+    left = ["1700000000123", "9783161484100x", "at 1234567890123456 order", "9807915762804490", "12 0711", "1 000 000"]
+    phones = ["0711 123456", "(0711) 123456", "0049 711 123456", "0151/2345678", "+49 711 123456", "(030) 1234-567"]
+    texts = [*left, *(f"call {p} now" for p in phones), "4845168114407329"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pii.pseudonymise(df).orderBy("doc_id").collect()
+    back = pii.pseudonymise(pii.pseudonymise(df), forward=False).orderBy("doc_id").collect()
+    assert [r.text for r in back] == texts
+    assert [r.text for r in new][: len(left)] == left
+    for old, r in zip(texts[len(left) :], new[len(left) :]):
+        assert r.text != old and re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", old)
+    assert "0049 " in new[len(left) + 2].text and new[len(left)].text.startswith("call 0")
+
+
+def test_feistel_against_plain_python(spark):
+    def feistel(text, key, tweak, alphabet):
+        a, b = text[: len(text) // 2], text[len(text) // 2 :]
+        for r in range(pii.ROUNDS):
+            seed = "|".join([key, tweak, str(len(text)), str(r), b if r % 2 == 0 else a])
+            stream = "".join(hashlib.sha512((seed + (f"|{i}" if i else "")).encode()).hexdigest() for i in range(len(text) // 32 + 2))
+            turned = a if r % 2 == 0 else b
+            turned = "".join(alphabet[(alphabet.index(c) + int(stream[4 * i : 4 * i + 4], 16)) % len(alphabet)] for i, c in enumerate(turned))
+            a, b = (turned, b) if r % 2 == 0 else (a, turned)
+        return a + b
+
+    rng = random.Random(3)
+    texts = ["", "7", "42", *("".join(rng.choices("0123456789", k=k)) for k in (3, 9, 64, 65, 130, 300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", pii.feistel(F.col("t"), "k", "w", True, pii.DIGITS).alias("n")).collect()
+    assert {r.t: r.n for r in got} == {t: feistel(t, "k", "w", "0123456789") for t in texts}
+    numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
+    assert numbers.select(pii.feistel(F.col("t"), "k", "w", True, pii.DIGITS).alias("n")).distinct().count() == 1000
+
+
 def test_account_numbers_before_capitals_and_digits(spark):
     def number(country, body):
         digits = "".join(str(int(c, 36)) for c in body + country + "00")
@@ -388,6 +422,22 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licences_with_names_in_their_sentences_and_notices(spark):
+    say = lambda *ids: "\n\n".join(licenses.SENTENCES[i][0].replace(licenses.HOLE, "Example University") + "." for i in ids)
+    three = say("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")
+    texts = {
+        "Copyright 2020 Example Ltd. All rights reserved.\n\n" + three: ["BSD-3-Clause"], say("bsd-grant", "bsd-source", "bsd-binary"): ["BSD-2-Clause"],
+        "words\n© Example Ltd. All rights reserved.": ["All-Rights-Reserved"], "Proprietary and confidential. All rights reserved.": ["Proprietary"],
+        say("lgpl-free-21", "lgpl-hope", "lgpl-details"): ["LGPL-2.1-or-later"], say("agpl-free", "gpl-hope", "agpl-details"): ["AGPL-3.0-or-later"],
+        "x. " + say("gpl-3-text") + "\nmore words here.\n" + say("gpl-free", "gpl-hope", "gpl-details"): ["GPL-3.0-only"], say("apache-text"): ["Apache-2.0"],
+        say("gpl-free", "gpl-hope", "gpl-details") + "\n" + say("mit-grant", "mit-notice"): ["GPL-3.0-or-later", "MIT"], say("epl-ref"): ["EPL-2.0"],
+        "Neither the name of the rose nor the names of its petals": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_separator_scan(spark, tmp_path):
     rng = random.Random(2)
     expected = []
