@@ -26,11 +26,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 
-#: Share of documents that the estimate rests on.
-CORE = 0.75
-#: Steps end when no group's log determinant falls by more than ``STILL``, or after ``STEPS``.
+#: Share of documents that the estimate rests on: fewer than half of a group may be junk.
+CORE = 0.5
+#: Steps end when no group's least log determinant falls by more than ``STILL``.
 STILL = 0.01
-STEPS = 12
 #: Share of clean (normal) documents beyond the cutoff.
 TAIL = 1e-5
 #: Documents' worth of the language's and of the corpus' estimate that each group is given.
@@ -125,7 +124,7 @@ def _on_grid(x: Column, per_unit: int) -> Column:
 
 def robust_distance(
     rows: DataFrame, groups: list[str], spreads: dict[str, float], use: Column,
-    core: float = CORE, steps: int = STEPS, prior: float = PRIOR,
+    core: float = CORE, prior: float = PRIOR,
 ) -> DataFrame:
     """``rows`` with ``_d2``, the squared Mahalanobis distance to the robust estimate of the row's group.
 
@@ -160,21 +159,30 @@ def robust_distance(
     )
     d2 = sum((F.lit(1.0 if i == j else 2.0) * F.col(f"_a{i}_{j}") * (F.col(xs[i]) - F.col(f"_m{i}")) * (F.col(xs[j]) - F.col(f"_m{j}")) for i, j in pairs), F.lit(0.0))
 
-    before = None
-    for _ in range(steps):
+    best = None
+    while True:  # ends, as every further step lowers a determinant that the spreads bound from below
         far = used.join(estimate, keys).select(*keys, *xs, _on_grid(F.log(F.greatest(d2, F.lit(1e-9))), 64).alias("_far"))
-        edge = far.groupBy(*keys).agg(F.percentile("_far", F.lit(core)).alias("_edge"))
+        edge = checkpoint_cut(far.groupBy(*keys).agg(F.percentile("_far", F.lit(core)).alias("_edge")))
         inside = far.join(edge, keys).where("_far <= _edge")
         sums = inside.groupBy(*keys).agg(
             F.count("*").cast("double").alias("_n"), *(F.sum(x).alias(f"_x{i}") for i, x in enumerate(xs)),
             *(F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"_x{i}_{j}") for i, j in pairs),
         )
-        estimate = checkpoint_cut(_estimate(checkpoint_cut(sums), keys, p, pairs, prior, consistency, floor))
-        if before is not None:
-            old = before.select(*keys, F.col("_det").alias("_old"))
-            if (estimate.join(old, keys).agg(F.max(F.col("_old") - F.col("_det")).alias("fall")).first().fall or 0.0) <= STILL:
-                break
-        before = estimate
+        estimate = _estimate(checkpoint_cut(sums), keys, p, pairs, prior, consistency, floor)
+        if best is None:
+            best = estimate = checkpoint_cut(estimate.withColumn("_fall", F.lit(float("inf"))))
+            continue
+        old = best.select(*keys, *(F.col(c).alias(f"_old{c}") for c in best.columns if c not in keys))
+        both, falls = estimate.join(old, keys), F.col("_det") < F.col("_old_det")
+        values = [c for c in estimate.columns if c not in keys]
+        best = estimate = checkpoint_cut(
+            both.select(
+                *keys, *(F.when(falls, F.col(c)).otherwise(F.col(f"_old{c}")).alias(c) for c in values),
+                F.greatest(F.col("_old_det") - F.col("_det"), F.lit(0.0)).alias("_fall"),
+            )
+        )
+        if (best.agg(F.max("_fall").alias("fall")).first().fall or 0.0) <= STILL:
+            break
     columns = [c for c in estimate.columns if c not in keys]
     rows = rows.join(estimate, keys, "left")
     return rows.withColumn("_d2", d2).drop(*columns, *keys, "_use")

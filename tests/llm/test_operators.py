@@ -233,6 +233,18 @@ def test_symbols_class():
     assert quality.text_stats("[a] # [b]")[2] == 1
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.4])
+def test_junk_of_a_source_is_not_its_norm(spark, share):
+    rng = random.Random(11)
+    voc = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+    good = lambda: " ".join(rng.choices(voc, k=rng.randint(60, 140))) + "."
+    junk = lambda: " ".join(rng.choices(["#$%&", "<<>>", "||||", "ab"], k=rng.randint(60, 140)))
+    bad = int(300 * share)
+    rows = [(i, junk() if i < bad else good(), "en", "hot") for i in range(300)] + [(1000 + i, good(), "en", "other") for i in range(100)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept == (r.doc_id >= bad) for r in got if not r.base_failed)
+
+
 def test_mix(docs, rows, empty):
     got = mixing.mix(docs, block_words=4).collect()
     assert len(got) == len(rows)
@@ -331,6 +343,24 @@ def test_decontamination_finds_names_that_open_and_units_that_are_attached(spark
     assert got == {(10, 1): True, (12, 2): True, (13, 3): True}
 
 
+def test_decontamination_of_runs_accents_and_short_items(spark):
+    tail = "rode the tram across the old town and then sat by the river with a book until dusk"
+    items = [(1, f"On Monday Rome and Emile {tail}"), (2, f"He saw twenty geese when Anna {tail}"), (3, "Yes, of course"), (4, f"There Anna and Peter {tail} of Peter")]
+    rows = [
+        (10, f"On Monday Berlin and Oskar {tail}"), (11, f"On Monday New York and Émile {tail}"), (12, f"On Monday New York and Ångström van {tail}"),
+        (13, f"He saw twenty five geese when Élodie {tail}"), (14, f"He saw eighty geese when Jean-Luc Picard {tail}"),
+        (15, f"There Carla and Carla {tail} of Carla"), (16, f"There Carla and Otto {tail} of Otto"), (17, "Well. YES of course! And on."), (18, "Well yes, of course. And on."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.first_token for r in decontaminate.contaminated(docs, bench).collect()}
+    # all four have the tail in common, so only the windows that hold the names tell
+    assert {d for (d, i), first in got.items() if i == 1 and first == 0} == {10, 11}
+    assert {d for (d, i), first in got.items() if i == 2 and first == 0} == {13, 14}
+    assert {d for (d, i), first in got.items() if i == 4 and first == 0} == {16}
+    assert {d for d, i in got if i == 3} == {17}
+
+
 def test_pseudonyms(spark):
     texts = [
         "Call +1 (017) 555-7713 or und.34@mail7.example.com now, 4785380592391139$$$ and 4785-3805-9239-1139!",
