@@ -4,9 +4,11 @@ Texts become template tokens: numbers, names and units of measure are replaced b
 placeholders.  Windows of template tokens of the documents and of the benchmark meet in
 a hash join; aligned windows then have to agree in every literal token, and the values
 that fill the slots have to be renamed consistently: one benchmark value has one value
-in the document.  That finds copies and questions with other numbers or names.  A capital
-word that opens a sentence may be a name or not; its windows are looked for either way.  Windows
-of plain lower-cased tokens are joined as well, for copies in another case.
+in the document, and two names have two.  That finds copies and questions with other
+numbers or names.  Names or number words in a row ('New York', 'twenty five') are one
+slot.  A capital word that opens a sentence may be a name or not; its windows are looked
+for either way.  Windows of plain lower-cased tokens are joined as well, for copies in
+another case.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from kontor.llm import kernels
 
-#: Tokens in a window; shorter benchmark items are one window, down to ``SHORTEST``.
+#: Tokens in a window; shorter benchmark items are one window.
 WIDTH = 13
+#: Items of fewer tokens are in many texts by chance: they match only as whole sentences or lines.
 SHORTEST = 5
 #: Share of literal tokens that a template window must have.
 LITERAL = 0.5
@@ -56,6 +59,8 @@ el los las una unos unas y o pero como donde cuando es son en con por para del a
 """.split()
 
 LITERAL_TOKEN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: Readings of a text: plain tokens, templates, templates with sentence openers as names.
+PLAIN, STRICT, LOOSE = 0, 1, 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -70,8 +75,14 @@ _POINT = np.zeros(256, bool)
 _POINT[[44, 46]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 63]] = True  # a name is told by its capital letter only within a sentence
+_JOINT = np.zeros(256, bool)
+_JOINT[[32, 45]] = True  # what may be within a name or a number in words
+#: Bytes of a character by its first one.
+_WIDTHS = np.ones(256, np.int64)
+_WIDTHS[0xC0:0xE0], _WIDTHS[0xE0:0xF0], _WIDTHS[0xF0:] = 2, 3, 4
 #: Punctuation beyond ASCII.
 _MARKS = "[\u00a0-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f]+"
+_RUN = np.uint64(0xA0761D6478BD642F)
 _PLACEHOLDER = kernels.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -104,11 +115,44 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.sort(np.concatenate([starts, cut[split]])), np.sort(np.concatenate([ends, cut[split]]))
 
 
-class Tokens:
-    """Template tokens of a column of texts: ``code`` (of the lower-cased token), ``kind``, ``template``.
+def _capital(raw: np.ndarray, at: np.ndarray, lower: np.ndarray, lower_at: np.ndarray) -> np.ndarray:
+    """Whether the characters at some places differ from the small letters at theirs."""
+    out = np.zeros(len(at), bool)
+    for k in range(4):
+        mine, theirs = np.minimum(at + k, len(raw) - 1), np.minimum(lower_at + k, len(lower) - 1)
+        out |= (k < _WIDTHS[raw[at]]) & (raw[mine] != lower[theirs])
+    return out
+
+
+class Reading:
+    """A sequence of tokens of a column of texts: ``code``, ``kind``, ``first`` (place among all tokens) and ``counts`` per text."""
+
+    def __init__(self, code: np.ndarray, kind: np.ndarray, bounds: np.ndarray, joint: np.ndarray | None = None):
+        first = np.arange(len(code))
+        if joint is not None and len(code):  # a run of names, or of numbers, is one slot with a code of its own
+            goes_on = np.zeros(len(code), bool)
+            goes_on[1:] = joint[1:] & (kind[1:] == kind[:-1]) & np.isin(kind[1:], (NAME, NUMBER))
+            first = np.flatnonzero(~goes_on)
+            place = np.arange(len(code)) - first[np.cumsum(~goes_on) - 1]
+            code = np.add.reduceat(code * kernels.powers(_RUN, int(place.max()) + 1)[place], first)
+            kind, bounds = kind[first], np.searchsorted(first, bounds)
+        self.code, self.kind, self.first, self.bounds = code, kind, first, bounds
+        self.counts = np.diff(bounds)
+
+    def windows(self, width: int, template: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, row and hash (0: too few literal tokens) of every window."""
+        at = kernels.window_starts(self.counts, width)
+        row = np.repeat(np.arange(len(self.counts)), np.maximum(self.counts - width + 1, 0))
+        if not template:
+            return at, row, kernels.windows(self.code, width, 0xE7037ED1A0B428DB)[at]
+        slots = np.concatenate([[0], np.cumsum(self.kind > 0)])
+        literal = width - (slots[at + width] - slots[at])
+        code = kernels.windows(np.where(self.kind > 0, _PLACEHOLDER[self.kind], self.code), width)[at]
+        return at, row, np.where(literal >= LITERAL * width, code, np.uint64(0))
 
-    ``loose``: the kinds where a capital word that opens a sentence is a name as well.
-    """
+
+class Tokens:
+    """Readings of a column of texts; ``opens``: tokens that open a sentence or a line (and one more at the end)."""
 
     def __init__(self, column: pa.Array):
         column = pc.replace_substring_regex(column.fill_null("").cast(pa.string()), _MARKS, " ")
@@ -118,77 +162,80 @@ class Tokens:
         lower_starts, lower_ends = _tokens(lower, lower_offsets)
         if len(lower_starts) != len(starts):  # a letter without a lower-case letter of its own: fold A-Z only
             lower, lower_starts, lower_ends = _LOWER[raw], starts, ends
-        self.code = kernels.hash_spans(lower, lower_starts, lower_ends)
-        self.bounds = np.searchsorted(starts, offsets)
-        self.counts = np.diff(self.bounds)
+        code = kernels.hash_spans(lower, lower_starts, lower_ends)
+        bounds = np.searchsorted(starts, offsets)
         n = len(starts)
         kind = np.zeros(n, np.int8)
+        opens, joint, loose = np.zeros(n + 1, bool), np.zeros(n, bool), kind
+        opens[bounds] = True
         if n:
             digits = np.add.reduceat(np.append(_DIGIT[raw] | _POINT[raw], False).astype(np.int32), np.stack([starts, ends], 1).ravel())[::2]
             number = _DIGIT[raw[starts]] & (digits == ends - starts)
-            number |= np.isin(self.code, _NUMBER_CODES)
-            opens = np.zeros(n, bool)
-            opens[self.bounds[:-1][self.counts > 0]] = True
-            stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
-            opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
-            second = raw[np.minimum(starts + 1, len(raw) - 1)]
-            capital = _UPPER[raw[starts]] & (ends - starts > 1) & ~_UPPER[second]
-            kind[capital & ~opens] = NAME
+            number |= np.isin(code, _NUMBER_CODES)
+            stops, joints = (np.concatenate([[0], np.cumsum(x[raw])]) for x in (_STOP, _JOINT))
+            opens[1:-1] |= stops[starts[1:]] > stops[ends[:-1]]
+            gap = starts[1:] - ends[:-1]
+            joint[1:] = ~opens[1:-1] & (gap > 0) & (joints[starts[1:]] - joints[ends[:-1]] == gap)
+            head, lower_head = _WIDTHS[raw[starts]], _WIDTHS[lower[lower_starts]]
+            more = ends - starts > head
+            second, lower_second = (np.where(more, x + y, x) for x, y in ((starts, head), (lower_starts, lower_head)))
+            capital = _capital(raw, starts, lower, lower_starts) & more & ~_capital(raw, second, lower, lower_second)
+            kind[capital & ~opens[:-1]] = NAME
             kind[number] = NUMBER
             unit = np.zeros(n, bool)
-            unit[1:] = number[:-1] & ~opens[1:] & np.isin(self.code[1:], _UNIT_CODES)
+            unit[1:] = number[:-1] & ~opens[1:-1] & np.isin(code[1:], _UNIT_CODES)
             attached = np.zeros(n, bool)
             attached[1:] = number[:-1] & (starts[1:] == ends[:-1])
-            unit |= attached & np.isin(self.code, _ORDINAL_CODES)
+            unit |= attached & np.isin(code, _ORDINAL_CODES)
             kind[unit] = UNIT
-            loose = np.where(capital & opens & (kind == LITERAL_TOKEN) & ~np.isin(self.code, _FUNCTION_CODES), NAME, kind).astype(np.int8)
-        else:
-            loose = kind
-        self.kind, self.loose = kind, loose
+            loose = np.where(capital & opens[:-1] & (kind == LITERAL_TOKEN) & ~np.isin(code, _FUNCTION_CODES), NAME, kind).astype(np.int8)
+        self.bounds, self.opens = bounds, opens
+        opened = np.concatenate([[0], np.cumsum(kind != loose)])
+        #: Texts whose loose reading is another one.
+        self.loosened = opened[bounds[1:]] > opened[bounds[:-1]]
+        self.readings = {PLAIN: Reading(code, np.zeros(n, np.int8), bounds), STRICT: Reading(code, kind, bounds, joint), LOOSE: Reading(code, loose, bounds, joint)}
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First token, row, template hash (0: too few literal tokens), loose one (0 where it is no other) and plain hash of every window."""
-        at = kernels.window_starts(self.counts, width)
-        row = np.repeat(np.arange(len(self.counts)), np.maximum(self.counts - width + 1, 0))
-        plain = kernels.windows(self.code, width, 0xE7037ED1A0B428DB)[at]
-        templates = []
-        for kind in (self.kind, self.loose):
-            slots = np.concatenate([[0], np.cumsum(kind > 0)])
-            literal = width - (slots[at + width] - slots[at])
-            template = kernels.windows(np.where(kind > 0, _PLACEHOLDER[kind], self.code), width)[at]
-            templates.append(np.where(literal >= LITERAL * width, template, np.uint64(0)))
-        opened = np.concatenate([[0], np.cumsum(self.kind != self.loose)])
-        templates[1][opened[at + width] == opened[at]] = 0
-        return at, row, *templates, plain
 
-
-_SCHEMA = "id long, place long, width int, plain boolean, loose boolean, hash long, codes array<long>, kinds array<tinyint>"
+_SCHEMA = "id long, place long, token long, width int, mode byte, hash long, codes array<long>, kinds array<tinyint>"
 
 
 def _windows(table: DataFrame, widths: list[int], known: np.ndarray | None, whole_if_short: int | None) -> DataFrame:
-    """Windows of a table (``id``, ``text``) that are in the table of bits ``known`` (all without one)."""
-    names = ["id", "place", "width", "plain", "loose", "hash", "codes", "kinds"]
+    """Windows of a table (``id``, ``text``) that are in the table of bits ``known`` (all without one).
+
+    ``place``: of the first token in its reading, ``token``: among all tokens of the text.
+    """
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def rows(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         tokens = Tokens(texts)
         found = []
-        for width in widths:
-            at, row, template, loose, plain = tokens.windows(width)
-            fits = np.ones(len(at), bool) if whole_if_short is None or width == whole_if_short else tokens.counts[row] == width
-            for is_plain, is_loose, code in ((False, False, template), (False, True, loose), (True, False, plain)):
-                hit = fits & (code != 0)
+        for mode, reading in tokens.readings.items():
+            for width in widths:
+                if width < SHORTEST and mode != PLAIN:
+                    continue
+                at, row, code = reading.windows(width, mode != PLAIN)
+                hit = code != 0
+                if whole_if_short is not None and width != whole_if_short:
+                    hit &= reading.counts[row] == width
+                elif width < SHORTEST:  # a whole sentence or line
+                    hit &= tokens.opens[at] & tokens.opens[at + width]
+                if mode == LOOSE:
+                    hit &= tokens.loosened[row]
                 if known is not None:
                     hit &= (known[(code >> np.uint64(70 - TABLE_BITS)).astype(np.int64)] >> ((code >> np.uint64(64 - TABLE_BITS)) & np.uint64(63))) & np.uint64(1) > 0
                 hit = np.flatnonzero(hit)
-                found.append((at[hit], row[hit], np.full(len(hit), width), np.full(len(hit), is_plain), np.full(len(hit), is_loose), code[hit]))
-        at, row, width, plain, loose, code = (np.concatenate(x) for x in zip(*found))
+                at, row = at[hit], row[hit]
+                flat = np.repeat(at, width) + np.tile(np.arange(width), len(at))
+                found.append((
+                    row, at - reading.bounds[row], reading.first[at] - tokens.bounds[row], np.full(len(at), width), np.full(len(at), mode), code[hit],
+                    reading.code[flat], reading.kind[flat],
+                ))
+        row, place, token, width, mode, code, codes, kinds = (np.concatenate(x) for x in zip(*found))
         ends = np.concatenate([[0], np.cumsum(width)])
-        flat = np.arange(ends[-1]) - np.repeat(ends[:-1], width) + np.repeat(at, width)
-        kinds = np.where(np.repeat(loose, width), tokens.loose[flat], tokens.kind[flat])
         return pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(row)), pa.array(at - tokens.bounds[row], pa.int64()), pa.array(width, pa.int32()), pa.array(plain), pa.array(loose),
-                pa.array(code.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.code[flat].view(np.int64))),
+                ids.take(pa.array(row)), pa.array(place, pa.int64()), pa.array(token, pa.int64()), pa.array(width, pa.int32()), pa.array(mode, pa.int8()),
+                pa.array(code.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes.view(np.int64))),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kinds)),
             ],
             names=names,
@@ -221,47 +268,42 @@ def contaminated(
     ``doc_id``, ``item_id``, ``n_windows`` (window places of the document), ``first_token``
     (of the first window) and ``renamed`` (true if no window agrees word for word).
     Tokens are runs of letters and digits.  An item shorter than ``width`` tokens is one
-    window; items of fewer than five tokens can't be told from chance and never match.
-    Null texts are empty and rows without an id are left out, on both sides; repeated
-    rows count as one document.  Empty tables give an empty result; other columns are
-    not read.
+    window; one of fewer than five tokens has to be a whole sentence or line, word for
+    word.  Texts of any length are read whole.  Where several alignments or readings
+    agree, each window place counts once, and the first of them is told.  Null texts are
+    empty and rows without an id are left out, on both sides; repeated rows count as one
+    document.  Empty tables give an empty result; other columns are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    widths = list(range(SHORTEST, width + 1))
-    theirs = _windows(items, widths, None, width).dropDuplicates(["id", "place", "width", "plain", "hash"])
-    present = sorted(r["width"] for r in theirs.select("width").distinct().collect())  # at most nine widths
+    key = ["id", "place", "width", "mode", "hash"]
+    theirs = _windows(items, list(range(1, width + 1)), None, width).dropDuplicates(key)
+    present = sorted(r["width"] for r in theirs.select("width").distinct().collect())  # at most thirteen widths
     if not present:
         present = [width]
-    ours = _windows(slim, present, _bit_table(theirs), None).dropDuplicates(["id", "place", "width", "plain", "hash"])
+    ours = _windows(slim, present, _bit_table(theirs), None).dropDuplicates(key)
+    plain = (F.col("mode") == PLAIN).alias("plain")
     theirs = theirs.select(
-        "width", "plain", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
-        F.col("codes").alias("item_codes"), F.col("kinds").alias("item_kinds"), F.col("loose").alias("item_loose"),
+        "width", plain, "hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("mode").alias("item_mode"),
+        F.col("codes").alias("item_codes"), F.col("kinds").alias("item_kinds"),
     )
-    met = ours.withColumnRenamed("id", "doc_id").join(theirs, ["width", "plain", "hash"])
-    slots = F.filter(
-        F.arrays_zip("kinds", "item_kinds", "codes", "item_codes"), lambda t: (t["kinds"] > 0) & (t["kinds"] == t["item_kinds"])
-    )
-    agrees = F.forall(
-        F.arrays_zip("kinds", "item_kinds", "codes", "item_codes"),
-        lambda t: (t["codes"] == t["item_codes"]) | (~F.col("plain") & (t["kinds"] > 0) & (t["kinds"] == t["item_kinds"])),
-    )
-    same = F.col("codes") == F.col("item_codes")
-    met = met.where(agrees).select(
-        "doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "place", same.alias("same"),
-        (F.col("loose") | F.col("item_loose")).alias("loose"),
-        F.transform(slots, lambda t: F.struct(t["item_codes"].alias("a"), t["codes"].alias("b"))).alias("slots"),
-    )
-    # one alignment: as many windows as the item has at most; with openers as names, and without
-    filled = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    strict = lambda c: F.when(~F.col("loose"), F.col(c))
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("same").alias("same"), F.collect_set("place").alias("places"), filled("slots").alias("slots"),
-        F.collect_set(strict("place")).alias("strict_places"), filled(strict("slots")).alias("strict_slots"),
+    ours = ours.select("width", plain, "hash", F.col("id").alias("doc_id"), "place", "token", "mode", "codes", "kinds")
+    met = ours.join(theirs, ["width", "plain", "hash"])
+    pairs = F.arrays_zip("kinds", "item_kinds", "codes", "item_codes")
+    filled = lambda t: (t["kinds"] > 0) & (t["kinds"] == t["item_kinds"])
+    met = met.where(F.forall(pairs, lambda t: (t["codes"] == t["item_codes"]) | filled(t))).select(
+        "doc_id", "item_id", "mode", "item_mode", (F.col("place") - F.col("item_place")).alias("shift"), "token",
+        (F.col("codes") == F.col("item_codes")).alias("same"),
+        F.transform(F.filter(pairs, filled), lambda t: F.struct(t["kinds"].alias("kind"), t["item_codes"].alias("a"), t["codes"].alias("b"))).alias("slots"),
     )
-    renames = lambda c: F.size(F.array_distinct(F.col(f"{c}.a"))) == F.size(c)
-    places = F.when(F.col("same") | renames("slots"), F.col("places")).when(renames("strict_slots"), F.col("strict_places"))
-    fine = aligned.select("doc_id", "item_id", "same", places.alias("places")).where("size(places) > 0").withColumn("first", F.array_min("places"))
-    return fine.groupBy("doc_id", "item_id").agg(
-        F.sum(F.size("places")).alias("n_windows"), F.min("first").alias("first_token"), (~F.max("same")).alias("renamed")
+    # one alignment of two readings: as many windows as the item has at most
+    aligned = met.groupBy("doc_id", "item_id", "mode", "item_mode", "shift").agg(
+        F.collect_set(F.struct("token", "same")).alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    )
+    single = lambda slots, *fields: F.size(F.array_distinct(F.transform(slots, lambda t: F.struct(*(t[f] for f in fields))))) == F.size(slots)
+    renames = single(F.col("slots"), "kind", "a") & single(F.filter("slots", lambda t: t["kind"] == NAME), "b")
+    places = aligned.select("doc_id", "item_id", renames.alias("renames"), F.explode("windows").alias("window"))
+    places = places.where(F.col("window.same") | F.col("renames")).groupBy("doc_id", "item_id", "window.token").agg(F.max("window.same").alias("same"))
+    return places.groupBy("doc_id", "item_id").agg(
+        F.count("*").cast("int").alias("n_windows"), F.min("token").alias("first_token"), (~F.max("same")).alias("renamed")
     )
