@@ -103,25 +103,26 @@ def trie_join(node: np.ndarray, code: np.ndarray, home: np.ndarray, max_bits: in
 
     ``code`` has the half that comes first in its upper 32 bits.  Pairs are a home leaf
     with a home leaf or a visitor of the same node; visitors have spent one bit already.
+    Visitors of a node come from several others, and those of each are a range of their own.
     """
     order = np.lexsort((code, ~home, node))
     node, code, home = node[order], code[order], home[order]
     n = len(code)
     if not n:
         return code[:0], code[:0]
-    firsts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-    lasts = np.append(firsts[1:], n)
-    homes = np.add.reduceat(home.astype(np.int64), firsts)
-    with_home = homes > 0
-    firsts, lasts, homes = firsts[with_home], lasts[with_home], homes[with_home]
-    # pairs of ranges: (home, home) and (home, visitors); a range is a node of the trie
-    visited = lasts > firsts + homes
-    several = homes > 1
+    # ranges of one node and one origin, which are nodes of the trie: those of home leaves come before their visitors
+    origin = code >> np.uint64(64 - root_bits)
+    opens = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (home[1:] != home[:-1]) | (origin[1:] != origin[:-1])))
+    lasts, at_home = np.append(opens[1:], n), home[opens]
+    h0, h1, v0, v1 = opens[at_home], lasts[at_home], opens[~at_home], lasts[~at_home]
+    if not len(h0):
+        return code[:0], code[:0]
+    host = np.minimum(np.searchsorted(node[h0], node[v0]), len(h0) - 1)
+    met = node[h0[host]] == node[v0]
+    host, v0, v1 = host[met], v0[met], v1[met]
+    several = h1 - h0 > 1
     stack = []
-    for a0, a1, b0, b1, spent in (
-        (firsts[several], (firsts + homes)[several], firsts[several], (firsts + homes)[several], 0),
-        (firsts[visited], (firsts + homes)[visited], (firsts + homes)[visited], lasts[visited], 1),
-    ):
+    for a0, a1, b0, b1, spent in ((h0[several], h1[several], h0[several], h1[several], 0), (h0[host], h1[host], v0, v1, 1)):
         for i in range(0, len(a0), FRONTIER):
             cut = slice(i, i + FRONTIER)
             stack.append((root_bits, a0[cut], a1[cut], b0[cut], b1[cut], np.full(len(a0[cut]), spent, np.int8)))

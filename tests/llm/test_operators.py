@@ -117,6 +117,20 @@ def test_trie_join_finds_all_links(spark, limit):
     assert {c: roots.get(c, c) for c in signed} == {c: root(c) for c in signed}
 
 
+def test_trie_join_keeps_visitors_of_several_nodes_apart(spark):
+    # node 3 has visitors from nodes 1 and 2; their lower bits are not in one order
+    low = [5, 1 << 39, 1 << 38, (1 << 39) | 7]
+    codes = [(3 << 40) | low[0], (3 << 40) | low[1], (1 << 40) | low[1], (1 << 40) | low[3], (2 << 40) | low[0], (2 << 40) | low[2]]
+    pairs = {(a, b) for a in codes for b in codes if a < b and bin(a ^ b).count("1") <= 3}
+    home = [(c >> 40, c, True) for c in codes]
+    away = [((c >> 40) | (1 << i), c, False) for c in codes for i in range(24) if not c >> 40 & (1 << i)]
+    node, code, at_home = (np.array(x) for x in zip(*home, *away))
+    a, b = simhash.trie_join(node.astype(np.int64), code.astype(np.uint64), at_home)
+    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    assert found <= pairs
+    assert found == {p for p in pairs if bin((p[0] ^ p[1]) >> 32).count("1") <= 1}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(5, 5), (160, 159)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
