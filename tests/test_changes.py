@@ -248,6 +248,15 @@ def test_planned_join_spreads_a_hot_key(spark):
     assert skew.planned_join(events.limit(0), wanted, "event").count() == 0
 
 
+def test_planned_join_of_one_file_is_not_one_task(spark):
+    from kontor.operators import monitor
+
+    events = spark.range(4000).selectExpr("id AS event_id", "CASE WHEN id % 10 < 9 THEN 'hot' ELSE concat('k', id % 7) END AS event").coalesce(1)
+    subs = spark.range(60).selectExpr("id AS webhook_id", "concat('u', id) AS url", "true AS active", "array('hot', 'k1') AS events").coalesce(1)
+    rows = [r["count"] for r in monitor.fan_out(events, subs).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(rows) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2 and max(rows) < sum(rows) * 0.75
+
+
 def test_retention_boundaries(spark):
     import datetime as dt
     import random
