@@ -43,7 +43,9 @@ OVERALL_THRESHOLD = 80
 AUTO_MERGE_THRESHOLD = 95
 
 FIELDS = list(WEIGHTS)
-TILE_ROWS = 8_000
+TILE_ROWS = 32_000
+#: Below all ids.
+LOWEST = -(1 << 63)
 
 
 def comparison_keys(df: DataFrame) -> DataFrame:
@@ -109,21 +111,21 @@ def _grid(profiles: DataFrame, name: str, tile_rows: int) -> DataFrame:
 
 
 def profile_pairs(
-    profiles: DataFrame, threshold: float, tile_rows: int = TILE_ROWS, asked: DataFrame | None = None
+    profiles: DataFrame, threshold: float, best: int, tile_rows: int = TILE_ROWS, probes_only: bool = False, earlier: bool = False
 ) -> DataFrame:
-    """Scored unordered pairs of distinct profiles with ``overall >= threshold``.
+    """Links (``src``, ``dst``, similarities, ``overall >= threshold``) of every profile to the ``best`` others: score first, then ``least``.
 
-    With ``asked`` (pkey of the probe profiles) only pairs with a probe are formed:
-    probes on the left, every profile of their blocks on the right.
+    ``profiles``: block, pkey, probe, the keys, ``least`` (the lowest id that the profile offers as a candidate), ``offers``
+    (whether it has one), ``first`` and ``last`` (its lowest and highest id that asks).  Each of the ``best`` profiles offers a candidate,
+    so what comes after them is no candidate of ``src`` among the ``best`` first.  With ``earlier`` a candidate needs a lower id
+    than the row that asks: partners with ``least`` below ``first`` are counted, those that only some rows may have come on top.
+    With ``probes_only`` only probes ask: probes on the left, every profile of their blocks on the right.
     """
     present = sum((F.col(f"{f}_key").isNotNull().cast("int") for f in FIELDS[1:]), F.lit(0))
-    best = F.lit(100 * WEIGHTS["name"]) + present * F.lit(100 * WEIGHTS["phone"])
+    most = F.lit(100 * WEIGHTS["name"]) + present * F.lit(100 * WEIGHTS["phone"])
     keys = [f"{f}_key" for f in FIELDS]
-    rows = checkpoint_cut(profiles.filter(best >= threshold).select("block", "pkey", *keys))
-    if asked is None:
-        rows = rows.withColumn("probe", F.lit(True))
-    else:
-        rows = rows.join(asked.select("pkey", F.lit(True).alias("probe")), "pkey", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    more = ["probe", "least", "offers", "first", "last"]
+    rows = checkpoint_cut(profiles.filter(most >= threshold).select("block", "pkey", *more, *keys))
     strict = _strict(threshold)
     # where a missing field leaves no room, only complete rows are compared with their block
     whole = rows.filter(" and ".join(f"{k} is not null" for k in keys)) if strict else rows
@@ -133,11 +135,11 @@ def profile_pairs(
 
     def placed(part: DataFrame, side: Column, ti: Column, tj: Column) -> DataFrame:
         spots = part.withColumns({"side": side.cast("int"), "ti": ti}).withColumn("tj", tj)
-        return spots.select("block", "ti", "tj", "side", "pkey", "probe", *keys)
+        return spots.select("block", "ti", "tj", "side", "pkey", *more, *keys)
 
     cols_grid = _grid(whole, "cols_grid", tile_rows)
     sized = whole.join(cols_grid, "block", "left").withColumn("cols_grid", F.coalesce("cols_grid", F.lit(1)))
-    if asked is None:
+    if not probes_only:
         # cell (i, j) with i < j: rows of cell i against rows of cell j; (i, i): its rows against each other
         mine, last = cell("cols_grid"), F.col("cols_grid") - 1
         near = sized.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
@@ -150,12 +152,19 @@ def profile_pairs(
         spots = placed(left, F.lit(0), cell("rows_grid"), F.col("other")).unionByName(placed(right, F.lit(1), F.col("other"), cell("cols_grid")))
     dealt = spots.repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj")
     sims = [f"{f}_sim" for f in FIELDS]
-    run = tiles.compare(FIELDS, list(WEIGHTS.values()), threshold, asked is not None)
-    close = dealt.mapInArrow(run, ", ".join(["a_pkey binary", "b_pkey binary", *(f"{s} int" for s in sims)]))
-    scored = close.withColumn("overall", overall(*[F.col(s) for s in sims]))
+    run = tiles.compare(FIELDS, list(WEIGHTS.values()), threshold, best, probes_only, earlier)
+    linked = ["src", "dst", "least", *sims]
+    links = dealt.mapInArrow(run, ", ".join(["src binary", "dst binary", "least bigint", *(f"{s} int" for s in sims)]))
+    links = links.withColumn("overall", overall(*[F.col(s) for s in sims])).filter(F.col("overall") >= threshold)
     if strict:
-        scored = scored.unionByName(pair_similarity(near_equal_pairs(rows)).select("a_pkey", "b_pkey", *sims, "overall"))
-    return scored.filter(F.col("overall") >= threshold).select("a_pkey", "b_pkey", *sims, "overall")
+        near = checkpoint_cut(pair_similarity(near_equal_pairs(rows)).select("a_pkey", "b_pkey", *sims, "overall").filter(F.col("overall") >= threshold))
+        ways = [near.select(F.col(f"{x}_pkey").alias("src"), F.col(f"{y}_pkey").alias("dst"), *sims, "overall") for x, y in ("ab", "ba")]
+        offered = rows.filter("offers").select(F.col("pkey").alias("dst"), "least")
+        links = links.unionByName(ways[0].unionByName(ways[1]).join(offered, "dst").select(*linked, "overall"))
+    if not earlier:
+        ranked = Window.partitionBy("src").orderBy(F.desc("overall"), "least", "dst")
+        links = links.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= best)
+    return links.select("src", "dst", *sims, "overall")
 
 
 def _strict(threshold: float) -> bool:
@@ -234,11 +243,29 @@ def find_duplicates(
         .withColumn("pkey", _profile_key())
         .select("id", "block", "pkey", "is_probe", "is_base", *[f"{f}_key" for f in FIELDS])
     )
-    profiles = keyed.groupBy("pkey").agg(
-        F.any_value("block").alias("block"), *[F.any_value(f"{f}_key").alias(f"{f}_key") for f in FIELDS]
+    lowest = Window.partitionBy("pkey").orderBy("id")
+    stand_ins = checkpoint_cut(
+        keyed.filter("is_base")
+        .select("pkey", "id")
+        .withColumn("nth", F.row_number().over(lowest))
+        .filter(F.col("nth") <= k + 1)
+        .select(F.col("pkey").alias("dst"), F.col("id").alias("cand_id"))
     )
-    wanted = None if base is None else keyed.filter("is_probe").select("pkey").distinct()
-    pairs = checkpoint_cut(profile_pairs(profiles, threshold, tile_rows, wanted))
+    if earlier_only:
+        # a row without an id is no candidate here
+        offered = stand_ins.groupBy(F.col("dst").alias("pkey")).agg(F.min("cand_id").alias("least"))
+    else:
+        # rows without an id come first, as in the order of candidates below
+        no_id = F.bool_or(F.col("cand_id").isNull())
+        offered = stand_ins.groupBy(F.col("dst").alias("pkey")).agg(F.when(no_id, F.lit(LOWEST)).otherwise(F.min("cand_id")).alias("least"))
+    asking = F.when(F.col("is_probe"), F.col("id"))
+    profiles = keyed.groupBy("pkey").agg(
+        F.any_value("block").alias("block"), *[F.any_value(f"{f}_key").alias(f"{f}_key") for f in FIELDS], F.bool_or("is_probe").alias("probe"),
+        F.coalesce(F.min(asking), F.lit(LOWEST)).alias("first"), F.coalesce(F.max(asking), F.lit(LOWEST)).alias("last"),
+    )
+    profiles = profiles.join(offered, "pkey", "left").withColumn("offers", F.col("least").isNotNull())
+    profiles = checkpoint_cut(profiles.withColumn("least", F.coalesce("least", F.lit(LOWEST))))
+    pairs = checkpoint_cut(profile_pairs(profiles, threshold, k + 1, tile_rows, base is not None, earlier_only))
 
     sims = [f"{f}_sim" for f in FIELDS]
     same = [
@@ -250,19 +277,7 @@ def find_duplicates(
         .withColumn("overall", overall(*[F.col(s) for s in sims]))
         .filter(F.col("overall") >= threshold)
     )
-    links = (
-        pairs.select(F.col("a_pkey").alias("src"), F.col("b_pkey").alias("dst"), *sims, "overall")
-        .unionByName(pairs.select(F.col("b_pkey").alias("src"), F.col("a_pkey").alias("dst"), *sims, "overall"))
-        .unionByName(itself)
-    )
-    lowest = Window.partitionBy("pkey").orderBy("id")
-    stand_ins = (
-        keyed.filter("is_base")
-        .select("pkey", "id")
-        .withColumn("nth", F.row_number().over(lowest))
-        .filter(F.col("nth") <= k + 1)
-        .select(F.col("pkey").alias("dst"), F.col("id").alias("cand_id"))
-    )
+    links = pairs.unionByName(itself)
     asked = keyed.filter("is_probe").select("id", F.col("pkey").alias("src"))
     if earlier_only:
         # which candidates count depends on the row, so the cut is made per row

@@ -4,7 +4,8 @@ Spark deals tiles out and sorts each task's rows by tile; here the rows of one t
 small ones, are held against each other.  Counts of characters are written as rows of zeros and ones, so a
 product of two such matrices counts the characters that all pairs have in common.  That bounds
 the longest common subsequence from above, and with it the weighted score; only pairs that can
-still reach the threshold are compared letter by letter, the heaviest field first.
+still reach the threshold, and the best of one of their rows, are compared letter by letter, those with
+the highest bound and the heaviest field first.  A row takes at most its ``best`` partners out of a tile.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from kontor.functions.similarity import ratio_values
 CLASSES = 64
 #: Repeats of a character class that are told apart.
 LEVELS = 4
-#: Cells of the score matrix that are alive at once, and pairs that are compared letter by letter at once.
-CELLS, PAIRS = 1 << 21, 1 << 16
+#: Rows and columns of the score matrix that are alive at once, and pairs that are compared letter by letter at once.
+HEIGHT, WIDTH, PAIRS = 256, 2048, 1 << 15
 #: Tiles are put together up to so many rows of a side, since a call has a price of its own.
 PACKED = 256
 
@@ -31,57 +32,156 @@ def unary(values: list[str | None]) -> np.ndarray:
     counts = np.zeros((len(values), CLASSES), np.int32)
     rows = np.repeat(np.arange(len(values)), [len(c) for c in codes])
     np.add.at(counts, (rows, np.concatenate(codes) if codes else np.zeros(0, np.int64)), 1)
-    return np.concatenate([counts > level for level in range(LEVELS)], axis=1).astype(np.float32)
+    return np.concatenate([counts > level for level in range(LEVELS)], axis=1)
 
 
 class Side:
-    """Rows of one side of a tile: group number, key, and per field values, lengths and character counts."""
+    """Rows of one side of a tile: group number, key, and per field values, lengths and character counts.
 
-    def __init__(self, group: np.ndarray, key: list[bytes], probe: np.ndarray, fields: list[list[str | None]]):
+    ``least``: the lowest id that a row offers as a candidate, ``offers``: whether it has one, and ``first`` and ``last``:
+    the lowest and highest id that asks (for searches in which a candidate has to have a lower id).
+    """
+
+    def __init__(self, group, key: list[bytes], probe, fields: list[list[str | None]], least=None, offers=None, first=None, last=None):
         self.group, self.key, self.probe, self.fields = group, key, probe, fields
+        self.least, self.offers, self.first, self.last = least, offers, first, last
+        self.name = np.unique(np.array(key, object), return_inverse=True)[1] if len(key) else np.zeros(0, np.int64)
         self.known = [np.array([v is not None for v in f], bool) for f in fields]
         self.length = [np.array([len(v or "") for v in f], np.float32) for f in fields]
         self.bits = [unary(f) for f in fields]
-        self.size = [b.sum(axis=1) for b in self.bits]
+        self.size = [b.sum(axis=1, dtype=np.float32) for b in self.bits]
+        self.used = [b.any(axis=0) for b in self.bits]
+
+
+def _shared(a: Side, b: Side, rows: slice, side: Side) -> list[np.ndarray]:
+    """Character counts of ``rows`` of one side, for characters that both sides have; others are in common nowhere."""
+    return [side.bits[f][rows][:, a.used[f] & b.used[f]].astype(np.float32) for f in range(len(side.fields))]
 
 
-def _ceilings(a: Side, b: Side, rows: slice, weights: list[float]) -> np.ndarray:
-    """Upper bounds of the weighted score of ``rows`` of a against all of b."""
-    total = np.zeros((len(range(*rows.indices(len(a.key)))), len(b.key)), np.float32)
+def _ceilings(a: Side, b: Side, rows: slice, weights: list[float], cols: slice = slice(None), left=None, right=None) -> np.ndarray:
+    """Upper bounds of the weighted score of ``rows`` of a against ``cols`` of b (``left`` and ``right``: their shared counts, if at hand)."""
+    left, right = left or _shared(a, b, rows, a), right or _shared(a, b, cols, b)
+    total = np.zeros((len(a.group[rows]), len(b.group[cols])), np.float32)
     for f, weight in enumerate(weights):
-        common = a.bits[f][rows] @ b.bits[f].T
-        gap = a.size[f][rows, None] + b.size[f][None, :] - 2 * common  # never above the insert/delete distance
-        bound = 100.5 - 100 * gap / np.maximum(a.length[f][rows, None] + b.length[f][None, :], 1)
-        total += weight * np.where(a.known[f][rows, None] & b.known[f][None, :], bound, 0)
+        bound = left[f] @ right[f].T
+        bound *= 2
+        bound -= a.size[f][rows, None]
+        bound -= b.size[f][None, cols]  # minus a number that is never above the insert/delete distance
+        bound /= np.maximum(a.length[f][rows, None] + b.length[f][None, cols], 1)
+        bound *= 100 * weight
+        bound += 100.5 * weight
+        if not (a.known[f][rows].all() and b.known[f][cols].all()):
+            bound *= a.known[f][rows, None] & b.known[f][None, cols]
+        total += bound
     return total
 
 
-def similar(a: Side, b: Side, weights: list[float], threshold: float, same: bool, asked: bool) -> Iterator[tuple[int, int, list[int]]]:
-    """Pairs (row of a, row of b, similarities) of one group whose weighted similarity can't be ruled out.
+class Best:
+    """The best partners of every row of one side, and the score below which nothing counts for the row."""
 
-    ``same``: a and b hold the same rows, and each pair is given once.  ``asked``: a holds probes, and a pair of two probes is given once.
-    """
-    order = sorted(range(len(weights)), key=lambda f: -weights[f])
-    step = max(1, CELLS // max(1, len(b.key)))
-    for start in range(0, len(a.key), step):
-        rows = slice(start, start + step)
-        open_ = (_ceilings(a, b, rows, weights) >= threshold - 1e-2) & (a.group[rows, None] == b.group[None, :])
-        left, right = np.nonzero(open_)
-        left += start
-        if same or asked:
-            once = [a.key[i] < b.key[j] or (asked and not b.probe[j] and a.key[i] != b.key[j]) for i, j in zip(left, right)]
-            left, right = left[once], right[once]
-        for at in range(0, len(left), PAIRS):
-            i, j = left[at : at + PAIRS], right[at : at + PAIRS]
-            rest = np.full(len(i), 100 * sum(weights))
-            sims = np.zeros((len(weights), len(i)), np.int64)
-            for f in order:
-                known = a.known[f][i] & b.known[f][j]
-                sims[f][known] = ratio_values([a.fields[f][k] for k in i[known]], [b.fields[f][k] for k in j[known]])
-                rest -= weights[f] * (100 - sims[f])
-                keep = rest >= threshold - 1e-6
-                i, j, rest, sims = i[keep], j[keep], rest[keep], sims[:, keep]
-            yield from zip(i.tolist(), j.tolist(), sims.T.tolist())
+    def __init__(self, asks: Side, offers: Side, best: int, threshold: float, earlier: bool):
+        self.asks, self.offers, self.best, self.earlier = asks, offers, best, earlier
+        self.floor = np.full(len(asks.key), threshold, np.float64)
+        self.held: list[np.ndarray] = []
+        self.waiting: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def wanted(self, row: np.ndarray, partner: np.ndarray) -> np.ndarray:
+        ok = self.offers.offers[partner]
+        return ok & (self.offers.least[partner] < self.asks.last[row]) if self.earlier else ok
+
+    def add(self, row: np.ndarray, partner: np.ndarray, score: np.ndarray, sims: np.ndarray) -> None:
+        keep = (score >= self.floor[row]) & self.wanted(row, partner)
+        if keep.any():
+            self.waiting.append([row[keep], partner[keep], score[keep], sims[:, keep].T])
+            self.size += int(keep.sum())
+
+    def settle(self) -> None:
+        """Keep the best of each row; ties go to the lower id."""
+        if not self.size:
+            return
+        parts = self.waiting + ([self.held] if self.held else [])
+        row, partner, score, sims = (np.concatenate(x) for x in zip(*parts))
+        least = self.offers.least[partner]
+        # a partner that only some of the askers of a row may have takes no place
+        sure = least < self.asks.first[row] if self.earlier else np.ones(len(row), bool)
+        order = np.lexsort((self.offers.name[partner], least, -score, ~sure, row))
+        row, partner, score, sims, sure = row[order], partner[order], score[order], sims[order], sure[order]
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        last = sure & (rank == self.best - 1)
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], score[last])
+        keep = np.where(sure, rank < self.best, score >= self.floor[row])
+        self.held = [row[keep], partner[keep], score[keep], sims[keep]]
+        self.waiting, self.size = [], 0
+
+
+def _scores(a: Side, b: Side, i: np.ndarray, j: np.ndarray, floor: np.ndarray, weights: list[float]):
+    """Pairs (rows of a, rows of b, score, similarities) that reach their floor, compared letter by letter."""
+    rest = np.full(len(i), 100 * sum(weights))
+    sims = np.zeros((len(weights), len(i)), np.int64)
+    for f in sorted(range(len(weights)), key=lambda f: -weights[f]):
+        known = a.known[f][i] & b.known[f][j]
+        sims[f][known] = ratio_values([a.fields[f][k] for k in i[known]], [b.fields[f][k] for k in j[known]])
+        rest -= weights[f] * (100 - sims[f])
+        keep = rest >= floor - 1e-6
+        i, j, rest, sims, floor = i[keep], j[keep], rest[keep], sims[:, keep], floor[keep]
+    score = np.zeros(len(i))
+    for f, weight in enumerate(weights):
+        score = score + weight * sims[f]
+    return i, j, score, sims
+
+
+def best_pairs(a: Side, b: Side, weights: list[float], threshold: float, best: int, same: bool, asked: bool, earlier: bool) -> list[Best]:
+    """The best partners of the rows of a, and of those of b unless only a asks (or they are the same)."""
+    ways = [Best(a, b, best, threshold, earlier)]
+    if not (same or asked):
+        ways.append(Best(b, a, best, threshold, earlier))
+
+    def open_of(i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        ok = bound >= ways[0].floor[i] - 1e-2
+        return ok if len(ways) == 1 else ok | (bound >= ways[1].floor[j] - 1e-2)
+
+    for left in range(0, len(b.key), WIDTH):
+        cols = slice(left, left + WIDTH)
+        shared = _shared(a, b, cols, b)
+        for top in range(0, len(a.key), HEIGHT):
+            rows = slice(top, top + HEIGHT)
+            bound = _ceilings(a, b, rows, weights, cols, right=shared)
+            # a row's own floor is never below the threshold
+            lowest = ways[0].floor[rows, None]
+            if len(ways) == 2:
+                lowest = np.minimum(lowest, ways[1].floor[None, cols])
+            i, j = np.nonzero(bound >= (lowest - 1e-2).astype(np.float32))
+            bound = bound[i, j]
+            i, j = i + top, j + left
+            fit = a.group[i] == b.group[j]
+            if same:
+                fit &= i != j
+            elif asked:
+                fit &= np.array([a.key[x] != b.key[y] for x, y in zip(i, j)], bool)
+            if len(ways) == 1:
+                fit &= ways[0].wanted(i, j)
+            order = np.flatnonzero(fit)
+            order = order[np.argsort(-bound[order], kind="stable")]
+            i, j, bound = i[order], j[order], bound[order]
+            while len(i):
+                x, y = i[:PAIRS], j[:PAIRS]
+                i, j, bound = i[PAIRS:], j[PAIRS:], bound[PAIRS:]
+                floor = ways[0].floor[x] if len(ways) == 1 else np.minimum(ways[0].floor[x], ways[1].floor[y])
+                x, y, score, sims = _scores(a, b, x, y, floor, weights)
+                ways[0].add(x, y, score, sims)
+                if len(ways) == 2:
+                    ways[1].add(y, x, score, sims)
+                for way in ways:
+                    if len(i) or way.size > 2 * PAIRS:
+                        way.settle()
+                if len(i):
+                    go = open_of(i, j, bound)
+                    i, j, bound = i[go], j[go], bound[go]
+    for way in ways:
+        way.settle()
+    return ways
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
@@ -122,8 +222,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
         yield pa.concat_tables(waiting), True
 
 
-def compare(fields: list[str], weights: list[float], threshold: float, asked: bool):
-    """An Arrow function from rows (block, ti, tj, side, pkey, probe, keys), sorted by tile, to pairs with similarities."""
+def compare(fields: list[str], weights: list[float], threshold: float, best: int, asked: bool, earlier: bool):
+    """An Arrow function from rows (block, ti, tj, side, pkey, probe, least, offers, first, last, keys), sorted by tile, to the best partners of the rows that ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile, _ in _cut(batches):
@@ -131,29 +231,29 @@ def compare(fields: list[str], weights: list[float], threshold: float, asked: bo
             marks = zip(*(tile.column(c).to_pylist() for c in ("block", "ti", "tj")))
             group = np.array([number.setdefault(m, len(number)) for m in marks])
             side = tile.column("side").to_numpy()
-            key, probe = tile.column("pkey").to_pylist(), tile.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            key = tile.column("pkey").to_pylist()
+            probe, offers = (tile.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("probe", "offers"))
+            least, first, last = (tile.column(c).to_numpy() for c in ("least", "first", "last"))
             values = [tile.column(f"{f}_key").to_pylist() for f in fields]
 
             def take(which: np.ndarray) -> Side:
                 at = np.flatnonzero(which)
-                return Side(group[at], [key[i] for i in at], probe[at], [[v[i] for i in at] for v in values])
+                return Side(group[at], [key[i] for i in at], probe[at], [[v[i] for i in at] for v in values], least[at], offers[at], first[at], last[at])
 
             both = side == 2  # a diagonal tile: one set of rows for both sides
             a = take((side == 0) | both)
             b = a if both.any() else take(side == 1)
-            out: list[tuple[int, int, list[int]]] = []
-            for pair in similar(a, b, weights, threshold, a is b, asked):
-                out.append(pair)
-                if len(out) == PAIRS:
-                    yield _batch(a, b, out, fields)
-                    out = []
-            if out:
-                yield _batch(a, b, out, fields)
+            for way in best_pairs(a, b, weights, threshold, best, a is b, asked, earlier):
+                if way.held:
+                    row, partner, _, sims = way.held
+                    for at in range(0, len(row), PAIRS):
+                        cut = slice(at, at + PAIRS)
+                        yield _batch(way, row[cut], partner[cut], sims[cut], fields)
 
     return run
 
 
-def _batch(a: Side, b: Side, pairs: list[tuple[int, int, list[int]]], fields: list[str]) -> pa.RecordBatch:
-    columns = [pa.array([a.key[i] for i, _, _ in pairs], pa.binary()), pa.array([b.key[j] for _, j, _ in pairs], pa.binary())]
-    sims = [pa.array([s[f] for _, _, s in pairs], pa.int32()) for f in range(len(fields))]
-    return pa.RecordBatch.from_arrays([*columns, *sims], names=["a_pkey", "b_pkey", *(f"{f}_sim" for f in fields)])
+def _batch(way: Best, row: np.ndarray, partner: np.ndarray, sims: np.ndarray, fields: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([way.asks.key[i] for i in row], pa.binary()), pa.array([way.offers.key[j] for j in partner], pa.binary()), pa.array(way.offers.least[partner], pa.int64())]
+    columns += [pa.array(sims[:, f].astype(np.int32)) for f in range(len(fields))]
+    return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "least", *(f"{f}_sim" for f in fields)])

@@ -304,3 +304,16 @@ def test_merge_names_a_duplicate_once(spark):
     got = {r.id: (r.email, r.is_active, r.duplicate_of_id) for r in merged.collect()}
     assert merged.count() == 3 and got == {1: ("a@x.de", True, None), 2: ("c@x.de", True, None), 3: ("c@x.de", False, 2)}
     assert sorted((r.company_id, r.origin_id) for r in provenance.fillna(0).collect()) == [(2, 3), (3, 0)]
+
+
+@pytest.mark.parametrize("tile_rows", [50, 20_000])
+def test_links_of_alike_profiles_grow_with_the_rows(spark, tile_rows):
+    """All profiles of a city are alike; each keeps its best partners and not all of them."""
+    n = 240
+    rows = [(i, f"Nordo Technik {i * 37 % 911} GmbH", "Ulm", f"Weg {i % 9}, 89073 Ulm", f"0731 55{i * 7 % 13:03d}", f"https://www.nordo{i * 37 % 911}.de", True) for i in range(n)]
+    keyed = R.comparison_keys(spark.createDataFrame(rows, SCHEMA)).selectExpr(
+        "'Ulm' AS block", "unhex(md5(string(id))) AS pkey", "true AS probe", "id AS least", "true AS offers", "id AS first", "id AS last", *[f"{f}_key" for f in R.FIELDS]
+    )
+    assert R.profile_pairs(keyed, 80, 6, tile_rows).count() == 6 * n
+    got = {(r.id, r.cand_id, r["rank"], round(r.overall, 6)) for r in R.find_duplicates(spark.createDataFrame(rows, SCHEMA), k=5, tile_rows=tile_rows).collect()}
+    assert got == brute(rows, 5)
