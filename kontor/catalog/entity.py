@@ -290,9 +290,11 @@ def _candidates(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    """A decision for every order line; orders and their line numbers are the sequence."""
+    """A decision for every order line; orders and their line numbers are the sequence.  Lines are dealt by order, as decisions are by candidate."""
     return (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("flag"))
         .selectExpr(

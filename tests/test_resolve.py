@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontor.operators import resolve as R
+from kontor.session import checkpoint_cut
 from test_functions import slow_lcs
 
 SCHEMA = "id long, company_name string, city string, address string, phone string, website string, is_active boolean"
@@ -317,3 +318,21 @@ def test_links_of_alike_profiles_grow_with_the_rows(spark, tile_rows):
     assert R.profile_pairs(keyed, 80, 6, tile_rows).count() == 6 * n
     got = {(r.id, r.cand_id, r["rank"], round(r.overall, 6)) for r in R.find_duplicates(spark.createDataFrame(rows, SCHEMA), k=5, tile_rows=tile_rows).collect()}
     assert got == brute(rows, 5)
+
+
+def test_settled_merges_are_not_written_again(spark, monkeypatch):
+    """A long chain of merges doesn't make every round write the merges of the rounds before."""
+    written = []
+
+    def counted(df):
+        out = checkpoint_cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpoint_cut", counted)
+    alone, chain = 400, 6
+    rows = [(10_000 + i, 20_000 + i, i) for i in range(alone)] + [(i, i + 1, alone + i) for i in range(chain)]
+    merges = spark.createDataFrame(rows, "primary_id long, duplicate_id long, at long")
+    gone = {(r["company"], r["done"]) for r in R.settle_merges(merges).collect()}
+    assert gone == {(d, at) for _, d, at in rows[:alone]} | {(i + 1, alone + i) for i in range(0, chain, 2)}
+    assert sum(written) <= 2 * alone + chain * chain
