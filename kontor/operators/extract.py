@@ -19,13 +19,16 @@ from kontor.functions import markup as H
 from kontor.functions.text import blank_to_null, contains_any, filled, strip
 from kontor.sources.profiles import REGISTRY, Profile
 
+#: Pages whose found strings are alive at once.
+PAGES = 256
+
 _FOUND = ["name", "street", "postal_code", "city", "place", "phone_href", "phone_text", "website", "email_href", "email_text", "description", "detail", "entry_text"]
 
 
 def _map_pages(pages: DataFrame, per_page: Callable[[str], list[dict]], fields: str) -> DataFrame:
     """One output row per dict that ``per_page`` makes of a page; page_id and url are kept.
 
-    ``fields``: DDL of the dict values.
+    ``fields``: DDL of the dict values.  What was found leaves the task after every ``PAGES`` pages, however many Spark hands over.
     """
     id_type = dict(pages.dtypes)["page_id"]
     schema = f"page_id {id_type}, url string, entry_no int, {fields}"
@@ -33,11 +36,13 @@ def _map_pages(pages: DataFrame, per_page: Callable[[str], list[dict]], fields:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                for n, found in enumerate(per_page(html)):
-                    rows.append({"page_id": page_id, "url": url, "entry_no": n, **found})
-            yield pd.DataFrame(rows, columns=columns)
+            for start in range(0, len(batch), PAGES):
+                part = batch.iloc[start : start + PAGES]
+                rows = []
+                for page_id, url, html in zip(part["page_id"], part["url"], part["html"]):
+                    for n, found in enumerate(per_page(html)):
+                        rows.append({"page_id": page_id, "url": url, "entry_no": n, **found})
+                yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page_id", "url", "html").mapInPandas(run, schema)
 

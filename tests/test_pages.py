@@ -1,9 +1,11 @@
 """Directory, detail, team and register pages on hand-written HTML."""
 
+import gc
 import json
 
 from pyspark.sql import functions as F
 
+from kontor.functions import markup as H
 from kontor.operators import extract as X
 from kontor.operators import ingest, upsert
 from kontor.operators import webtext as W
@@ -213,3 +215,23 @@ def test_large_json_arrays_are_read_in_pieces(spark, tmp_path):
     assert all(good[x["id"]].name == x["name"] and good[x["id"]].more.x[0] == x["more"]["x"][0] for x in items)
     assert sorted(r.corrupt for r in rows if r.corrupt is not None) == ['{"id": 9001, "name": }', '{"id": 9002, "name": "cut']
     assert all(r.id is None and r.name is None for r in rows if r.corrupt is not None)
+
+
+def test_a_parsed_page_leaves_no_cycles():
+    """A tree is freed when it goes out of use, so pages don't pile up in a task until cycles are searched for."""
+    html = "<ul>" + "<li class='x'><p>a<b>b</b><br>" * 50 + "</ul>"
+    gc.collect()
+    gc.disable()
+    try:
+        assert len(list(H.select(H.parse(html), "li"))) == 50
+        assert gc.collect() < 50
+    finally:
+        gc.enable()
+
+
+def test_found_rows_leave_a_task_in_pieces(spark, monkeypatch):
+    """A batch of more pages than PAGES comes out as several; page ids and entry numbers are those of one batch."""
+    monkeypatch.setattr(X, "PAGES", 3)
+    pages = spark.range(10).coalesce(1).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', CAST(id % 3 AS INT)) AS html")
+    found = X._map_pages(pages, lambda html: [{"name": f"{k}"} for k in range(len(html))], "name string")
+    assert sorted((r.page_id, r.url, r.entry_no, r.name) for r in found.collect()) == [(i, f"u{i}", k, f"{k}") for i in range(10) for k in range(i % 3)]
