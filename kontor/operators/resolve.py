@@ -104,22 +104,22 @@ def _profile_key() -> Column:
 SHORTEST_INEXACT = 100
 
 
-def _grid(profiles: DataFrame, name: str, tile_rows: int) -> DataFrame:
-    """Grid size of the blocks above one tile; there are at most rows / tile_rows of them."""
-    size = F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int")
-    return profiles.groupBy("block").agg(size.alias(name)).filter(F.col(name) > 1)
+def _grid(profiles: DataFrame, tile_rows: int) -> DataFrame:
+    """Cells of the rows that ask and of the others, in blocks above one tile; there are at most rows / tile_rows of them."""
+    cells = [F.ceil(F.count_if(c) / F.lit(tile_rows)).cast("int").alias(name) for c, name in ((F.col("probe"), "asking"), (~F.col("probe"), "others"))]
+    return profiles.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *cells).filter(F.col("n") > tile_rows).drop("n")
 
 
 def profile_pairs(
-    profiles: DataFrame, threshold: float, best: int, tile_rows: int = TILE_ROWS, probes_only: bool = False, earlier: bool = False
+    profiles: DataFrame, threshold: float, best: int, tile_rows: int = TILE_ROWS, earlier: bool = False
 ) -> DataFrame:
-    """Links (``src``, ``dst``, similarities, ``overall >= threshold``) of every profile to the ``best`` others: score first, then ``least``.
+    """Links (``src``, ``dst``, similarities, ``overall >= threshold``) of every probe to the ``best`` others: score first, then ``least``.
 
     ``profiles``: block, pkey, probe, the keys, ``least`` (the lowest id that the profile offers as a candidate), ``offers``
     (whether it has one), ``first`` and ``last`` (its lowest and highest id that asks).  Each of the ``best`` profiles offers a candidate,
     so what comes after them is no candidate of ``src`` among the ``best`` first.  With ``earlier`` a candidate needs a lower id
     than the row that asks: partners with ``least`` below ``first`` are counted, those that only some rows may have come on top.
-    With ``probes_only`` only probes ask: probes on the left, every profile of their blocks on the right.
+    Each pair of probes is met once for both; probes meet the other profiles of their block, and those don't meet each other.
     """
     present = sum((F.col(f"{f}_key").isNotNull().cast("int") for f in FIELDS[1:]), F.lit(0))
     most = F.lit(100 * WEIGHTS["name"]) + present * F.lit(100 * WEIGHTS["phone"])
@@ -130,29 +130,19 @@ def profile_pairs(
     # where a missing field leaves no room, only complete rows are compared with their block
     whole = rows.filter(" and ".join(f"{k} is not null" for k in keys)) if strict else rows
 
-    def cell(grid: str) -> Column:
-        return F.pmod(F.xxhash64("pkey"), F.col(grid)).cast("int")
-
-    def placed(part: DataFrame, side: Column, ti: Column, tj: Column) -> DataFrame:
-        spots = part.withColumns({"side": side.cast("int"), "ti": ti}).withColumn("tj", tj)
-        return spots.select("block", "ti", "tj", "side", "pkey", *more, *keys)
-
-    cols_grid = _grid(whole, "cols_grid", tile_rows)
-    sized = whole.join(cols_grid, "block", "left").withColumn("cols_grid", F.coalesce("cols_grid", F.lit(1)))
-    if not probes_only:
-        # cell (i, j) with i < j: rows of cell i against rows of cell j; (i, i): its rows against each other
-        mine, last = cell("cols_grid"), F.col("cols_grid") - 1
-        near = sized.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        spots = placed(near, F.when(F.col("other") == mine, 2).when(mine < F.col("other"), 0).otherwise(1), F.least(mine, "other"), F.greatest(mine, "other"))
-    else:
-        rows_grid = _grid(whole.filter("probe"), "rows_grid", tile_rows)
-        sized = sized.join(rows_grid, "block", "left").withColumn("rows_grid", F.coalesce("rows_grid", F.lit(1)))
-        left = sized.filter("probe").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cols_grid") - 1)))
-        right = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rows_grid") - 1)))
-        spots = placed(left, F.lit(0), cell("rows_grid"), F.col("other")).unionByName(placed(right, F.lit(1), F.col("other"), cell("cols_grid")))
+    # cells of probes come before those of others.  Tile (i, j) with i < j: rows of cell i against rows of cell j; (i, i): its rows against
+    # each other.  Blocks of a single tile are cell 0 as a whole.
+    asking, others = F.coalesce("asking", F.lit(1)), F.coalesce("others", F.lit(0))
+    hashed = F.xxhash64("pkey")
+    mine = F.when(F.col("asking").isNull(), 0).when(F.col("probe"), F.pmod(hashed, F.greatest(asking, F.lit(1)))).otherwise(asking + F.pmod(hashed, F.greatest(others, F.lit(1))))
+    met = F.when(F.col("asking").isNull() | F.col("probe"), asking + others).otherwise(asking)
+    near = whole.join(_grid(whole, tile_rows), "block", "left").withColumn("mine", mine.cast("int")).withColumn("met", met).filter("met > 0")
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
+    side = F.when(F.col("other") == F.col("mine"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    spots = near.select("block", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"), side.cast("int").alias("side"), "pkey", *more, *keys)
     dealt = spots.repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ti", "tj").sortWithinPartitions("block", "ti", "tj")
     sims = [f"{f}_sim" for f in FIELDS]
-    run = tiles.compare(FIELDS, list(WEIGHTS.values()), threshold, best, probes_only, earlier)
+    run = tiles.compare(FIELDS, list(WEIGHTS.values()), threshold, best, earlier)
     linked = ["src", "dst", "least", *sims]
     links = dealt.mapInArrow(run, ", ".join(["src binary", "dst binary", "least bigint", *(f"{s} int" for s in sims)]))
     links = links.withColumn("overall", overall(*[F.col(s) for s in sims])).filter(F.col("overall") >= threshold)
@@ -265,7 +255,7 @@ def find_duplicates(
     )
     profiles = profiles.join(offered, "pkey", "left").withColumn("offers", F.col("least").isNotNull())
     profiles = checkpoint_cut(profiles.withColumn("least", F.coalesce("least", F.lit(LOWEST))))
-    pairs = checkpoint_cut(profile_pairs(profiles, threshold, k + 1, tile_rows, base is not None, earlier_only))
+    pairs = checkpoint_cut(profile_pairs(profiles, threshold, k + 1, tile_rows, earlier_only))
 
     sims = [f"{f}_sim" for f in FIELDS]
     same = [

@@ -199,3 +199,43 @@ def test_tile_bounds_never_fall_below_the_score():
             if fields[1][i] is not None and fields[1][j] is not None:
                 score += 0.4 * M.ratio_values([fields[1][i]], [fields[1][j]])[0]
             assert bound[i, j] >= score - 1e-2
+
+
+@pytest.mark.parametrize("asks", [lambda i: True, lambda i: i % 9 == 0])
+def test_tile_meets_each_pair_once_and_keeps_the_best(monkeypatch, asks):
+    """Rows of many leaves: each pair is bounded once for both of its rows, none for rows that don't ask, and the best are exact."""
+    from kontor.operators import tiles
+
+    rng = random.Random(8)
+    n, best, weights = 150, 3, [0.6, 0.4]
+    name = lambda: " ".join(rng.choice(["nordo", "süd", "bau", "technik", "\U0001f600", ""]) for _ in range(3)) + str(rng.randrange(90))
+    fields = [[name() for _ in range(n)], [rng.choice([None, name(), name() * 9]) for _ in range(n)]]
+    keys = [f"{i:03d}".encode() for i in range(n)]
+    met = []
+    ceilings = tiles._ceilings
+
+    def counted(*args, **kwargs):
+        bound = ceilings(*args, **kwargs)
+        met.append(bound.size)
+        return bound
+
+    monkeypatch.setattr(tiles, "_ceilings", counted)
+    monkeypatch.setattr(tiles, "LEAF", 8)
+    probe = np.array([asks(i) for i in range(n)])
+    side = tiles.Side(np.zeros(n, int), keys, probe, fields, np.arange(n), np.array([i % 5 != 0 for i in range(n)]), np.arange(n), np.arange(n))
+    (way,) = tiles.best_pairs(side, side, weights, 60, best, True, False)
+    row, partner, score, _ = way.held
+    got = {(side.key[i], side.key[j], round(s, 6)) for i, j, s in zip(row, partner, score)}
+    want = set()
+    for i in range(n):
+        if not asks(i):
+            continue
+        found = []
+        for j in range(n):
+            if i != j and j % 5:
+                total = sum(w * M.ratio_values([f[i]], [f[j]])[0] for w, f in zip(weights, fields) if f[i] is not None and f[j] is not None)
+                found += [(-round(total, 6), j)] if total >= 60 else []
+        want |= {(keys[i], keys[j], -s) for s, j in sorted(found)[:best]}
+    assert len(want) > 20 and got == want
+    few = int(probe.sum())
+    assert sum(met) <= (few + 8) * (n + 8) - few * few / 2 + 8 * n
