@@ -67,13 +67,16 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     """LCS length of every pair ``(a[i], b[i])``."""
     swap = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
     out = np.zeros(len(swap), dtype=np.int64)
-    short = [i for i, (x, _) in enumerate(swap) if 0 < len(x) <= WORD_BITS and "\0" not in x + swap[i][1]]
+    same = [i for i, (x, y) in enumerate(swap) if x == y]
+    out[same] = [len(swap[i][0]) for i in same]
+    done = set(same)
+    short = [i for i, (x, y) in enumerate(swap) if i not in done and 0 < len(x) <= WORD_BITS and "\0" not in x + y]
     # similar lengths share a padded matrix, so one long string does not widen all
     short.sort(key=lambda i: len(swap[i][1]))
     for start in range(0, len(short), 2048):
         part = short[start : start + 2048]
         out[part] = _lcs_short([swap[i][0] for i in part], [swap[i][1] for i in part])
-    done = set(short)
+    done |= set(short)
     for i, (x, y) in enumerate(swap):
         if i not in done and x:
             out[i] = _lcs_long(x, y)

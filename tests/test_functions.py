@@ -239,3 +239,10 @@ def test_tile_meets_each_pair_once_and_keeps_the_best(monkeypatch, asks):
     assert len(want) > 20 and got == want
     few = int(probe.sum())
     assert sum(met) <= (few + 8) * (n + 8) - few * few / 2 + 8 * n
+
+
+def test_equal_strings_are_not_compared_by_letter(monkeypatch):
+    compared = []
+    monkeypatch.setattr(M, "_lcs_short", lambda a, b: compared.extend(zip(a, b)) or np.array([slow_lcs(x, y) for x, y in zip(a, b)]))
+    left, right = ["nordo", "", "bau", "x" * 70, "a\0b"], ["nordo", "", "baum", "x" * 70, "a\0b"]
+    assert M.ratio_values(left, right).tolist() == [100, 100, 86, 100, 100] and compared == [("bau", "baum")]
