@@ -6,7 +6,7 @@ goes if an earlier one (by document id, then place) has a Jaccard similarity of
 
 1. Words are counted in a table of fixed size, and the words of every line are ordered
    by rarity.  Lines with equal sets are one class, whose first line stands for it.
-2. A line has a least hash among the rarest quarter or half or all of its words, under each of a few orders (``HEADS``).  The lines of a hash are dealt to
+2. A line has a least hash among the rarest quarter, and among all, of its words, under an order each (``HEADS``).  The lines of a hash are dealt to
    ``SHARES``; the first lines of these are the heads, and a line is compared with the head whose bitmap is nearest.  Rare words keep unrelated lines apart, so
    this settles most members of a large group of variants in one row a line.
 3. Two similar sets share a word among their rarest ones (prefix filter), so the prefix
@@ -29,12 +29,12 @@ from kontor.session import checkpoint_cut
 
 THRESHOLD = Fraction(4, 5)
 #: Rows of the table of word counts; its size does not depend on the data.
-COUNT_BITS = 16
+COUNT_BITS = 18
 #: Bits of the table that tells which lines may have to be verified (fixed size as well).
 LINE_BITS = 22
 
 #: Orders of the words' hashes (nearest to a number, bit by bit), and the rarest part of a line's words that each is taken over.
-HEADS = ((0, 4), (0x2A5F3C96E1B4, 2), (0x5B0E94D7238A, 2), (0x7314C8A95F6D, 1))
+HEADS = ((0, 4), (0x7314C8A95F6D, 1))
 #: Words of a line whose second bitmap is of a part of them.
 LONG = 96
 #: Heads of a hash.
@@ -43,21 +43,25 @@ SHARES = 8
 _LINE = 1 << 31  # lines of a document; a line's place is doc_id * _LINE + line_no
 
 
-def _words(text: Column) -> Column:
-    """Words of a text in lower case; a plain split at single blanks is far cheaper than one at a pattern."""
+def _plain(text: Column) -> Column:
+    """A text in lower case with blanks and line feeds as its only white space, since a plain split at single blanks is far cheaper than one at a pattern."""
     text = F.lower(text)
-    for space in "\t\n\x0b\x0c\r":
+    for space in "\t\x0b\x0c\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+    return text
+
+
+def _words(plain: Column) -> Column:
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _ranks(texts: DataFrame) -> DataFrame:
     """One row: the rank by frequency, as leading bits of a key, of each of 2 ** COUNT_BITS groups of words."""
     code = F.shiftrightunsigned(F.xxhash64("w"), 64 - COUNT_BITS).cast("int")
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(code.alias("b")).agg(F.count("*").alias("c"))
+    counts = texts.select(F.explode(_words(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(code.alias("b")).agg(F.count("*").alias("c"))
     everything = texts.sparkSession.range(1 << COUNT_BITS).select(F.col("id").cast("int").alias("b"))
     counts = checkpoint_cut(everything.join(counts, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c")))
-    # the whole table is 65,536 small rows, whatever the number of words
+    # the whole table is 262,144 small rows, whatever the number of words
     by_count = F.transform(F.array_sort(F.collect_list(F.struct("c", "b"))), lambda t: t["b"])
     order = counts.agg(by_count.alias("o")).select(F.posexplode("o").alias("rank", "b"))
     ranks = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "rank"))), lambda t: F.shiftleft(t["rank"].cast("long"), 63 - COUNT_BITS)).alias("ranks"))
@@ -74,28 +78,29 @@ def _line_of(place: Column) -> tuple[Column, Column]:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``line_no`` (from 0) and ``line`` (plain)."""
+    return texts.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Lines with a word: place, size, set hashes, bitmap, least hash and prefix of words by rarity."""
+    """Lines with a word: document, number, size, set hashes, bitmap, least hash and prefix of words by rarity."""
     low = (1 << (63 - COUNT_BITS)) - 1
-    blank = F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) == 0
+    blank = F.length(F.btrim("line")) == 0
     # a word's key: its group's rank, then the hash's other bits.  The table meets the words in one projection
     # and is used once there, so that Spark doesn't copy it into every row.
-    key = lambda w: F.element_at(
-        "ranks", F.shiftrightunsigned(F.xxhash64(w), 64 - COUNT_BITS).cast("int") + 1
-    ).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    # Keys are never null for Spark either, so that it sorts plain numbers.
+    rank = lambda w: F.element_at("ranks", F.shiftrightunsigned(F.xxhash64(w), 64 - COUNT_BITS).cast("int") + 1)
+    key = lambda w: F.coalesce(rank(w), F.lit(0).cast("long")).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
     lines = _lines(texts).where(~blank).select("*", _ranks(texts).select("ranks").scalar().alias("ranks"))
     lines = lines.select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), key)).alias("k"))
     one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
 
-    def bitmap(mask: int, of: int) -> Column:
-        return F.aggregate(F.filter("k", lambda k: k.bitwiseAND(mask) == of), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(one(k)))
+    def bitmap(k: Column) -> Column:
+        return F.aggregate(k, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(one(k)))
 
-    # each over half of the words; the second of a long line over a quarter, as it would be full otherwise
-    bits = [bitmap(64, 0).alias("bits0"), F.when(F.size("k") < LONG, bitmap(64, 64)).otherwise(bitmap(192, 64)).alias("bits1")]
-    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), *bits, F.sort_array("k").alias("k"))
+    # of all words, and of half of a long line's; a word turns its bit, so that a bitmap is never full
+    half = F.when(F.size("k") < LONG, F.lit(0).cast("long")).otherwise(bitmap(F.filter("k", lambda k: k.bitwiseAND(64) == 64)))
+    lines = lines.select("doc_id", "line_no", F.size("k").alias("n"), bitmap(F.col("k")).alias("bits0"), half.alias("bits1"), F.sort_array("k").alias("k"))
 
     def head(near: int, part: int) -> Column:
         rare = F.slice("k", F.lit(1), F.ceil(F.col("n") / part).cast("int"))
@@ -105,37 +110,52 @@ def _coded(texts: DataFrame, threshold: Fraction) -> DataFrame:
     # the number of the order stands above the hash
     least = F.array(*(v.bitwiseOR(F.lit(i << (63 - COUNT_BITS)).cast("long")) for i, v in enumerate(least)))
     return lines.select(
-        F.monotonically_increasing_id().alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", "bits0", "bits1", least.alias("least"),
+        F.monotonically_increasing_id().alias("line"), F.col("doc_id").alias("doc"), F.col("line_no").alias("no"), "n", "bits0", "bits1", least.alias("least"),
         F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"),
         F.slice("k", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold.numerator) / threshold.denominator).cast("int") + 1).alias("prefix"),
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (``x``, ``y``: places) whose lines are similar enough, by 64-bit hashes of their whole word sets."""
-    pairs = checkpoint_cut(pairs)
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("place"))
-    code = F.xxhash64("place").bitwiseAND((1 << LINE_BITS) - 1)
-    word, bit = F.shiftright(code, 6).cast("int"), code.bitwiseAND(63).cast("int")
-    asked = ends.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def _hashed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """64-bit hashes of the words (``w``) of the lines that stand in ``pairs`` (``doc_a``, ``no_a``, ``doc_b``, ``no_b``), and of a few others."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"doc_{e}").alias("doc"), F.col(f"no_{e}").alias("no")) for e in "ab"))).alias("end")).select("end.*")
+
+    def place(*key: str) -> tuple[Column, Column]:
+        code = F.xxhash64(*key).bitwiseAND((1 << LINE_BITS) - 1)
+        return F.shiftright(code, 6).cast("int"), code.bitwiseAND(63).cast("int")
+
+    # one table for documents and lines: texts without such a line aren't split
+    keys = (("doc",), ("doc", "no"))
+    places = [F.struct(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")) for word, bit in (place(*key) for key in keys)]
+    asked = ends.select(F.explode(F.array(*places)).alias("p")).select("p.*").groupBy("w").agg(F.bit_or("b").alias("b"))
     everything = texts.sparkSession.range(1 << (LINE_BITS - 6)).select(F.col("id").cast("int").alias("w"))
     table = everything.join(asked, "w", "left").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda t: t["b"]).alias("t")
     )
     table = checkpoint_cut(table)
-    lines = _lines(texts).select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
-    lines = lines.select("*", table.select("t").scalar().alias("t")).where(F.getbit(F.element_at("t", word + 1), bit) == 1)
+
+    def among(rows: DataFrame, *key: str) -> DataFrame:
+        word, bit = place(*key)
+        return rows.where(F.getbit(F.element_at(table.select("t").scalar(), word + 1), bit) == 1)
+
+    lines = among(_lines(among(texts, "doc_id")).withColumnsRenamed({"doc_id": "doc", "line_no": "no"}), "doc", "no")
     # words are hashed once a line and not once a pair
-    lines = lines.select("place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
-    a, b = (lines.select(F.col("place").alias(place), F.col("w").alias(words)) for place, words in (("x", "p"), ("y", "q")))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", F.size(F.array_intersect("p", "q")).alias("common"), (F.size("p") + F.size("q")).alias("sum"))
-    return both.where(F.col("common") * threshold.denominator >= F.lit(threshold.numerator) * (F.col("sum") - F.col("common"))).select("x", "y")
+    return checkpoint_cut(lines.select("doc", "no", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("w")))
+
+
+def _verified(pairs: DataFrame, hashed: DataFrame, threshold: Fraction) -> DataFrame:
+    """Later lines (``doc``, ``no``) of the pairs that are similar enough, by 64-bit hashes of their whole word sets."""
+    a, b = (hashed.select(F.col("doc").alias(f"doc_{e}"), F.col("no").alias(f"no_{e}"), F.col("w").alias(f"w_{e}")) for e in "ab")
+    both = pairs.select("doc_a", "no_a", "doc_b", "no_b").join(a, ["doc_a", "no_a"]).join(b, ["doc_b", "no_b"])
+    both = both.select("doc_a", "no_a", F.size(F.array_intersect("w_a", "w_b")).alias("common"), (F.size("w_a") + F.size("w_b")).alias("sum"))
+    both = both.where(F.col("common") * threshold.denominator >= F.lit(threshold.numerator) * (F.col("sum") - F.col("common")))
+    return both.select(F.col("doc_a").alias("doc"), F.col("no_a").alias("no"))
 
 
 def _apart(n: Column, m: Column) -> Column:
-    """Differing bits of the two bitmaps; every one is a word that isn't shared.  The second ones are of one kind if both lines are long, or neither."""
-    first, second = (F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in (0, 1))
-    return first + F.when((n < LONG) == (m < LONG), second).otherwise(0)
+    """Differing bits of the two bitmaps; every one is a word that isn't shared.  Halves are told apart if both lines are long."""
+    every, half = (F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b")) for k in (0, 1))
+    return F.when((n < LONG) == (m < LONG), F.bit_count(every.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(every))
 
 
 def _bounds(n: Column, m: Column, num: int, den: int) -> Column:
@@ -155,28 +175,33 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     num, den = threshold.numerator, threshold.denominator
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     coded = checkpoint_cut(_coded(texts, threshold))
-    firsts = coded.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
-    firsts = checkpoint_cut(firsts.select("line", "first"))
-    copies = coded.select("line", "place").join(firsts, "line", "left_anti").join(firsts.select(F.col("first").alias("place")), "place", "left_anti").select("place")
-    classes = coded.join(firsts.select("line"), "line", "left_semi")
-
-    # step 2: the first lines of each least hash that several lines have, in each order
-    keyed = classes.select("place", "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), F.explode("least").alias("least"))
-    shared = keyed.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least")
-    keyed = checkpoint_cut(keyed.join(shared, "least", "left_semi"))
+    place = _place(F.col("doc"), F.col("no")).alias("place")
+    firsts = coded.select("h1", "h2", "line", place).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
+    doc, no = _line_of(F.col("first"))
+    firsts = checkpoint_cut(firsts.select("line", doc.alias("doc"), no.alias("no")))
+    copies = coded.select("line", "doc", "no").join(firsts.select("line"), "line", "left_anti").select("doc", "no")
+    copies = copies.join(firsts.select("doc", "no"), ["doc", "no"], "left_anti")
+
+    # step 2: the first lines of each least hash, in each order.  Copies may take part: what is similar to one has the first line as well
+    keyed = coded.select(place, "n", F.col("bits0").alias("bits0_a"), F.col("bits1").alias("bits1_a"), "least")
+    keyed = keyed.select("place", "n", "bits0_a", "bits1_a", F.explode("least").alias("least"))
     heads = keyed.groupBy("least", F.pmod(F.xxhash64("place"), F.lit(SHARES)).alias("share")).agg(
         F.min("place").alias("y"), F.min_by("n", "place").alias("n_b"), *(F.min_by(f"bits{k}_a", "place").alias(f"bits{k}_b") for k in (0, 1))
     )
-    met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(F.col("n"), F.col("n_b"), num, den))
-    near = F.struct((_apart(F.col("n"), F.col("n_b")) / (F.col("n") + F.col("n_b"))).alias("apart"), "y")
-    met = met.groupBy(F.col("place").alias("x")).agg(F.min(near).getField("y").alias("y"))
-    settled = checkpoint_cut(_verified(met, texts, threshold).select(F.col("x").alias("place")))
+    n, m = F.col("n"), F.col("n_b")
+    met = keyed.join(heads, "least").where((F.col("place") > F.col("y")) & _bounds(n, m, num, den))
+    # a head that looks the same is most likely a copy and settles nothing new
+    met = met.select("place", "y", (_apart(n, m) / (n + m)).alias("apart"), (n == m).alias("even")).where("apart > 0 or not even")
+    met = met.groupBy(F.col("place").alias("x")).agg(F.min_by("y", "apart").alias("y"))
+    ends = (("a", *_line_of(F.col("x"))), ("b", *_line_of(F.col("y"))))
+    met = checkpoint_cut(met.select(*(c.alias(f"{of}_{end}") for end, *both in ends for of, c in zip(("doc", "no"), both))))
+    settled = checkpoint_cut(_verified(met, _hashed(met, texts), threshold))
 
     # step 3: prefix words; a row holds its line's document and number, so that pairs know which line is later
-    known = classes.select("place", "n", "bits0", "bits1", "prefix").join(settled.withColumn("s", F.lit(True)), "place", "left")
-    doc_id, line_no = _line_of(F.col("place"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("s"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    rows = known.select(doc_id.alias("doc"), line_no.alias("no"), "bits0", "bits1", packed.alias("meta"), F.posexplode("prefix").alias("i", "word"))
+    known = firsts.join(settled.distinct().withColumn("s", F.lit(1).cast("long")), ["doc", "no"], "left")
+    known = coded.select("line", "n", "bits0", "bits1", "prefix").join(known, "line")
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.coalesce("s", F.lit(0).cast("long")))
+    rows = known.select("doc", "no", "bits0", "bits1", packed.alias("meta"), "prefix").select("doc", "no", "bits0", "bits1", "meta", F.posexplode("prefix").alias("i", "word"))
     rows = rows.select("word", "doc", "no", "bits0", "bits1", F.col("meta").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).alias("meta"))
     # both sides are renamed alike, so that Spark sees one exchange and deals the rows once
     a, b = (rows.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "no", "bits0", "bits1", "meta"))) for side in "ab")
@@ -185,30 +210,31 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("no_a") > F.col("no_b")))
     # true unless the later line is settled; named over both sides, as a filter on one would part their exchange in two
     wanted = F.col("meta_a").bitwiseAND(1) * 2 <= F.col("meta_b").bitwiseAND(1)
-    # at the first shared word of a similar pair enough words are still to come in both; where too few are, either it isn't
-    # the first or the pair isn't similar, so what is left of a pair are its first shared words, without a gap
-    enough = (1 + F.least(n - 1 - i, m - 1 - j)) * (num + den) >= num * (n + m)
+    # the words before the first shared word of a pair aren't shared, and a similar pair has few of these; where they are too many, either
+    # it isn't the first or the pair isn't similar, so what is left of a pair are its first shared words, without a gap
+    enough = ((i + j) * (num + den) <= (n + m) * (den - num)) & ((1 + F.least(n - 1 - i, m - 1 - j)) * (num + den) >= num * (n + m))
     met = a.join(b, "word").where(later & wanted & enough & _bounds(n, m, num, den))
     # their number, and the place of the last of them, bound what can be shared at all
-    met = met.groupBy("doc_a", "no_a", "doc_b", "no_b").agg(
-        F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j"), F.max(n).alias("n"), F.max(m).alias("m")
+    # (size and bitmap keep lines apart that share a place, as an id is repeated)
+    met = met.groupBy("doc_a", "no_a", "doc_b", "no_b", "bits0_a", "bits0_b", n.alias("n"), m.alias("m")).agg(
+        F.count("*").alias("c"), F.max(i).alias("i"), F.max(j).alias("j")
     )
     beyond = F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
+    alone = F.col("i") + F.col("j") + 2 - 2 * F.col("c")
     possible = met.where((F.col("c") + beyond) * (num + den) >= num * (F.col("n") + F.col("m")))
+    possible = possible.where(alone * (num + den) <= (F.col("n") + F.col("m")) * (den - num))
     pairs = checkpoint_cut(possible.select("doc_a", "no_a", "doc_b", "no_b", (F.col("c") / (F.col("n") + F.col("m"))).alias("share")))
-    ends = [_place(F.col(f"doc_{side}"), F.col(f"no_{side}")).alias(end) for side, end in (("a", "x"), ("b", "y"))]
+    hashed = _hashed(pairs, texts)
     # one earlier line is enough: the likeliest first, and all the others of a line that it didn't settle
     best = pairs.groupBy("doc_a", "no_a").agg(F.max_by(F.struct("doc_b", "no_b"), F.struct("share", "doc_b", "no_b")).alias("b"))
     best = checkpoint_cut(best.select("doc_a", "no_a", "b.*"))
-    sure = checkpoint_cut(_verified(best.select(*ends), texts, threshold).select("x"))
-    doc_x, no_x = _line_of(F.col("x"))
-    open_ = pairs.join(sure.select(doc_x.alias("doc_a"), no_x.alias("no_a")), ["doc_a", "no_a"], "left_anti")
+    sure = checkpoint_cut(_verified(best, hashed, threshold))
+    open_ = pairs.join(sure.select(F.col("doc").alias("doc_a"), F.col("no").alias("no_a")), ["doc_a", "no_a"], "left_anti")
     open_ = open_.join(best, ["doc_a", "no_a", "doc_b", "no_b"], "left_anti")
-    rest = _verified(open_.select(*ends), texts, threshold)
+    rest = _verified(open_, hashed, threshold)
 
-    gone = copies.union(settled).union(sure).union(rest.select("x")).distinct()
-    doc_id, line_no = _line_of(F.col("place"))
-    return gone.select(doc_id.alias("doc_id"), line_no.alias("line_no"))
+    gone = copies.union(settled).union(sure).union(rest).distinct()
+    return gone.select(F.col("doc").alias("doc_id"), F.col("no").alias("line_no"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction | float = THRESHOLD) -> DataFrame:

@@ -54,12 +54,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Removes a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     This cuts the lineage like a reliable checkpoint, but computes the rows only
-    once and reads back only the columns that are used.
+    once and reads back only the columns that are used.  The written table needs no
+    shuffle files, so these go at the end of the write and not when the driver
+    happens to collect its garbage.
     """
     path = f"{scratch_dir(df.sparkSession)}/kontor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(SHUFFLE_CLEANUP)
+        else:
+            conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 """Operators against brute force on small tables, with nulls, empty tables, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kontor.llm import decontaminate, dom, graph, licenses, lines, mixing, pii, quality, separators, simhash, substring, wrapper
+from kontor.session import checkpoint_cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, code long"
@@ -199,6 +202,33 @@ def test_similar_lines_settles_groups_of_variants(spark):
     assert {(r.doc_id, r.line_no) for r in lines.similar_lines(frame(spark, rows)).collect()} == slow_lines(rows)
 
 
+def test_similar_lines_of_any_length(spark):
+    # sizes on both sides of LONG, pairs just above and just below the threshold, copies with another order of words
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        w = [f"l{i}w{k}" for k in range(rng.choice((4, 5, 9, 40, 80, 90, 95, 96, 100, 110, 260)))]
+        for j in range(3):
+            v = list(w)
+            for k in rng.sample(range(len(v)), round(len(v) * rng.choice((0, 0.1, 0.11, 0.12)))):
+                v[k] = rng.choice((f"x{rng.randrange(10**6)}", w[0]))
+            rng.shuffle(v)
+            rows.append((rng.randrange(10**9), f"\x0b{' '.join(v)}\t\n \r\n{v[0].upper()}\x0c{v[1]}", None, None))
+    assert {(r.doc_id, r.line_no) for r in lines.similar_lines(frame(spark, rows)).collect()} == slow_lines(rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    kept = checkpoint_cut(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(3, "count"))
+    ends = time.time() + 5  # Spark removes them in the background
+    while files() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 100
+
+
 def test_quality_stats(docs, rows, empty):
     got = sorted(tuple(r)[:8] for r in quality.quality(docs).where("doc_id is not null").collect())
     expected = []
