@@ -257,6 +257,40 @@ def test_planned_join_of_one_file_is_not_one_task(spark):
     assert len(rows) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2 and max(rows) < sum(rows) * 0.75
 
 
+def _dealt_rows(plan) -> int:
+    """Rows that the exchanges of an executed plan wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _dealt_rows(plan.executedPlan())
+    if "QueryStage" in plan.getClass().getSimpleName():
+        return _dealt_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(_dealt_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_planned_join_copies_no_side_for_a_few_rows(spark):
+    from kontor.operators import monitor
+
+    events = spark.range(3000).selectExpr("id AS event_id", "concat('k', id % 2) AS event")
+    subs = spark.range(400).selectExpr("id AS webhook_id", "concat('u', id) AS url", "true AS active", "array('k0', 'k1') AS events")
+    got = monitor.fan_out(events, subs)
+    assert len(got.collect()) == 3000 * 400
+    assert _dealt_rows(got._jdf.queryExecution().executedPlan()) == 3000 + 2 * 400
+
+
+@pytest.mark.parametrize("least", [1, 7, 2048])
+def test_planned_join_equals_a_plain_join(spark, monkeypatch, least):
+    from kontor.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", least)
+    left = spark.range(300).selectExpr("id % 150 AS a", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 9 = 0 THEN NULL ELSE concat('k', id % 11) END AS k", "map('m', id % 150) AS extra")
+    # equal rows, null values and null keys on both sides
+    right = spark.range(200).selectExpr("CASE WHEN id % 4 = 0 THEN NULL ELSE id % 60 END AS b", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 5 = 0 THEN NULL ELSE concat('k', id % 13) END AS k", "if(id % 7 = 0, NULL, 'u') AS u", "map('n', id % 60) AS more")
+    for other in (right, right.filter("b < 0"), right.filter("k = 'hot'").withColumn("b", F.lit(1)).withColumn("u", F.lit("u")), right.select("k")):
+        got, want = skew.planned_join(left, other, "k"), left.join(other, "k")
+        assert got.schema == want.schema
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_retention_boundaries(spark):
     import datetime as dt
     import random
